@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from rankloom.llm.bpe import op9_bpe
 from rankloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from rankloom.llm.mixing import OP6_SQL, op6_mix_sources
+from rankloom.llm.simhash import op2_simhash
+from rankloom.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op8_token_files": op8_token_files,
+    "op9_bpe": op9_bpe,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
