@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from rankloom.llm.bpe import op9_bpe
 from rankloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from rankloom.llm.langid import op1_language
 from rankloom.llm.mixing import OP6_SQL, op6_mix_sources
+from rankloom.llm.quality import op3_quality
 from rankloom.llm.simhash import op2_simhash
 from rankloom.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_token_files": op8_token_files,
