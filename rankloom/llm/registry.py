@@ -7,6 +7,7 @@ from rankloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from rankloom.llm.html_text import op4_main_text
 from rankloom.llm.langid import op1_language
 from rankloom.llm.mixing import OP6_SQL, op6_mix_sources
+from rankloom.llm.pii import op10_personal_data
 from rankloom.llm.quality import op3_quality
 from rankloom.llm.simhash import op2_simhash
 from rankloom.llm.token_files import op8_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_top_k": op7_top_k,
     "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
