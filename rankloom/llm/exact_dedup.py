@@ -14,40 +14,57 @@ group_size; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.shared import ascii_lower, materialise, skewed_lookup, table
 
 
+def _keyed(docs: DataFrame, text: str, prefix_chars: int, filter_bits: int) -> DataFrame:
+    """docs with n (length), p (prefix hash) and bucket."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = docs.withColumn("_n", F.char_length(whole)).withColumn("_p", F.xxhash64(ascii_lower(F.substring(whole, 1, prefix_chars))))
+    return keyed.withColumn("_bucket", F.pmod(F.xxhash64("_n", "_p"), F.lit(1 << filter_bits)))
+
+
+def _refined(keyed: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The surviving buckets, and (doc_id, n, full_hash, keep_id, group_size) of each document in them."""
+    buckets = materialise(keyed.groupBy("_n", "_p", "_bucket").count().where("count > 1").select("_bucket").distinct(), "dedup-buckets")
+    survivors = keyed.join(F.broadcast(buckets), "_bucket", "left_semi").select("doc_id", F.col("_n").alias("n"), _full(text).alias("full_hash"))
+    survivors = materialise(survivors, "dedup-survivors")
+    groups = survivors.groupBy("n", "full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return buckets, skewed_lookup(survivors.distinct(), groups, ["n", "full_hash"], "group_size", survivors.count())
+
+
+def _full(text: str) -> Column:
+    return F.sha2(ascii_lower(F.col(f"`{text}`")).cast("binary"), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, filter_bits: int = 20, hash_unique: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, full_hash (null where no full content was read).
 
     hash_unique: also hash the texts that an earlier step showed to be unique.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = base.select(
-        "doc_id", "text",
-        F.char_length("text").alias("n"),
-        F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("p"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("n", "p"), F.lit(1 << filter_bits)))
-    buckets = materialise(
-        keyed.groupBy("n", "p", "bucket").count().where("count > 1").select("bucket").distinct(), "dedup-buckets"
+    keyed = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", prefix_chars, filter_bits)
+    buckets, resolved = _refined(keyed, "text")
+    unique = keyed.join(F.broadcast(buckets), "_bucket", "left_anti").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+        (_full("text") if hash_unique else F.lit(None).cast("string")).alias("full_hash"),
     )
-    survivors = keyed.join(F.broadcast(buckets), "bucket", "left_semi").select(
-        "doc_id", "n", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("full_hash")
-    )
-    survivors = materialise(survivors, "dedup-survivors")
-    groups = survivors.groupBy("n", "full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    members = survivors.distinct()
-    resolved = skewed_lookup(members, groups, ["n", "full_hash"], "group_size", survivors.count()).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "full_hash"
-    )
-    own_hash = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256) if hash_unique else F.lit(None).cast("string")
-    unique = keyed.join(F.broadcast(buckets), "bucket", "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), own_hash.alias("full_hash")
-    )
-    return resolved.unionByName(unique)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return resolved.select("doc_id", "keep_id", "group_size", kept, "full_hash").unionByName(unique)
+
+
+def drop_exact_copies(docs: DataFrame, prefix_chars: int = 256, filter_bits: int = 20) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stay. Rows outside of the surviving buckets pass without a shuffle."""
+    keyed = _keyed(docs, "text", prefix_chars, filter_bits)
+    buckets, resolved = _refined(keyed, "text")
+    unique = keyed.join(F.broadcast(buckets), "_bucket", "left_anti")
+    stay = resolved.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("n").alias("_m"), F.col("full_hash").alias("_full"))
+    candidates = keyed.join(F.broadcast(buckets), "_bucket", "left_semi").withColumn("_hash", _full("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")) & (F.col("_hash") == F.col("_full"))
+    kept = candidates.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return unique.select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ go by id, then size; repeated rows are rows of their own; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,15 +45,14 @@ def source_targets(sums: DataFrame, cap: float = 3.0) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: float) -> DataFrame:
+    """A row per document with src, key, size and its source's source_size, target and epochs; part is its share of the last, cut epoch."""
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = materialise(sizes.withColumn("key", key), "mix-sizes").withColumn("rng", F.substring("key", 1, 3))
+    )
+    sizes = materialise(sizes.withColumn("src", _source_key("source")).withColumn("key", _key("doc_id")), "mix-sizes").withColumn("rng", F.substring("key", 1, 3))
     ranges = sizes.groupBy("src", "source", "rng").agg(F.sum("size").alias("in_range"))
     targets = source_targets(ranges.groupBy("src", "source").agg(F.sum("in_range").alias("source_size")), cap)
     offsets = ranges.withColumn(
@@ -65,10 +64,38 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     within = W.partitionBy("src", "rng").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     ahead = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     left = F.col("rest") - F.col("offset") - F.col("ahead")
-    return ahead.join(cuts, ["src", "rng"]).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"),
+    return ahead.join(cuts, ["src", "rng"]).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+
+
+def _key(id_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def _source_key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
+    return _planned(docs, id_col, text_col, source_col, cap).select("doc_id", "size", "source_size", "target", taken)
+
+
+def mixed_documents(docs: DataFrame, cap: float = 3.0) -> DataFrame:
+    """The mix itself: rows of docs(doc_id, text, source, ...), whole and as often as they are taken.
+
+    The document on a source's cut is taken whole if at least half of it lies before the cut. A source's decision is its
+    number of epochs and the last key taken, so the texts need no shuffle: they meet a table of one row per source.
+    """
+    whole = (F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))
+    per_source = _planned(docs, "doc_id", "text", "source", cap).groupBy("src").agg(
+        F.max("epochs").alias("_epochs"), F.max(F.when(whole, F.col("key"))).alias("_last")
     )
+    keyed = docs.withColumn("src", _source_key("source")).withColumn("_key", _key("doc_id"))
+    times = F.col("_epochs") + F.when(F.col("_key") <= F.col("_last"), 1).otherwise(0)
+    return keyed.join(materialise(per_source, "mix-cuts"), "src").withColumn(
+        "_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))
+    ).select(*docs.columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

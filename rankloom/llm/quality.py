@@ -185,17 +185,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return fit_quality(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, model: QDA, keep: list[str], id_text: str = "text") -> DataFrame:
-    """keep and score for docs(..., text)."""
+def score_quality(docs: DataFrame, model: QDA, keep: list[str], text_col: str = "text") -> DataFrame:
+    """keep and score of docs; the text itself goes through Python once, kept or not."""
+    names = keep if text_col in keep else [*keep, text_col]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups_of(batch, batch.num_columns - 1):
-                x = np.array([statistics(t or "") for t in part.column(part.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(x))], [*keep, "score"])
+            for part in groups_of(batch, at):
+                x = np.array([statistics(t or "") for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.score(x))], [*keep, "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(id_text).alias("__text")).mapInArrow(run, f"{fields}, score double")
+    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{fields}, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,13 @@ def skewed_lookup(rows: DataFrame, found: DataFrame, on: list[str], size: str, t
     return rows.join(F.broadcast(hot), on, "inner").unionByName(
         rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
     )
+
+
+def drop_ids(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> DataFrame:
+    """rows without those whose key is in ids. Only rows in one of the ids' at most 2**bits hash buckets are shuffled."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    buckets = materialise(ids.select(bucket.alias("_bucket")).distinct(), "drop-buckets")
+    marked = rows.withColumn("_bucket", bucket)
+    return marked.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket").unionByName(
+        marked.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket").join(ids.select(key), key, "left_anti")
+    )

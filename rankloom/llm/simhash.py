@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import LOWER, UPPER, forget, materialise, skewed_lookup, table
+from rankloom.llm.shared import LOWER, UPPER, drop_ids, forget, materialise, skewed_lookup, table
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PIECE = 100_000  # shingles hashed at once
@@ -192,6 +192,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return skewed_lookup(marked, materialise(named, "simhash-named"), ["fp"], "copies", marked.count()).select("doc_id", "fp", "component_id")
 
 
+def drop_near_copies(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """docs(doc_id, text, ...) with one document of each component: the one with the smallest id."""
+    found = simhash_components(docs, width=width, radius=radius)
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id"), "simhash-gone")
+    return drop_ids(docs, gone, "doc_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
