@@ -29,10 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.bpe import byte_letters
 from rankloom.llm.shared import shared_dir, table
 from rankloom.llm.textbatch import groups_of
 
 MEMO = 300_000
+ENDS = frozenset(".,;:!?")
+BYTE_LETTERS = byte_letters()
 
 
 class WordMemo:
@@ -46,23 +49,56 @@ class WordMemo:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        #: It lower-cases, and splits letters from other marks: a word and the mark at its end encode on their own.
+        self.folds = "Lowercase()" in repr(self.tokenizer.normalizer) and self._splits_marks()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _splits_marks(self) -> bool:
+        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        direct = [t.id for t in self.tokenizer.model.tokenize("wordé".encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return direct == one("wordé") and all(one("WordÉ" + m) == direct + one(m) for m in ENDS)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed as dtype."""
-        cut = [t.split(" ") for t in texts]
+        cut = [self._folded(t).split(" ") for t in texts]
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
         words = set().union(*cut).difference(self.young)
         again = words.intersection(self.old)
         self.young.update((w, self.old[w]) for w in again)
-        if fresh := list(words - again):
-            found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            self.young.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(fresh, found))
+        words -= again
+        ended = {w: w[:-1] for w in words if w[-1:] in ENDS and w[:-1].isalpha()} if self.folds else {}
+        self._learn(words.difference(ended) | set(ended.values()).difference(self.young))
+        if ended:
+            self._learn(ENDS.difference(self.young))
+            self.young.update((w, self.young[stem] + self.young[w[-1]]) for w, stem in ended.items())
         of = self.young.__getitem__
         return [b"".join(map(of, words)) for words in cut]
 
+    def _folded(self, text: str) -> str:
+        """Lower-case what the tokenizer's normalizer lower-cases anyway, where both agree for sure (Latin-1)."""
+        if self.folds and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text
+
+    def _learn(self, words: set[str]) -> None:
+        """Lower-case Latin-1 words pass the normalizer unchanged and are one piece: the library's model takes them directly."""
+        model, young, rest = self.tokenizer.model, self.young, []
+        for w in words:
+            if self.folds and w.isalpha() and w.islower() and max(w) < "\u0100":
+                letters = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
+                young[w] = np.array([t.id for t in model.tokenize(letters)], self.dtype).tobytes()
+            else:
+                rest.append(w)
+        if rest:
+            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            young.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(rest, found))
+
 
 _LOADED: dict[str, WordMemo] = {}
 
