@@ -179,9 +179,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = document_statistics(texts.join(F.broadcast(chosen), "doc_id").select("h", "y", "text"), ["h", "y"]).limit(2 * sample).toArrow()
+    if not rows.num_rows:
+        return fit_quality(np.zeros((0, 1)), np.zeros(0))
     y = rows.column("y").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), -1)
-    order = np.lexsort((x.sum(axis=1), rows.column("h").to_numpy())) if len(y) else []
+    order = np.lexsort((x.sum(axis=1), rows.column("h").to_numpy()))
     return fit_quality(x[order], y[order])
 
 

@@ -7,7 +7,8 @@ descending order of that bound until it falls below the current k-th score. Befo
 one seed set of at most `seed_rows` vectors: the k-th score reached there is a true lower bound that is sent along with
 the query and shared by all shards. Each shard returns at most k rows a query, and a last ranking merges them.
 
-Scores are exact integers (int64 where the components allow it, Python integers beyond). Bounds are floats widened by a
+Scores are exact integers (doubles where they hold them, Python integers beyond; past a long they are returned as its
+limits). Bounds are floats widened by a
 relative error margin, so pruning never drops a result; a node that only ties the k-th score is entered if its smallest id
 is below the id that holds that place.
 
@@ -105,7 +106,7 @@ def slow_search(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries:
     own, out = [[int(x) for x in v] for v in vectors], []
     for q, v in zip(qids.tolist(), ([int(x) for x in v] for v in queries)):
         scored = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in zip(ids.tolist(), own) if i != q)[:k]
-        out += [(q, i, -s) for s, i in scored]
+        out += [(q, i, max(-(1 << 63), min(-s, (1 << 63) - 1))) for s, i in scored]
     return out
 
 
