@@ -265,7 +265,7 @@ def event_properties(spark, sf_dir):
 # Statistics of rankings: systems are nations, scores their suppliers' and customers' balances
 
 SYSTEMS = """WITH systems AS (SELECT n.n_name AS name, n.n_regionkey AS region, round(avg(c_acctbal), 0) AS x, round(avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 0), -2) AS y
-  FROM nation n JOIN customer ON c_nationkey = n_nationkey GROUP BY n.n_name, n.n_regionkey)"""
+  FROM nation n JOIN customer ON c_nationkey = n_nationkey GROUP BY n.n_name, n.n_regionkey HAVING count(*) FILTER (WHERE c_custkey % 2 = 0 AND c_acctbal IS NOT NULL) > 0)"""
 
 
 def systems(spark, sf_dir):
@@ -273,7 +273,7 @@ def systems(spark, sf_dir):
     own = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     return own.groupBy(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).agg(
         F.round(F.avg("c_acctbal"), 0).alias("x"), F.round(F.avg(F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal"))), -2).alias("y")
-    )
+    ).where("y is not null")
 
 
 @query(SYSTEMS + " SELECT name, y, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS r FROM systems")

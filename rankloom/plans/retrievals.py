@@ -270,9 +270,9 @@ BOOSTED = f"""WITH {DIST}, {CANDIDATES}, spread AS (SELECT *, max(score) OVER (P
 ), boosted AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, w ORDER BY score DESC, code) - 1 AS INTEGER) AS rank FROM lifted)"""
 
 
-@query(BOOSTED + " SELECT record_id, code, round(score, 6) AS score, rank FROM boosted WHERE w = 0.5")
+@query(BOOSTED + " SELECT record_id, code, score, rank FROM boosted WHERE w = 0.5")
 def prior_boost(spark, sf_dir):
-    return rounded(P.boost(candidates(spark, sf_dir), distribution(spark, sf_dir), code_groups(spark), 0.5), "score")
+    return P.boost(candidates(spark, sf_dir), distribution(spark, sf_dir), code_groups(spark), 0.5)
 
 
 @query(BOOSTED + " SELECT w, round(avg(rank) FILTER (WHERE code < 5), 6) AS mean_rank, count(*) FILTER (WHERE code < 5 AND rank < 10) AS hits FROM boosted GROUP BY w")
