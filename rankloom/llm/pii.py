@@ -22,6 +22,7 @@ the same spans; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,22 +141,33 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataF
     return base.mapInArrow(run, f"doc_id {kind}, row long, {counts}, base string, around array<struct<e:long,t:string,w:long,s:long,f:long>>")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20) -> DataFrame:
-    """t, df: in how many documents each of the terms occurs. The bitmap has 2**bits bits, whatever the terms."""
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20, flush: int = 100_000) -> DataFrame:
+    """t, df_t: in how many documents each of the terms occurs. The bitmap has 2**bits bits, whatever the terms.
+
+    Tasks sum up their documents and hand on a row per term, or per `flush` terms at a time.
+    """
     slots = terms.select(F.pmod(F.xxhash64("t"), F.lit(1 << bits)).alias("b")).distinct().toArrow().column("b").to_numpy()
     hit = np.zeros(1 << bits, bool)
     hit[slots] = True
     packed = np.packbits(hit).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, low = np.unpackbits(np.frombuffer(packed, np.uint8)), (1 << bits) - 1
+        bit, low, counts = np.unpackbits(np.frombuffer(packed, np.uint8)), (1 << bits) - 1, Counter()
+
+        def partial() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+
         for batch in batches:
             for part in groups_of(batch, 0):
-                words = [w for t in part.column(0).to_pylist() for w in {*TERM.findall(t.lower())} if table_[xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) & low]]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["t"])
-
-    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "t string")
-    return words.groupBy("t").agg(F.count("*").alias("df_t")).join(terms, "t")
+                for text in part.column(0).to_pylist():
+                    counts.update(w for w in {*TERM.findall(text.lower())} if bit[xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) & low])
+                if len(counts) > flush:
+                    yield partial()
+                    counts.clear()
+        yield partial()
+
+    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "t string, n long")
+    return words.groupBy("t").agg(F.sum("n").alias("df_t")).join(terms, "t")
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
