@@ -18,8 +18,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from rankloom.llm.bpe import byte_letters
 from rankloom.llm.shared import shared_dir, table
 from rankloom.llm.textbatch import groups_of
 
-MEMO = 300_000
+MEMO = 500_000
 ENDS = frozenset(".,;:!?")
 BYTE_LETTERS = byte_letters()
 
@@ -86,18 +88,24 @@ class WordMemo:
                 pass
         return text
 
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self.dtype.char, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _learn(self, words: set[str]) -> None:
         """Lower-case Latin-1 words pass the normalizer unchanged and are one piece: the library's model takes them directly."""
-        model, young, rest = self.tokenizer.model, self.young, []
+        model, young, pack, rest = self.tokenizer.model, self.young, self._packed, []
         for w in words:
             if self.folds and w.isalpha() and w.islower() and max(w) < "\u0100":
                 letters = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
-                young[w] = np.array([t.id for t in model.tokenize(letters)], self.dtype).tobytes()
+                young[w] = pack([t.id for t in model.tokenize(letters)])
             else:
                 rest.append(w)
         if rest:
             found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            young.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(rest, found))
+            young.update((w, pack(e.ids)) for w, e in zip(rest, found))
 
 
 _LOADED: dict[str, WordMemo] = {}
