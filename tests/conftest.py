@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from rankloom.sources.session import safe_unions  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,5 +18,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    safe_unions(session)
     yield session
     session.stop()
