@@ -15,6 +15,7 @@ from rankloom.llm.mixing import mixed_documents
 from rankloom.llm.quality import score_quality, train_quality
 from rankloom.llm.shared import materialise, table
 from rankloom.llm.simhash import drop_near_copies
+from rankloom.sources.session import safe_unions
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +25,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    safe_unions(spark)
     return drop_exact_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    safe_unions(spark)
     return drop_near_copies(docs)
 
 
