@@ -37,7 +37,7 @@ def match(query_terms: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query, term, weight 1 for each distinct term of queries(query, text)."""
-    return queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).withColumn("weight", F.lit(1.0))
+    return queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).distinct().withColumn("weight", F.lit(1.0))
 
 
 def sparse_terms(rows: DataFrame, key: str, weights: str) -> DataFrame:
