@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
+    if conf:  # with its scheme, so that Python's writers mean the same place as Spark's
+        path = spark._jvm.org.apache.hadoop.fs.Path(conf)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     own = getattr(spark.sparkContext, "_rankloom_scratch", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="rankloom-")

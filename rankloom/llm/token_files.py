@@ -118,7 +118,8 @@ def loaded(path: str) -> WordMemo:
 
 
 def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    local = uri.removeprefix("file:") if uri.startswith("file:") else uri if uri.startswith("/") else None
+    return pyarrow.fs.FileSystem.from_uri(uri if local is None else f"file:///{local.lstrip('/')}")
 
 
 class ShardWriter:
