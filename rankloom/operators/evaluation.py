@@ -103,3 +103,10 @@ def agreement(a: DataFrame, b: DataFrame, on: list[str], metrics: list[str]) ->
 def achievable_precision(gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     sizes = gold.distinct().groupBy("record_id").agg(F.count("*").alias("n"))
     return with_k(sizes, ks).groupBy("k").agg(F.avg(F.least("n", "k") / F.col("k")).alias("achievable"))
+
+
+def before_after(before: DataFrame, after: DataFrame, on: list[str], metrics: tuple[str, ...] = ("precision", "recall")) -> DataFrame:
+    """Two metric tables side by side: <metric>_before, _after and _change for each slice."""
+    a, b = before.alias("a"), after.alias("b")
+    columns = [c for m in metrics for c in (F.col(f"a.{m}").alias(f"{m}_before"), F.col(f"b.{m}").alias(f"{m}_after"), (F.col(f"b.{m}") - F.col(f"a.{m}")).alias(f"{m}_change"))]
+    return a.join(b, on).select(*on, *columns)

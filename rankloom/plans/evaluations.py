@@ -379,3 +379,42 @@ def routed_bands(spark, sf_dir):
     routed = R.route(confidences(spark, sf_dir), 0.2)
     own = gold(spark, sf_dir).join(routed, "record_id", "left_semi")
     return rounded(E.by_band(own, roles.mixed_predictions(spark, sf_dir), frozen(spark, sf_dir), BAND_NAMES), "precision", "recall", "f1")
+
+
+# Before and after: the mixed predictions, and the same lists turned round
+
+TURNED = HITS + """, turned AS (SELECT record_id, code, CAST(49 - rank AS INTEGER) AS rank FROM mixed), best2 AS (
+  SELECT g.record_id, g.code, min(p.rank) AS min_rank FROM gold g LEFT JOIN turned p USING (record_id, code) GROUP BY g.record_id, g.code
+), hits2 AS (SELECT record_id, k, count(*) FILTER (WHERE min_rank < k) AS hits, count(*) AS gold FROM best2, ks GROUP BY record_id, k)"""
+SIDES = """a AS (SELECT {by}, sum(hits)::DOUBLE / (count(*) * k) AS p, sum(hits)::DOUBLE / sum(gold) AS r FROM {one} GROUP BY {by}),
+b AS (SELECT {by}, sum(hits)::DOUBLE / (count(*) * k) AS p, sum(hits)::DOUBLE / sum(gold) AS r FROM {two} GROUP BY {by})
+SELECT {by}, round(a.p, 6) AS precision_before, round(b.p, 6) AS precision_after, round(b.p - a.p, 6) AS precision_change, round(a.r, 6) AS recall_before, round(b.r, 6) AS recall_after, round(b.r - a.r, 6) AS recall_change FROM a JOIN b USING ({by})"""
+CHANGES = [f"{m}_{s}" for m in ("precision", "recall") for s in ("before", "after", "change")]
+
+
+def turned(spark, sf_dir):
+    return roles.mixed_predictions(spark, sf_dir).withColumn("rank", F.lit(49) - F.col("rank"))
+
+
+@query(TURNED + ", " + SIDES.format(by="k", one="hits", two="hits2"))
+def headline_before_after(spark, sf_dir):
+    after = E.micro(E.record_hits(gold(spark, sf_dir), turned(spark, sf_dir)), [])
+    return rounded(E.before_after(E.micro(hits(spark, sf_dir), []), after, ["k"]), *CHANGES)
+
+
+@query(TURNED + ", lh AS (SELECT h.*, lang FROM hits h JOIN dev USING (record_id)), lh2 AS (SELECT h.*, lang FROM hits2 h JOIN dev USING (record_id)), " + SIDES.format(by="lang, k", one="lh", two="lh2"))
+def language_before_after(spark, sf_dir):
+    langs = roles.records(spark, sf_dir).select("record_id", "lang")
+    before = E.micro(hits(spark, sf_dir).join(langs, "record_id"), ["lang"])
+    after = E.micro(E.record_hits(gold(spark, sf_dir), turned(spark, sf_dir)).join(langs, "record_id"), ["lang"])
+    return rounded(E.before_after(before, after, ["lang", "k"]), *CHANGES)
+
+
+@query(BANDS.replace(HITS, TURNED) + """, sums2 AS (SELECT coalesce(f.band, 'zero') AS band, k, count(*) AS assignments, count(*) FILTER (WHERE min_rank < k) AS hits FROM best2 b LEFT JOIN frozen f USING (code), ks GROUP BY 1, k),
+n AS (SELECT count(DISTINCT record_id)::DOUBLE AS n FROM gold), b2 AS (SELECT x.band, ks.k, coalesce(s.hits, 0) / n.n / ks.k AS p, coalesce(s.hits::DOUBLE / s.assignments, 0) AS r FROM names x CROSS JOIN ks CROSS JOIN n LEFT JOIN sums2 s ON s.band = x.band AND s.k = ks.k)
+SELECT band, k, round(a.p, 6) AS precision_before, round(b.p, 6) AS precision_after, round(b.p - a.p, 6) AS precision_change, round(a.r, 6) AS recall_before, round(b.r, 6) AS recall_after, round(b.r - a.r, 6) AS recall_change
+FROM band_scores a JOIN b2 b USING (band, k)""")
+def band_before_after(spark, sf_dir):
+    own, frz = gold(spark, sf_dir), frozen(spark, sf_dir)
+    before = E.by_band(own, roles.mixed_predictions(spark, sf_dir), frz, BAND_NAMES)
+    return rounded(E.before_after(before, E.by_band(own, turned(spark, sf_dir), frz, BAND_NAMES), ["band", "k"]), *CHANGES)
