@@ -29,7 +29,7 @@ from rankloom.llm.shared import table
 from rankloom.llm.textbatch import groups_of
 
 SHORT = 64
-MEMO = 300_000
+MEMO = 200_000
 ENDS = frozenset(".,;:!?")
 STRETCH = 1 << 20
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -65,8 +65,8 @@ class ByteBPE:
         # Packed ids of stretches, and of words with a space before them: (young, old); the old go when the young are many.
         self.memos: list[tuple[dict[str, bytes], dict[str, bytes]]] = [({}, {}), ({}, {})]
         n = 1 + max(self.bytes_of)
-        self.token_size = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
-        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.token_size = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int32)
+        self.token_at = (np.cumsum(self.token_size) - self.token_size).astype(np.int32)
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), np.uint8)
 
     def _hash_pairs(self) -> None:
@@ -276,12 +276,19 @@ class ByteBPE:
 
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of consecutive runs of ids, counts[i] ids each."""
+        out, last = [], 0
+        for n in counts.tolist():  # a document, or a part of a long one, at a time
+            parts = [self._bytes(ids[at : min(last + n, at + STRETCH)]) for at in range(last, last + n, STRETCH)]
+            out.append(b"".join(parts).decode("utf-8", "replace"))
+            last += n
+        return out
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
         size = self.token_size[ids]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.token_at[ids] - (ends - size), size)
-        flat = self.token_bytes[at].tobytes()
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        return [flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.token_at[ids] - ends + size, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.token_bytes[at].tobytes()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -303,7 +310,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for part in groups_of(batch, 1):
+            for part in groups_of(batch, 1, 2_000_000):
                 ids = bpe.encode_texts(part.column(1).to_pylist())
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.concatenate(ids)
