@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from rankloom.llm.bpe import encode_decode, token_digests
 from rankloom.llm.exact_dedup import drop_exact_copies
 from rankloom.llm.mixing import mixed_documents
+from rankloom.llm.near_copies import drop_near_duplicates
 from rankloom.llm.quality import score_quality, train_quality
 from rankloom.llm.shared import materialise, table
-from rankloom.llm.simhash import drop_near_copies
 from rankloom.sources.session import safe_unions
 
 
@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe_unions(spark)
-    return drop_near_copies(docs)
+    return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
