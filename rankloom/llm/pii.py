@@ -7,8 +7,8 @@ mention, with df counted over the whole corpus,
     PMI(e; t) = log2(N df(e, t) / (df(e) df(t)))      IC(e) = log2(N / df(e))
 
 and PMI / IC is the share of the entity's information that the term discloses: 1 if t never occurs without e, 0 if they are
-independent. df(e, t) and df(e) count different surroundings, so that copies of one text are one observation; pairs seen in
-fewer than `support` are no evidence. Terms that disclose `generalise` or more are spans of kind `term` near the entity
+independent. N and every df count documents, copies included. Pairs in fewer than `support` different surroundings are no
+evidence, so that copies of one text are one observation there. Terms that disclose `generalise` or more are spans of kind `term` near the entity
 (sanitise() puts a general word for them), those that disclose `remove` or more are removed.
 
 The patterns are matched in linear time, whatever the text: each start is tried once and no run is scanned twice.
@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [list(find(text)) for find in FINDERS]
 
 
-def surroundings(text: str, found: list[list[tuple[int, int]]], window: int) -> Iterator[tuple[int, str, int, int, int]]:
+def surroundings(text: str, found: list[list[tuple[int, int]]], window: int) -> Iterator[tuple[int, str | None, int, int, int]]:
     """(entity, term, surroundings, start, end) of the terms near each mention, outside of all base spans."""
     taken = sorted(s for spans in found for s in spans)
     starts = np.array([s for s, _ in taken])
@@ -106,7 +106,7 @@ def surroundings(text: str, found: list[list[tuple[int, int]]], window: int) ->
                 if whole and not (k >= 0 and ends[k] > m.start()):
                     terms.append((m.group().lower(), m.start(), m.end()))
             around = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in terms).encode("utf-8", "replace")) - (1 << 63)
-            for t, s, e in terms:
+            for t, s, e in terms or [(None, start, end)]:  # a mention without terms still counts for its entity
                 yield entity, t, around, s, e
 
 
@@ -177,15 +177,18 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = materialise(find_base(docs, id_col, text_col, window), "pii-base")
     around = found.select("row", F.explode("around").alias("x")).select("row", "x.*")
-    pairs = materialise(around.groupBy("e", "t").agg(F.countDistinct("w").alias("df_et"), F.count("*").alias("n")).where(F.col("df_et") >= support), "pii-pairs")
+    pairs = around.where("t is not null").groupBy("e", "t").agg(F.countDistinct("w").alias("seen"), F.count("*").alias("n")).where(F.col("seen") >= support)
+    pairs = materialise(pairs.drop("seen"), "pii-pairs")
     out = found.select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base")
     none = F.lit("").alias("terms"), F.lit("").alias("removed")
     if pairs.isEmpty():
         return out.select(*(c for c in out.columns if c != "row"), *none)
     total = found.count()
     df_t = term_counts(docs, pairs.select("t").distinct(), text_col)
-    df_e = around.groupBy("e").agg(F.countDistinct("w").alias("df_e"))
-    measured = pairs.join(df_e, "e").join(df_t, "t").withColumn("ic", F.log2(F.lit(float(total)) / F.col("df_e")))
+    once = lambda item: found.select(F.explode(F.array_distinct(F.transform("around", item))).alias("x"))
+    df_e = once(lambda x: x.e).groupBy(F.col("x").alias("e")).agg(F.count("*").alias("df_e"))
+    df_et = once(lambda x: F.struct(x.e.alias("e"), x.t.alias("t"))).groupBy("x.e", "x.t").agg(F.count("*").alias("df_et"))
+    measured = pairs.join(df_et, ["e", "t"]).join(df_e, "e").join(df_t, "t").withColumn("ic", F.log2(F.lit(float(total)) / F.col("df_e")))
     pmi = F.log2(F.lit(float(total)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))
     told = measured.withColumn("share", F.when(F.col("ic") > 0, pmi / F.col("ic")).otherwise(0.0)).where(F.col("share") >= generalise)
     told = materialise(told.select("e", "t", "n", (F.col("share") >= remove).alias("gone")), "pii-told")

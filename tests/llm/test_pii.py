@@ -95,3 +95,10 @@ def test_empty_table(documents):
 
 def test_sanitise_overlaps_and_nulls():
     assert pii.sanitise(None, "") == "" and pii.sanitise("abcdef", "email:1:4,term:2:5") == "a[email]ef"
+
+
+def test_copies_change_no_share(documents):
+    """A term that never occurs without its entity keeps its share of 1 when its documents are copied."""
+    rows = corpus()[:200] + [(1000 + 100 * k + i, f"{w} gardener jane@farm.example") for i, w in enumerate(("apple", "bread", "cider")) for k in range(20)]
+    found = [r for r in pii.find_personal(documents(rows)).collect() if r.doc_id >= 1000]
+    assert len(found) == 60 and all(r.terms == r.removed == "term:6:14" for r in found)
