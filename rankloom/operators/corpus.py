@@ -53,8 +53,7 @@ def clear(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
     """Largest-remainder quotas of `size` over cells(by..., n); ties go by cell. At or above the total each cell gives all.
 
-    When size is at least the number of cells, a cell that would get nothing takes one from the largest donor. That runs
-    over one row a cell: cells left empty, in order, take from the donors' surplus in order of (quota, cell), largest first.
+    Cells may be left empty; fed_quotas() feeds them.
     """
     whole = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     total, cells_n = F.sum("n").over(whole), F.count("*").over(whole)
@@ -69,11 +68,11 @@ def quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
 
 
 def feed_empty_cells(rows: list[dict], by: list[str], size: int) -> list[dict]:
-    """The starvation step of quotas(), on its collected rows (one a cell)."""
-    rows = [dict(r) for r in rows]
+    """The starvation step of fed_quotas(), on its collected rows (one a cell). Null cells come first."""
+    rows, cell = [dict(r) for r in rows], lambda r: [(r[b] is not None, str(r[b])) for b in by]
     if size >= len(rows):
-        for r in sorted((r for r in rows if r["quota"] == 0 and r["n"] > 0), key=lambda r: [r[b] for b in by]):
-            donor = max(rows, key=lambda d: (d["quota"], [str(d[b]) for b in by]))
+        for r in sorted((r for r in rows if r["quota"] == 0 and r["n"] > 0), key=cell):
+            donor = max(rows, key=lambda d: (d["quota"], cell(d)))
             if donor["quota"] <= 1:
                 break
             donor["quota"] -= 1
@@ -81,6 +80,16 @@ def feed_empty_cells(rows: list[dict], by: list[str], size: int) -> list[dict]:
     return rows
 
 
+def fed_quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
+    """quotas(), but when size is at least the number of cells, each that would get nothing takes one from the largest donor.
+
+    Empty cells take in order, from the largest (quota, cell) each time, over the collected rows: one a cell.
+    """
+    out = quotas(cells, by, size)
+    rows = feed_empty_cells([r.asDict() for r in out.collect()], by, size)
+    return out.sparkSession.createDataFrame([tuple(r[c] for c in out.columns) for r in rows], out.schema)
+
+
 def draw_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 

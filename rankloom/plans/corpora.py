@@ -101,12 +101,12 @@ def _cells(spark, sf_dir):
 
 def _sample(spark, sf_dir):
     docs = roles.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return C.stratified_sample(docs, C.quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE), ["source", "lang"], "doc_id", 42)
+    return C.stratified_sample(docs, C.fed_quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE), ["source", "lang"], "doc_id", 42)
 
 
 @query(QUOTAS + " SELECT source, lang, n, quota FROM quotas")
 def quotas(spark, sf_dir):
-    return C.quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE)
+    return C.fed_quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE)
 
 
 @query(QUOTAS + " SELECT doc_id, source, lang FROM sample")

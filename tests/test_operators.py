@@ -1,6 +1,7 @@
 """Hand-made cases: ties, empty groups, missing rows, and what SQL can't say."""
 
 import math
+import os
 import random
 
 import pytest
@@ -236,3 +237,22 @@ def test_refusals(spark):
     texts = frame(spark, [(1, "a"), (2, "b")], "i int, t string")
     assert K.input_revision(texts, "i", "t") == K.input_revision(texts.repartition(2), "i", "t") != K.input_revision(texts.withColumn("i", -F.col("i")), "i", "t")
     assert K.fingerprint({"b": 1, "a": 2}) == K.fingerprint({"a": 2, "b": 1}) and len(K.fingerprint({})) == 12
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no sample tables")
+def test_sample_queries_feed_starved_cells(spark):
+    from rankloom.plans.corpora import SIZE, cell_shares, quotas, stratified_sample
+
+    sf = "/root/testdata/sf0.01"
+    n = {(r.source, r.lang): r["count"] for r in spark.read.parquet(f"{sf}/documents.parquet").groupBy("source", "lang").count().collect()}
+    exact = {c: k * SIZE / sum(n.values()) for c, k in n.items()}
+    want = {c: int(s) for c, s in exact.items()}
+    for c in sorted(exact, key=lambda c: (-round(exact[c] - want[c], 9), c))[: SIZE - sum(want.values())]:
+        want[c] += 1
+    starved = [c for c in sorted(want) if not want[c]]
+    for c in starved:
+        want[max(want, key=lambda o: (want[o], o))] -= 1
+        want[c] += 1
+    assert starved and {(r.source, r.lang): r.quota for r in quotas(spark, sf).collect()} == want
+    assert {(r.source, r.lang): r["count"] for r in stratified_sample(spark, sf).groupBy("source", "lang").count().collect()} == want
+    assert {(r.source, r.lang): r["sample"] for r in cell_shares(spark, sf).collect()} == want
