@@ -1,15 +1,15 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash. DataFrame functions only.
 
-1. One scan groups rows by (length, hash of the first `prefix_chars` characters); groups of one are done.
-2. The surviving groups become a set of at most 2**filter_bits buckets, the only thing that is broadcast.
-3. A second scan reads the full content of rows in surviving buckets alone, hashes it with SHA-256 and groups by
-   (length, full hash). A bucket shared by chance only sends a row to this exact step needlessly.
+1. One scan groups rows by length and hash of the first `prefix_chars` characters; groups of one are done.
+2. The surviving groups become a bitmap of eight bits a group or more (KeyFilter), the only thing that is broadcast.
+3. A second scan reads the full content of rows that the bitmap lets through, hashes it with SHA-256 and groups by
+   (length, full hash). A row let through by chance only goes through this exact step needlessly.
 
-Text never goes through a shuffle. Counts are pre-aggregated, so one group of copies may hold any share of the rows.
+exact_dedup() puts no text through a shuffle. Counts are pre-aggregated, so one group of copies may hold any share of the rows.
 
 Cases: null text is the empty text; texts that differ in the case of A-Z alone are equal; of equal texts the largest
 doc_id stays (null ids are smallest); a row repeated with its id and text is one document whose repeats count in
-group_size; an empty table gives an empty result; other columns are ignored.
+group_size; an empty table gives an empty result; other columns, whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations
@@ -17,54 +17,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import ascii_lower, materialise, skewed_lookup, table
+from rankloom.llm.shared import KeyFilter, ascii_lower, column, columns, materialise, skewed_lookup, table
 
 
-def _keyed(docs: DataFrame, text: str, prefix_chars: int, filter_bits: int) -> DataFrame:
-    """docs with n (length), p (prefix hash) and bucket."""
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = docs.withColumn("_n", F.char_length(whole)).withColumn("_p", F.xxhash64(ascii_lower(F.substring(whole, 1, prefix_chars))))
-    return keyed.withColumn("_bucket", F.pmod(F.xxhash64("_n", "_p"), F.lit(1 << filter_bits)))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """row (all of docs' columns), id, text (nulls empty), n (its length) and p (the hash of length and prefix)."""
+    text = F.coalesce(column(text_col), F.lit(""))
+    prefix = F.xxhash64(F.char_length(text), ascii_lower(F.substring(text, 1, prefix_chars)))
+    return docs.select(F.struct(*columns(docs)).alias("row"), column(id_col).alias("id"), text.alias("text"), F.char_length(text).alias("n"), prefix.alias("p"))
 
 
-def _refined(keyed: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """The surviving buckets, and (doc_id, n, full_hash, keep_id, group_size) of each document in them."""
-    buckets = materialise(keyed.groupBy("_n", "_p", "_bucket").count().where("count > 1").select("_bucket").distinct(), "dedup-buckets")
-    survivors = keyed.join(F.broadcast(buckets), "_bucket", "left_semi").select("doc_id", F.col("_n").alias("n"), _full(text).alias("full_hash"))
-    survivors = materialise(survivors, "dedup-survivors")
-    groups = survivors.groupBy("n", "full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return buckets, skewed_lookup(survivors.distinct(), groups, ["n", "full_hash"], "group_size", survivors.count())
+def _refined(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed with `maybe`, whether a row's length and prefix hash are another's too; and a row per such id and full hash:
+    id, n, full_hash, keep_id, group_size, times (how often it occurs)."""
+    shared = materialise(keyed.groupBy("p").count().where("count > 1").select("p"), "dedup-prefixes")
+    marked = KeyFilter(shared, "p").marked(keyed, F.col("p"), "maybe")
+    full = marked.where("maybe").select("id", "n", _full().alias("full_hash"))
+    survivors = materialise(full.groupBy("n", "full_hash", "id").agg(F.count("*").alias("times")), "dedup-survivors")
+    groups = survivors.groupBy("n", "full_hash").agg(F.max("id").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("ids"))
+    return marked, skewed_lookup(survivors, groups, ["n", "full_hash"], "ids", survivors.count())
 
 
-def _full(text: str) -> Column:
-    return F.sha2(ascii_lower(F.col(f"`{text}`")).cast("binary"), 256)
+def _full() -> Column:
+    return F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, filter_bits: int = 20, hash_unique: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, hash_unique: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, full_hash (null where no full content was read).
 
     hash_unique: also hash the texts that an earlier step showed to be unique.
     """
-    keyed = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", prefix_chars, filter_bits)
-    buckets, resolved = _refined(keyed, "text")
-    unique = keyed.join(F.broadcast(buckets), "_bucket", "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
-        (_full("text") if hash_unique else F.lit(None).cast("string")).alias("full_hash"),
+    marked, resolved = _refined(_keyed(docs.select(column(id_col), column(text_col)), id_col, text_col, prefix_chars))
+    unique = marked.where("not maybe").select(
+        F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+        (_full() if hash_unique else F.lit(None).cast("string")).alias("full_hash"),
     )
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return resolved.select("doc_id", "keep_id", "group_size", kept, "full_hash").unionByName(unique)
+    kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return resolved.select(F.col("id").alias("doc_id"), "keep_id", "group_size", kept, "full_hash").unionByName(unique)
 
 
-def drop_exact_copies(docs: DataFrame, prefix_chars: int = 256, filter_bits: int = 20) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that stay. Rows outside of the surviving buckets pass without a shuffle."""
-    keyed = _keyed(docs, "text", prefix_chars, filter_bits)
-    buckets, resolved = _refined(keyed, "text")
-    unique = keyed.join(F.broadcast(buckets), "_bucket", "left_anti")
-    stay = resolved.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("n").alias("_m"), F.col("full_hash").alias("_full"))
-    candidates = keyed.join(F.broadcast(buckets), "_bucket", "left_semi").withColumn("_hash", _full("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")) & (F.col("_hash") == F.col("_full"))
-    kept = candidates.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return unique.select(*docs.columns).unionByName(kept.select(*docs.columns))
+def drop_exact_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stay. Rows that share no length and prefix hash pass without a shuffle.
+
+    Of rows that repeat an id and a text too one stays: the least by a hash of their other columns.
+    """
+    marked, resolved = _refined(_keyed(docs, "doc_id", "text", prefix_chars))
+    stay = resolved.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("id_"), F.col("n").alias("n_"), "full_hash", "times")
+    others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
+    look = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("n") == F.col("n_")) & (F.col("hash") == F.col("full_hash"))
+    met = marked.where("maybe").select("row", "id", "n", _full().alias("hash")).join(stay, same)
+    first = met.where("times > 1").groupBy("id", "hash").agg(F.min_by("row", look).alias("row"))
+    parts = [marked.where("not maybe"), met.where("times = 1"), first]
+    return parts[0].select("row.*").unionByName(parts[1].select("row.*")).unionByName(parts[2].select("row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ OP5_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), h AS (SELECT doc_id, sha256(t) AS text_sha256 FROM d)
-SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+SELECT DISTINCT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM h
 """

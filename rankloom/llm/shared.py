@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only on a local master."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:  # with its scheme, so that Python's writers mean the same place as Spark's
         path = spark._jvm.org.apache.hadoop.fs.Path(conf)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_rankloom_scratch", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="rankloom-")
@@ -34,17 +36,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with as many underscores in front as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def remainder(id_col: str, by: int) -> Column:
+    """CRC-32 of the id as text modulo `by`; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % by
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; null counts as empty. Pure ASCII texts take the byte-wise path of lower()."""
     text = F.coalesce(text, F.lit(""))
@@ -64,11 +90,25 @@ def skewed_lookup(rows: DataFrame, found: DataFrame, on: list[str], size: str, t
     )
 
 
-def drop_ids(rows: DataFrame, ids: DataFrame, key: str, bits: int = 20) -> DataFrame:
-    """rows without those whose key is in ids. Only rows in one of the ids' at most 2**bits hash buckets are shuffled."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    buckets = materialise(ids.select(bucket.alias("_bucket")).distinct(), "drop-buckets")
-    marked = rows.withColumn("_bucket", bucket)
-    return marked.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket").unionByName(
-        marked.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket").join(ids.select(key), key, "left_anti")
-    )
+class KeyFilter:
+    """A bitmap over keys that says of any row whether its key may be among them; sized by the keys, and native.
+
+    It has at least eight bits a key up to 2**most bits (128 MB, in rows of 4 kB); with more keys it only lets more rows
+    through, for an exact step to settle.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, most: int = 30):
+        self.bits = max(15, min(most, (8 * keys.count()).bit_length()))
+        at = self._slot(column(key))
+        self.table = materialise(keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")), "key-filter")
+
+    def _slot(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(1 << self.bits)) + 1
+
+    def marked(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """rows with a boolean column: false where the key is certainly not among the filter's."""
+        probe = rows.withColumn("_slot", self._slot(key)).join(F.broadcast(self.table), F.bitmap_bucket_number("_slot") == F.col("bucket"), "left")
+        place = F.bitmap_bit_position("_slot")
+        byte = F.conv(F.hex(F.substring("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+        return probe.withColumn(name, hit).drop("_slot", "bucket", "bitmap")

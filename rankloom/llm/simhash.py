@@ -27,12 +27,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import LOWER, UPPER, drop_ids, forget, materialise, skewed_lookup, table
+from rankloom.llm.shared import LOWER, UPPER, forget, materialise, skewed_lookup, table
+from rankloom.llm.textbatch import map_arrow
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PIECE = 100_000  # shingles hashed at once
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned integer; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        ones += np.unpackbits(hashes[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of a text as an unsigned integer."""
     words = (text or "").encode("utf-8", "replace").translate(FOLD).split()  # splits at x20 and x09-x0D
@@ -40,12 +49,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         return 0
     if len(words) < width:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    n, ones, digest = len(words) - width + 1, np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, PIECE):
-        part = words[at : min(n, at + PIECE) + width - 1]
-        hashes = np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width))))), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))), np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -57,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(base, run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
@@ -157,30 +162,34 @@ def similarity_forest(fps: DataFrame, total: int, radius: int = 3, block: int =
         if len(us[0]):
             yield pa.RecordBatch.from_arrays([pa.array(us[0]), pa.array(vs[0])], ["u", "v"])
 
-    return runs.mapInArrow(link, "u long, v long").distinct()
+    return map_arrow(runs, link, "u long, v long").distinct()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """From links (u, v) with v < u, (node, component): the smallest node reachable; nodes without links are left out.
 
     Alternates large-star and small-star rounds until the links no longer change: they are then stars around the roots.
+    Nodes with many links are looked up by broadcast (skewed_lookup), so the hub of a star meets no single task.
     """
     links = materialise(links, "cc")
     seen = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     while seen[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialise(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "cc")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = skewed_lookup(both.where("v > u"), least, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large, "cc-large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = skewed_lookup(large, low, ["u"], "n", seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        forget(links)
+        forget(links, large)
         links = new
         if now == seen:
             break
         seen = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.scratch = links.scratch
+    return out
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, block: int = 2048) -> DataFrame:
@@ -189,14 +198,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "simhash-distinct")
     parts = connected_components(similarity_forest(fps.select("fp", "rep"), fps.count(), radius, block))
     named = fps.join(parts, fps.rep == parts.node, "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
-    return skewed_lookup(marked, materialise(named, "simhash-named"), ["fp"], "copies", marked.count()).select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """docs(doc_id, text, ...) with one document of each component: the one with the smallest id."""
-    found = simhash_components(docs, width=width, radius=radius)
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id"), "simhash-gone")
-    return drop_ids(docs, gone, "doc_id")
+    named = materialise(named, "simhash-named")
+    forget(fps, parts)
+    return skewed_lookup(marked, named, ["fp"], "copies", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
+from rankloom.llm import shared as S
 from rankloom.llm.exact_dedup import drop_exact_copies, exact_dedup
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -22,7 +25,7 @@ def test_against_plain_python(documents, clashing):
 
 
 def test_one_bucket_changes_nothing(documents):
-    found = {tuple(r) for r in exact_dedup(documents(ROWS), prefix_chars=1, filter_bits=0, hash_unique=True).collect()}
+    found = {tuple(r) for r in exact_dedup(documents(ROWS), prefix_chars=1, hash_unique=True).collect()}
     assert found == plain(ROWS)
 
 
@@ -38,6 +41,28 @@ def test_rows_that_stay(documents, clashing):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, *_ in plain(ROWS)})
 
 
+def test_filter_lets_every_key_through(spark):
+    keys = spark.range(0, 400_000, 3).selectExpr("id as k")
+    for most in (15, 30):
+        marked = S.KeyFilter(keys, "k", most).marked(spark.range(400_000).selectExpr("id as k"), F.col("k"), "hit")
+        got = {tuple(r) for r in marked.groupBy(F.col("k") % 3 == 0, "hit").count().collect()}
+        assert (True, True, 133_334) in got and not any(k and not hit for k, hit, _ in got)
+        passed = sum(n for k, hit, n in got if hit and not k)
+        assert passed < 40_000 if most == 30 else passed > 200_000
+    assert not S.KeyFilter(keys.where("k < 0"), "k").marked(keys, F.col("k"), "hit").where("hit").count()
+
+
+def test_rows_that_repeat_and_names_that_clash(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (1, "b", "z"), (None, "c", "n"), (None, "c", "n"), (None, "d", "n")]
+    names = ("row", "id", "n", "p", "maybe", "bucket", "bitmap", "_slot", "times", "hash", "full_hash", "keep_id", "a.b", "id_")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string").withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    found = sorted(tuple(r) for r in kept.collect() if r.doc_id is not None)
+    assert [r[1] for r in found] == ["a", "b"] and all(r[3:] == tuple(range(len(names))) for r in found)
+    assert sorted(r.text for r in kept.collect() if r.doc_id is None) == ["c", "d"]
+
+
 def test_null_ids(documents):
     rows = [(None, "x"), (None, "x"), (3, "x"), (None, "alone")]
     found = {tuple(r)[:4] for r in exact_dedup(documents(rows)).collect()}

@@ -100,15 +100,8 @@ def test_forest_is_small():
     assert len(a) == 499 and set(b) == {0}
 
 
-def test_one_of_each_group_stays(documents):
-    rows = [(5, "some text that is copied here"), (2, "some text that is copied here"), (9, "quite another text of words")]
-    docs = documents(rows)
-    kept = S.drop_near_copies(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 9]
-
-
 def test_empty_and_null_ids(documents):
     empty = documents([(1, "a")]).where("doc_id > 1")
-    assert S.simhash_components(empty).count() == 0 and S.drop_near_copies(empty).count() == 0
+    assert S.simhash_components(empty).count() == 0
     found = S.simhash_components(documents([(None, "a b c d"), (4, "a b c d"), (None, "else")])).collect()
     assert sorted((r.component_id is None, r.component_id or 0) for r in found) == [(False, 4), (False, 4), (True, 0)]
