@@ -2,33 +2,37 @@
 
 Statistics of the whole text (shares of kinds of characters, word lengths, repetition, lines, the worst lines) are brought
 near normal by logarithms. Each class has its mean and a covariance shrunk towards the pooled one and a scaled identity;
-the amount is chosen on a held-out fifth of the sample. The Cholesky factors are inverted once and cached in the model,
-so a document's two Mahalanobis log-densities are two small matrix products. A logistic curve fitted on the held-out
-fifth turns the density difference into the score.
-
-The sample: of the labelled rows for training, those with the `sample` smallest hashes of their id; the model is a few
-hundred numbers. Labels and ids are never inputs of a score.
-
-Cases: null text is empty; an empty text has the statistics of no words and is scored like any other; null labels are left
-out, and of labels that repeat an id with different values the larger counts; with one class or no labels at all every
-score is that class's share (0.5 without labels); rows may repeat; an empty table gives an empty result; other columns
-are ignored.
+the amount, which grows the fewer rows a class has, is chosen on a held-out fifth of the sample. The Cholesky factors are
+inverted once and cached in the model, so a document's two Mahalanobis log-densities are two small matrix products. A
+logistic curve fitted on the held-out fifth turns the density difference into the score.
+
+The sample: of the labelled rows of each class for training, those with the `sample` / 2 smallest hashes of their id. Rows
+are weighted so that the classes count as they do among all labels. The model is a few hundred numbers. Labels and ids are
+never inputs of a score.
+
+Cases: null text is empty; an empty text has the statistics of no words and is scored like any other; null labels and ids
+are left out, and of labels that repeat an id with different values the larger counts; rows that repeat an id in the sample
+are ranked by their statistics; if all labels are of one class, or there are none, every score is that class's share (0.5
+without labels); rows may repeat; an empty table gives an empty result; other columns are ignored; a null id is never
+held out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.llm.shared import table
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.shared import column, remainder, table
+from rankloom.llm.textbatch import groups_of, map_arrow
 
-PIECE = 1 << 16  # characters whose words are compared for repetition
+PIECE = 1 << 20  # characters cut into words at a time
 
 
 def _classes() -> np.ndarray:
@@ -51,10 +55,14 @@ def _classes() -> np.ndarray:
 KINDS = _classes()
 
 
-def _repetition(words: list[str]) -> tuple[float, float, float]:
-    """Distinct words, distinct neighbouring pairs, and repeats of the word before."""
-    same = sum(map(str.__eq__, words, words[1:]))
-    return len(set(words)), len(set(zip(words, words[1:]))), same
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of a text, some at a time; none is cut."""
+    rest = ""
+    for at in range(0, len(text), PIECE):
+        part = rest + text[at : at + PIECE]
+        words = part.split()
+        rest = words.pop() if at + PIECE < len(text) and words and not part[-1].isspace() else ""
+        yield words
 
 
 def statistics(text: str) -> np.ndarray:
@@ -63,14 +71,19 @@ def statistics(text: str) -> np.ndarray:
     raw = text.encode("utf-8", "replace")
     hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ KINDS
     n = max(1.0, float(hist.sum()))
-    words = distinct = pairs = same = length = long = caps = 0.0
-    for at in range(0, len(text), PIECE):  # a word cut here counts as two
-        own = text[at : at + PIECE].split()
-        d, p, s = _repetition(own)
-        words, distinct, pairs, same = words + len(own), distinct + d, pairs + p, same + s
+    words = same = length = long = caps = 0.0
+    distinct: set[str] = set()
+    pairs: set[tuple[str, str]] = set()
+    last: list[str] = []
+    for own in word_lists(text):
         sizes = np.fromiter(map(len, own), np.int64, len(own))
-        length, long = length + sizes.sum(), long + (sizes > 14).sum()
+        words, length, long = words + len(own), length + sizes.sum(), long + (sizes > 14).sum()
         caps += sum(map(str.isupper, own))
+        distinct.update(own)
+        own = last + own
+        pairs.update(zip(own, own[1:]))
+        same += sum(map(str.__eq__, own, own[1:]))
+        last = own[-1:]
     w = max(1.0, words)
     lines = text.split("\n")
     worst = np.zeros(4)
@@ -85,8 +98,8 @@ def statistics(text: str) -> np.ndarray:
     out[10] = np.log1p(words)
     out[11] = np.log(length / w + 0.1)
     out[12] = np.log(long / w + tiny)
-    out[13] = np.log(1.01 - distinct / w)
-    out[14] = np.log(1.01 - pairs / w)
+    out[13] = np.log(1.01 - len(distinct) / w)
+    out[14] = np.log(1.01 - len(pairs) / w)
     out[15] = np.log(same / w + tiny)
     out[16] = np.log(caps / w + tiny)
     out[17] = np.log1p(len(lines) / w * 20)
@@ -107,18 +120,23 @@ class QDA:
     prior: float | None = None  # the constant score if there aren't two classes
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, shrink: float) -> QDA:
+    def fit(cls, x: np.ndarray, y: np.ndarray, shrink: float, shares: tuple[float, float] | None = None) -> QDA:
+        """shares: of the classes in the data that x stands for; those of x by default. The fewer rows, the more shrinkage."""
+        shares = shares or tuple((y == k).mean() for k in (0, 1))
         centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = (x - centre) / scale
+        dim = z.shape[1]
         pooled = sum(np.cov(z[y == k].T, bias=True) * (y == k).mean() for k in (0, 1))
+        spread = 0.5 * pooled + 0.5 * np.eye(dim) * max(np.trace(pooled) / dim, 1e-3)
         means, factors, offsets = [], [], []
         for k in (0, 1):
             own = z[y == k]
-            cov = (1 - shrink) * np.cov(own.T, bias=True) + shrink * (0.5 * pooled + 0.5 * np.eye(z.shape[1]) * np.trace(pooled) / z.shape[1])
-            low = np.linalg.cholesky(cov + 1e-6 * np.eye(len(cov)))
+            s = shrink + (1 - shrink) * dim / (dim + len(own))
+            cov = (1 - s) * np.cov(own.T, bias=True) + s * spread
+            low = np.linalg.cholesky(cov + 1e-6 * np.eye(dim))
             means.append(own.mean(axis=0))
             factors.append(np.linalg.inv(low))
-            offsets.append(np.log((y == k).mean()) - np.log(np.diag(low)).sum())
+            offsets.append(np.log(shares[k]) - np.log(np.diag(low)).sum())
         return cls(centre, scale, np.array(means), np.array(factors), np.array(offsets))
 
     def difference(self, x: np.ndarray) -> np.ndarray:
@@ -132,79 +150,83 @@ class QDA:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.tanh(self.difference(x) / 40) * 40 + self.shift, -35, 35)))
 
 
-def _calibrated(model: QDA, x: np.ndarray, y: np.ndarray) -> tuple[QDA, float]:
-    """Fit the logistic curve by Newton steps on rows the discriminant hasn't seen; returns the log loss."""
+def _calibrated(model: QDA, x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[QDA, float]:
+    """Fit the logistic curve by Newton steps on weighted rows the discriminant hasn't seen; returns the log loss."""
     d = np.tanh(model.difference(x) / 40) * 40
     design, beta = np.stack([d, np.ones(len(d))], axis=1), np.array([0.5, 0.0])
     ridge = np.diag([1e-2, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -35, 35)))
-        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge
-        step = np.linalg.solve(hess, design.T @ (y - p) - ridge @ beta)
+        hess = (design * (weights * p * (1 - p))[:, None]).T @ design + ridge
+        step = np.linalg.solve(hess, design.T @ (weights * (y - p)) - ridge @ beta)
         beta = beta + np.clip(step, -2, 2)
     model.slope, model.shift = float(max(beta[0], 1e-3)), float(beta[1])
     p = np.clip(model.score(x), 1e-9, 1 - 1e-9)
-    return model, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return model, float(-(weights * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weights.sum())
 
 
-def fit_quality(x: np.ndarray, y: np.ndarray) -> QDA:
-    """x in a random order."""
-    counts = [(y == k).sum() for k in (0, 1)]
-    if min(counts) < 10:
+def fit_quality(x: np.ndarray, y: np.ndarray, totals: tuple[int, int] | None = None) -> QDA:
+    """x in a random order; totals: how many rows of each class it was drawn from, all of them by default.
+
+    Every fifth row of a class is kept for the calibration; of a class with fewer than five rows all serve for both.
+    """
+    counts = tuple(int((y == k).sum()) for k in (0, 1))
+    totals = totals or counts
+    if not min(counts):
         none = np.zeros(0)
         return QDA(none, none, none, none, none, prior=0.5 if not len(y) else float(y.mean()))
-    held = np.arange(len(y)) % 5 == 0
-    if min((y[held] == k).sum() for k in (0, 1)) < 2:
-        return QDA.fit(x, y, 0.3)
-    tried = [_calibrated(QDA.fit(x[~held], y[~held], s), x[held], y[held]) for s in (0.01, 0.03, 0.1, 0.3, 0.6)]
+    shares = tuple(t / sum(totals) for t in totals)
+    place = np.empty(len(y), np.int64)
+    for k in (0, 1):
+        place[y == k] = np.arange(counts[k])
+    few = np.array(counts)[y.astype(int)] < 5
+    held, own = (place % 5 == 4) | few, (place % 5 != 4) | few
+    weights = np.array([s * len(y) / c for s, c in zip(shares, counts)])[y.astype(int)]
+    tried = [_calibrated(QDA.fit(x[own], y[own], s, shares), x[held], y[held], weights[held]) for s in (0.01, 0.03, 0.1, 0.3, 0.6)]
     return min(tried, key=lambda t: t[1])[0]
 
 
-def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and x, the statistics, of docs(..., text)."""
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+def with_statistics(docs: DataFrame, keep: list[str], text_col: str, result: T.StructField, of: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """keep and one more column, computed by `of` from the statistics of docs' texts; each goes through Python once."""
+    names = keep if text_col in keep else [*keep, text_col]
+    at, n = names.index(text_col), len(keep)
+    schema = T.StructType([*(docs.schema[c] for c in keep), result])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups_of(batch, len(keep)):
-                x = [statistics(t or "") for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
+            for part in groups_of(batch, at):
+                x = np.array([statistics(t or "") for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], of(x)], [*keep, result.name])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, x array<double>")
+    return map_arrow(docs.select(*map(column, names)), run, schema)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12_000) -> QDA:
-    """Fit on at most `sample` labelled documents."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("y"))
-    chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = document_statistics(texts.join(F.broadcast(chosen), "doc_id").select("h", "y", "text"), ["h", "y"]).limit(2 * sample).toArrow()
+    """Fit on at most sample / 2 labelled documents of each class; the classes' shares are those of all labels."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    known = known.withColumn("h", F.xxhash64("id"))
+    totals = {int(r.y): r["count"] for r in known.groupBy("y").count().collect()}
+    first = lambda df, *order: df.withColumn("at", F.row_number().over(W.partitionBy("y").orderBy(*order))).where(F.col("at") <= max(1, sample // 2)).drop("at")
+    chosen = first(known, "h", "id")
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(F.broadcast(chosen), "id").select("h", "y", "text")
+    measured = with_statistics(texts, ["h", "y"], "text", T.StructField("x", T.ArrayType(T.DoubleType())), lambda x: pa.array(list(x), pa.list_(pa.float64())))
+    rows = first(measured, "h", "x").toArrow()  # ids may repeat, so their rows are ranked and cut again
     if not rows.num_rows:
         return fit_quality(np.zeros((0, 1)), np.zeros(0))
     y = rows.column("y").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), -1)
-    order = np.lexsort((x.sum(axis=1), rows.column("h").to_numpy()))
-    return fit_quality(x[order], y[order])
-
+    order = np.lexsort((*x.T[::-1], rows.column("h").to_numpy()))
+    return fit_quality(x[order], y[order], (totals.get(0, 0), totals.get(1, 0)))
 
-def score_quality(docs: DataFrame, model: QDA, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep and score of docs; the text itself goes through Python once, kept or not."""
-    names = keep if text_col in keep else [*keep, text_col]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in groups_of(batch, at):
-                x = np.array([statistics(t or "") for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(model.score(x))], [*keep, "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{fields}, score double")
+def score_quality(docs: DataFrame, model: QDA, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """keep and score of docs; keep must not hold a column named like the score."""
+    return with_statistics(docs, keep, text_col, T.StructField(score_col, T.DoubleType()), lambda x: pa.array(model.score(x)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    out = remainder("doc_id", 3) == 1
     model = train_quality(docs, labels.where(~out))
     return score_quality(docs.select("doc_id", out.alias("held_out"), "text"), model, ["doc_id", "held_out"]).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")

@@ -46,7 +46,8 @@ def test_density_by_hand():
     dens = []
     for k, share in ((0, 0.4), (1, 0.6)):
         own = z[y == k]
-        cov = 0.9 * np.cov(own.T, bias=True) + 0.1 * (0.5 * pooled + 0.5 * np.eye(3) * np.trace(pooled) / 3) + 1e-6 * np.eye(3)
+        s = 0.1 + 0.9 * 3 / (3 + len(own))
+        cov = (1 - s) * np.cov(own.T, bias=True) + s * (0.5 * pooled + 0.5 * np.eye(3) * np.trace(pooled) / 3) + 1e-6 * np.eye(3)
         d = z - own.mean(axis=0)
         dens.append(np.log(share) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
     assert np.allclose(m.difference(x), dens[1] - dens[0])
