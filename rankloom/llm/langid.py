@@ -3,15 +3,15 @@
 Subwords are the stretches of 2, 3 and 4 bytes of the lower-cased text in which everything but letters counts as a space;
 each is hashed to one of 2**bits embeddings, and a document is the average over all of its subwords. Training takes the
 `sample` labelled rows with the smallest hashes of their id; each row's subwords are counted on the executors over its
-whole text. A fifth of the sample is kept from training: there a temperature is fitted that calibrates the softmax, and
+whole text; rows that repeat an id, a language and a text are learned once. A fifth of the sample is kept from training: there a temperature is fitted that calibrates the softmax, and
 the rejection threshold is set to the lowest confidence above which at least `precision` of the answers are right.
 
 Averages are linear, so for prediction each embedding is multiplied by the softmax weights once: the model that is sent
 to executors is one table of 2**bits rows of scores.
 
-Cases: null texts and texts without a letter are `und` with score 0, as is everything if no labelled row has a letter;
+Cases: null texts and texts without a letter (superscript, Roman and other numerals are none) are `und` with score 0, as is everything if no labelled row has a letter;
 rows with null labels are not learned from; very long texts are read in pieces that overlap by three bytes; ties go to
-the language that sorts first; rows may repeat; an empty table gives an empty result; other columns are ignored.
+the language that sorts first; rows may repeat; a null id is never held out and is learned from; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.llm.shared import table
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.shared import column, forget, free_name, materialise, remainder, table
+from rankloom.llm.textbatch import groups_of, map_arrow
 
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 PIECE = 1 << 20
 SPAN = 4
@@ -44,6 +45,11 @@ def subwords(raw: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((g * np.uint32(f) + np.uint32(a)) * np.uint32(2654435761)) >> down for g, f, a in ((two, 2246822519, 1), (three, 3266489917, 2), (four, 668265263, 3))]
 
 
+def has_letter(text: str | None) -> bool:
+    """Numerals that are no digits, as superscripts and Roman ones, are no letters."""
+    return any(m.group().isalpha() for m in MAYBE_LETTER.finditer(text or ""))
+
+
 def folded(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY) + b" " * (SPAN - 1)
 
@@ -109,7 +115,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The most likely language, its calibrated probability, and whether it is to be rejected."""
-        has = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        has = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         found, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if has:
             p = self.probabilities(self.logits([texts[i] for i in has]))
@@ -173,19 +179,23 @@ def train_sgd(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int, dim: in
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, bits: int = 14) -> LanguageModel:
     """Fit on at most `sample` labelled documents; what reaches the driver is at most 2**bits pairs for each."""
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
+    rows = docs.select(F.xxhash64(id_col).alias("h"), column(lang_col).alias("lang"), column(text_col).alias("text")).where("lang is not null")
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return train_sgd([], bits)
+    near = materialise(rows.where(F.col("h") <= last).withColumn("of", F.xxhash64("text")), "language-sample")
+    keys = near.select("h", "lang", "of").distinct().orderBy("h", "lang", "of").limit(sample)  # ids may repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups_of(batch, 2):
-                kept = [(h, g, *counted(t, bits)) for h, g, t in zip(*(c.to_pylist() for c in part.columns)) if t and LETTER.search(t)]
+                kept = [(h, g, *counted(t, bits)) for h, g, t in zip(*(c.to_pylist() for c in part.columns)) if has_letter(t)]
                 columns = list(zip(*kept)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["h", "lang", "b", "s"])
 
-    found = rows.where(F.col("h") <= last).mapInArrow(run, "h long, lang string, b array<int>, s array<float>").limit(2 * sample).toArrow()
+    once = near.join(F.broadcast(keys), ["h", "lang", "of"], "left_semi").dropDuplicates(["h", "lang", "of"]).select("h", "lang", "text")
+    found = map_arrow(once, run, "h long, lang string, b array<int>, s array<float>").toArrow()
+    forget(near)
     lists = [np.split(found.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.cumsum(found.column(c).combine_chunks().value_lengths().to_numpy(zero_copy_only=False))[:-1]) if found.num_rows else [] for c in ("b", "s")]
     order = sorted(range(found.num_rows), key=lambda i, h=found.column("h").to_pylist(), g=found.column("lang").to_pylist(): (h[i], g[i], len(lists[0][i])))
     langs = found.column("lang").to_pylist()
@@ -193,8 +203,8 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, lang_pred, score, rejected for docs(..., text)."""
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    """keep, lang_pred, score, rejected for docs; keep must not hold columns named like the other three."""
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL("lang_pred string, score double, rejected boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,11 +212,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], te
                 found, score, rejected = model.predict(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return map_arrow(docs.select(*map(column, keep), column(text_col).alias(free_name(docs, "whole"))), run, schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = remainder("doc_id", 4) == 2
     model = train_languages(docs.where(~out))
     return predict_languages(docs.select("doc_id", out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
