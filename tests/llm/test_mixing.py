@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm.mixing import mix_sources, mixed_documents
 
@@ -62,21 +63,41 @@ def test_no_words_and_no_rows(documents):
 
 
 def test_documents_of_the_mix(documents, clashing):
-    data = [r for r in rows() if r[0] != 5]
-    docs = clashing(documents(data))
+    data = rows()
+    docs = clashing(documents(data)).withColumn("src", F.col("source")).withColumn("epochs", F.lit(9))
     mixed = mixed_documents(docs)
     assert mixed.columns == docs.columns
-    copies, plan = Counter(r.doc_id for r in mixed.collect()), {r.doc_id: r for r in mix_sources(docs).collect()}
+    taken = mixed.collect()
+    assert all(r.src == r.source and (r.epochs, r.key) == (9, 7) for r in taken)
+    copies, plan = Counter(r.doc_id for r in taken), {r.doc_id: r for r in mix_sources(docs).collect()}
     for i, r in plan.items():
-        if r["size"]:
+        if r["size"] and i != 5:
             assert abs(copies[i] * r["size"] - r.taken) <= r["size"] / 2
     words, target = defaultdict(int), targets(data)[1]
-    for i, t, _, s in data:
-        words[s] += copies[i] * size(t)
+    for r in taken:
+        words[r.source] += size(r.text)
     for s, w in target.items():
         assert abs(words[s] - w) <= 40_000 if s is None else abs(words[s] - w) <= 20
 
 
+def test_ids_that_repeat_or_miss(documents):
+    data = [(1, f"w{i} " * 4, "en", "a") for i in range(50)] + [(2, "same " * 4, "en", "b")] * 50 + [(None, f"v{i} " * 4, "en", "c") for i in range(100)]
+    docs = documents(data)
+    sizes, target = targets(data)
+    planned, mixed = Counter(), Counter()
+    for r in mix_sources(docs).collect():
+        planned[{1: "a", 2: "b", None: "c"}[r.doc_id]] += r.taken
+    for r in mixed_documents(docs).collect():
+        mixed[r.source] += size(r.text)
+    for s in sizes:
+        assert planned[s] == int(target[s] + 1e-9) and abs(mixed[s] - target[s]) <= 2.5
+
+
+def test_many_sources_are_not_broadcast(documents):
+    one, two = (sorted(map(tuple, mixed_documents(documents(rows()), few=few).collect()), key=str) for few in (100_000, 1))
+    assert one == two
+
+
 def test_native(documents):
     plan = mix_sources(documents(rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
