@@ -6,9 +6,10 @@ inside links; it passes its points to its ancestors, all to the nearest containe
 further up. The container with most points wins, or the whole article it stands in, and siblings that score well, long
 plain paragraphs and headings beside it are kept. What is never main text gives no blocks at all: menus, page headers and
 footers, asides, forms, scripts, styles, hidden parts, and elements whose class, id or role says advert, sidebar, comment,
-notice and so on.
+notice and so on. Words that may as well be about an article's own parts (WEAK) don't drop its paragraphs and tables. Lists
+that are nearly all links go where there is no article or main element around them; inside one they are its references.
 
-Cases: null or empty html gives an empty text; broken markup (unclosed or stray tags, missing ends, open comments) is
+Cases: of containers with equal points the first one counts; null or empty html gives an empty text; broken markup (unclosed or stray tags, missing ends, open comments) is
 read on as far as it goes; pages without paragraphs give the text of what is left of the body; parsing is linear in the page's
 length and never recursive; rows may repeat; an empty table gives an empty result; other columns are ignored.
 """
@@ -22,17 +23,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.llm.shared import table
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.shared import column, free_name, table
+from rankloom.llm.textbatch import groups_of, map_arrow
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle merror mpadded mphantom mfenced mspace
+    annotation annotation-xml""".split()
 )
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript iframe button select option textarea input template svg canvas object embed audio video map dialog menu fieldset title math noembed noframes".split()
+    "head nav footer aside form script style noscript iframe button select option textarea input template svg canvas object embed audio video map dialog menu fieldset title annotation annotation-xml noembed noframes".split()
 )
 PARAGRAPH = frozenset("p pre blockquote li dt dd td th h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,6 +48,8 @@ AGAINST = frozenset(
     responses share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored sponsor subscribe subscription tags
     toc toolbar topbar widget complementary search alert""".split()
 )
+#: These count against boxes, but not against paragraphs, tables and the like inside an article.
+WEAK = frozenset("alert complementary copyright discussion header hidden overlay related reply replies responses search social tags toc".split())
 FOR = frozenset("article articlebody body content entry main post story text".split())
 ENDED_BY = {  # an open element of the key ends where one of these begins
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -76,6 +82,8 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         return bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "promo", "related", "sponsored"}) and not words & FOR.difference(["body", "text"])
     if tag == "header":
         words -= {"header"}
+    if in_article and (tag in PARAGRAPH or tag in INLINE or tag == "table"):
+        words -= WEAK
     return bool(words & AGAINST) and not words & FOR.difference(["text", "body"]) or bool(words & {"comment", "comments", "commentlist"})
 
 
@@ -223,7 +231,8 @@ class Page:
             ends.append(node + 1)
             holders.append(node if block else holders[stack[-1]])
             if drop_from < 0 and unwanted(tag, source[name.end() : end - 1], articles > 0):
-                flush()
+                if block:
+                    flush()
                 drop_from = len(stack)
             stack.append(node)
             counts[tag] = counts.get(tag, 0) + 1
@@ -255,7 +264,7 @@ class Page:
         if not self.blocks:
             return ""
         points = self.scores()
-        starts = {0}
+        starts, articleless = {0}, True
         if points:
             best = max(points, key=lambda k: (points[k], -k))
             top, node = best, best
@@ -263,10 +272,10 @@ class Page:
                 if self.tags[node] == "article" or (self.tags[node] == "main" and self.tags[top] != "article"):
                     top = node
                 node = self.parents[node]
-            starts = {top}
+            starts, articleless = {top}, self.tags[top] not in ("article", "main")
             if self.tags[top] != "article":
                 starts.update(self._siblings(top, points, best))
-        lists, inside = self._link_lists(), [False] * len(self.tags)
+        lists, inside = self._link_lists() if articleless else set(), [False] * len(self.tags)
         for node, parent in enumerate(self.parents):  # parents come before their children
             inside[node] = node not in lists and (node in starts or (parent >= 0 and inside[parent]))
         return "\n\n".join(text for node, text, _ in self.blocks if inside[node])
@@ -292,7 +301,7 @@ class Page:
         return found
 
     def _link_lists(self) -> set[int]:
-        """Outermost lists that are nearly all links."""
+        """Outermost lists of three items or more that are nearly all links."""
         outer = [-1] * len(self.tags)
         for node, parent in enumerate(self.parents):
             outer[node] = outer[parent] if parent >= 0 and outer[parent] >= 0 else node if self.tags[node] in ("ul", "ol") else -1
@@ -311,8 +320,8 @@ def main_text(source: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """keep and text (the main text) for every page."""
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    """keep and text (the main text) for every page; keep must not hold a column named text."""
+    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +329,7 @@ def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") ->
                 texts = [main_text(h) for h in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 
-    return pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias("__html")).mapInArrow(run, f"{fields}, text string")
+    return map_arrow(pages.select(*map(column, keep), column(html_col).alias(free_name(pages, "source"))), run, schema)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
