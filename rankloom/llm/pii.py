@@ -1,22 +1,25 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give them away.
 
 The base patterns (e-mail and IP addresses, card and phone numbers) find the protected entities. Corpus co-occurrence then
-estimates how strongly the words around them reveal them. For an entity e and a term t within `window` characters of a
+estimates how strongly the words around them reveal them. For an entity e and a term t within `window` (120) characters of a
 mention, with df counted over the whole corpus,
 
     PMI(e; t) = log2(N df(e, t) / (df(e) df(t)))      IC(e) = log2(N / df(e))
 
 and PMI / IC is the share of the entity's information that the term discloses: 1 if t never occurs without e, 0 if they are
 independent. N and every df count documents, copies included. Pairs in fewer than `support` different surroundings are no
-evidence, so that copies of one text are one observation there. Terms that disclose `generalise` or more are spans of kind `term` near the entity
-(sanitise() puts a general word for them), those that disclose `remove` or more are removed.
+evidence, so that copies of one text are one observation there. Terms that disclose `generalise` or more are spans of kind
+`term` wherever they occur in a document that mentions the entity (sanitise() puts a general word for them); those that
+disclose `remove` or more are removed.
 
 The patterns are matched in linear time, whatever the text: each start is tried once and no run is scanned twice.
 Candidate terms are counted over all documents through a bitmap of fixed size that a word must hit; chance hits fall
-out in the exact join. Without pairs that have the support there is nothing to count and that pass is left out.
+out in the exact join. Without pairs that have the support there is nothing to count and that pass is left out. Pairs of an
+entity and a term are handed on entity by entity, so that a text of addresses alone needs no memory for all of its pairs.
 
-Cases: null text is empty; an empty text has no spans; very long texts are read whole; rows that repeat an id and a text get
-the same spans; an empty table gives an empty result; other columns are ignored.
+Cases: null text is empty; an empty text has no spans; very long texts are read whole; null ids are rows like others; rows
+that repeat an id and a text get the same spans; spans that start alike are ordered by their ends; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.llm.shared import materialise, skewed_lookup, table
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.shared import KeyFilter, column, forget, materialise, skewed_lookup, table
+from rankloom.llm.textbatch import groups_of, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +44,8 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{4,}")
+LETTER = re.compile(r"[^\W\d_]")
 NOT_DIGIT = re.compile("[^0-9]+")
 
 
@@ -89,56 +94,112 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [list(find(text)) for find in FINDERS]
 
 
-def surroundings(text: str, found: list[list[tuple[int, int]]], window: int) -> Iterator[tuple[int, str | None, int, int, int]]:
-    """(entity, term, surroundings, start, end) of the terms near each mention, outside of all base spans."""
-    taken = sorted(s for spans in found for s in spans)
-    starts = np.array([s for s, _ in taken])
-    ends = np.maximum.accumulate([e for _, e in taken]) if taken else starts
-    for kind, spans in enumerate(found):
-        for start, end in spans:
+class Spans:
+    """Base spans of a text, for telling whether a stretch overlaps one."""
+
+    def __init__(self, found: list[list[tuple[int, int]]]):
+        taken = sorted(s for spans in found for s in spans)
+        self.starts = np.array([s for s, _ in taken])
+        self.ends = np.maximum.accumulate([e for _, e in taken]) if taken else self.starts
+
+    def overlap(self, start: int, end: int) -> bool:
+        k = int(np.searchsorted(self.starts, end, "left")) - 1
+        return k >= 0 and bool(self.ends[k] > start)
+
+
+def near_terms(text: str, start: int, end: int, window: int, spans: Spans) -> list[str]:
+    """The terms that stand wholly within `window` characters of a mention, outside of all base spans."""
+    a, b = max(0, start - window), min(len(text), end + window)
+    cut = b < len(text) and LETTER.match(text, b)
+    return [m.group().lower() for m in TERM.finditer(text, a, b) if not (cut and m.end() == b) and not spans.overlap(m.start(), m.end())]
+
+
+def surroundings(text: str, found: list[list[tuple[int, int]]], window: int, most: int = 100_000) -> Iterator[tuple[int, str | None, int, bool]]:
+    """(entity, term, surroundings, first) for each entity and the terms near its mentions; first: not seen with it before.
+
+    An entity comes with the term None once. Surroundings may be named again when an entity has more than `most`.
+    """
+    mentions: dict[int, list[tuple[int, int]]] = {}
+    spans = Spans(found)
+    for kind, own in enumerate(found):
+        for start, end in own:
             value = text[start:end].lower() if kind < 2 else NOT_DIGIT.sub("", text[start:end])
-            entity = xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "replace")) - (1 << 63)
-            a, b = max(0, start - window), min(len(text), end + window)
-            terms = []
-            for m in TERM.finditer(text, a, b):
-                k = int(np.searchsorted(starts, m.end(), "left")) - 1
-                whole = (m.start() == 0 or not text[m.start() - 1].isalpha()) and (m.end() == len(text) or not text[m.end()].isalpha())
-                if whole and not (k >= 0 and ends[k] > m.start()):
-                    terms.append((m.group().lower(), m.start(), m.end()))
-            around = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in terms).encode("utf-8", "replace")) - (1 << 63)
-            for t, s, e in terms or [(None, start, end)]:  # a mention without terms still counts for its entity
-                yield entity, t, around, s, e
+            mentions.setdefault(hashed(f"{kind}:{value}"), []).append((start, end))
+    for entity, places in mentions.items():
+        yield entity, None, 0, True
+        terms, seen = set(), set()
+        for start, end in places:
+            near = near_terms(text, start, end, window, spans)
+            around = hashed(" ".join(near))
+            for t in near:
+                if (t, around) not in seen:
+                    yield entity, t, around, t not in terms
+                    terms.add(t)
+                    seen.add((t, around))
+            if len(seen) > most:
+                seen.clear()
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
 def joined(kind: str, spans: list[tuple[int, int]]) -> list[str]:
     return [f"{kind}:{s}:{e}" for s, e in spans]
 
 
-CONTEXT = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.string()), ("w", pa.int64()), ("s", pa.int64()), ("f", pa.int64())]))
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of a row's id and text."""
+    return F.xxhash64(column(id_col).isNull(), column(id_col), F.coalesce(column(text_col), F.lit("")))
 
 
-def find_base(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """doc_id, row (a key of id and text), n_<kind>, base, around."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def find_base(docs: DataFrame, id_col: str, text_col: str, window: int, step: int = 50_000) -> DataFrame:
+    """Rows of two kinds: of documents (doc_id, row, n_<kind>, base; e is null) and of what they mention (row, e, t, w, first)."""
+    base = docs.select(column(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([base.schema["doc_id"], *T.StructType.fromDDL(f"row long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, e long, t string, w long, first boolean")])
+    kinds = (pa.int64(),) * 5 + (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups_of(batch, 1):
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            of_id = batch.schema.field(0).type
+
+            def packed(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
+
+            for part in groups_of(batch, 2):
+                rows, pairs = [], []
+                for key, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     found = base_spans(text)
-                    key = xxhash.xxh64_intdigest(f"{doc}\0{text}".encode("utf-8", "replace")) - (1 << 63)
-                    around = [dict(zip("etwsf", x)) for x in surroundings(text, found, window)] if any(found) else []
-                    rows.append((key, *map(len, found), ",".join(x for k, s in zip(KINDS, found) for x in joined(k, s)), around))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string()), pa.array(columns[6], CONTEXT)],
-                    ["doc_id", "row", *(f"n_{k}" for k in KINDS), "base", "around"],
-                )
+                    spans = ",".join(x for k, s in zip(KINDS, found) for x in joined(k, s))
+                    rows.append((key, *map(len, found), spans, None, None, None, None))
+                    for pair in surroundings(text, found, window) if spans else ():
+                        pairs.append((key, None, None, None, None, None, *pair))
+                        if len(pairs) == step:
+                            yield packed(pa.nulls(step, of_id), pairs)
+                            pairs = []
+                yield packed(part.column(0), rows)
+                if pairs:
+                    yield packed(pa.nulls(len(pairs), of_id), pairs)
+
+    return map_arrow(base, run, schema)
+
+
+def bitmap_of(terms: DataFrame, bits: int = 20) -> bytes:
+    """2**bits bits, packed, of which those that the terms hash to are set."""
+    hit = np.zeros(1 << bits, bool)
+    hit[terms.select(F.pmod(F.xxhash64("t"), F.lit(1 << bits)).alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    return np.packbits(hit).tobytes()
+
+
+class TermFilter:
+    """Whether a term may be among those of a bitmap."""
 
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, row long, {counts}, base string, around array<struct<e:long,t:string,w:long,s:long,f:long>>")
+    def __init__(self, packed: bytes):
+        self.bit = np.unpackbits(np.frombuffer(packed, np.uint8))
+        self.low = len(self.bit) - 1
+
+    def has(self, term: str) -> bool:
+        return bool(self.bit[xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), 42) & self.low])
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20, flush: int = 100_000) -> DataFrame:
@@ -146,13 +207,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20
 
     Tasks sum up their documents and hand on a row per term, or per `flush` terms at a time.
     """
-    slots = terms.select(F.pmod(F.xxhash64("t"), F.lit(1 << bits)).alias("b")).distinct().toArrow().column("b").to_numpy()
-    hit = np.zeros(1 << bits, bool)
-    hit[slots] = True
-    packed = np.packbits(hit).tobytes()
+    packed = bitmap_of(terms, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit, low, counts = np.unpackbits(np.frombuffer(packed, np.uint8)), (1 << bits) - 1, Counter()
+        known, counts = TermFilter(packed), Counter()
 
         def partial() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
@@ -160,40 +218,77 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20
         for batch in batches:
             for part in groups_of(batch, 0):
                 for text in part.column(0).to_pylist():
-                    counts.update(w for w in {*TERM.findall(text.lower())} if bit[xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) & low])
+                    counts.update({t for t in {w.lower() for w in {*TERM.findall(text)}} if known.has(t)})
                 if len(counts) > flush:
                     yield partial()
                     counts.clear()
         yield partial()
 
-    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "t string, n long")
+    words = map_arrow(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "t string, n long")
     return words.groupBy("t").agg(F.sum("n").alias("df_t")).join(terms, "t")
 
 
+def occurrences(docs: DataFrame, mentions: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, t, s, f: where the terms stand, outside of base spans, in documents that mentions(row) has; chance hits included."""
+    packed = bitmap_of(terms)
+    base = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    some = KeyFilter(mentions, "row").marked(base, F.col("row"), "hit").where("hit").select("row", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TermFilter(packed)
+        for batch in batches:
+            for part in groups_of(batch, 1):
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    spans = Spans(base_spans(text))
+                    found = [(t, *m.span()) for m in TERM.finditer(text) if known.has(t := m.group().lower()) and not spans.overlap(*m.span())]
+                    if found:
+                        ts, starts, ends = zip(*found)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(ts), pa.int64()), pa.array(ts, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["row", "t", "s", "f"])
+
+    return map_arrow(some, run, "row long, t string, s long, f long").distinct()
+
+
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str, total: int, support: int, generalise: float) -> DataFrame | None:
+    """e, t, share of the pairs whose term discloses `generalise` of its entity or more, and df_t."""
+    near = found.where("t is not null")
+    pairs = near.groupBy("e", "t").agg(F.countDistinct("w").alias("seen"), F.sum(F.col("first").cast("long")).alias("df_et")).where(F.col("seen") >= support)
+    pairs = materialise(pairs.drop("seen"), "pii-pairs")
+    held = pairs.count()
+    if not held:
+        return None
+    per = lambda key: pairs.groupBy(key).agg(F.count("*").alias("pairs"))
+    df_t = term_counts(docs, per("t"), text_col)
+    df_e = found.where("e is not null and t is null").groupBy("e").agg(F.count("*").alias("df_e")).join(per("e"), "e")
+    measured = skewed_lookup(pairs, df_e, ["e"], "pairs", held).drop("pairs")
+    measured = skewed_lookup(measured, df_t, ["t"], "pairs", held).drop("pairs")
+    n = F.lit(float(total))
+    ic, pmi = F.log2(n / F.col("df_e")), F.log2(n * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
+    told = measured.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise)
+    told = materialise(told.select("e", "t", "share", "df_e", "df_t"), "pii-told")
+    forget(pairs)
+    return told
+
+
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end, comma-joined), terms and removed (likewise).
 
     Starts and ends are code points, ends exclusive; removed are the spans among terms that are to go altogether.
     """
     found = materialise(find_base(docs, id_col, text_col, window), "pii-base")
-    around = found.select("row", F.explode("around").alias("x")).select("row", "x.*")
-    pairs = around.where("t is not null").groupBy("e", "t").agg(F.countDistinct("w").alias("seen"), F.count("*").alias("n")).where(F.col("seen") >= support)
-    pairs = materialise(pairs.drop("seen"), "pii-pairs")
-    out = found.select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base")
+    out = found.where("e is null").select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base")
     none = F.lit("").alias("terms"), F.lit("").alias("removed")
-    if pairs.isEmpty():
+    total = out.count()
+    told = disclosing(found, docs, text_col, total, support, generalise)
+    if told is None:
         return out.select(*(c for c in out.columns if c != "row"), *none)
-    total = found.count()
-    df_t = term_counts(docs, pairs.select("t").distinct(), text_col)
-    once = lambda item: found.select(F.explode(F.array_distinct(F.transform("around", item))).alias("x"))
-    df_e = once(lambda x: x.e).groupBy(F.col("x").alias("e")).agg(F.count("*").alias("df_e"))
-    df_et = once(lambda x: F.struct(x.e.alias("e"), x.t.alias("t"))).groupBy("x.e", "x.t").agg(F.count("*").alias("df_et"))
-    measured = pairs.join(df_et, ["e", "t"]).join(df_e, "e").join(df_t, "t").withColumn("ic", F.log2(F.lit(float(total)) / F.col("df_e")))
-    pmi = F.log2(F.lit(float(total)) * F.col("df_et") / (F.col("df_e") * F.greatest("df_t", "df_et")))
-    told = measured.withColumn("share", F.when(F.col("ic") > 0, pmi / F.col("ic")).otherwise(0.0)).where(F.col("share") >= generalise)
-    told = materialise(told.select("e", "t", "n", (F.col("share") >= remove).alias("gone")), "pii-told")
-    marked = skewed_lookup(around, told, ["e", "t"], "n", around.count())
-    spans = marked.groupBy("row", "s", "f").agg(F.max("gone").alias("gone")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "f", "gone"))).alias("x"))
+    mentions = found.where("e is not null and t is null").select("row", "e")
+    per_e = told.groupBy("e").agg(F.max("df_e").alias("rows"))
+    mentions = materialise(skewed_lookup(mentions, per_e, ["e"], "rows", total).select("row", "e").distinct(), "pii-mentions")
+    places = occurrences(docs, mentions, told.select("t").distinct(), id_col, text_col)
+    per_t = told.groupBy("t").agg(F.collect_list(F.struct("e", "share")).alias("of"), F.max("df_t").alias("rows"))  # few: each shares nearly all its documents with t
+    met = skewed_lookup(places, per_t, ["t"], "rows", total).select("row", "s", "f", F.explode("of").alias("x")).select("row", "s", "f", "x.e", "x.share")
+    spans = met.join(mentions, ["row", "e"], "left_semi").groupBy("row", "s", "f").agg(F.max(F.col("share") >= remove).alias("gone"))
+    spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "f", "gone"))).alias("x"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("term:"), x.s.cast("string"), F.lit(":"), x.f.cast("string"))), ",")
     spans = spans.select("row", text(F.col("x")).alias("terms"), text(F.filter("x", lambda x: x.gone)).alias("removed"))
     return out.join(spans, "row", "left").drop("row").na.fill("", ["terms", "removed"])

@@ -89,6 +89,30 @@ def test_counts_survive_flushing(documents, spark):
     assert {r.t: r.df_t for r in pii.term_counts(docs, terms, "text", flush=1).collect()} == {"alpha": 30, "betax": 10}
 
 
+def test_terms_are_marked_wherever_they_stand(documents):
+    """Also far from the mention, and on their own nowhere else; each pair stays with its own entity."""
+    rows = corpus()[:200] + [(1000 + i, f"{w} gardener jane@farm.example " + "common " * 100 + "Gardener again") for i, w in enumerate(("apple", "bread", "cider"))]
+    rows += [(None, rows[-1][1]), (2000, "x joe@farm.example common")]
+    found = pii.find_personal(documents(rows)).collect()
+    for r in found:
+        text = dict(rows)[r.doc_id]
+        want = [m.span() for m in re.finditer("gardener", text, re.I)] if text and "jane@" in text else []
+        assert r.terms == ",".join(f"term:{a}:{b}" for a, b in want), r
+    assert sum("term" in r.terms for r in found) == 4
+
+
+def test_dense_addresses_stay_small(documents):
+    import tracemalloc
+
+    text = " ".join(f"user{i % 50}@host{i}.example name" for i in range(30_000))
+    found = pii.base_spans(text)
+    tracemalloc.start()
+    n = sum(1 for _ in pii.surroundings(text, found, 120))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 30_000 and n >= 60_000 and peak < 60_000_000
+
+
 def test_empty_table(documents):
     assert pii.find_personal(documents([(1, "a")]).where("doc_id > 1")).count() == 0
 
