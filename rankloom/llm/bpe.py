@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.shared import table
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.textbatch import groups_of, map_arrow
 
 SHORT = 64
 MEMO = 200_000
@@ -158,35 +159,38 @@ class ByteBPE:
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def merge_long(self, piece: bytes) -> bytes:
+        """A piece of any length: one tree in flat arrays, built in numpy, about 50 bytes for each of the piece's."""
         n, rank_of, merged, none = len(piece), self.rank_of, self.merged, 1 << 60
-        slots = 1 << max(0, (n - 1).bit_length())
-        sym = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = [none] * (2 * slots)
-        for i in range(n - 1):
-            if (r := rank_of.get((sym[i] << 32) | sym[i + 1])) is not None:
-                tree[slots + i] = r * slots + i
-        for i in range(slots - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        high = max(1, n - 1).bit_length()
+        slots = 1 << high
+        first = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        levels = [np.full(slots, none, np.int64)]
+        rank = self._rank(first[:-1], first[1:]).astype(np.int64)
+        levels[0][: n - 1] = np.where(rank != NONE, (rank << high) | np.arange(n - 1), none)
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = array("q", np.concatenate([[none], *reversed(levels)]).tobytes())
+        del levels, rank
+        sym, nxt, prv = (array("i", x.astype(np.int32).tobytes()) for x in (first, np.arange(1, n + 1), np.arange(-1, n - 1)))
 
         def put(i: int, j: int) -> None:
-            r = rank_of.get((sym[i] << 32) | sym[j]) if 0 <= i and j < n else None
-            set_leaf(i, none if r is None else r * slots + i)
+            r = rank_of.get((sym[i] << 32) | sym[j]) if j < n else None
+            set_leaf(i, none if r is None else (r << high) | i)
 
         def set_leaf(i: int, value: int) -> None:
             node = slots + i
             tree[node] = value
             while node > 1:
+                value = min(value, tree[node ^ 1])
                 node >>= 1
-                low = min(tree[2 * node], tree[2 * node + 1])
-                if tree[node] == low:
+                if tree[node] == value:
                     break
-                tree[node] = low
+                tree[node] = value
 
-        while tree[1] != none:
-            rank, i = divmod(tree[1], slots)
+        while (root := tree[1]) != none:
+            i = root & (slots - 1)
             gone = nxt[i]
-            sym[i] = int(merged[rank])
+            sym[i] = merged[root >> high]
             nxt[i] = after = nxt[gone]
             sym[gone] = -1
             if after < n:
@@ -195,7 +199,8 @@ class ByteBPE:
             put(i, after)
             if prv[i] >= 0:
                 put(prv[i], i)
-        return np.array([s for s in sym if s >= 0], np.int32).tobytes()
+        out = np.frombuffer(sym, np.int32)
+        return out[out >= 0].tobytes()
 
     def encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """(piece, its ids) in some order."""
@@ -319,7 +324,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 texts = pa.array(bpe.decode_all(flat, counts), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, texts], ["doc_id", "ids", "decoded"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return map_arrow(base, run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:
