@@ -2,6 +2,11 @@
 
 Each stage reads what its predecessor wrote. The first four return documents with their columns; the last returns a row per
 document of the mix (as often as it is taken): doc_id, n_tokens, and digests of its ids and of the text they decode to.
+
+Cases: null text is empty everywhere, and so are texts without words: quality scores them, one of them stays in exact_dedup,
+and the mix takes them with the epochs of their source. Ids may be null or repeat: rows are told apart by id and text.
+Of equal texts the largest id stays, of near copies the smallest. An empty table stays empty. Extra columns are carried to
+the mix with their values, whatever their names. Long texts are read whole by each stage.
 """
 
 from __future__ import annotations
@@ -14,14 +19,14 @@ from rankloom.llm.exact_dedup import drop_exact_copies
 from rankloom.llm.mixing import mixed_documents
 from rankloom.llm.near_copies import drop_near_duplicates
 from rankloom.llm.quality import score_quality, train_quality
-from rankloom.llm.shared import materialise, table
+from rankloom.llm.shared import columns, free_name, materialise, remainder, table
 from rankloom.sources.session import safe_unions
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels that op3 may learn from."""
-    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    return score_quality(docs, train_quality(docs, labels), docs.columns).where("score >= 0.5").select(*docs.columns)
+    labels, score = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1), free_name(docs, "score")
+    return score_quality(docs, train_quality(docs, labels), docs.columns, score_col=score).where(F.col(score) >= 0.5).select(*columns(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import corpus_pipeline as pipeline
 from rankloom.llm.bpe import loaded
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.quality import score_quality, train_quality
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_labels, plain_set
 
 
 @pytest.fixture(scope="module")
@@ -43,8 +43,9 @@ def test_stages_against_plain_python(spark, tables):
     for i in sorted(kept):
         newest[(rows[i].text or "").lower()] = i
     kept = set(newest.values())
-    label = plain_components([(i, plain_fingerprint(rows[i].text)) for i in sorted(kept)])
-    kept = {i for i in kept if label[i] == i}
+    ids = sorted(kept)
+    label = plain_labels([plain_set(rows[i].text) for i in ids])
+    kept = {min(i for i, x in zip(ids, label) if x == y) for y in set(label)}
     mixed = {r.doc_id: r for r in mix_sources(docs.where(F.col("doc_id").isin(*kept))).collect()}
     found = pipeline.run(spark, tables).collect()
     copies = {}
@@ -60,6 +61,30 @@ def test_stages_against_plain_python(spark, tables):
     assert all(r.n_tokens == len(bpe.encode_texts([rows[r.doc_id].text or ""])[0]) for r in found)
 
 
+def test_columns_of_any_name_keep_their_values(spark, tables):
+    names = ("score", "src", "source_size", "row", "id", "key", "hit", "n", "p", "maybe", "fp", "x", "y", "h", "epochs", "text_sha256", "_bucket", "kept", "lang_pred", "a.b")
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    wide = docs.withColumns({c: F.concat_ws(c, F.col("doc_id").cast("string"), F.lit("")) for c in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        found = stage(spark, wide, tables)
+        assert found.columns == wide.columns, name
+        for r in found.collect():
+            assert all(r[c] == f"{r.doc_id}{c}" for c in names), name
+    assert {*pipeline.STAGES[-1][1](spark, wide, tables).columns} == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_ids_that_repeat_or_miss(spark, tables):
+    text = "The quick words of this sentence are not like others at all here. "
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (1, "Quite another text under the same id, which has to stay as it is. " * 3, "en", "a", 1), (None, "Nobody gave this one an id, and yet it is clean and long enough. ", "en", None, 1), (None, text.lower(), "de", "b", 2), (9, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    once = sorted((r.doc_id or 0, r.text or "") for r in stages["exact_dedup"](spark, docs, tables).collect())
+    assert once == sorted((i or 0, t or "") for i, t in {(1, rows[0][1]), (1, rows[2][1]), (None, rows[3][1]), (9, None)})
+    near = sorted((r.doc_id or 0, r.text or "") for r in stages["near_dedup"](spark, docs, tables).collect())
+    assert near == once
+    assert {r.doc_id for r in stages["mix"](spark, docs, tables).collect()} <= {1, None, 9}
+
+
 def test_stages_keep_the_columns_and_take_an_empty_table(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for name, stage in pipeline.STAGES[:-1]:
