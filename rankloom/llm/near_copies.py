@@ -1,47 +1,64 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands propose, exact shingle sets decide.
+"""The near-copy stage: SimHash covering tables and shingle bands propose, exact Jaccard similarity decides.
 
-1. One pass over the texts gives each its set of distinct shingles (XXH64), of which stay a digest of the set (equal sets
-   are one node from here on), its size, `BANDS` band keys of `ROWS` min-hashes each, and a bitmap of `BITS` bits.
-2. Sets that share a band key are compared by size and bitmap. Both are bounds that no pair with the similarity exceeds:
-   sets of sizes a and b with Jaccard s differ in (1 - s) / (1 + s) (a + b) shingles, so in no more bits than that.
-3. The components of what is left are only possible ones. Their texts are read again, and within each component the exact
-   Jaccard similarity links pairs; pairs that are connected already are not compared. The links' components count.
+Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked; of each component of
+links one row stays. A SimHash of 64 bits puts most pairs of similarity 0.8 about ten bits apart, where covering tables
+would need a radius that keeps no bits to tell texts apart. They find pairs within three bits for certain; the rest is
+proposed by bands of minimal shingle hashes.
+
+1. One pass over the texts gives each its set of distinct shingles, of which stay a digest of the set (equal sets are one
+   node from here on), its size, its fingerprint, `BANDS` band keys of `ROWS` minimal hashes each, and a bitmap.
+2. Links of the covering tables are taken as possible. Sets that share a band key are compared by size and bitmap. Both are
+   bounds that no pair with the similarity exceeds: sets of sizes a and b with Jaccard s differ in (1 - s) / (1 + s) (a + b)
+   shingles, so in no more bits than that.
+3. The components of what is left are only possible ones. One text for each of their sets is read again, and within each
+   component the exact Jaccard similarity links pairs; pairs that are connected already are not compared.
 
 A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8, 2e-12 at 0.9. Nothing else is
 lost: no bucket or component is capped. Both are dealt into blocks, and each pair of blocks is a task's run.
 
 Cases: null text is an empty one; all texts without words have the same, empty set; fewer words than a shingle are one
-shingle; ids may be null or repeat: rows are told apart by id and set; an empty table gives an empty result.
+shingle; the smallest id of a component stays, null ids last; rows are told apart by id and text, and of rows that repeat
+both the least by a hash of their other columns stays; an empty table gives an empty result; other columns, whatever
+their names, are carried along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankloom.llm.shared import materialise, skewed_lookup
-from rankloom.llm.simhash import FOLD, PIECE, connected_components, forest
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.shared import KeyFilter, columns, forget, materialise, skewed_lookup
+from rankloom.llm.simhash import FOLD, connected_components, forest, majority, similarity_forest
+from rankloom.llm.textbatch import groups_of, map_arrow
 
 BANDS, ROWS, BITS = 32, 5, 1024
-FACTORS, SHIFTS = (np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1))
+FACTORS, SHIFTS = np.random.default_rng(42).integers(0, 1 << 31, (2, BANDS * ROWS), np.uint32) * np.uint32(2) + np.uint32(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers, one to one."""
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return (h ^ (h >> np.uint64(29))) * MIX
 
 
 def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
+    """The sorted distinct hashes of a text's shingles, put together from hashes of their words."""
     words, digest = (text or "").encode("utf-8", "replace").translate(FOLD).split(), xxhash.xxh64_intdigest
-    if len(words) < width:
-        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
-    parts, n = [], len(words) - width + 1
-    for at in range(0, n, PIECE):
-        part = words[at : min(n, at + PIECE) + width - 1]
-        parts.append(np.unique(np.fromiter((digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width))))), np.uint64)))
-    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+    own = np.fromiter(map(digest, words, repeat(seed)), np.uint64, len(words))
+    wide = min(width, len(words))
+    n = len(words) - wide + 1 if words else 0
+    out = np.full(n, wide, np.uint64)
+    for i in range(wide):
+        out = out * MIX + own[i : i + n]
+    return np.unique(mixed(out))
 
 
 def set_digest(shingles: np.ndarray) -> int:
@@ -52,9 +69,9 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     """A key for each band; sets without shingles have none."""
     if not len(shingles):
         return np.empty(0, np.int64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        np.minimum(low, (shingles[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=low)
+    low, short = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        np.minimum(low, (short[at : at + 512, None] * FACTORS + SHIFTS).min(axis=0), out=low)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(low.reshape(BANDS, ROWS))], np.int64)
 
 
@@ -95,20 +112,25 @@ def run_links(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, sets: list
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (digest of the set), n (its size), keys, bits."""
-    base = docs.select("doc_id", "text")
+    """id, key (of id and text), fp (digest of the set), n (its size), sim (its fingerprint), keys, bits."""
+    base = docs.select(F.col("doc_id").alias("id"), row_key().alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups_of(batch, 1):
-                sets = [shingle_set(t.as_py(), width) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([*map(set_digest, sets)], pa.int64()), pa.array([*map(len, sets)], pa.int64()),
-                     pa.array([*map(band_keys, sets)], pa.list_(pa.int64())), pa.array([*map(bitmap, sets)], pa.binary())],
-                    ["doc_id", "fp", "n", "keys", "bits"],
-                )
+            for part in groups_of(batch, 2):
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
+                columns = [
+                    pa.array([*map(set_digest, sets)], pa.int64()), pa.array([*map(len, sets)], pa.int64()),
+                    pa.array(np.array([*map(majority, sets)], np.uint64).view(np.int64)), pa.array([*map(band_keys, sets)], pa.list_(pa.int64())),
+                    pa.array([*map(bitmap, sets)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "key", "fp", "n", "sim", "keys", "bits"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp long, n long, keys array<long>, bits binary")
+    return map_arrow(base, run, T.StructType([base.schema["id"], *T.StructType.fromDDL("key long, fp long, n long, sim long, keys array<long>, bits binary")]))
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
 
 
 def dealt(rows: DataFrame, blocks) -> DataFrame:
@@ -150,75 +172,72 @@ def links_of(runs: DataFrame, similarity: float, exact: bool) -> DataFrame:
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return runs.mapInArrow(link, "u long, v long").distinct()
-
+    return map_arrow(runs, link, "u long, v long").distinct()
 
-def bucket_of(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(1 << 20))
 
-
-def with_sets(docs: DataFrame, width: int, keep: bool) -> DataFrame:
-    """docs with fp, and shingles where `keep`: then without their other columns."""
-    base = docs.select("text") if keep else docs
-    names = base.columns
-    at = names.index("text")
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """fp and shingles of docs(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups_of(batch, at):
-                sets = [shingle_set(t.as_py(), width) for t in part.column(at)]
-                fps = pa.array([*map(set_digest, sets)], pa.int64())
-                if keep:
-                    yield pa.RecordBatch.from_arrays([fps, pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*part.columns, fps], [*names, "_fp"])
+            for part in groups_of(batch, 0):
+                sets = [shingle_set(t.as_py(), width) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([*map(set_digest, sets)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "shingles"])
+
+    return map_arrow(docs.select("text"), run, "fp long, shingles binary")
+
 
-    if keep:
-        return base.mapInArrow(run, "fp long, shingles binary")
-    return base.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", _fp long")
+def proposed(nodes: DataFrame, marked: DataFrame, similarity: float, radius: int, block: int) -> DataFrame:
+    """Links (u, v) between digests that may have the similarity: within `radius` bits, or sharing a band."""
+    sims = materialise(nodes.groupBy("sim").agg(F.min("fp").alias("rep")), "near-sims")
+    covering = similarity_forest(sims.select(F.col("sim").alias("fp"), "rep"), sims.count(), radius)
+    same = nodes.join(sims, "sim").where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
 
+    spread = nodes.select("fp", F.explode("keys").alias("group"))
+    shared = materialise(spread.groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1"), "near-buckets")
+    met = materialise(skewed_lookup(spread, shared, ["group"], "rows", nodes.count() * BANDS), "near-met")
+    runs = dealt(met, F.ceil(F.col("rows") / block)).drop("rows")
+    bands = links_of(runs.join(nodes.select("fp", "n", "bits"), "fp"), similarity, False)
+    return materialise(covering.unionByName(same).unionByName(bands).distinct(), "near-links")
 
-def near_components(docs: DataFrame, marked: DataFrame, width: int, similarity: float, block: int, weight: int) -> DataFrame:
+
+def near_components(docs: DataFrame, marked: DataFrame, width: int, similarity: float, radius: int, block: int, weight: int) -> DataFrame:
     """node, component: digests of sets that have a near copy, with the smallest one they reach."""
-    spread = marked.select("fp", F.explode("keys").alias("group"))
-    shared = spread.groupBy("group").agg(F.count("*").alias("rows"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    shared = materialise(shared.select("group", "rows"), "near-buckets")
-    met = skewed_lookup(spread, shared, ["group"], "rows", marked.count() * BANDS).select("group", "fp").distinct()
-    met = materialise(met, "near-met")
-    sketch = marked.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "bits").dropDuplicates(["fp"])
-    sketch = materialise(sketch, "near-sketch")
-    sizes = met.groupBy("group").agg(F.count("*").alias("rows"))
-    runs = dealt(skewed_lookup(met, sizes, ["group"], "rows", met.count()), F.ceil(F.col("rows") / block))
-    maybe = materialise(connected_components(links_of(runs.join(sketch, "fp"), similarity, False)), "near-maybe")
+    nodes = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min("key").alias("key"))
+    nodes = materialise(nodes, "near-nodes")
+    maybe = connected_components(proposed(nodes, marked, similarity, radius, block))
     members = maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct())
-    members = materialise(members.select(F.col("node").alias("fp"), F.col("component").alias("group")).join(sketch, "fp"), "near-members")
-
-    ids = marked.join(members.select("fp"), "fp", "left_semi").select(bucket_of("doc_id").alias("_bucket")).distinct()
-    ids = materialise(ids, "near-ids")
-    again = docs.withColumn("_bucket", bucket_of("doc_id")).join(F.broadcast(ids), "_bucket", "left_semi")
-    sets = with_sets(again, width, True).join(members.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    sets = materialise(members.join(sets, "fp"), "near-sets")
+    members = materialise(members.select(F.col("node").alias("fp"), F.col("component").alias("group")).join(nodes.select("fp", "n", "bits", "key"), "fp"), "near-members")
+    again = KeyFilter(members, "key").marked(docs.select("text", row_key().alias("key")), F.col("key"), "hit").where("hit")
+    sets = shingle_sets(again.join(members.select("key"), "key", "left_semi"), width).dropDuplicates(["fp"])
+    sets = materialise(members.drop("key").join(sets, "fp"), "near-sets")
     load = sets.groupBy("group").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
     runs = dealt(skewed_lookup(sets, load, ["group"], "rows", sets.count()), F.ceil(F.greatest(F.col("load") / weight, F.col("rows") / block)))
-    return connected_components(links_of(runs, similarity, True))
+    out = connected_components(links_of(runs, similarity, True))
+    forget(nodes, maybe, members, sets)
+    return out
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = 4096, weight: int = 4_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3, block: int = 4096, weight: int = 4_000_000) -> DataFrame:
     """docs(doc_id, text, ...) with one row of each component of near copies: the one with the smallest id."""
     marked = materialise(sketches(docs, width), "near")
-    parts = near_components(docs, marked, width, similarity, block, weight)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    parts = near_components(docs, marked, width, similarity, radius, block, weight)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     fps = marked.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
     fps = materialise(fps.join(parts, fps.fp == parts.node, "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("group")), "near-parts")
-    kept = fps.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("rows"), F.count("*").alias("nodes")).where("rows > 1")
-    named = skewed_lookup(fps.select("fp", "group", "copies"), kept, ["group"], "nodes", fps.count())
-    named = materialise(named.select(F.col("fp").alias("_fp"), F.col("kept").alias("_kept"), F.col("copies").alias("_copies")), "near-kept")
-    touched = marked.join(named.select(F.col("_fp").alias("fp")), "fp", "left_semi").select(bucket_of("doc_id").alias("_bucket")).distinct()
-    touched = materialise(touched, "near-touched")
-    bucketed = docs.withColumn("_bucket", bucket_of("doc_id"))
-    clean = bucketed.join(F.broadcast(touched), "_bucket", "left_anti").select(*docs.columns)
-    rows = with_sets(bucketed.join(F.broadcast(touched), "_bucket", "left_semi").select(*docs.columns), width, False)
-    rows = skewed_lookup(rows, named, ["_fp"], "_copies", marked.count(), "left")
-    single = rows.where("_kept is null").select(*docs.columns)
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("_kept.doc_id")) & (F.col("_fp") == F.col("_kept.fp"))).dropDuplicates(["doc_id", "_fp"])
-    return clean.unionByName(single).unionByName(first.select(*docs.columns))
+    groups = fps.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("rows"), F.count("*").alias("nodes")).where("rows > 1")
+    named = skewed_lookup(fps.select("fp", "group", "copies"), groups, ["group"], "nodes", fps.count()).select("fp", "kept", "copies")
+    rows = skewed_lookup(marked.select("id", "key", "fp"), named, ["fp"], "copies", marked.count())
+    stays = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("key") == F.col("kept.key"))
+    found = materialise(rows.groupBy("id", "key").agg(F.max(stays).alias("stays"), F.count("*").alias("times")), "near-found")
+    forget(parts, fps, marked)
+
+    packed = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").alias("id"), row_key().alias("key"))
+    packed = KeyFilter(found, "key").marked(packed, F.col("key"), "hit")
+    own = found.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "stays", "times")
+    met = packed.where("hit").join(own, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")), "left")
+    others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
+    look = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    once = met.where("stays and times > 1").groupBy("id", "key").agg(F.min_by("row", look).alias("row"))
+    kept = met.where("stays is null or (stays and times = 1)")
+    return packed.where("not hit").select("row.*").unionByName(kept.select("row.*")).unionByName(once.select("row.*"))

@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from rankloom.llm import near_copies as N
 from tests.llm.test_simhash import plain_fingerprint
@@ -57,9 +60,30 @@ def test_small_blocks_give_the_same(documents):
     assert ids(block=3, weight=200) == ids()
 
 
-def test_shingle_sets_in_pieces(monkeypatch):
+def test_rows_that_repeat(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(7, text, 1), (7, text, 2), (7, text + " more", 3), (None, text + " tail", 4), (7, "another text under the id", 5), (None, "null id", 6), (9, None, 7), (8, "", 8), (10, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").withColumns({c: F.lit(3) for c in ("id", "key", "hit", "row", "fp", "kept", "stays", "_bucket")})
+    found = sorted((r.doc_id is None, r.doc_id, r.extra) for r in N.drop_near_duplicates(docs).collect() if r.doc_id is not None)
+    assert [x[1] for x in found] == [7, 7, 8] and {x[2] for x in found} - {1, 2, 3} == {5, 8}
+    assert [r.extra for r in N.drop_near_duplicates(docs).collect() if r.doc_id is None] == [6]
+
+
+def test_shingle_sets():
     text = "a b c d e f g a b c d e f g h"
-    assert len(N.shingle_set(text)) == len(plain_set(text))
-    whole = N.shingle_set(text)
-    monkeypatch.setattr(N, "PIECE", 3)
-    assert list(N.shingle_set(text)) == list(whole) and len(N.shingle_set(" \t")) == 0 and len(N.shingle_set("one two")) == 1
+    assert len(N.shingle_set(text)) == len(plain_set(text)) and len(N.shingle_set(" \t")) == 0 and len(N.shingle_set("one two")) == 1
+    assert N.shingle_set("one two") != N.shingle_set("one")
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = (" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        assert len(np.intersect1d(N.shingle_set(a), N.shingle_set(b))) == len(plain_set(a) & plain_set(b))
+
+
+def test_bands_propose_what_is_similar():
+    rng = random.Random(5)
+    missed = 0
+    for _ in range(300):
+        own = [rng.getrandbits(64) for _ in range(90)]
+        a, b = (np.unique(np.array(own[:80] + [rng.getrandbits(64) for _ in range(10)], np.uint64)) for _ in range(2))
+        missed += not np.any(N.band_keys(a) == N.band_keys(b))
+    assert missed == 0
