@@ -1,22 +1,28 @@
 """Exact nearest neighbours by inner product, and the code rankings drawn from them.
 
-Both sides are packed into blocks of bounded size; every pair of blocks is one matrix product whose task keeps only the
-best rows of each query. Nothing is broadcast and no pair of vectors is ever a row.
+Both sides are dealt into blocks of bounded size; a task streams queries past an index block, one matrix product a batch,
+and keeps only the best rows of each query. Nothing is broadcast and no pair of vectors is ever a row. Ids are of any type.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.blocks import against_blocks, best_rows
 from rankloom.operators.ranking import rank_by
 
 
+def finite(vector: Column, key: Column) -> Column:
+    """The vector; an error that names the row where it or a component is null or not finite."""
+    bad = vector.isNull() | F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.when(bad, F.raise_error(F.concat(F.lit("no finite vector for "), F.coalesce(key.cast("string"), F.lit("null"))))).otherwise(vector)
+
+
 def normalised(vector: Column) -> Column:
     """The vector at length 1, as doubles; a zero vector stays."""
     v = F.transform(vector, lambda x: x.cast("double"))
@@ -28,41 +34,40 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    n = max(1, -(-df.count() // size))
-    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(name), F.col(key).alias("id"), F.col(vector).alias("v"))
-    return dealt.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows")).withColumn(f"{name}_all", F.lit(n))
-
-
-def nearest(queries: DataFrame, index: DataFrame, k: int, query_key: str = "id", index_key: str = "id", vector: str = "vector", decimals: int = 6, exclude_self: bool = False, query_block: int = 1024, index_block: int = 4096) -> DataFrame:
-    """query, id, sim, rank: the k most similar index rows of each query, similarity rounded, ties by id."""
-    q = _blocks(queries, query_key, vector, query_block, "qb").withColumnRenamed("rows", "qs")
-    i = _blocks(index, index_key, vector, index_block, "ib")
-    blocks = i.select("ib_all").limit(1)
-    spread = q.join(F.broadcast(blocks)).withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ib_all").cast("long") - 1)))
-    pairs = spread.select("qb", "qs", "ib").join(i.select("ib", "rows"), "ib").select("qs", "rows")
-
-    def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat = rows.flatten()
-        ids, vs = flat.field(0).to_numpy(), flat.field(1)
-        return ids, vs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                (qids, qs), (ids, vs) = (unpack(batch.column(c).slice(at, 1)) for c in (0, 1))
-                order = np.argsort(ids, kind="stable")
-                ids, vs = ids[order], vs[order]
-                sims = np.round(qs @ vs.T, decimals) + 0.0
-                if exclude_self:
-                    sims[qids[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(sims, best, axis=1)
-                keep = np.isfinite(top)
-                rows = np.repeat(qids, best.shape[1]).reshape(best.shape)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ids[best[keep]]), pa.array(top[keep])], ["query", "id", "sim"])
-
-    found = pairs.mapInArrow(product, "query long, id long, sim double")
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def nearest(queries: DataFrame, index: DataFrame, k: int, query_key: str = "id", index_key: str = "id", vector: str = "vector", decimals: int = 6, exclude_self: bool = False, query_block: int = 16_384, index_block: int = 65_536, step: int = 512) -> DataFrame:
+    """query, id, sim, rank: the k most similar index rows of each query, similarity rounded, ties by id.
+
+    Vectors that are null or hold a component that is null or not finite are refused.
+    """
+    side = lambda df, key: df.select(F.col(key).alias("id"), finite(F.col(vector), F.col(key)).alias("v"))
+    q, i = side(queries, query_key), side(index, index_key)
+
+    def build(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        ids = rows.field("id")
+        order = pc.sort_indices(ids)
+        return ids.take(order), _matrix(rows.field("v").take(order))
+
+    def answer(block: tuple[pa.Array, np.ndarray], rows: pa.StructArray) -> pa.RecordBatch:
+        ids, vs = block
+        qids, out = rows.field("id"), []
+        own = pc.index_in(qids, value_set=ids).to_numpy(zero_copy_only=False) if exclude_self else None
+        for at in range(0, len(rows), step):
+            sims = np.round(_matrix(rows.field("v").slice(at, step)) @ vs.T, decimals) + 0.0
+            if own is not None:
+                here = own[at : at + step]
+                known = np.flatnonzero(~np.isnan(here.astype(float)))
+                sims[known, here[known].astype(np.int64)] = -np.inf
+            r, c = best_rows(sims, k)
+            out.append((r + at, c, sims[r, c]))
+        r, c, sims = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(r)), ids.take(pa.array(c)), pa.array(sims)], ["query", "id", "sim"])
+
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    found = against_blocks(q, "id", i, "id", query_block, index_block, build, answer, f"query {kind(q)}, id {kind(i)}, sim double")
     return rank_by(found, ["query"], [F.desc("sim"), F.col("id")], limit=k)
 
 
@@ -106,4 +111,4 @@ def centroids(vectors: DataFrame, label: str = "code") -> DataFrame:
     parts = vectors.select(F.col(label).alias("id"), F.posexplode("vector").alias("pos", "x"))
     means = parts.groupBy("id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     packed = means.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("v"))
-    return packed.select(F.col("id").cast("long").alias("id"), F.transform(normalised(F.col("v")), lambda x: F.round(x, 6)).alias("vector"))
+    return packed.select("id", F.transform(normalised(F.col("v")), lambda x: F.round(x, 6)).alias("vector"))

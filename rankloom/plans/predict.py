@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import fusion, prior, rerank, vectors
-from rankloom.operators.lexical import bm25_weights, match, postings, query_terms
+from rankloom.operators.lexical import lexical_index, match, query_terms, sparse_terms
 from rankloom.operators.ranking import restrict
 from rankloom.sources.session import safe_unions
 
@@ -33,7 +33,10 @@ class Settings:
 
 @dataclass
 class Inputs:
-    """queries(record_id, text, vector), documents(id, vector), subjects(id, code), labels(id = code, vector), entries(entry, code, text), vocabulary(code)."""
+    """queries(record_id, text, vector), documents(id, vector), subjects(id, code), labels(id = code, vector), entries(entry, code, text), vocabulary(code).
+
+    Where queries and entries have `weights` (a map of terms), they are matched by these instead of BM25. Ids and codes are of any type.
+    """
 
     queries: DataFrame
     vocabulary: DataFrame
@@ -58,8 +61,9 @@ def retrieve(own: Inputs, s: Settings) -> DataFrame:
     if "dense" in s.weights:
         out.append(("dense", vectors.nearest(asked, own.labels, s.top_k).withColumnsRenamed({"id": "code", "sim": "score"})))
     if "lexical" in s.weights:
-        words = query_terms(own.queries.select(F.col("record_id").alias("query"), "text"))
-        out.append(("lexical", match(words, bm25_weights(postings(own.entries)), s.top_k)))
+        sparse = "weights" in own.entries.columns and "weights" in own.queries.columns  # the encoder gives term weights
+        words = sparse_terms(own.queries, "record_id", "weights") if sparse else query_terms(own.queries.select(F.col("record_id").alias("query"), "text"))
+        out.append(("lexical", match(words, lexical_index(own.entries, "weights" if sparse else None), s.top_k, "given" if sparse else "once")))
     lists = [df.select(F.col("query").alias("record_id"), F.lit(name).alias("source"), "rank", "code", "score") for name, df in out]
     whole = lists[0]
     for df in lists[1:]:
