@@ -63,6 +63,16 @@ def label_text(group: Column, name: Column, synonyms: Column, definition: Column
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
+def config_label(form: str, term: Column, mode: str, english: Column, group: Column, synonyms: Column, definition: Column | None = None) -> Column:
+    """A label in the form that a configuration names: its bilingual name alone, or the marked text around it."""
+    name = bilingual(render_term(term, mode), english)
+    if form == "name":
+        return name
+    if form == "text":
+        return label_text(group, name, synonyms, definition)
+    raise ValueError(f"label form {form!r} is neither name nor text")
+
+
 def variants(name: Column, english: Column, synonyms: Column) -> Column:
     """Names to match: the rendered name, its English, the synonyms; blanks and repeats dropped, order kept."""
     return F.array_distinct(F.filter(F.concat(F.array(name, english), synonyms), lambda x: x.isNotNull() & (x != "")))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.ranking import numbered
+
 #: Boundaries fixed by the task: band, least count, greatest count (None: no end).
 BOUNDARIES = (("head", 101, None), ("torso", 10, 100), ("tail", 1, 9), ("zero", 0, 0))
 
@@ -33,6 +34,11 @@ def freeze_bands(raw: DataFrame, boundaries=BOUNDARIES) -> DataFrame:
     return assignment_counts(raw).withColumn("band", band_of(F.col("count"), boundaries))
 
 
+def weighted_report(frozen: DataFrame) -> DataFrame:
+    """band, labels, assignments: how many labels a band has, and how often they are assigned."""
+    return frozen.groupBy("band").agg(F.count("*").alias("labels"), F.sum("count").alias("assignments"))
+
+
 def migration(labels: DataFrame, frozen: DataFrame, counts: DataFrame, boundaries=BOUNDARIES, weight: str | None = None) -> DataFrame:
     """before, after, n: labels by their frozen band and the band that `counts` would give them, weighted by a column of labels."""
     joined = labels.join(frozen.select("code", F.col("band").alias("before")), "code", "left").join(counts.select("code", "count"), "code", "left")
@@ -76,16 +82,9 @@ def recall_over(labels: DataFrame, gold: DataFrame, predictions: DataFrame, ks:
     return sums.withColumn("x", each).select("half", "x.k", "x.hits", "assignments", (F.col("x.hits") / F.col("assignments")).alias("recall"))
 
 
-def output_layer(assignments: DataFrame, width: int = 1000) -> DataFrame:
-    """code, position: the sorted distinct codes, numbered without gathering them in one task.
-
-    Integer codes are cut into ranges of `width`; the sizes of the ranges give each its first position.
-    """
-    ordered = assignments.select("code").distinct().withColumn("range", F.floor(F.col("code") / width))
-    sizes = ordered.groupBy("range").agg(F.count("*").alias("n"))
-    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = ordered.withColumn("at", F.row_number().over(W.partitionBy("range").orderBy("code"))).join(first, "range")
-    return placed.select("code", (F.col("first") + F.col("at") - 1).alias("position"))
+def output_layer(assignments: DataFrame) -> DataFrame:
+    """code, position: the sorted distinct codes, of any type, numbered without gathering them in one task."""
+    return numbered(assignments.select("code").distinct(), [F.col("code")]).select("code", "position")
 
 
 def target_rows(gold: DataFrame, layer: DataFrame, records: DataFrame) -> DataFrame:

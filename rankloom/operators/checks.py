@@ -45,6 +45,46 @@ def unpaired(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, on, "left_anti").withColumn("side", F.lit("right")))
 
 
+def without_cell(records: DataFrame, cells: DataFrame) -> DataFrame:
+    """Records that have no type and language."""
+    return records.select("record_id").join(cells.select("record_id"), "record_id", "left_anti")
+
+
+def misaligned_records(records: DataFrame, rankings: DataFrame) -> DataFrame:
+    """problem, record_id: ids that appear more than once, and records without a ranking."""
+    twice = repeated_ids(records, "record_id").select(F.lit("repeated").alias("problem"), "record_id")
+    missing = records.select("record_id").distinct().join(rankings.select("record_id").distinct(), "record_id", "left_anti")
+    return twice.unionByName(missing.select(F.lit("no ranking").alias("problem"), "record_id"))
+
+
+def submission_gaps(gold: DataFrame, submitted: DataFrame) -> DataFrame:
+    """grain, place: types, languages and files of gold(type, lang, file) that the submission lacks, and files that are no JSON.
+
+    A missing type isn't missing its languages too, nor a missing language its files.
+    """
+    stem = lambda df: df.withColumn("stem", F.regexp_replace("file", r"\.[^.]*$", ""))
+    lacking = lambda a, b, on: a.select(*on).distinct().join(b.select(*on).distinct(), on, "left_anti")
+    g, s = stem(gold), stem(submitted)
+    place = lambda *c: F.concat_ws("/", *c).alias("place")
+    types = lacking(g, s, ["type"])
+    left = g.join(types, "type", "left_anti")
+    languages = lacking(left, s, ["type", "lang"])
+    files = lacking(left.join(languages, ["type", "lang"], "left_anti"), s, ["type", "lang", "stem"])
+    other = s.where(~F.col("file").endswith(".json"))
+    return types.select(F.lit("type").alias("grain"), F.col("type").alias("place")).unionByName(
+        languages.select(F.lit("language").alias("grain"), place("type", "lang"))
+    ).unionByName(files.select(F.lit("file").alias("grain"), place("type", "lang", "stem"))).unionByName(other.select(F.lit("no JSON").alias("grain"), place("type", "lang", "file")))
+
+
+def appendix_conflicts(models: DataFrame, cutoff: str, providers: list[str]) -> DataFrame:
+    """name, problem: models inside the cutoff that are marked as outside, or outside and not marked, or that nothing can call."""
+    day = F.lit(cutoff).cast("date")
+    inside = (F.col("created") <= day) & (F.col("revision_date") <= day)
+    problem = F.when(inside & F.col("appendix"), "marked, but inside the cutoff").when(~inside & ~F.col("appendix"), "outside the cutoff, but not marked")
+    problem = problem.when(~F.coalesce(F.col("provider").isin(*providers), F.lit(False)), "no known provider")
+    return models.select("name", problem.alias("problem")).where("problem is not null")
+
+
 def after_cutoff(models: DataFrame, cutoff: str) -> DataFrame:
     """Models created or revised after the cutoff date."""
     return models.where((F.col("created") > F.lit(cutoff).cast("date")) | (F.col("revision_date") > F.lit(cutoff).cast("date")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import rank_by
+from rankloom.operators.ranking import numbered, rank_by
 
 
 def concatenate(*corpora: DataFrame) -> DataFrame:
@@ -50,12 +52,19 @@ def clear(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return index.join(gone.select(key), key, "left_anti")
 
 
+def assembled_load(corpus: DataFrame, held_out: DataFrame, vocabulary: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, vocabulary, index): a held-out split(split, key), and the merged corpus without the records that it holds."""
+    return held_out, vocabulary, clear(corpus, excluded(corpus, held_out, key), key)
+
+
 def quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
     """Largest-remainder quotas of `size` over cells(by..., n); ties go by cell. At or above the total each cell gives all.
 
-    Cells may be left empty; fed_quotas() feeds them.
+    If size is at least the number of cells, each that would get nothing takes one from the largest donor, in order of
+    cell; of equal donors the last cell gives, and none gives its last one. Taking one at a time from the largest is taking
+    the highest units of all donors: unit l of a cell is the one that its quota of l has and one of l - 1 hasn't.
     """
-    whole = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # a row a cell
     total, cells_n = F.sum("n").over(whole), F.count("*").over(whole)
     share = F.col("n") * F.lit(size) / F.col("total")
     out = cells.withColumn("total", total).withColumn("cells", cells_n).withColumn("share", share)
@@ -64,30 +73,57 @@ def quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
     place = F.row_number().over(W.orderBy(F.desc("rest"), *by))
     out = out.withColumn("place", place).withColumn("left", left)
     quota = F.when(F.lit(size) >= F.col("total"), F.col("n")).otherwise(F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0))
-    return out.withColumn("quota", quota.cast("long")).select(*by, "n", "quota")
+    out = out.withColumn("quota", quota.cast("long"))
+    starved = (F.col("quota") == 0) & (F.col("n") > 0) & (F.lit(size) >= F.col("cells"))
+    out = out.withColumn("starved", starved).withColumn("wanted", F.count_if("starved").over(whole))
+    out = out.withColumn("turn", F.when(F.col("starved"), F.row_number().over(W.partitionBy("starved").orderBy(*by))))
+    units = out.where("quota > 1").select(*by, "wanted", F.explode(F.sequence(F.lit(2).cast("long"), F.col("quota"))).alias("unit"))
+    ordered = units.withColumn("at", F.row_number().over(W.orderBy(F.desc("unit"), *(F.desc_nulls_last(b) for b in by)))).where("at <= wanted")
+    given = ordered.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.count("*").alias("given"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    met = out.join(F.broadcast(given), reduce(Column.__and__, same), "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    fed = F.when(F.col("turn") <= F.sum("given").over(whole), 1).otherwise(0)
+    return met.select(*by, "n", (F.col("quota") - F.col("given") + fed).alias("quota"))
+
 
+def in_corpus_order(rows: DataFrame, positions: DataFrame, key: str) -> DataFrame:
+    """rows with the place of their key in the corpus, in that order."""
+    return rows.join(positions.select(key, "position"), key).orderBy("position")
 
-def feed_empty_cells(rows: list[dict], by: list[str], size: int) -> list[dict]:
-    """The starvation step of fed_quotas(), on its collected rows (one a cell). Null cells come first."""
-    rows, cell = [dict(r) for r in rows], lambda r: [(r[b] is not None, str(r[b])) for b in by]
-    if size >= len(rows):
-        for r in sorted((r for r in rows if r["quota"] == 0 and r["n"] > 0), key=cell):
-            donor = max(rows, key=lambda d: (d["quota"], cell(d)))
-            if donor["quota"] <= 1:
-                break
-            donor["quota"] -= 1
-            r["quota"] += 1
-    return rows
 
+def simple_sample(rows: DataFrame, size: int, key: str, seed: int) -> DataFrame:
+    """`size` rows in the order of a seeded hash of the key, whatever their cells."""
+    return rows.orderBy(draw_key(seed, F.col(key)), key).limit(size)
 
-def fed_quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
-    """quotas(), but when size is at least the number of cells, each that would get nothing takes one from the largest donor.
 
-    Empty cells take in order, from the largest (quota, cell) each time, over the collected rows: one a cell.
+def choose_per_cell(records: DataFrame, assignments: DataFrame, vocabulary: DataFrame, by: list[str], count: int, seed: int) -> DataFrame:
+    """From each cell `count` records, in seeded order, that have text and codes, all of them in the vocabulary."""
+    known = assignments.join(vocabulary.select("code", F.lit(1).alias("known")), "code", "left").groupBy("record_id").agg(F.count_if(F.col("known").isNull()).alias("unknown"))
+    usable = records.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(known.where("unknown = 0").select("record_id"), "record_id", "left_semi")
+    drawn = rank_by(usable.withColumn("_draw", draw_key(seed, F.col("record_id"))), by, [F.col("_draw"), F.col("record_id")], limit=count, name="place")
+    return drawn.drop("_draw")
+
+
+def wrong_codes(records: DataFrame, gold: DataFrame, vocabulary: DataFrame, count: int, seed: int) -> DataFrame:
+    """record_id, code, rank: `count` codes of the vocabulary that are certainly wrong for the record.
+
+    The same `count` + most gold codes of any record, in seeded order, are tried for all, so that enough are left.
     """
-    out = quotas(cells, by, size)
-    rows = feed_empty_cells([r.asDict() for r in out.collect()], by, size)
-    return out.sparkSession.createDataFrame([tuple(r[c] for c in out.columns) for r in rows], out.schema)
+    most = gold.select("record_id", "code").distinct().groupBy("record_id").count().agg(F.max("count")).first()[0] or 0
+    pool = vocabulary.select("code").distinct().orderBy(draw_key(seed, F.col("code")), "code").limit(count + most)
+    tried = records.select("record_id").join(F.broadcast(pool))  # at most count + most codes
+    wrong = tried.join(gold.select("record_id", "code"), ["record_id", "code"], "left_anti")
+    return rank_by(wrong.withColumn("_draw", draw_key(seed, F.col("code"))), ["record_id"], [F.col("_draw"), F.col("code")], limit=count).drop("_draw")
+
+
+def fixture_codes(index: DataFrame, queries: DataFrame, vocabulary: DataFrame, withheld: int) -> DataFrame:
+    """code, part: withheld (the first index codes that no query has), unseen (the first code of neither), slice (the others)."""
+    i, q, v = (df.select("code").distinct() for df in (index, queries, vocabulary))
+    gone = i.join(q, "code", "left_anti").orderBy("code").limit(withheld)
+    unseen = v.join(q, "code", "left_anti").join(i, "code", "left_anti").orderBy("code").limit(1)
+    rest = i.unionByName(q).distinct().join(F.broadcast(gone), "code", "left_anti")
+    part = lambda df, name: df.withColumn("part", F.lit(name))
+    return part(gone, "withheld").unionByName(part(unseen, "unseen")).unionByName(part(rest, "slice"))
 
 
 def draw_key(seed: int, key: Column) -> Column:
@@ -95,8 +131,9 @@ def draw_key(seed: int, key: Column) -> Column:
 
 
 def stratified_sample(rows: DataFrame, quota: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
-    """From each cell its quota of rows, in the order of a seeded hash of the key."""
-    drawn = rank_by(rows.withColumn("_draw", draw_key(seed, F.col(key))), by, [F.col("_draw"), F.col(key)], name="_at")
+    """From each cell its quota of rows, in the order of a seeded hash of the key. No task keeps more of a cell than the largest quota."""
+    most = quota.agg(F.max("quota")).first()[0] or 0
+    drawn = rank_by(rows.withColumn("_draw", draw_key(seed, F.col(key))), by, [F.col("_draw"), F.col(key)], limit=int(most), name="_at")
     return drawn.join(quota.select(*by, "quota"), by).where(F.col("_at") < F.col("quota")).drop("_draw", "_at", "quota")
 
 
@@ -110,8 +147,8 @@ def cell_shares(corpus: DataFrame, sample: DataFrame, by: list[str]) -> DataFram
 
 
 def duplicated_from(queries: DataFrame, index: DataFrame, key: str, same: list[str]) -> DataFrame:
-    """Keys of queries whose `same` fields equal an indexed row's under another key. Compares hashes first, then the fields."""
-    h = lambda: F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c), F.lit("")) for c in same)).cast("binary"), 256)
+    """Keys of queries whose `same` fields, none of them null, equal an indexed row's under another key; compared by a SHA-256 of lengths and fields."""
+    h = lambda: F.sha2(F.concat(*(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in same)).cast("binary"), 256)
     known = index.select(h().alias("h"), F.col(key).alias("_k")).groupBy("h").agg(F.min("_k").alias("low"), F.max("_k").alias("high"))
     return queries.select(key, h().alias("h")).join(known, "h").where((F.col("low") != F.col(key)) | (F.col("high") != F.col(key))).select(key)
 

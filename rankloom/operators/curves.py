@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from rankloom.operators.ranking import rank_by
 from rankloom.operators.rerank import global_position
 
 
+SMALL = 5000
+
+
 def coverage_curve(confidences: DataFrame, outcomes: DataFrame, coverages: tuple[float, ...], precision_k: int = 5) -> DataFrame:
     """requested, threshold, records, precision, achievable, recall, share (of assignments), no_hit.
 
@@ -32,7 +37,8 @@ def coverage_curve(confidences: DataFrame, outcomes: DataFrame, coverages: tuple
         total.alias("assignments"), F.avg(F.when(F.col("hits_p") == 0, 1.0).otherwise(0.0)).alias("no_hit"),
     )
     whole = outcomes.agg(F.sum("gold").alias("all"))
-    return sums.join(F.broadcast(whole)).withColumn("share", F.col("assignments") / F.col("all")).drop("all")
+    best = F.coalesce(F.try_divide(F.col("precision"), F.col("achievable")), F.lit(0.0))
+    return sums.join(F.broadcast(whole)).withColumn("share", F.col("assignments") / F.col("all")).withColumn("share_of_achievable", best).drop("all")
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -51,7 +57,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """One row: tau-b. Compares all pairs of a small table."""
+    """One row: tau-b. Compares all pairs of a small table; larger ones than SMALL are refused."""
+    if df.count() > SMALL:
+        raise ValueError(f"rank correlations are for tables of at most {SMALL} systems")
     a, b = df.select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya")), df.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     pairs = a.join(b, F.col("ka") < F.col("kb")).select(F.signum(F.col("xa") - F.col("xb")).alias("sx"), F.signum(F.col("ya") - F.col("yb")).alias("sy"))
     n = F.count("*")
@@ -81,3 +89,53 @@ def attribution(untrained_small: DataFrame, untrained: DataFrame, trained: DataF
     at = lambda df, c: df.select(name, F.col(metric).alias(c))
     joined = at(untrained_small, "a").join(at(untrained, "b"), name).join(at(trained, "c"), name)
     return joined.select(name, (F.col("b") - F.col("a")).alias("index_adds"), (F.col("c") - F.col("b")).alias("training_adds"))
+
+
+def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: the correlation, null without variance."""
+    return df.agg(F.when((F.stddev_pop(x) != 0) & (F.stddev_pop(y) != 0), F.corr(x, y)).alias("pearson"))
+
+
+def by_index_size(screens: DataFrame) -> DataFrame:
+    """screen, documents, place: screens from the smallest index to the largest. A row a screen."""
+    own = screens.select("screen", "documents").distinct()
+    return own.withColumn("place", (F.row_number().over(W.orderBy("documents", "screen")) - 1).cast("int"))
+
+
+def verdict(rows: DataFrame, screens: DataFrame, name: str, metric: str) -> DataFrame:
+    """One row: smallest and largest screen, whether their rankings are the same, how many systems moved, rho and tau."""
+    ordered = by_index_size(screens)
+    ends = ordered.agg(F.min_by("screen", "place").alias("smaller"), F.max_by("screen", "place").alias("larger"))
+    ranked = screen_ranking(rows, ["screen"], metric, name).join(F.broadcast(ends))  # one row
+    side = lambda c, m, p: ranked.where(F.col("screen") == F.col(c)).select(name, F.col(metric).alias(m), F.col("position").alias(p))
+    both = side("smaller", "_x", "_before").join(side("larger", "_y", "_after"), name)
+    moved = both.agg(F.count_if(F.col("_before") != F.col("_after")).alias("moved")).withColumn("stable", F.col("moved") == 0)
+    return ends.join(moved).join(spearman(both, "_x", "_y")).join(kendall(both, name, "_x", "_y"))  # one row each
+
+
+def incomparable(screens: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
+    """check, detail: why screens can't be compared; empty if they can.
+
+    screens: screen, documents, split, records, corpora, revision. rows: screen, encoder. held: screen, encoder, section,
+    value, for what must be equal everywhere. All are small documents.
+    """
+    found = lambda df, check, detail: df.select(F.lit(check).alias("check"), detail.cast("string").alias("detail"))
+    out = [found(screens.agg(F.count("*").alias("n")).where("n < 2"), "screens", F.col("n"))]
+    per = screens.select("screen").join(rows.groupBy("screen").agg(F.countDistinct("encoder").alias("n")), "screen", "left")
+    out.append(found(per.where("coalesce(n, 0) < 2"), "one encoder", F.col("screen")))
+    out.append(found(screens.groupBy("documents").count().where("count > 1"), "same index size", F.col("documents")))
+    for c in ("split", "records", "corpora", "revision"):
+        out.append(found(screens.agg(F.sort_array(F.collect_set(F.col(c).cast("string"))).alias("x")).where("size(x) > 1"), c, F.array_join("x", ", ")))
+    n = screens.agg(F.countDistinct("screen").alias("all"))
+    some = rows.groupBy("encoder").agg(F.countDistinct("screen").alias("n")).join(F.broadcast(n)).where(F.col("n") < F.col("all"))  # one row
+    out.append(found(some, "encoder at some sizes only", F.col("encoder")))
+    every = rows.select("screen", "encoder").join(held.select("section").distinct()).join(held, ["screen", "encoder", "section"], "left")
+    apart = every.groupBy("section").agg(F.sort_array(F.collect_set(F.coalesce("value", F.lit("-")))).alias("x")).where("size(x) > 1")
+    out.append(found(apart, "differs", F.concat_ws(": ", "section", F.array_join("x", ", "))))
+    return reduce(DataFrame.unionByName, out)
+
+
+def screen_table(rows: DataFrame, systems: str, metric: str, screens: list[str]) -> DataFrame:
+    """One row a system, one column a screen, and the change from the first to the last."""
+    wide = rows.groupBy(systems).pivot("screen", screens).agg(F.max(metric))
+    return wide.withColumn("change", F.col(screens[-1]) - F.col(screens[0]))

@@ -7,6 +7,8 @@ places before averaging.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,3 +112,30 @@ def before_after(before: DataFrame, after: DataFrame, on: list[str], metrics: tu
     a, b = before.alias("a"), after.alias("b")
     columns = [c for m in metrics for c in (F.col(f"a.{m}").alias(f"{m}_before"), F.col(f"b.{m}").alias(f"{m}_after"), (F.col(f"b.{m}") - F.col(f"a.{m}")).alias(f"{m}_change"))]
     return a.join(b, on).select(*on, *columns)
+
+
+def with_overall(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells and a row a k for all of them, the mean of the cells' metrics, named Overall."""
+    metrics = ["precision", "recall", "f1"]
+    whole = cells.groupBy("k").agg(*(F.avg(m).alias(m) for m in metrics))
+    named = whole.select(*(F.lit("Overall" if i == 0 else "").alias(b) for i, b in enumerate(by)), "k", *metrics)
+    return cells.select(*by, "k", *metrics).unionByName(named)
+
+
+def without_gold(records: DataFrame, gold: DataFrame) -> DataFrame:
+    """Records that no evaluation counts, as they have no gold codes."""
+    return records.select("record_id").join(gold.select("record_id").distinct(), "record_id", "left_anti")
+
+
+def report(gold: DataFrame, predictions: DataFrame, bands: DataFrame, records: DataFrame, names: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
+    """part, slice, k, precision, recall, f1, records, assignments: pooled, by band, by language and by type. Records without a
+    cell are refused."""
+    from rankloom.operators.checks import require_none, without_cell
+
+    require_none(without_cell(gold.select("record_id").distinct(), records), "records without a cell")
+    own = record_hits(gold, predictions, ks).join(records.select("record_id", "type", "lang"), "record_id")
+    named = lambda df, part, column: df.withColumn("part", F.lit(part)).withColumn("slice", column)
+    parts = [named(micro(own, []), "micro", F.lit("all")), named(by_band(gold, predictions, bands, names, ks), "band", F.col("band"))]
+    parts += [named(micro(own, [c]), part, F.col(c)) for c, part in (("lang", "language"), ("type", "type"))]
+    out = ["part", "slice", "k", "precision", "recall", "f1", "records", "assignments"]
+    return reduce(DataFrame.unionByName, (df.select(*out) for df in parts))

@@ -18,15 +18,35 @@ def record_groups(gold: DataFrame, groups: DataFrame) -> DataFrame:
     return gold.join(groups, "code").select("record_id", "group").distinct()
 
 
-def distributions(vectors: DataFrame, head: DataFrame) -> DataFrame:
-    """id, group, p: sigmoids of head(group, coefficients, intercept) over vectors(id, vector), normalised to sum 1 (uniform at 0)."""
+def distributions(vectors: DataFrame, head: DataFrame, most: int = 100_000) -> DataFrame:
+    """id, group, p: sigmoids of head(group, coefficients, intercept) over vectors(id, vector), normalised to sum 1 (uniform at 0).
+
+    The head travels as one row, which is refused beyond `most` groups; a vector's groups are one array until the end.
+    """
     from rankloom.operators.vectors import dot
 
-    z = vectors.join(F.broadcast(head)).withColumn("z", F.round(dot(F.col("vector"), F.col("coefficients")) + F.col("intercept"), 9))
-    z = z.withColumn("s", 1 / (1 + F.exp(-F.col("z"))))
-    each = W.partitionBy("id")
-    p = F.when(F.sum("s").over(each) == 0, 1 / F.count("*").over(each)).otherwise(F.col("s") / F.sum("s").over(each))
-    return z.select("id", "group", p.alias("p"))
+    groups = head.count()
+    if groups > most:
+        raise ValueError(f"a head of {groups} groups; at most {most}")
+    whole = head.agg(F.sort_array(F.collect_list(F.struct("group", "coefficients", "intercept"))).alias("head"))
+    sigmoid = lambda h: 1 / (1 + F.exp(-F.round(dot(F.col("vector"), h["coefficients"]) + h["intercept"], 9)))
+    own = vectors.join(F.broadcast(whole)).withColumn("s", F.transform("head", lambda h: F.struct(h["group"].alias("group"), sigmoid(h).alias("s"))))
+    own = own.withColumn("total", F.aggregate("s", F.lit(0.0), lambda a, x: a + x["s"]))
+    each = own.select("id", "total", F.size("s").alias("n"), F.explode("s").alias("x"))
+    return each.select("id", "x.group", F.when(F.col("total") == 0, 1 / F.col("n")).otherwise(F.col("x.s") / F.col("total")).alias("p"))
+
+
+def sorted_groups(vocabulary: DataFrame) -> DataFrame:
+    """group, position: the distinct groups in order. A row a group."""
+    return rank_by(group_of_code(vocabulary).select("group").distinct().withColumn("_all", F.lit(0)), ["_all"], [F.col("group")], name="position").drop("_all")
+
+
+def fit_facts(records: DataFrame, truth: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: documents, those with a group, the groups they have, all groups, documents per group."""
+    n = records.agg(F.count("*").alias("documents"))
+    own = truth.join(records.select("record_id"), "record_id", "left_semi").agg(F.countDistinct("record_id").alias("covered"), F.countDistinct("group").alias("present"))
+    whole = groups.select("group").distinct().agg(F.count("*").alias("groups"))
+    return n.join(own).join(whole).withColumn("per_group", F.col("documents") / F.greatest("groups", F.lit(1)))  # one row each
 
 
 def boost(candidates: DataFrame, distribution: DataFrame, groups: DataFrame, weight: float) -> DataFrame:

@@ -19,3 +19,19 @@ def restrict(rankings: DataFrame, vocabulary: DataFrame, by: list[str], code: st
     """Drop codes outside of the vocabulary and close the gaps in the ranks."""
     kept = rankings.join(vocabulary.select(code).distinct(), code, "left_semi")
     return rank_by(kept.withColumnRenamed("rank", "_old"), by, [F.col("_old")]).drop("_old")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "position", ranges: int = 200, each: int = 20) -> DataFrame:
+    """df with its 0-based position in an order of unique keys, of any type, without a global sort.
+
+    A sample of at most ranges * each keys, those of smallest hash, gives the bounds of ranges; the counts of the ranges give
+    each its first position, and each numbers its own rows. Keys that begin alike are told apart by the rest of the order.
+    """
+    keyed = df.withColumn("_key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order))))
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(ranges * each).agg(F.sort_array(F.collect_list("_key")).alias("s"))
+    bounds = sample.select(F.filter("s", lambda _, i: i % each == each - 1).alias("_bounds"))  # one row
+    cut = keyed.join(F.broadcast(bounds)).withColumn("_range", F.expr("size(filter(_bounds, b -> b <= _key))")).drop("_bounds")
+    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    first = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    placed = cut.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy("_key"))).join(F.broadcast(first), "_range")
+    return placed.withColumn(name, F.col("_first") + F.col("_at") - 1).drop("_range", "_first", "_at", "_key")

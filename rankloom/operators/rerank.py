@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.operators.ranking import rank_by
+from rankloom.operators.ranking import numbered, rank_by
 
 
 def rerank(candidates: DataFrame, scores: DataFrame, mode: str = "replace", weight: float = 1.0, rrf_k: int = 60, input_k: int = 100, output_k: int = 50) -> DataFrame:
@@ -58,21 +58,9 @@ def deciles(confidences: DataFrame, outcomes: DataFrame, buckets: int = 10) -> D
     )
 
 
-def global_position(df: DataFrame, value: str, descending: bool = True, key: str = "record_id", ranges: int = 1024) -> DataFrame:
-    """df with its 0-based position in the order of value, ties by key, without a global sort.
-
-    Rows fall into equal-width ranges of the value; range counts (at most `ranges` rows) give offsets, and each range numbers
-    its own rows by (value, key).
-    """
-    limits = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-300))
-    share = (F.col("high") - F.col(value)) if descending else (F.col(value) - F.col("low"))
-    cut = df.join(F.broadcast(limits)).withColumn("_range", F.least(F.floor(share / width * ranges), F.lit(ranges - 1))).drop("low", "high")
-    counts = cut.groupBy("_range").agg(F.count("*").alias("n"))
-    first = counts.select("_range", F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    order = [F.desc(value) if descending else F.col(value), F.col(key)]
-    placed = cut.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(first), "_range")
-    return placed.withColumn("position", F.col("_first") + F.col("_at") - 1).drop("_range", "_first", "_at")
+def global_position(df: DataFrame, value: str, descending: bool = True, key: str = "record_id") -> DataFrame:
+    """df with its 0-based position in the order of value, ties by key; equal values are dealt to ranges by their keys."""
+    return numbered(df, [-F.col(value) if descending else F.col(value), F.col(key)])
 
 
 def route(confidences: DataFrame, share: float) -> DataFrame:
@@ -115,11 +103,49 @@ def parse_response(responses: pd.Series) -> pd.Series:
     return responses.map(first)
 
 
+def prompt(revision: str, text: Column, offered: Column) -> Column:
+    """The question in the wording of a revision; unknown revisions are refused."""
+    if revision not in PROMPTS:
+        raise ValueError(f"no prompt of revision {revision!r}")
+    return PROMPTS[revision](text, offered)
+
+
+PROMPTS = {"1": prompt_text}
+
+
+def rejection_counts(judged: DataFrame) -> DataFrame:
+    """One row: responses, rejected and their share, from judged(record_id, reason)."""
+    rejected = F.count("reason")
+    return judged.agg(F.count("*").alias("responses"), rejected.alias("rejected"), F.coalesce(F.try_divide(rejected, F.count("*")), F.lit(0.0)).alias("share"))
+
+
+def pair_batches(pairs: DataFrame, first: str, second: str, size: int) -> DataFrame:
+    """pairs with their length in characters and a batch number: the longest first, so that a batch pads little."""
+    own = pairs.withColumn("length", F.length(first) + F.length(second))
+    ordered = numbered(own, [-F.col("length"), F.col("record_id"), F.col("code")])
+    return ordered.withColumn("batch", F.floor(F.col("position") / size)).drop("position")
+
+
+def calibration_summary(confidences: DataFrame, outcomes: DataFrame, share: float = 0.2) -> DataFrame:
+    """One row: the correlation of confidence and precision, the precision of the least confident `share`, and of all."""
+    n = confidences.count()
+    least = -(-n * round(share * 1000) // 1000)
+    placed = global_position(confidences, "confidence", descending=False).join(outcomes, "record_id")
+    flat = (F.stddev_pop("confidence") == 0) | (F.stddev_pop("precision") == 0)
+    worst = F.when(F.col("position") < least, F.col("precision"))
+    return placed.agg(F.when(~flat, F.corr("confidence", "precision")).alias("pearson"), F.count(worst).alias("least"), F.avg(worst).alias("least_precision"), F.avg("precision").alias("precision"))
+
+
 def judge(offered: Column, returned: Column) -> Column:
     """Why a response is refused, or null: unreadable, or codes that were not offered."""
     return F.when(returned.isNull(), F.lit("unreadable")).when(F.size(F.array_except(returned, offered)) > 0, F.lit("not offered"))
 
 
+def repeats(returned: Column) -> Column:
+    """How many of the returned codes are there again; none for an unreadable response."""
+    return F.coalesce(F.size(returned) - F.size(F.array_distinct(returned)), F.lit(0)).cast("long")
+
+
 def apply_choices(candidates: DataFrame, choices: DataFrame, window: int) -> DataFrame:
     """Chosen codes first in their order, the rest of the window in its order, the tail as it was; scores stay at their positions.
 

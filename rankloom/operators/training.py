@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import random
 
 import pandas as pd
@@ -25,34 +27,71 @@ def examples(gold: DataFrame, vocabulary: DataFrame, negatives: DataFrame) -> Da
     return known.join(own, "record_id", "left").select("record_id", F.col("code").alias("positive"), F.coalesce("negatives", F.array().cast(f"array<{kind}>")).alias("negatives"))
 
 
-def batches(pairs: DataFrame, size: int, seed: int, shards: int = 1) -> DataFrame:
+def filled(positives: list, size: int) -> list[int]:
+    """The batch of each pair, taken in the given order: a pair whose positive is in the open batch already waits.
+
+    Those that wait are walked through again, in order, until all are placed; a full batch is closed at once, and one that a
+    whole walk adds nothing to is closed as well. Instead of walking past pairs that have to wait, the next pair of
+    each positive that is free stands in a heap, so that the work does not grow with how often a positive is repeated.
+    """
+    waiting: dict = {}
+    for i, p in enumerate(positives):
+        waiting.setdefault(p, []).append(i)
+    out, number, at, open_batch, placed = [0] * len(positives), 0, -1, [], False
+    heap = [(own[0], p) for p, own in waiting.items()]
+    heapq.heapify(heap)
+    while waiting:
+        if not heap:  # the walk is over
+            if not placed and open_batch:
+                number, open_batch = number + 1, []
+            at, placed = -1, False
+            taken = set(open_batch)
+            heap = [(own[0], p) for p, own in waiting.items() if p not in taken]
+            heapq.heapify(heap)
+            continue
+        at, p = heapq.heappop(heap)
+        own = waiting[p]
+        own.pop(bisect.bisect_left(own, at))
+        if not own:
+            del waiting[p]
+        out[at], placed = number, True
+        open_batch.append(p)
+        if len(open_batch) == size:
+            for q in open_batch:
+                later = waiting.get(q, ())
+                k = bisect.bisect_right(later, at)
+                if k < len(later):
+                    heapq.heappush(heap, (later[k], q))
+            number, open_batch = number + 1, []
+    return out
+
+
+def batches(pairs: DataFrame, size: int, seed: int, shards: int | None = None, shard_rows: int = 100_000) -> DataFrame:
     """record_id, positive, shard, batch: a seeded shuffle cut so that no batch repeats a positive.
 
-    A pair whose positive is in the batch already waits for a later one. Filling batches is sequential, so pairs are dealt by
-    hash to `shards` independent sequences; raise it with the data.
+    Filling batches is sequential, so pairs are dealt by hash to independent sequences of about `shard_rows`, or `shards`.
     """
+    shards = shards or max(1, -(-pairs.count() // shard_rows))
     own = pairs.select("record_id", "positive").withColumn("shard", F.pmod(F.xxhash64("record_id", "positive"), F.lit(shards)).cast("int"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["record_id", "positive"], kind="stable").reset_index(drop=True)
-        waiting = list(range(len(pdf)))
-        random.Random(seed * 1_000_003 + int(pdf["shard"].iloc[0])).shuffle(waiting)
-        positives, out, number = pdf["positive"].tolist(), [0] * len(pdf), 0
-        while waiting:
-            used, held, filled = set(), [], 0
-            for i in waiting:
-                if filled < size and positives[i] not in used:
-                    used.add(positives[i])
-                    out[i], filled = number, filled + 1
-                else:
-                    held.append(i)
-            waiting, number = held, number + 1
-        return pdf.assign(batch=out)
+        order = list(range(len(pdf)))
+        random.Random(seed * 1_000_003 + int(pdf["shard"].iloc[0])).shuffle(order)
+        pdf = pdf.iloc[order].reset_index(drop=True)
+        return pdf.assign(batch=filled(pdf["positive"].tolist(), size))
 
     kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("record_id", "positive"))
     return own.groupBy("shard").applyInPandas(cut, f"{kinds}, shard int, batch int")
 
 
+def batch_facts(cut: DataFrame) -> DataFrame:
+    """One row: pairs, distinct pairs, pairs that repeat a positive within a batch, and the largest batch."""
+    per = cut.groupBy("shard", "batch").agg(F.count("*").alias("n"), F.countDistinct("positive").alias("positives"))
+    pairs = cut.agg(F.count("*").alias("pairs"), F.countDistinct("record_id", "positive").alias("distinct_pairs"))
+    return pairs.join(per.agg(F.sum(F.col("n") - F.col("positives")).alias("repeats"), F.max("n").alias("largest")))  # one row each
+
+
 def columns(positives: Column, negatives: Column) -> Column:
     """A batch's columns: its positives, then new negatives, in order of first appearance."""
     return F.array_distinct(F.concat(positives, negatives))

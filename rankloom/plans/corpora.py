@@ -47,18 +47,18 @@ def merge_conflicts(spark, sf_dir):
     return merged_orders(spark, sf_dir).where("conflict").select("id", "copies")
 
 
-OVERLAP = """WITH idx AS (SELECT DISTINCT c_custkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 10 BETWEEN 1 AND 4),
-held AS (SELECT DISTINCT CAST(o_orderkey % 10 AS INTEGER) AS split, o_custkey AS id FROM orders WHERE o_orderkey % 10 IN (0, 9) AND o_custkey % 3 = 0
+OVERLAP = """WITH idx AS (SELECT DISTINCT c_custkey AS id FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 10 BETWEEN 1 AND 8),
+held AS (SELECT DISTINCT CAST(o_orderkey % 10 AS INTEGER) AS split, o_custkey AS id FROM orders WHERE o_orderkey % 10 IN (0, 9)
   UNION SELECT 7, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))"""
 
 
 def _index(spark, sf_dir):
-    return roles.table(spark, sf_dir, "orders").where("o_orderkey % 10 between 1 and 4").select(F.col("o_custkey").alias("id")).distinct()
+    return roles.table(spark, sf_dir, "orders").where("o_orderkey % 10 between 1 and 8").select(F.col("o_custkey").alias("id")).distinct()
 
 
 def _held(spark, sf_dir):
     orders, customer = roles.table(spark, sf_dir, "orders"), roles.table(spark, sf_dir, "customer")
-    own = orders.where("o_orderkey % 10 in (0, 9) and o_custkey % 3 = 0").select((F.col("o_orderkey") % 10).cast("int").alias("split"), F.col("o_custkey").alias("id"))
+    own = orders.where("o_orderkey % 10 in (0, 9)").select((F.col("o_orderkey") % 10).cast("int").alias("split"), F.col("o_custkey").alias("id"))
     idle = customer.select(F.lit(7).alias("split"), F.col("c_custkey").alias("id")).join(orders.select(F.col("o_custkey").alias("id")), "id", "left_anti")
     return own.unionByName(idle).distinct()
 
@@ -90,7 +90,12 @@ SIZE = 150
 QUOTAS = f"""WITH cells AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang), shares AS (
   SELECT *, n * {SIZE} / (sum(n) OVER ())::DOUBLE AS share FROM cells), based AS (SELECT *, floor(round(share, 9)) AS base, round(share - floor(round(share, 9)), 9) AS rest FROM shares),
 placed AS (SELECT *, row_number() OVER (ORDER BY rest DESC, source, lang) AS place, {SIZE} - sum(base) OVER () AS spare FROM based),
-quotas AS (SELECT source, lang, n, CAST(base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM placed), drawn AS (
+first_quotas AS (SELECT source, lang, n, CAST(base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota, count(*) OVER () AS cells FROM placed),
+hungry AS (SELECT source, lang, row_number() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST) AS turn FROM first_quotas WHERE quota = 0 AND n > 0 AND {SIZE} >= cells),
+units AS (SELECT source, lang, row_number() OVER (ORDER BY unit DESC, source DESC NULLS LAST, lang DESC NULLS LAST) AS pos FROM (SELECT source, lang, unnest(range(2, quota + 1)) AS unit FROM first_quotas WHERE quota > 1)),
+donated AS (SELECT source, lang, count(*) AS given FROM units WHERE pos <= (SELECT count(*) FROM hungry) GROUP BY source, lang),
+quotas AS (SELECT f.source, f.lang, n, quota - coalesce(given, 0) + CASE WHEN turn <= (SELECT coalesce(sum(given), 0) FROM donated) THEN 1 ELSE 0 END AS quota
+  FROM first_quotas f LEFT JOIN donated d ON f.source IS NOT DISTINCT FROM d.source AND f.lang IS NOT DISTINCT FROM d.lang LEFT JOIN hungry h ON f.source IS NOT DISTINCT FROM h.source AND f.lang IS NOT DISTINCT FROM h.lang), drawn AS (
   SELECT d.*, row_number() OVER (PARTITION BY source, lang ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM documents d
 ), sample AS (SELECT d.doc_id, source, lang FROM drawn d JOIN quotas USING (source, lang) WHERE pos <= quota)"""
 
@@ -101,12 +106,12 @@ def _cells(spark, sf_dir):
 
 def _sample(spark, sf_dir):
     docs = roles.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return C.stratified_sample(docs, C.fed_quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE), ["source", "lang"], "doc_id", 42)
+    return C.stratified_sample(docs, C.quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE), ["source", "lang"], "doc_id", 42)
 
 
 @query(QUOTAS + " SELECT source, lang, n, quota FROM quotas")
 def quotas(spark, sf_dir):
-    return C.fed_quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE)
+    return C.quotas(_cells(spark, sf_dir), ["source", "lang"], SIZE)
 
 
 @query(QUOTAS + " SELECT doc_id, source, lang FROM sample")
@@ -350,11 +355,11 @@ def check_repeated_ids(spark, sf_dir):
     return K.repeated_ids(roles.table(spark, sf_dir, "conversations"), "conv_id")
 
 
-@query("""WITH c AS (SELECT DISTINCT c_custkey AS id FROM customer), o AS (SELECT DISTINCT o_custkey AS id FROM orders)
+@query("""WITH c AS (SELECT DISTINCT c_custkey AS id FROM customer), o AS (SELECT DISTINCT o_custkey + 7 AS id FROM orders)
 SELECT id, 'left' AS side FROM c WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT id, 'right' FROM o WHERE id NOT IN (SELECT id FROM c)""")
 def check_unpaired(spark, sf_dir):
     a = roles.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return K.unpaired(a, roles.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+    return K.unpaired(a, roles.table(spark, sf_dir, "orders").select((F.col("o_custkey") + 7).alias("id")), ["id"])  # shifted, so that both sides have keys alone
 
 
 @query("""SELECT o_orderkey AS name FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1997-06-30' OR CAST(o_orderdate AS DATE) + 30 > DATE '1997-06-30'""")

@@ -118,19 +118,29 @@ def bm25_weights(spark, sf_dir):
 scored AS (SELECT query, entry, code, round(sum(weight), 6) AS score FROM q JOIN weighted USING (term) GROUP BY query, entry, code), best AS (SELECT query, code, max(score) AS score FROM scored GROUP BY query, code)
 SELECT query, code, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, code) - 1 AS INTEGER) AS rank FROM best QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, code) <= 10""")
 def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir).select("query", "code", "score", "rank")
+
+
+def _bm25(spark, sf_dir):
     queries = roles.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), "text")
-    found = L.match(L.query_terms(queries), L.bm25_weights(L.postings(entries(spark, sf_dir))), 10)
-    return found.select("query", "code", "score", "rank")
+    return L.match(L.query_terms(queries), L.lexical_index(entries(spark, sf_dir)), 10, "once")
+
+
+@query(BM25 + r""", q AS (SELECT doc_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents)
+SELECT doc_id AS query FROM documents WHERE doc_id NOT IN (SELECT query FROM q JOIN weighted USING (term))""")
+def bm25_without_hits(spark, sf_dir):
+    return L.without_hits(roles.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query")), _bm25(spark, sf_dir))
 
 
 @query(BM25.split(", stats AS")[0] + r""", q AS (SELECT query, term, count(*) AS tf FROM (SELECT doc_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY query, term),
 scored AS (SELECT q.query, p.entry, p.code, round(sum(sqrt(q.tf) * sqrt(p.tf)), 6) AS score FROM q JOIN posted p USING (term) GROUP BY q.query, p.entry, p.code), best AS (SELECT query, code, max(score) AS score FROM scored GROUP BY query, code)
 SELECT query, code, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, code) - 1 AS INTEGER) AS rank FROM best QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, code) <= 10""")
 def sparse_topk(spark, sf_dir):
-    root = lambda df, key: df.groupBy(*key, "term").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
-    docs = roles.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    labels = entries(spark, sf_dir).select("entry", "code", F.explode(T.tokens(F.col("text"))).alias("term"))
-    found = L.match(root(docs, ["query"]), root(labels, ["entry", "code"]), 10)
+    """Learned weights come as maps; here they are square roots of counts."""
+    terms = F.expr("aggregate(ts, cast(map() as map<string, int>), (m, t) -> map_concat(map_filter(m, (k, v) -> k <> t), map(t, coalesce(m[t], 0) + 1)))")
+    labels = entries(spark, sf_dir).withColumn("ts", T.tokens(F.col("text"))).withColumn("weights", F.transform_values(terms, lambda _, n: F.sqrt(n.cast("double"))))
+    docs = L.query_terms(roles.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), "text"))
+    found = L.match(docs, L.lexical_index(labels, "weights"), 10, "root")
     return found.select("query", "code", "score", "rank")
 
 
@@ -156,7 +166,8 @@ def rrf_fuse(spark, sf_dir):
     return fused(spark, sf_dir).drop("sources")
 
 
-@query(FUSED + " SELECT f.record_id, f.code, r.source, r.rank AS source_rank FROM fused f JOIN rankings r USING (record_id, code)")
+@query(FUSED.replace("rankings AS (", "rankings AS MATERIALIZED (").replace("fused AS (", "fused AS MATERIALIZED (")
+  + " SELECT f.record_id, f.code, r.source, r.rank AS source_rank FROM fused f JOIN rankings r USING (record_id, code)")
 def rrf_provenance(spark, sf_dir):
     return U.provenance(fused(spark, sf_dir))
 
@@ -266,7 +277,7 @@ def code_groups(spark):
 
 BOOSTED = f"""WITH {DIST}, {CANDIDATES}, spread AS (SELECT *, max(score) OVER (PARTITION BY record_id) - min(score) OVER (PARTITION BY record_id) AS s FROM codes), lifted AS (
   SELECT record_id, code, w, round(score + w * s * coalesce(p, 0), 9) AS score
-  FROM spread LEFT JOIN of_code USING (code) LEFT JOIN dist d ON d.id = record_id AND d."group" = of_code."group", (VALUES (0.0::DOUBLE), (0.1), (0.5), (2.0)) t(w)
+  FROM spread LEFT JOIN of_code USING (code) LEFT JOIN dist d ON d.id = record_id AND d."group" = of_code."group", (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.25), (0.5), (1.0), (2.0)) t(w)
 ), boosted AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, w ORDER BY score DESC, code) - 1 AS INTEGER) AS rank FROM lifted)"""
 
 
@@ -278,7 +289,7 @@ def prior_boost(spark, sf_dir):
 @query(BOOSTED + " SELECT w, round(avg(rank) FILTER (WHERE code < 5), 6) AS mean_rank, count(*) FILTER (WHERE code < 5 AND rank < 10) AS hits FROM boosted GROUP BY w")
 def prior_sweep(spark, sf_dir):
     out = None
-    for w in (0.0, 0.1, 0.5, 2.0):  # a plan a weight, one job
+    for w in (0.0, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0):  # a plan a weight, one job; 0 changes nothing
         own = P.boost(candidates(spark, sf_dir), distribution(spark, sf_dir), code_groups(spark), w).withColumn("w", F.lit(w))
         out = own if out is None else out.unionByName(own)
     low = F.col("code") < 5
@@ -369,14 +380,18 @@ def adjudicate_apply(spark, sf_dir):
     return R.apply_choices(own, chosen, 20)
 
 
-@query(FUSED + """, offered AS (SELECT record_id, list(code ORDER BY rank) AS codes FROM fused WHERE rank < 10 GROUP BY record_id), answers AS (
-  SELECT record_id, codes, CASE WHEN record_id % 4 = 0 THEN NULL WHEN record_id % 4 = 2 THEN [codes[1], 0::BIGINT] ELSE [codes[2], codes[1], codes[2]] END AS answer FROM offered)
-SELECT record_id, CASE WHEN answer IS NULL THEN 'unreadable' WHEN len(list_filter(answer, lambda x: NOT list_contains(codes, x))) > 0 THEN 'not offered' END AS reason FROM answers""")
+SQL_JUDGED = FUSED + """, offered AS (SELECT record_id, list(code ORDER BY rank) AS codes FROM fused WHERE rank < 10 GROUP BY record_id), answers AS (
+  SELECT record_id, codes, CASE WHEN record_id % 4 = 0 THEN NULL WHEN record_id % 4 = 2 THEN [codes[1], 0::BIGINT] ELSE [codes[2], codes[1], codes[2]] END AS answer FROM offered), judged AS (
+  SELECT record_id, CASE WHEN answer IS NULL THEN 'unreadable' WHEN len(list_filter(answer, lambda x: NOT list_contains(codes, x))) > 0 THEN 'not offered' END AS reason,
+    CASE WHEN len(answer) > len(list_distinct(answer)) THEN len(answer) - len(list_distinct(answer)) ELSE 0 END AS repeats FROM answers)"""
+
+
+@query(SQL_JUDGED + " SELECT record_id, reason, repeats FROM judged")
 def adjudicate_validate(spark, sf_dir):
     offered = fused(spark, sf_dir).where("rank < 10").groupBy("record_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda x: x.code).alias("codes"))
     c, m = F.col("codes"), F.col("record_id") % 4
     answer = F.when(m == 0, None).when(m == 2, F.array(c[0], F.lit(0).cast("long"))).otherwise(F.array(c[1], c[0], c[1]))
-    return offered.select("record_id", R.judge(c, answer).alias("reason"))
+    return offered.select("record_id", R.judge(c, answer).alias("reason"), R.repeats(answer).alias("repeats"))
 
 
 # Training rows
@@ -425,10 +440,18 @@ def learning_schedule(spark, sf_dir):
     return spark.range(101).select(F.col("id").alias("step"), F.round(T.schedule(F.col("id"), 100, 0.1), 9).alias("factor"))
 
 
+def _batches(spark, sf_dir):
+    return O.batches(gold(spark, sf_dir).select("record_id", F.col("code").alias("positive")), 32, seed=7, shards=16)
+
+
 def training_batches(spark, sf_dir):
-    """Sequential by nature: no SQL. Tests hold its batches to their rules."""
-    pairs = gold(spark, sf_dir).select("record_id", F.col("code").alias("positive"))
-    return O.batches(pairs, 32, seed=7, shards=16)
+    """A seeded shuffle, which SQL has not: its rules are held by training_batch_facts, its order by a test."""
+    return _batches(spark, sf_dir)
 
 
 query()(training_batches)
+
+
+@query("SELECT count(*) AS pairs, count(*) AS distinct_pairs, CAST(0 AS BIGINT) AS repeats, CAST(32 AS BIGINT) AS largest FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)")
+def training_batch_facts(spark, sf_dir):
+    return O.batch_facts(_batches(spark, sf_dir))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +38,17 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     rows = whole.where(is_list).select(F.explode(listed).alias("e")).select(F.col("e.Code").alias("code"), "e").unionByName(
         whole.where(~is_list).select(F.explode(keyed).alias("code", "e"))
     )
+    return rows.select("code", *entry_fields())
+
+
+def entry_fields() -> list[Column]:
+    """The fields of a release entry in column e, each with its default."""
     text = lambda c, name: F.coalesce(F.col(f"e.`{c}`"), F.lit("")).alias(name)
     names = lambda c, name: F.coalesce(F.col(f"e.`{c}`"), F.array().cast("array<string>")).alias(name)
-    return rows.select(
-        "code", text("Name", "name"), text("Classification Name", "group"), text("Classification Number", "group_number"),
+    return [
+        text("Name", "name"), text("Classification Name", "group"), text("Classification Number", "group_number"),
         names("Alternate Name", "alternates"), names("Related Subjects", "related"), text("Definition", "definition"),
-    )
+    ]
 
 
 def read_string_map(spark: SparkSession, path: str, field: str | None = None, optional: bool = False) -> DataFrame:
@@ -61,10 +66,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_bands(spark: SparkSession, path: str) -> DataFrame:
     """code, band, count from {labels: {band: {code: count}}}."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json(F.get_json_object("value", "$.labels"), "map<string, map<string, bigint>>").alias("m"))
+    return bands_of(spark.read.text(path, wholetext=True))
+
+
+def bands_of(documents: DataFrame) -> DataFrame:
+    """code, band, count of documents in column value."""
+    whole = documents.select(F.from_json(F.get_json_object("value", "$.labels"), "map<string, map<string, bigint>>").alias("m"))
     return whole.select(F.explode("m").alias("band", "codes")).select("band", F.explode("codes").alias("code", "count"))
 
 
+def read_document(spark: SparkSession, path: str) -> str:
+    """One small document as it stands, white space and all."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """split, record_id, rank, code of a prediction document {split, predictions: {record: [codes]}}; others are refused."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.get_json_object("value", "$.split").alias("split"), F.get_json_object("value", "$.predictions").alias("own"))
+    require_none(raw.where("split is null or own is null").select(F.substring("value", 1, 40)), "no split or no predictions in a prediction document")
+    lists = raw.select("split", F.explode(F.from_json("own", "map<string, array<string>>")).alias("record_id", "codes"))
+    return lists.select("split", "record_id", F.posexplode("codes").alias("rank", "code"))
+
+
+def read_json_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, value (null for a file that is no JSON of the schema), broken: one row a file, and no failure."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("value"))
+    broken = F.col("value").isNull() | F.col("value._corrupt").isNotNull()
+    return raw.select("path", F.when(~broken, F.col("value").dropFields("_corrupt")).alias("value"), broken.alias("broken"))
+
+
 GRAPH = "`@graph` array<map<string, string>>"
 
 
@@ -181,12 +211,21 @@ def latest_lines(log: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(value, order).alias(value), F.count("*").alias("lines"))
 
 
+def unlogged(rows: DataFrame, log: DataFrame, keys: list[str], once: list[str] | None = None) -> DataFrame:
+    """The rows whose keys the log doesn't hold, one for each `once` (the keys by default)."""
+    return rows.dropDuplicates(once or keys).join(log.select(*keys), keys, "left_anti")
+
+
+def read_log(spark: SparkSession, path: str, schema: str, order: str) -> DataFrame:
+    """A JSON-lines log, newest last; a missing one is empty."""
+    return spark.read.schema(schema).json(path).orderBy(order) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def append_new(log_path: str, rows: DataFrame, keys: list[str]) -> None:
     """Append the rows that the JSON-lines log doesn't hold yet."""
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates(keys)
-    if _exists(spark, log_path):
-        fresh = fresh.join(spark.read.schema(rows.schema).json(log_path).select(*keys), keys, "left_anti")
+    held = spark.read.schema(rows.schema).json(log_path) if _exists(spark, log_path) else rows.limit(0)
+    fresh = unlogged(rows, held, keys)
     fresh.write.mode("append").json(log_path)
 
 
@@ -204,6 +243,37 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_sorted_map(rows: DataFrame, path: str) -> None:
+    """key, value as JSON lines in order of key, the same bytes for the same rows, replacing what was there."""
+    ordered = rows.select("key", "value").orderBy("key", "value")
+    ordered.write.mode("overwrite").option("compression", "none").json(path)
+
+
+def keyed(entries: DataFrame, key: str) -> DataFrame:
+    """key and entry, the row as JSON: a list of entries made a map."""
+    return entries.select(F.col(key).alias("key"), F.to_json(F.struct("*")).alias("value"))
+
+
+def write_vocabulary(entries: DataFrame, qualifiers: DataFrame, path: str) -> DataFrame:
+    """Entries by code, their recovered qualifiers beside them, and one row of counts, which is returned as well."""
+    write_sorted_map(keyed(entries, "code"), f"{path}/entries")
+    write_sorted_map(qualifiers.select(F.col("code").alias("key"), F.col("qualifier").alias("value")), f"{path}/qualifiers")
+    stats = entries.agg(F.count("*").alias("entries")).join(qualifiers.agg(F.count("*").alias("qualifiers")))  # one row each
+    write_json(stats, f"{path}/stats")
+    return entries.sparkSession.read.schema(stats.schema).json(f"{path}/stats")
+
+
+def write_projection(entries: DataFrame, columns: list[str], path: str) -> None:
+    """Some columns as CSV with a header; arrays joined by semicolons."""
+    flat = [F.array_join(c, ";").alias(c) if entries.schema[c].dataType.typeName() == "array" else F.col(c) for c in columns]
+    entries.select(*flat).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def documents(rows: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
+    """document: each row as JSON, its columns nested in sections."""
+    return rows.select(F.to_json(F.struct(*(F.struct(*columns).alias(name) for name, columns in sections.items()))).alias("document"))
+
+
 def read_screens(spark: SparkSession, path: str, schema_tag: str) -> DataFrame:
     """screen, documents, encoder, metric, value of screen documents; refuses another schema tag."""
     raw = spark.read.text(path, wholetext=True)

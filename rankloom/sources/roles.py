@@ -1,7 +1,7 @@
 """Roles of the sample tables: which stand for records, assignments, vocabulary, splits and predictions.
 
-Splits are by order key, so that no global sort is needed: keys ending in 0 are the development split, 1 the training
-split, 1 to 4 the grown corpus.
+Splits are by order key, so that no global sort is needed, and every record has a role: keys ending in 0 are the development
+split, which is ranked and scored, all others the training corpus, of which keys ending in 1 are the small one.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def popularity_rankings(spark: SparkSession, sf_dir: str, depth: int = 30) -> Da
     from rankloom.operators.ranking import rank_by
 
     known = records(spark, sf_dir)
-    train = assignments(spark, sf_dir).where("split between 1 and 4").join(known.select("record_id", "type", "lang"), "record_id")
+    train = assignments(spark, sf_dir).where("split between 1 and 9").join(known.select("record_id", "type", "lang"), "record_id")
     dev = known.where("split = 0").select("record_id", "type", "lang")
     by_cell = train.groupBy("type", "lang", "code").agg(F.count("*").cast("double").alias("score"))
     by_lang = train.groupBy("lang", "code").agg(F.count("*").cast("double").alias("score"))
@@ -105,7 +105,7 @@ MIXED_SQL = ROLES_SQL + """, mixed_all AS (
 )"""
 
 POPULARITY_SQL = ROLES_SQL + """, train AS (
-  SELECT record_id, code, type, lang FROM assignments a JOIN records r USING (record_id) WHERE a.split BETWEEN 1 AND 4
+  SELECT record_id, code, type, lang FROM assignments a JOIN records r USING (record_id) WHERE a.split BETWEEN 1 AND 9
 ), by_cell AS (
   SELECT type, lang, code, count(*)::DOUBLE AS score, row_number() OVER (PARTITION BY type, lang ORDER BY count(*) DESC, code) - 1 AS rank
   FROM train GROUP BY type, lang, code

@@ -113,8 +113,11 @@ def test_bands_and_bounds(spark):
     frozen = frame(spark, [(1, "tail", 1)], "code long, band string, count long")
     grown = frame(spark, [(1, 5), (2, 1)], "code long, count long")
     assert tuple(B.zero_shot_bound(gold, frozen, grown).first()) == (2, 3, 1, 2, 1, 1, 0.25)
-    layer = {r.code: r.position for r in B.output_layer(gold, width=2).collect()}
+    layer = {r.code: r.position for r in B.output_layer(gold).collect()}
     assert layer == {1: 0, 2: 1, 3: 2}
+    words = frame(spark, [(i, f"gnd:{i * 7919 % 5000:04d}") for i in range(5000)], "record_id long, code string")
+    layer = B.output_layer(words).orderBy("code").collect()
+    assert [r.position for r in layer] == list(range(5000))
 
 
 def test_merge_keeps_first_seen_order(spark):
@@ -126,8 +129,10 @@ def test_merge_keeps_first_seen_order(spark):
 def test_quotas_and_starvation(spark):
     cells = frame(spark, [("a", 90), ("b", 9), ("c", 1)], "cell string, n long")
     rows = [r.asDict() for r in C.quotas(cells, ["cell"], 10).orderBy("cell").collect()]
-    assert [r["quota"] for r in rows] == [9, 1, 0]
-    assert [r["quota"] for r in C.feed_empty_cells(rows, ["cell"], 10)] == [8, 1, 1]
+    assert [r["quota"] for r in rows] == [8, 1, 1]
+    many = frame(spark, [("a", 40), ("b", 40), (None, 1), ("d", 1), ("e", 1), ("f", 0)], "cell string, n long")
+    assert {r.cell: r.quota for r in C.quotas(many, ["cell"], 6).collect()} == {"a": 2, "b": 1, None: 1, "d": 1, "e": 1, "f": 0}
+    assert {r.cell: r.quota for r in C.quotas(many, ["cell"], 5).collect()} == {"a": 3, "b": 2, None: 0, "d": 0, "e": 0, "f": 0}  # more cells than places
     assert [r.quota for r in C.quotas(cells, ["cell"], 1000).orderBy("cell").collect()] == [90, 9, 1]
 
 
@@ -166,7 +171,7 @@ def test_confidence_routing_and_positions(spark):
     assert {r.record_id: r.confidence for r in conf.collect()}[9] == 0.0
     assert sorted(r.record_id for r in R.route(conf, 0.3).collect()) == [0, 1, 2]
     values = [(i, random.Random(i).choice((0.0, 0.5, 0.5, 1.0, 1e-9))) for i in range(200)]
-    placed = R.global_position(frame(spark, values, "record_id long, confidence double"), "confidence", ranges=8)
+    placed = R.global_position(frame(spark, values, "record_id long, confidence double"), "confidence")
     want = {i: n for n, (i, _) in enumerate(sorted(values, key=lambda v: (-v[1], v[0])))}
     assert {r.record_id: r.position for r in placed.collect()} == want
 
@@ -230,6 +235,64 @@ def test_batches_never_repeat_a_positive(spark):
     assert all(len(g) == len(set(g)) <= 8 for g in groups.values())
 
 
+def test_batches_in_the_order_of_a_walk():
+    """Against walking past every pair that has to wait."""
+
+    def walked(positives, size):
+        out, todo, number, taken = {}, list(range(len(positives))), 0, set()
+        while todo:
+            held = []
+            for i in todo:
+                if positives[i] in taken:
+                    held.append(i)
+                    continue
+                out[i] = number
+                taken.add(positives[i])
+                if len(taken) == size:
+                    number, taken = number + 1, set()
+            if len(held) == len(todo):
+                number, taken = number + 1, set()
+            todo = held
+        return [out[i] for i in range(len(positives))]
+
+    rng = random.Random(2)
+    for n in (0, 1, 5, 40, 200):
+        for kinds in (1, 3, 10, 100):
+            positives = [rng.randrange(kinds) for _ in range(n)]
+            for size in (1, 2, 7, 32):
+                assert O.filled(positives, size) == walked(positives, size)
+    assert len(O.filled([0] * 50_000 + list(range(50_000)), 32)) == 100_000
+
+
+def test_vectors_of_any_key_and_refusals(spark):
+    rows = [(f"r{i}", [float(i % 3), float(i % 5)]) for i in range(20)]
+    df = frame(spark, rows, "id string, vector array<double>")
+    got = {(r["query"], r["rank"]): r["id"] for r in X.nearest(df, df, 3, exclude_self=True).collect()}
+    for q, v in rows:
+        best = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in rows if i != q)[:3]
+        assert [got[q, k] for k in range(3)] == [i for _, i in best]
+    for bad in ([1.0, None], [float("nan"), 1.0], [float("inf"), 0.0], None):
+        with pytest.raises(Exception, match="no finite vector for r99"):
+            X.nearest(df, df.unionByName(frame(spark, [("r99", bad)], "id string, vector array<double>")), 3).collect()
+
+
+def test_lexical_blocks_and_keys(spark):
+    from rankloom.operators import lexical as L
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(n))
+    entries = frame(spark, [(i, f"c{i // 2:02d}", text(3)) for i in range(40)], "entry long, code string, text string")
+    queries = frame(spark, [(f"q{i}", text(i % 7)) for i in range(30)] + [("none", "zz"), ("null", None)], "query string, text string")
+    found = [sorted(map(tuple, L.match(L.query_terms(queries), L.lexical_index(entries), 5, "once", **b).collect())) for b in ({}, {"query_block": 3, "index_block": 4})]
+    assert found[0] == found[1] and found[0]
+    names = {r["query"] for r in L.without_hits(queries, L.match(L.query_terms(queries), L.lexical_index(entries), 5, "once")).collect()}
+    assert names == {"none", "null", *(f"q{i}" for i in range(0, 30, 7))}
+    weights = queries.where("text <> ''").select("query", F.create_map(F.lit("ab"), F.lit(2.0), F.lit("cd"), F.lit(0.5)).alias("w"))
+    learned = entries.select("entry", "code", F.create_map(F.lit("ab"), F.col("entry").cast("double")).alias("w"))
+    top = L.match(L.sparse_terms(weights, "query", "w"), L.lexical_index(learned, "w"), 1).collect()
+    assert {(r.code, r.score) for r in top} == {("c19", 78.0)}
+
+
 def test_refusals(spark):
     with pytest.raises(K.Refused, match="1"):
         K.require_none(K.repeated_ids(frame(spark, [(1,), (1,)], "id long"), "id"), "repeated")
