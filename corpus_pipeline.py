@@ -19,7 +19,7 @@ from rankloom.llm.exact_dedup import drop_exact_copies
 from rankloom.llm.mixing import mixed_documents
 from rankloom.llm.near_copies import drop_near_duplicates
 from rankloom.llm.quality import score_quality, train_quality
-from rankloom.llm.shared import columns, free_name, materialise, remainder, table
+from rankloom.llm.shared import columns, forget, free_name, materialise, remainder, scratch_kept_to, table
 from rankloom.sources.session import safe_unions
 
 
@@ -55,7 +55,12 @@ STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", d
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_kept_to(spark) as kept:
+            done = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(done)
+        if name != STAGES[0][0]:
+            forget(docs)  # the next stage has been written
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import KeyFilter, ascii_lower, column, columns, materialise, skewed_lookup, table
+from rankloom.llm.shared import KeyFilter, ascii_lower, column, columns, forget, materialise, skewed_lookup, table
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
@@ -32,6 +32,7 @@ def _refined(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     id, n, full_hash, keep_id, group_size, times (how often it occurs)."""
     shared = materialise(keyed.groupBy("p").count().where("count > 1").select("p"), "dedup-prefixes")
     marked = KeyFilter(shared, "p").marked(keyed, F.col("p"), "maybe")
+    forget(shared)
     full = marked.where("maybe").select("id", "n", _full().alias("full_hash"))
     survivors = materialise(full.groupBy("n", "full_hash", "id").agg(F.count("*").alias("times")), "dedup-survivors")
     groups = survivors.groupBy("n", "full_hash").agg(F.max("id").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("ids"))

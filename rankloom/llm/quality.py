@@ -25,11 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.llm.shared import column, remainder, table
+from rankloom.llm.shared import column, forget, materialise, remainder, table
 from rankloom.llm.textbatch import groups_of, map_arrow
 
 PIECE = 1 << 20  # characters cut into words at a time
@@ -204,13 +203,19 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str, result: T.S
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12_000) -> QDA:
     """Fit on at most sample / 2 labelled documents of each class; the classes' shares are those of all labels."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    known = known.withColumn("h", F.xxhash64("id"))
+    known = materialise(known.withColumn("h", F.xxhash64("id")), "quality-labels")
     totals = {int(r.y): r["count"] for r in known.groupBy("y").count().collect()}
-    first = lambda df, *order: df.withColumn("at", F.row_number().over(W.partitionBy("y").orderBy(*order))).where(F.col("at") <= max(1, sample // 2)).drop("at")
-    chosen = first(known, "h", "id")
-    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(F.broadcast(chosen), "id").select("h", "y", "text")
+
+    def first(df: DataFrame, *order: str) -> DataFrame:
+        one, two = (df.where(F.col("y") == k).orderBy(*order).limit(max(1, sample // 2)) for k in (0, 1))
+        return one.unionByName(two)
+
+    chosen = F.broadcast(first(known, "h", "id"))  # at most `sample` rows
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(chosen, "id").select("h", "y", "text")
     measured = with_statistics(texts, ["h", "y"], "text", T.StructField("x", T.ArrayType(T.DoubleType())), lambda x: pa.array(list(x), pa.list_(pa.float64())))
+    measured = materialise(measured, "quality-sample")
     rows = first(measured, "h", "x").toArrow()  # ids may repeat, so their rows are ranked and cut again
+    forget(known, measured)
     if not rows.num_rows:
         return fit_quality(np.zeros((0, 1)), np.zeros(0))
     y = rows.column("y").to_numpy().astype(float)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,22 +33,43 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+MADE: list[str] = []  # the scratch tables of this driver, oldest first
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
+@contextlib.contextmanager
+def scratch_kept_to(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete the scratch tables that are made inside, at the end, but for those put into the list."""
+    before, kept = len(MADE), []
+    yield kept
+    paths = MADE[before:]
+    del MADE[before:]
+    held = {df.scratch for df in kept}
+    MADE.extend(held)
+    for path in paths:
+        if path not in held:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.scratch)
 
 
 def column(name: str) -> Column:

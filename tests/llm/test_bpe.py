@@ -69,3 +69,9 @@ def test_digests(documents):
 
     row = bpe.token_digests(bpe.encode_decode(documents([(7, None)]), PATH)).first()
     assert tuple(row) == (7, 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+def test_null_and_repeated_ids(documents):
+    rows = [(None, "alpha"), (None, None), (1, "alpha beta"), (1, "alpha beta"), (1, "other")]
+    got = sorted((str(r.doc_id), r.decoded) for r in bpe.encode_decode(documents(rows), PATH).collect())
+    assert got == sorted((str(i), t or "") for i, t in rows)

@@ -70,3 +70,35 @@ def test_strangers_are_rejected(documents):
     m = model(documents)
     _, score, rejected = m.predict(["zzz qqq xxx kkk www yyy", "lorem ipsum dolor amet sit lorem ipsum"])
     assert score[0] < score[1] and not rejected[1]
+
+
+def plain_shares(text, bits):
+    """Subwords as they are described: every 2, 3 and 4 bytes from each place, letters alone, hashed one by one."""
+    from collections import Counter
+
+    low = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b"   "
+    counts = Counter()
+    for at in range(len(low) - 3):
+        for n, factor, add in ((2, 2246822519, 1), (3, 3266489917, 2), (4, 668265263, 3)):
+            value = int.from_bytes(low[at : at + n], "big")
+            counts[((value * factor + add) * 2654435761 % (1 << 32)) >> (32 - bits)] += 1
+    return {b: n / sum(counts.values()) for b, n in counts.items()}
+
+
+def test_subwords_one_by_one():
+    for text in ("", "a", "Lorem ipsum, 12 dolor!", "Привет мир", "x" * 50, "ß²½ Ⅷ"):
+        at, share = L.counted(text, 12)
+        want = plain_shares(text, 12)
+        assert dict(zip(at.tolist(), share.tolist())).keys() == want.keys() and np.allclose([want[b] for b in at.tolist()], share)
+
+
+def test_numerals_are_no_letters(documents):
+    m = model(documents)
+    found, score, _ = m.predict(["²", "½ Ⅷ ³", "12", "² a", None, "ª"])
+    assert found[:3] == ["und"] * 3 and found[4] == "und" and "und" not in (found[3], found[5]) and score[0] == 0
+
+
+def test_repeated_and_null_ids(documents):
+    data = [(1, f"lorem ipsum {i}", "aa", "s") for i in range(200)] + [(None, f"der die {i}", "bb", "s") for i in range(200)] + [(3, "dolor amet", "aa", "s")] * 50
+    a, b = (L.train_languages(documents(data, partitions=p), sample=60, bits=10) for p in (2, 7))
+    assert np.array_equal(a.scores, b.scores) and a.threshold == b.threshold

@@ -78,3 +78,54 @@ def test_repeated_labels_and_order(documents, labels, spark):
     twice = labels(data).unionByName(labels(data)).unionByName(spark.createDataFrame([(0, 0), (None, 1)], "doc_id long, quality int"))
     a, b = Q.train_quality(docs, labels(data)), Q.train_quality(docs.repartition(5), twice)
     assert np.allclose(a.means, b.means) and a.slope == b.slope
+
+
+def plain_statistics(text):
+    """The statistics as they are described, by counting over the whole text."""
+    import math
+    from collections import Counter
+
+    raw = text.encode("utf-8", "replace")
+    kind = lambda f: sum(n for b, n in Counter(raw).items() if f(b))
+    marks = {c for c in range(33, 127) if not chr(c).isalnum()} - set(b",.:;!?|'\"-()")
+    counts = [
+        kind(lambda b: 65 <= b <= 90), kind(lambda b: 97 <= b <= 122), kind(lambda b: b >= 128), kind(lambda b: 48 <= b <= 57), kind(lambda b: b in (9, 11, 12, 13, 32)),
+        kind(lambda b: b == 10), kind(lambda b: b in b".,:;"), kind(lambda b: b in b"!?"), kind(lambda b: b in marks), kind(lambda b: b in b"|<>"),
+    ]
+    n, words = max(1, sum(counts)), text.split()
+    w = max(1, len(words))
+    pairs = list(zip(words, words[1:]))
+    shares = [sum(map(len, words)) / w + 0.1, sum(len(x) > 14 for x in words) / w + 1e-3, 1.01 - len(set(words)) / w, 1.01 - len(set(pairs)) / w, sum(a == b for a, b in pairs) / w + 1e-3, sum(x.isupper() for x in words) / w + 1e-3]
+    lines = text.split("\n")
+    worst = [0.0] * 4
+    for line in (x for x in lines if len(x) >= 24):
+        own = line.split()
+        got = (sum(line.count(c) for c in "%$#&*|") / len(line), line.count("!") / len(line), sum(x.isupper() for x in own) / max(1, len(own)), 1 - len(set(own)) / len(own) if len(own) > 20 else 0)
+        worst = [max(a, b) for a, b in zip(worst, got)]
+    return [math.log(c / n + 1e-3) for c in counts] + [math.log1p(len(words))] + [math.log(x) for x in shares] + [math.log1p(len(lines) / w * 20)] + [math.log(x + 1e-2) for x in worst]
+
+
+def test_statistics_of_the_whole_text(monkeypatch):
+    rng = random.Random(3)
+    odd = ["", " ", "ÉCOLE école 12 !! | <b>", "A" * 100, "word " * 3000, "a b\nc d " * 50 + "%$#" * 30, " x" * 999]
+    odd += ["".join(rng.choice("ab cdE1!\n|.é ") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(Q, "PIECE", piece)
+        for t in odd:
+            assert np.allclose(Q.statistics(t), plain_statistics(t)), t
+
+
+def test_few_rows_of_a_class(documents, labels):
+    """No least number of rows: with three bad ones among many, or one of each, the classes still come apart."""
+    data = texts(200)
+    rare = [r for r in data if r[2]] + [r for r in data if not r[2]][:3]
+    for chosen in (rare, [r for r in data if r[2]][:1] + [r for r in data if not r[2]][:1]):
+        docs = documents([(i, t) for i, t, _ in chosen])
+        scores = {r.doc_id: r.score for r in Q.score_quality(docs, Q.train_quality(docs, labels(chosen)), ["doc_id"]).collect()}
+        assert min(scores[i] for i, _, y in chosen if y) > max(scores[i] for i, _, y in chosen if not y)
+
+
+def test_repeated_ids_are_cut_alike(documents, labels):
+    data = [(1, f"good words of text number {i} here", 1) for i in range(300)] + [(2, "BAD!! " * (i + 1), 0) for i in range(300)]
+    models = [Q.train_quality(documents([(i, t) for i, t, _ in data], partitions=p), labels([(1, "", 1), (2, "", 0)]), sample=100) for p in (2, 7)]
+    assert np.array_equal(models[0].means, models[1].means) and models[0].slope == models[1].slope
