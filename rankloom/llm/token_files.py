@@ -1,24 +1,26 @@
 """Token ids in Arrow stream files: fixed-size-list batches of equal-length sequences with masks, read without copying.
 
-Documents are range-partitioned and sorted by id; each partition packs its documents end to end into rows of `length`
-ids and writes one Arrow file in batches of `rows` rows, so sequence i is batch i // rows, row i % rows: a memory-mapped
+Texts are encoded once, where they are read, and packed ids are shuffled: to the range of doc_id that a bounded sample of
+ids and text hashes has set, so that rows that share an id, or have none, are dealt out too. Each partition packs its documents end to end into rows of `length` ids and writes one Arrow file in batches of `rows` rows, so sequence i is batch i // rows, row i % rows: a memory-mapped
 reader gets it as a view. Beside it an index file holds each document's place. Ids are 16-bit if the vocabulary allows,
 the mask is bit-packed and false in the last row's padding. A file's name holds the attempt that wrote it and only finished tasks
 report theirs, so a lost executor or a second attempt never mixes files. Only the list of files, one row a partition,
 reaches the driver.
 
-Words are encoded by the tokenizers library. Its pieces never cross a space here, so each Python worker remembers up to
-twice MEMO stretches between spaces and passes only new ones to the library.
+Ids come from the tokenizers library. Each Python worker remembers up to twice MEMO pieces between the places where the
+library splits a text, and passes only new ones to its model.
 
 Cases: null text is empty and gives the end id alone; null ids come first; rows that repeat an id are documents of their
-own, ordered by text; very long texts fill as many rows as they need; an empty table gives no files and an empty result;
+own, in the order of a hash of their texts; very long texts fill as many rows as they need; an empty table gives no files and an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -32,16 +34,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import byte_letters
-from rankloom.llm.shared import shared_dir, table
-from rankloom.llm.textbatch import groups_of
+from rankloom.llm.shared import column, shared_dir, table
+from rankloom.llm.textbatch import groups_of, map_arrow
 
 MEMO = 500_000
-ENDS = frozenset(".,;:!?")
+#: The normalizer and the splitting that PieceEncoder mirrors, as a tokenizers file states them.
+MIRRORED = (
+    ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
 BYTE_LETTERS = byte_letters()
 
 
-class WordMemo:
-    """Encodes by a tokenizers file, a stretch between spaces at a time."""
+def _kinds() -> np.ndarray:
+    """Kinds of Latin-1 characters: 0 white space, 1 letters, 2 numbers, 3 others."""
+    out = np.full(256, 3, np.uint8)
+    for c in range(256):
+        mark = unicodedata.category(chr(c))[0]
+        out[c] = 0 if chr(c) in "\t\n\v\f\r " else 1 if mark == "L" else 2 if mark == "N" else 3
+    return out
+
+
+KINDS = _kinds()
+#: Characters that piece_starts() leaves to the library: controls, odd spaces, the soft hyphen. Others count as plain.
+PLAIN = bytes(c for c in range(256) if c in b"\t\n\v\f\r" or 32 <= c < 127 or c > 160 and c != 173)
+
+
+def piece_starts(flat: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a piece, or a run of white space, of lower-cased Latin-1 characters begins at each place."""
+    start = np.empty(len(flat), bool)
+    start[:1] = True
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    quotes = np.flatnonzero((flat == 39) & start)  # an apostrophe at a piece's start may begin a contraction
+    if len(quotes):
+        padded = np.concatenate([flat, np.zeros(3, np.uint8)])
+        one, two = padded[quotes + 1], padded[quotes + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 108) & (two == 108)) | (((one == 114) | (one == 118)) & (two == 101))
+        start[quotes[short | long] + 1] = False
+        after = np.concatenate([quotes[short] + 2, quotes[long] + 3])
+        start[after[after < len(flat)]] = True
+    return start
+
+
+def plain(text: str) -> bytes | None:
+    """The lower-cased text in Latin-1, or nothing if piece_starts() doesn't cover it."""
+    if "<|" in text:
+        return None
+    try:
+        raw = text.lower().encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if raw.translate(None, PLAIN) else raw
+
+
+class PieceEncoder:
+    """Encodes by a tokenizers file.
+
+    Texts of Latin-1 characters are cut in numpy where the file's normalizer and splitting cut them, Arrow finds the distinct
+    pieces, and the library's model encodes those that are not remembered; ids are gathered in numpy. Other texts, and
+    files with other rules, go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,69 +103,86 @@ class WordMemo:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        #: It lower-cases, and splits letters from other marks: a word and the mark at its end encode on their own.
-        self.folds = "Lowercase()" in repr(self.tokenizer.normalizer) and self._splits_marks()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _splits_marks(self) -> bool:
-        one = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        direct = [t.id for t in self.tokenizer.model.tokenize("wordé".encode().decode("latin-1").translate(BYTE_LETTERS))]
-        return direct == one("wordé") and all(one("WordÉ" + m) == direct + one(m) for m in ENDS)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, packed as dtype."""
-        cut = [self._folded(t).split(" ") for t in texts]
+        self.mirrors = self._mirrors(json.loads(self.tokenizer.to_str()))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _mirrors(spec: dict) -> bool:
+        """Whether the file normalizes and splits as piece_starts() does."""
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if len(steps) != 3 or len(splits) != 2 or spec["model"]["type"] != "BPE":
+            return False
+        replaces = steps[1].get("pattern") == {"Regex": r"\s+"} and steps[1].get("content") == " "
+        cut, level = splits
+        cuts = cut["type"] == "Split" and cut["pattern"] == {"Regex": MIRRORED[1]} and cut["behavior"] == "Removed" and cut["invert"]
+        plain = level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"]
+        special = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+        return [s["type"] for s in steps] == MIRRORED[0] and replaces and cuts and plain and special
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        raws = [plain(t) if self.mirrors else None for t in texts]
+        odd = [i for i, r in enumerate(raws) if r is None]
+        flat, counts = self._gathered([r for r in raws if r is not None])
+        if not odd:
+            return flat, counts
+        whole = {i: np.array(e.ids, self.dtype) for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False))}
+        parts = iter(np.split(flat, np.cumsum(counts)))
+        each = [whole[i] if i in whole else next(parts) for i in range(len(texts))]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _gathered(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join(raws), np.uint8)
+        kind = KINDS[data]
+        inked = kind != 0
+        start = piece_starts(data, kind)
+        starts = np.flatnonzero(start & inked)
+        if not len(starts):
+            return np.empty(0, self.dtype), np.zeros(len(raws), np.int64)
+        data = data[inked]
+        offsets = np.append(np.flatnonzero(start[inked]), len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        packed = self._packed(pieces.dictionary.to_pylist())
+        size = np.fromiter(map(len, packed), np.int32, len(packed)) // self.dtype.itemsize
+        first = np.cumsum(size, dtype=np.int32) - size
+        table = np.frombuffer(b"".join(packed), self.dtype)
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        own = size[which]
+        ends = np.cumsum(own)
+        at = np.repeat(first[which] - (ends - own).astype(np.int32), own)
+        at += np.arange(len(at), dtype=np.int32)
+        edges = np.cumsum([0, *(len(r) + 1 for r in raws)])  # a text begins after its predecessor's separator
+        before = np.concatenate([[0], ends])[np.searchsorted(starts, edges, "left")]
+        return table[at], np.diff(before)
+
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Each piece's ids as dtype."""
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        words = set().union(*cut).difference(self.young)
-        again = words.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in again)
-        words -= again
-        ended = {w: w[:-1] for w in words if w[-1:] in ENDS and w[:-1].isalpha()} if self.folds else {}
-        self._learn(words.difference(ended) | set(ended.values()).difference(self.young))
-        if ended:
-            self._learn(ENDS.difference(self.young))
-            self.young.update((w, self.young[stem] + self.young[w[-1]]) for w, stem in ended.items())
-        of = self.young.__getitem__
-        return [b"".join(map(of, words)) for words in cut]
-
-    def _folded(self, text: str) -> str:
-        """Lower-case what the tokenizer's normalizer lower-cases anyway, where both agree for sure (Latin-1)."""
-        if self.folds and "<|" not in text:
-            try:
-                text.encode("latin-1")
-                return text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text
-
-    def _packed(self, ids: list[int]) -> bytes:
-        out = array(self.dtype.char, ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Lower-case Latin-1 words pass the normalizer unchanged and are one piece: the library's model takes them directly."""
-        model, young, pack, rest = self.tokenizer.model, self.young, self._packed, []
-        for w in words:
-            if self.folds and w.isalpha() and w.islower() and max(w) < "\u0100":
-                letters = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
-                young[w] = pack([t.id for t in model.tokenize(letters)])
-            else:
-                rest.append(w)
-        if rest:
-            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            young.update((w, pack(e.ids)) for w, e in zip(rest, found))
-
-
-_LOADED: dict[str, WordMemo] = {}
-
-
-def loaded(path: str) -> WordMemo:
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        tokenize, code, swap = self.tokenizer.model.tokenize, self.dtype.char, sys.byteorder == "big"
+        for i in [i for i, got in enumerate(out) if got is None]:
+            piece = pieces[i]
+            got = old.get(piece)
+            if got is None:
+                letters = piece.decode() if piece.isalpha() else piece.decode("latin-1").encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = array(code, [t.id for t in tokenize(letters)])
+                if swap:
+                    ids.byteswap()
+                got = ids.tobytes()
+            out[i] = young[piece] = got
+        return out
+
+
+_LOADED: dict[str, PieceEncoder] = {}
+
+
+def loaded(path: str) -> PieceEncoder:
     if path not in _LOADED:
-        _LOADED[path] = WordMemo(path)
+        _LOADED[path] = PieceEncoder(path)
     return _LOADED[path]
 
 
@@ -209,25 +278,61 @@ class TokenShard:
             yield batch, [stretches(s, n) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
 
 
-def write_token_files(docs: DataFrame, path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, rows: int = 64) -> list:
-    """Write the files below `target`; returns (shard, uri, n_docs, n_tokens) a file, in order of doc_id."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def range_bounds(keys: DataFrame, total: int, parts: int, each: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """At most parts - 1 bounds (doc_id, h) that cut keys evenly: quantiles of about parts * each keys, taken by hash."""
+    share = min(1 << 30, -(-parts * each << 30) // max(1, total))
+    chosen = keys.where(F.pmod(F.xxhash64("h", "doc_id"), F.lit(1 << 30)) < share).distinct().toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    ids, hashes = chosen.column("doc_id").to_numpy(), chosen.column("h").to_numpy()
+    at = np.unique(np.arange(1, parts) * len(ids) // parts) if len(ids) else np.empty(0, np.int64)
+    return ids[at], hashes[at]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, writer = loaded(path), None
-        end = np.array([end_id], memo.dtype).tobytes()
-        shard = TaskContext.get().partitionId()
+
+def place(bounds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many bounds are not above each (id, hash)."""
+    low, high = np.searchsorted(bounds[0], ids, "left"), np.searchsorted(bounds[0], ids, "right")
+    for i in np.flatnonzero(high > low):  # bounds with the same id
+        high[i] = low[i] + np.searchsorted(bounds[1][low[i] : high[i]], hashes[i], "right")
+    return high
+
+
+def write_token_files(docs: DataFrame, path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, rows: int = 64, shard_bytes: int = 64_000_000) -> list:
+    """Write the files below `target`; returns (shard, uri, n_docs, n_tokens) a file, in order of doc_id.
+
+    There are as many files as shuffle partitions, and more where a shard's texts would hold over `shard_bytes`.
+    """
+    text = F.coalesce(column(text_col), F.lit(""))
+    least = -(1 << 63)  # where null ids go
+    keyed = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(id_col).cast("long"), F.lit(least)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    total, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    bounds = range_bounds(keyed.select("doc_id", "h"), total, parts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = loaded(path)
+        for batch in batches:
+            for part in groups_of(batch, 3):
+                flat, counts = encoder.encode(part.column(3).to_pylist())
+                ends = np.cumsum(counts)
+                flat = np.insert(flat, ends, end_id)
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * encoder.dtype.itemsize
+                ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+                shard = place(bounds, part.column(1).to_numpy(), part.column(2).to_numpy()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(shard), ids], ["doc_id", "h", "shard", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, shard = None, TaskContext.get().partitionId()
         for batch in batches:
+            if writer is None and batch.num_rows:
+                writer = ShardWriter(f"{target}/part-{shard:06d}-{uuid.uuid4().hex}", loaded(path).dtype, length, rows, end_id)
             for part in groups_of(batch, 1):
-                if writer is None:
-                    writer = ShardWriter(f"{target}/part-{shard:06d}-{uuid.uuid4().hex}", memo.dtype, length, rows, end_id)
-                writer.add(part.column(0).to_pylist(), [x + end for x in memo.encode(part.column(1).to_pylist())])
+                writer.add(part.column(0).to_pylist(), part.column(1).to_pylist())
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "uri": writer.uri, "n_docs": writer.docs, "n_tokens": writer.total}])
 
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(ordered.mapInArrow(run, "shard long, uri string, n_docs long, n_tokens long").collect())
+    found = map_arrow(keyed, encode, "doc_id long, h long, shard int, ids binary")
+    ordered = found.repartitionById(parts, "shard").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
+    return sorted(map_arrow(ordered, write, "shard long, uri string, n_docs long, n_tokens long").collect())
 
 
 def read_token_files(spark: SparkSession, files: list) -> DataFrame:
@@ -251,7 +356,7 @@ def read_token_files(spark: SparkSession, files: list) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([index.column(0), starts, index.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "uri string, first long").repartition(max(1, min(len(rows), 10_000)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(listed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,25 +16,36 @@ def want(texts):
     return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_memo_equals_the_library(monkeypatch):
+def test_pieces_equal_the_library(monkeypatch):
     monkeypatch.setattr(T, "MEMO", 50)
-    rng, memo = random.Random(4), T.WordMemo(PATH)
-    texts = HARD + ["".join(rng.choice("abçc \n\tÉé²1ª '.,!Ⅷs tñ ́日<|>TΣ\xa0") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    rng, encoder = random.Random(4), T.PieceEncoder(PATH)
+    assert encoder.mirrors
+    letters = "abçc \n\tÉé²1ª '.,!Ⅷs tñ ́日<|>TΣ\xa0"
+    texts = HARD + ["".join(rng.choice(k) for _ in range(rng.randint(0, 40))) for _ in range(800) for k in (letters, "ab rélvstmd''.!1²_ \nTS")]
+    texts += [chr(c) + chr(d) + "a" for c in range(300) for d in (32, 97, 39, 0x301, c)]
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
-        assert [np.frombuffer(b, memo.dtype).tolist() for b in memo.encode(part)] == want(part)
+        flat, counts = encoder.encode(part)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want(part)
+
+
+def test_files_with_other_rules_go_to_the_library_whole():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tok = T.PieceEncoder(other), Tokenizer.from_file(other)
+    flat, counts = encoder.encode(HARD)
+    assert not encoder.mirrors
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [e.ids for e in tok.encode_batch(HARD, add_special_tokens=False)]
 
 
 def test_round_trip(documents, clashing, tmp_path, spark):
-    rows = [(i * 3 % 1000 + 1, t) for i, t in enumerate(HARD * 5)] + [(5000, None), (4, "repeated"), (4, "repeated id")]
-    rows = list(dict.fromkeys(rows))
+    rows = [(i * 3 % 1000 + 1, t) for i, t in enumerate(HARD * 5)] + [(5000, None), (4, "repeated"), (4, "repeated id"), (4, "repeated"), (None, "no id"), (None, "none")]
     files = T.write_token_files(clashing(documents(rows)), PATH, f"file://{tmp_path}/out", length=32, rows=4)
     found = sorted(map(tuple, T.read_token_files(spark, files).collect()), key=lambda r: r[1])
-    order, start = sorted(rows, key=lambda r: (r[0], r[1] or "")), 0
-    assert [r[0] for r in found] == [r[0] for r in order]
-    for r, ids in zip(found, (x + [1] for x in want([t or "" for _, t in order]))):
-        assert r[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    assert [r[0] for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    ids = [x + [1] for x in want([t or "" for _, t in rows])]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted((str(r[0]), r[2], r[3]) for r in found) == sorted((str(i), len(x), crc(x)) for (i, _), x in zip(rows, ids))
+    assert [r[1] for r in found] == np.cumsum([0, *(r[2] for r in found)])[:-1].tolist()
 
 
 def test_random_access(documents, tmp_path):
@@ -49,3 +60,10 @@ def test_random_access(documents, tmp_path):
 def test_empty_table(documents, tmp_path, spark):
     files = T.write_token_files(documents([(1, "a")]).where("doc_id > 1"), PATH, f"file://{tmp_path}/out")
     assert files == [] and T.read_token_files(spark, files).count() == 0
+
+
+def test_ranges_divide_repeated_ids():
+    bounds = (np.array([1, 5, 5, 5, 9]), np.array([3, -4, 0, 8, 1]))
+    keys = [(0, 9), (1, 2), (1, 3), (4, 0), (5, -9), (5, -4), (5, 0), (5, 7), (5, 9), (9, 0), (9, 1), (10, -9)]
+    want = [sum(b <= k for b in zip(*bounds)) for k in keys]
+    assert T.place(bounds, *(np.array(x) for x in zip(*keys))).tolist() == want
