@@ -11,6 +11,7 @@ import json
 import typing
 from pathlib import Path
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,30 +123,63 @@ def require_alignment(attestation: dict, revision: str) -> list:
 
 
 class Receipts:
-    """A test plan is fixed before the split is read, and the split is read once."""
+    """A test plan is fixed before the split is read, and the split is read once. Kept in a folder of any filesystem.
+
+    Each read is a file of its own, so that the log only grows.
+    """
 
     def __init__(self, root: str):
-        self.root = Path(root)
+        self.files, base = pyarrow.fs.FileSystem.from_uri(str(root) if "://" in str(root) else Path(root).absolute().as_uri())
+        self.root = base.rstrip("/")
+
+    def _write(self, name: str, document: dict) -> None:
+        self.files.create_dir(f"{self.root}/{name}".rsplit("/", 1)[0], recursive=True)
+        with self.files.open_output_stream(f"{self.root}/{name}") as out:
+            out.write(json.dumps(document, sort_keys=True).encode())
+
+    def _read(self, name: str) -> dict | None:
+        if self.files.get_file_info(f"{self.root}/{name}").type != pyarrow.fs.FileType.File:
+            return None
+        with self.files.open_input_stream(f"{self.root}/{name}") as given:
+            return json.loads(given.read())
 
     def fix_plan(self, plan: dict) -> str:
-        self.root.mkdir(parents=True, exist_ok=True)
         digest = hashlib.sha256(json.dumps(plan, sort_keys=True).encode()).hexdigest()
-        (self.root / "plan.json").write_text(json.dumps({"digest": digest, "plan": plan}, sort_keys=True))
+        self._write("plan.json", {"digest": digest, "plan": plan})
         return digest
 
     def require_plan(self, plan: dict) -> None:
-        file = self.root / "plan.json"
-        if not file.exists() or json.loads(file.read_text())["digest"] != hashlib.sha256(json.dumps(plan, sort_keys=True).encode()).hexdigest():
+        fixed = self._read("plan.json")
+        if fixed is None or fixed["digest"] != hashlib.sha256(json.dumps(plan, sort_keys=True).encode()).hexdigest():
             raise Refused("this plan is not the one that was fixed")
 
+    def reads(self) -> list[dict]:
+        """Every read so far, the first one first."""
+        found = self.files.get_file_info(pyarrow.fs.FileSelector(f"{self.root}/reads", allow_not_found=True))
+        return [self._read(f"reads/{f.base_name}") for f in sorted(found, key=lambda f: f.base_name)]
+
     def require_unread(self, justification: str = "") -> None:
         """Write the receipt; a second read needs a reason."""
-        file = self.root / "read.jsonl"
-        if file.exists() and not justification.strip():
+        before = self.reads()
+        if before and not justification.strip():
             raise Refused("the split was read before; say why it is read again")
-        with file.open("a") as out:
-            out.write(json.dumps({"justification": justification}) + "\n")
+        self._write(f"reads/{len(before):06d}.json", {"justification": justification})
 
     def require_read(self) -> None:
-        if not (self.root / "read.jsonl").exists():
+        if not self.reads():
             raise Refused("nothing can be derived from a split that was not read")
+
+    def receipt(self, facts: dict) -> dict:
+        """What was read, why, and under which plan, with the facts of the run."""
+        self.require_read()
+        plan = self._read("plan.json") or {}
+        return {"plan": plan.get("digest"), "reads": self.reads(), "facts": facts}
+
+
+def pinned(name: str, revision: str | None, releases: dict[str, str]) -> str:
+    """The revision to load a model at: the registered one; a configuration may repeat it, but not name another."""
+    if name not in releases:
+        raise ConfigError(f"{name} is not registered, so nothing says how old it is")
+    if revision and revision != releases[name]:
+        raise ConfigError(f"{name} is registered at {releases[name]}, the configuration names {revision}")
+    return releases[name]

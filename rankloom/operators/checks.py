@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.ranking import numbered
+
 
 class Refused(ValueError):
     """A check found violations."""
@@ -107,12 +109,20 @@ def fingerprint(sections: dict) -> str:
     return hashlib.sha256(json.dumps(sections, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
 
 
-def input_revision(texts: DataFrame, order: str, text: str) -> str:
-    """A digest of these texts in this order: per-text digests are made in parallel, their sequence is hashed here."""
-    digests = texts.select(order, F.sha2(F.col(text).cast("binary"), 256).alias("d")).orderBy(order)
-    whole, n = hashlib.sha256(), 0
-    for row in digests.select("d").toLocalIterator(prefetchPartitions=True):
+def input_revision(texts: DataFrame, order: str, text: str, width: int = 4096) -> str:
+    """16 hex digits over the number of texts, the texts and their order.
+
+    Digests are hashed `width` at a time by position, level by level, until at most `width` are left for the driver.
+    """
+    n = texts.count()
+    level = numbered(texts.select(F.col(order).alias("o"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("\0null")).cast("binary"), 256).alias("d")), [F.col("o"), F.col("d")])
+    left = n
+    while left > width:
+        held = level.groupBy(F.floor(F.col("position") / width).alias("position")).agg(F.sort_array(F.collect_list(F.struct("position", "d"))).alias("x"))
+        level = held.select("position", F.sha2(F.array_join(F.transform("x", lambda x: x.d), "").cast("binary"), 256).alias("d"))
+        left = -(-left // width)
+    whole = hashlib.sha256()
+    for row in level.orderBy("position").collect():
         whole.update(bytes.fromhex(row.d))
-        n += 1
     whole.update(str(n).encode())
     return whole.hexdigest()[:16]

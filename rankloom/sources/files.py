@@ -173,11 +173,19 @@ def _placed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("record_id", F.regexp_replace(decoded(F.element_at(parts, -1)), r"\.[^.]*$", "")).withColumn("lang", decoded(F.element_at(parts, -2))).withColumn("type", decoded(F.element_at(parts, -3)))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its filesystem, the default one where it names none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file:///{whole.removeprefix('file:').lstrip('/')}" if whole.startswith("file:") else whole
+
+
 def _write_tree(rows: DataFrame, root: str, suffix: str) -> int:
     """rows(type, lang, record_id, body) as files, written by the executors; returns how many."""
+    uri = _qualified(rows.sparkSession, root)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = pyarrow.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        files, base = pyarrow.fs.FileSystem.from_uri(uri)
         for pdf in frames:
             for t, lang, record, body in zip(pdf["type"], pdf["lang"], pdf["record_id"], pdf["body"]):
                 files.create_dir(f"{base}/{t}/{lang}", recursive=True)

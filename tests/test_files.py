@@ -102,3 +102,36 @@ def test_streams(spark, tmp_path):
     for n in range(2):
         windows.log_responses(answers, str(tmp_path / "log"), str(tmp_path / f"cp{n}")).awaitTermination(120)
     assert spark.read.json(str(tmp_path / "log")).count() == 9
+
+
+def test_prediction_documents_and_broken_files(spark, tmp_path):
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('{"split": "dev", "predictions": {"r1": ["a", "b"], "r2": []}}')
+    bad.write_text('{"predictions": ')
+    assert sorted(map(tuple, S.read_predictions(spark, str(good)).collect())) == [("dev", "r1", 0, "a"), ("dev", "r1", 1, "b")]
+    with pytest.raises(Exception, match="prediction document"):
+        S.read_predictions(spark, str(bad))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in S.read_json_tolerant(spark, str(tmp_path), "split string").collect()}
+    assert rows["good.json"].value.split == "dev" and not rows["good.json"].broken and rows["bad.json"].broken and rows["bad.json"].value is None
+    assert S.read_document(spark, str(good)) == good.read_text()
+
+
+def test_vocabulary_and_cache_files(spark, tmp_path):
+    entries = spark.createDataFrame([("b", "B, x", ["s"]), ("a", "A", [])], "code string, name string, alternates array<string>")
+    stats = S.write_vocabulary(entries, spark.createDataFrame([("b", "x")], "code string, qualifier string"), str(tmp_path / "v"))
+    assert tuple(stats.first()) == (2, 1)
+    back = spark.read.schema("key string, value string").json(str(tmp_path / "v/entries")).collect()
+    assert {r.key for r in back} == {"a", "b"} and '"name":"B, x"' in {r.key: r.value for r in back}["b"]
+    rows = spark.createDataFrame([(f"k{i}", str(i)) for i in range(50)], "key string, value string")
+    texts = []
+    for parts in (1, 4):
+        S.write_sorted_map(rows.repartition(parts), str(tmp_path / f"c{parts}"))
+        texts.append("".join(p.read_text() for p in sorted((tmp_path / f"c{parts}").glob("part-*"))))
+    assert texts[0] == texts[1] and texts[0].startswith('{"key":"k0"')
+    S.write_projection(entries, ["code", "alternates"], str(tmp_path / "csv"))
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()} == {("b", "s"), ("a", None)}
+    log = str(tmp_path / "log")
+    assert S.read_log(spark, log, "id long, at long", "at").count() == 0
+    S.append_new(log, spark.createDataFrame([(2, 5), (1, 3)], "id long, at long"), ["id"])
+    S.append_new(log, spark.createDataFrame([(1, 9), (3, 4)], "id long, at long"), ["id"])
+    assert [r.id for r in S.read_log(spark, log, "id long, at long", "at").collect()] == [1, 3, 2]

@@ -108,3 +108,28 @@ def test_a_record_is_not_its_own_neighbour(spark):
     own.subjects = spark.createDataFrame([(0, 3), (4, 0)], "id long, code long")
     got = predict(own, Settings(weights={"knn": 1.0}, neighbours=1, top_k=1, output=1)).collect()
     assert [r.code for r in got] == [0]
+
+
+def test_pins_and_receipts(tmp_path):
+    assert G.pinned("m", None, {"m": "r1"}) == G.pinned("m", "r1", {"m": "r1"}) == "r1"
+    for name, revision in (("m", "r2"), ("other", None)):
+        with pytest.raises(G.ConfigError):
+            G.pinned(name, revision, {"m": "r1"})
+    own = G.Receipts(tmp_path.as_uri() + "/r")
+    digest = own.fix_plan({"k": 5})
+    with pytest.raises(Refused):
+        own.receipt({})
+    own.require_unread()
+    own.require_unread("a second look")
+    assert own.receipt({"n": 1}) == {"plan": digest, "reads": [{"justification": ""}, {"justification": "a second look"}], "facts": {"n": 1}}
+
+
+def test_prompts_by_revision(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import rerank as R
+
+    df = spark.createDataFrame([("t", [(0, "c", "l")])], "text string, offered array<struct<rank: int, code: string, label: string>>")
+    assert df.select(R.prompt("1", F.col("text"), F.col("offered")).alias("p")).first().p == "Record:\nt\n\nCandidates:\n1. c l"
+    with pytest.raises(ValueError):
+        R.prompt("9", F.col("text"), F.col("offered"))
