@@ -105,21 +105,18 @@ class StageStore:
         return self.load(stage, depends)
 
 
-def attest(index: DataFrame, held_out: DataFrame, key: str, revision: str) -> dict:
-    """What the index shares with the held-out splits: counts by split, and the ids to leave out."""
-    gone = excluded(index, held_out, key).groupBy("split").agg(F.sort_array(F.collect_set(key)).alias("ids"))
-    return {
-        "revision": revision,
-        "overlaps": {str(r["split"]): r["n"] for r in overlap(index, held_out, key).collect()},
-        "excluded": {str(r["split"]): r["ids"] for r in gone.collect()},
-    }
-
-
-def require_alignment(attestation: dict, revision: str) -> list:
-    """The ids to drop, if the attestation is about this revision of the data."""
+def attest(index: DataFrame, held_out: DataFrame, key: str, revision: str, path: str) -> dict:
+    """What the index shares with the held-out splits: counts by split, and where the ids to leave out are written."""
+    gone = excluded(index, held_out, key)
+    gone.write.mode("overwrite").parquet(path)
+    return {"revision": revision, "overlaps": {str(r["split"]): r["n"] for r in overlap(index, held_out, key).collect()}, "excluded": path}
+
+
+def require_alignment(spark: SparkSession, attestation: dict, revision: str) -> DataFrame:
+    """The ids to drop, once each, if the attestation is about this revision of the data."""
     if attestation["revision"] != revision:
         raise Refused(f"attested for {attestation['revision']}, the data are {revision}")
-    return sorted({i for ids in attestation["excluded"].values() for i in ids})
+    return spark.read.parquet(attestation["excluded"]).drop("split").distinct()
 
 
 class Receipts:

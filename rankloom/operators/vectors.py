@@ -38,10 +38,11 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, query_key: str = "id", index_key: str = "id", vector: str = "vector", decimals: int = 6, exclude_self: bool = False, query_block: int = 16_384, index_block: int = 65_536, step: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int, query_key: str = "id", index_key: str = "id", vector: str = "vector", decimals: int = 6, exclude_self: bool = False, query_block: int = 16_384, index_block: int = 65_536, products: int = 4_000_000) -> DataFrame:
     """query, id, sim, rank: the k most similar index rows of each query, similarity rounded, ties by id.
 
-    Vectors that are null or hold a component that is null or not finite are refused.
+    Vectors that are null or hold a component that is null or not finite are refused. A task works out about `products`
+    similarities at a time.
     """
     side = lambda df, key: df.select(F.col(key).alias("id"), finite(F.col(vector), F.col(key)).alias("v"))
     q, i = side(queries, query_key), side(index, index_key)
@@ -54,7 +55,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, query_key: str = "id",
     def answer(block: tuple[pa.Array, np.ndarray], rows: pa.StructArray) -> pa.RecordBatch:
         ids, vs = block
         qids, out = rows.field("id"), []
-        own = pc.index_in(qids, value_set=ids).to_numpy(zero_copy_only=False) if exclude_self else None
+        own, step = pc.index_in(qids, value_set=ids).to_numpy(zero_copy_only=False) if exclude_self else None, max(1, products // len(ids))
         for at in range(0, len(rows), step):
             sims = np.round(_matrix(rows.field("v").slice(at, step)) @ vs.T, decimals) + 0.0
             if own is not None:

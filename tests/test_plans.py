@@ -52,10 +52,10 @@ def test_revisions_and_attestation(spark, tmp_path):
     assert one != two
     index = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     held = spark.createDataFrame([("dev", 2), ("dev", 9), ("test", 3), ("none", 8)], "split string, id long")
-    doc = json.loads(json.dumps(G.attest(index, held, "id", two)))
-    assert doc["overlaps"] == {"dev": 1, "test": 1, "none": 0} and G.require_alignment(doc, two) == [2, 3]
+    doc = json.loads(json.dumps(G.attest(index, held, "id", two, str(tmp_path / "gone"))))
+    assert doc["overlaps"] == {"dev": 1, "test": 1, "none": 0} and sorted(r.id for r in G.require_alignment(spark, doc, two).collect()) == [2, 3]
     with pytest.raises(Refused):
-        G.require_alignment(doc, one)
+        G.require_alignment(spark, doc, one)
 
 
 def test_receipts(tmp_path):
