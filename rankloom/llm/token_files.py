@@ -332,7 +332,18 @@ def write_token_files(docs: DataFrame, path: str, target: str, id_col: str = "do
 
     found = map_arrow(keyed, encode, "doc_id long, h long, shard int, ids binary")
     ordered = found.repartitionById(parts, "shard").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
-    return sorted(map_arrow(ordered, write, "shard long, uri string, n_docs long, n_tokens long").collect())
+    files = sorted(map_arrow(ordered, write, "shard long, uri string, n_docs long, n_tokens long").collect())
+    _drop_others(docs.sparkSession, target, {f["uri"].rsplit("/", 1)[1] for f in files})
+    return files
+
+
+def _drop_others(spark: SparkSession, target: str, kept: set[str]) -> None:
+    """Delete what attempts have left that didn't finish."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.listStatus(folder) if fs.exists(folder) else ():
+        if found.getPath().getName().split(".")[0] not in kept:
+            fs.delete(found.getPath(), False)
 
 
 def read_token_files(spark: SparkSession, files: list) -> DataFrame:

@@ -50,7 +50,10 @@ def test_round_trip(documents, clashing, tmp_path, spark):
 
 def test_random_access(documents, tmp_path):
     rows = [(i, f"number {i} of the words") for i in range(40)]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/part-000000-lost.arrow").write_text("of an attempt that died")
     files = T.write_token_files(documents(rows), PATH, f"file://{tmp_path}/out", length=16, rows=3)
+    assert {p.name.split(".")[0] for p in (tmp_path / "out").iterdir()} == {f["uri"].rsplit("/", 1)[1] for f in files}
     flat = [i for f in files for k in range(-(-f["n_tokens"] // 16)) for i, m in zip(*T.TokenShard(f["uri"]).sequence(k)) if m]
     assert flat == [i for x in want([t for _, t in rows]) for i in x + [1]]
     ids, mask = T.TokenShard(files[0]["uri"]).sequence(0)
