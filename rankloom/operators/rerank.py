@@ -136,6 +136,11 @@ def calibration_summary(confidences: DataFrame, outcomes: DataFrame, share: floa
     return placed.agg(F.when(~flat, F.corr("confidence", "precision")).alias("pearson"), F.count(worst).alias("least"), F.avg(worst).alias("least_precision"), F.avg("precision").alias("precision"))
 
 
+def replay(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """asked with the response that its record already has; null where the model has to be called."""
+    return asked.join(responses.select("record_id", "response"), "record_id", "left")
+
+
 def judge(offered: Column, returned: Column) -> Column:
     """Why a response is refused, or null: unreadable, or codes that were not offered."""
     return F.when(returned.isNull(), F.lit("unreadable")).when(F.size(F.array_except(returned, offered)) > 0, F.lit("not offered"))

@@ -8,6 +8,7 @@ from rankloom.functions import text as T
 from rankloom.operators import checks as K
 from rankloom.operators import corpus as C
 from rankloom.operators import curves as V
+from rankloom.operators import labels
 from rankloom.plans.catalogue import query, rounded
 from rankloom.sources import roles
 from rankloom.sources.roles import MIXED_SQL, ROLES_SQL
@@ -180,13 +181,8 @@ def render_terms(spark, sf_dir):
 
 
 def translated(df, term, mode):
-    """english: base and qualifier looked up on their own; null without a base, the German qualifier without another."""
-    spark = df.sparkSession
-    words = F.broadcast(spark.createDataFrame(list(ENGLISH.items()), "german string, english string"))  # a fixed, small dictionary
-    own = df.withColumn("_b", T.base_term(term)).withColumn("_q", T.qualifier_of(term))
-    own = own.join(words.select(F.col("german").alias("_b"), F.col("english").alias("_eb")), "_b", "left").join(words.select(F.col("german").alias("_q"), F.col("english").alias("_eq")), "_q", "left")
-    q = F.when(F.coalesce("_eq", F.lit("")) != "", F.col("_eq")).otherwise(F.col("_q"))
-    return own.withColumn("english", F.when(F.coalesce("_eb", F.lit("")) != "", T.join_term(F.col("_eb"), q, ",", mode))).drop("_b", "_q", "_eb", "_eq")
+    words = df.sparkSession.createDataFrame(list(ENGLISH.items()), "german string, english string")
+    return labels.translate(df, term, mode, words)
 
 
 TRANSLATED = SPLIT + ENGLISH_SQL + """, words AS (SELECT s.*, b.english AS eb, coalesce(nullif(q.english, ''), qualifier) AS eq FROM split s LEFT JOIN dictionary b ON b.german = base LEFT JOIN dictionary q ON q.german = qualifier),
@@ -215,25 +211,19 @@ def label_variants(spark, sf_dir):
 
 @query(SPLIT + " SELECT kind AS string FROM split UNION SELECT base FROM split UNION SELECT qualifier FROM split WHERE qualifier IS NOT NULL")
 def translatable(spark, sf_dir):
-    own = terms(spark, sf_dir)
-    parts = F.array_compact(F.array("kind", T.base_term(F.col("term")), T.qualifier_of(F.col("term"))))
-    return own.select(F.explode(parts).alias("string")).distinct()
+    return labels.required(terms(spark, sf_dir), F.col("term"), "kind")
 
 
 @query(SPLIT + ENGLISH_SQL + """, need AS (SELECT kind AS s FROM split UNION SELECT base FROM split UNION SELECT qualifier FROM split WHERE qualifier IS NOT NULL)
 SELECT count(*) AS required, count(*) FILTER (WHERE s IN (SELECT german FROM dictionary)) AS cached, count(*) FILTER (WHERE s NOT IN (SELECT german FROM dictionary)) AS missing,
   (SELECT count(*) FROM dictionary WHERE german NOT IN (SELECT s FROM need)) AS stale FROM need""")
 def translation_coverage(spark, sf_dir):
-    need = translatable(spark, sf_dir)
-    words = spark.createDataFrame([(k, 1) for k in ENGLISH], "string string, cached int")
-    both = need.withColumn("needed", F.lit(1)).join(words, "string", "full")
-    return both.agg(F.count("needed").alias("required"), F.count_if(F.col("needed").isNotNull() & F.col("cached").isNotNull()).alias("cached"), F.count_if(F.col("cached").isNull()).alias("missing"), F.count_if(F.col("needed").isNull()).alias("stale"))
+    return labels.cache_coverage(translatable(spark, sf_dir), spark.createDataFrame([(k,) for k in ENGLISH], "string string"))
 
 
 @query(SPLIT + " SELECT count(*) AS entries, count(qualifier) AS terms, count(*) FILTER (WHERE regexp_matches(name, ',\\S')) AS names, count(*) FILTER (WHERE qualifier IS NOT NULL OR regexp_matches(name, ',\\S')) AS any_field FROM split")
 def count_qualifiers(spark, sf_dir):
-    a, b = T.qualifier_of(F.col("term")).isNotNull(), T.qualifier_of(F.col("name")).isNotNull()
-    return terms(spark, sf_dir).agg(F.count("*").alias("entries"), F.count_if(a).alias("terms"), F.count_if(b).alias("names"), F.count_if(a | b).alias("any_field"))
+    return labels.count_qualified(terms(spark, sf_dir), {"terms": F.col("term"), "names": F.col("name")})
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS n_distinct FROM documents")

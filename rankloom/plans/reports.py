@@ -358,3 +358,34 @@ def run_documents(spark, sf_dir):
 @query(FROZEN + " SELECT band, count(*) AS labels, CAST(sum(count) AS BIGINT) AS assignments FROM frozen GROUP BY band")
 def band_report(spark, sf_dir):
     return B.weighted_report(evaluations.frozen(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT conv_id AS record_id, max_by(text, turn) AS response FROM conversations WHERE role = 'assistant' GROUP BY conv_id), a AS (SELECT DISTINCT conv_id AS record_id FROM conversations)
+SELECT record_id, md5(response) AS response, response IS NULL AS to_call FROM a LEFT JOIN r USING (record_id)""")
+def replayed_responses(spark, sf_dir):
+    turns = roles.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("record_id"), "role", "turn", F.col("text").alias("response"))
+    found = R.replay(turns.select("record_id").distinct(), files.latest_lines(turns.where("role = 'assistant'"), "record_id", "response", "turn"))
+    return found.select("record_id", F.md5(F.col("response").cast("binary")).alias("response"), F.col("response").isNull().alias("to_call"))
+
+
+@query(retrievals.BOOSTED.split(", lifted AS")[0] + " SELECT count(*) AS candidates, CAST(0 AS BIGINT) AS moved FROM codes")
+def prior_identity(spark, sf_dir):
+    """A weight of zero leaves every ranking as it is."""
+    own = retrievals.candidates(spark, sf_dir)
+    plain = retrievals.rank_by(own, ["record_id"], [F.desc("score"), F.col("code")], name="before").select("record_id", "code", "before")
+    lifted = P.boost(own, retrievals.distribution(spark, sf_dir), retrievals.code_groups(spark), 0.0)
+    return plain.join(lifted, ["record_id", "code"], "left").agg(F.count("*").alias("candidates"), F.count_if(~F.col("before").eqNullSafe(F.col("rank"))).alias("moved"))
+
+
+@query(evaluations.ROUTED + evaluations.TURNED.removeprefix(evaluations.HITS) + evaluations.BANDS.removeprefix(evaluations.HITS).split(", names AS")[0] + """,
+  sides AS (SELECT 'before' AS side, record_id, code, min_rank FROM best UNION ALL SELECT 'after', record_id, code, min_rank FROM best2),
+  per AS (SELECT side, coalesce(f.band, 'zero') AS band, k, count(*) AS assignments, count(*) FILTER (WHERE min_rank < k) AS hits FROM sides s LEFT JOIN frozen f USING (code), ks WHERE record_id IN (SELECT record_id FROM routed) GROUP BY 1, 2, 3)
+  SELECT a.band, a.k, round(a.hits::DOUBLE / a.assignments, 6) AS recall_before, round(b.hits::DOUBLE / b.assignments, 6) AS recall_after, round(b.hits::DOUBLE / b.assignments - a.hits::DOUBLE / a.assignments, 6) AS recall_change
+  FROM per a JOIN per b USING (band, k) WHERE a.side = 'before' AND b.side = 'after'""")
+def routed_bands_before_after(spark, sf_dir):
+    """Bands that routed records have no codes of are left out."""
+    routed = R.route(evaluations.confidences(spark, sf_dir), 0.2)
+    own, bands = evaluations.gold(spark, sf_dir).join(routed, "record_id", "left_semi"), evaluations.frozen(spark, sf_dir)
+    side = lambda p: E.by_band(own, p, bands, evaluations.BAND_NAMES).where("assignments > 0")
+    both = E.before_after(side(roles.mixed_predictions(spark, sf_dir)), side(evaluations.turned(spark, sf_dir)), ["band", "k"])
+    return rounded(both.select("band", "k", "recall_before", "recall_after", "recall_change"), "recall_before", "recall_after", "recall_change")

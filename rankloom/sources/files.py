@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.text import language_code, subject_list
-from rankloom.operators.checks import bad_rankings, repeated_ids, require_none
+from rankloom.operators.checks import Refused, bad_rankings, repeated_ids, require_none
 
 RECORD = "id string, type string, lang string, title string, abstract string, subjects string"
 ENTRY = "`Code` string, `Name` string, `Classification Number` string, `Classification Name` string, `Alternate Name` array<string>, `Related Subjects` array<string>, `Definition` string"
@@ -247,6 +247,19 @@ def write_prior(head: DataFrame, path: str) -> None:
     head.write.mode("overwrite").parquet(path)
 
 
+def read_prior(spark: SparkSession, path: str) -> DataFrame:
+    """group, coefficients, intercept of a head that was fitted; refuses to go on without one."""
+    if not _exists(spark, path):
+        raise Refused(f"no fitted head at {path}")
+    return spark.read.parquet(path).select("group", "coefficients", "intercept")
+
+
+def write_predictions(rankings: DataFrame, split: str, path: str) -> None:
+    """split, record_id and codes in order as JSON lines, one a record."""
+    codes = F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda x: x.code).alias("codes")
+    write_json(rankings.groupBy("record_id").agg(codes).select(F.lit(split).alias("split"), "record_id", "codes"), path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

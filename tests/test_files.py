@@ -135,3 +135,13 @@ def test_vocabulary_and_cache_files(spark, tmp_path):
     S.append_new(log, spark.createDataFrame([(2, 5), (1, 3)], "id long, at long"), ["id"])
     S.append_new(log, spark.createDataFrame([(1, 9), (3, 4)], "id long, at long"), ["id"])
     assert [r.id for r in S.read_log(spark, log, "id long, at long", "at").collect()] == [1, 3, 2]
+
+
+def test_heads_and_predictions(spark, tmp_path):
+    head = spark.createDataFrame([("g", [1.0, 2.0], 0.5)], "group string, coefficients array<double>, intercept double")
+    S.write_prior(head, str(tmp_path / "head"))
+    assert S.read_prior(spark, str(tmp_path / "head")).collect() == head.collect()
+    with pytest.raises(Refused):
+        S.read_prior(spark, str(tmp_path / "none"))
+    S.write_predictions(spark.createDataFrame([("r", 1, "b"), ("r", 0, "a")], "record_id string, rank int, code string"), "dev", str(tmp_path / "p"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "p")).select("split", "record_id", "codes").collect()] == [("dev", "r", ["a", "b"])]
