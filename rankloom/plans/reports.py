@@ -12,6 +12,7 @@ from rankloom.operators import evaluation as E
 from rankloom.operators import fusion as U
 from rankloom.operators import prior as P
 from rankloom.operators import rerank as R
+from rankloom.operators.ranking import numbered
 from rankloom.plans import corpora, evaluations, retrievals
 from rankloom.plans.catalogue import query, rounded
 from rankloom.plans.predict import Inputs, Settings, predict, retrieve
@@ -91,7 +92,7 @@ def assembled_index(spark, sf_dir):
 def simple_sample(spark, sf_dir):
     """A sample that knows no cells, back in the order of the corpus."""
     docs = roles.table(spark, sf_dir, "documents").select("doc_id")
-    return C.in_corpus_order(C.simple_sample(docs, 50, "doc_id", 42), C.numbered(docs, [F.col("doc_id")]), "doc_id")
+    return C.in_corpus_order(C.simple_sample(docs, 50, "doc_id", 42), numbered(docs, [F.col("doc_id")]), "doc_id")
 
 
 USABLE = "WITH " + ROLES_SQL + """, known AS (SELECT code FROM vocabulary WHERE code % 50 <> 0), usable AS (SELECT r.record_id, type, lang FROM records r
