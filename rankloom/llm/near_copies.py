@@ -187,7 +187,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs.select("text"), run, "fp long, shingles binary")
 
 
-def proposed(nodes: DataFrame, marked: DataFrame, similarity: float, radius: int, block: int) -> DataFrame:
+def proposed(nodes: DataFrame, similarity: float, radius: int, block: int) -> DataFrame:
     """Links (u, v) between digests that may have the similarity: within `radius` bits, or sharing a band."""
     sims = materialise(nodes.groupBy("sim").agg(F.min("fp").alias("rep")), "near-sims")
     covering = similarity_forest(sims.select(F.col("sim").alias("fp"), "rep"), sims.count(), radius)
@@ -205,7 +205,7 @@ def near_components(docs: DataFrame, marked: DataFrame, width: int, similarity:
     """node, component: digests of sets that have a near copy, with the smallest one they reach."""
     nodes = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min("key").alias("key"))
     nodes = materialise(nodes, "near-nodes")
-    maybe = connected_components(proposed(nodes, marked, similarity, radius, block))
+    maybe = connected_components(proposed(nodes, similarity, radius, block))
     members = maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct())
     members = materialise(members.select(F.col("node").alias("fp"), F.col("component").alias("group")).join(nodes.select("fp", "n", "bits", "key"), "fp"), "near-members")
     again = KeyFilter(members, "key").marked(docs.select("text", row_key().alias("key")), F.col("key"), "hit").where("hit")
