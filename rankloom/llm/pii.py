@@ -44,7 +44,8 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W\d_]{4,}")
+WHOLE_TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{4,}")
 LETTER = re.compile(r"[^\W\d_]")
 NOT_DIGIT = re.compile("[^0-9]+")
 
@@ -111,7 +112,7 @@ def near_terms(text: str, start: int, end: int, window: int, spans: Spans) -> li
     """The terms that stand wholly within `window` characters of a mention, outside of all base spans."""
     a, b = max(0, start - window), min(len(text), end + window)
     cut = b < len(text) and LETTER.match(text, b)
-    return [m.group().lower() for m in TERM.finditer(text, a, b) if not (cut and m.end() == b) and not spans.overlap(m.start(), m.end())]
+    return [m.group().lower() for m in WHOLE_TERM.finditer(text, a, b) if not (cut and m.end() == b) and not spans.overlap(m.start(), m.end())]
 
 
 def surroundings(text: str, found: list[list[tuple[int, int]]], window: int, most: int = 100_000) -> Iterator[tuple[int, str | None, int, bool]]:
@@ -144,6 +145,24 @@ def hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def distinct_terms(text: str) -> set[str]:
+    """The lower-cased terms of a whole text."""
+    low = text.lower()
+    if len(low) == len(text):
+        return {*TERM.findall(low)}
+    return {w.lower() for w in {*TERM.findall(text)}}  # a letter that grows when lower-cased would split its word
+
+
+def places(text: str, terms: list[str]) -> list[tuple[str, int, int]]:
+    """(term, start, end) wherever one of the terms stands in the text."""
+    low = text.lower()
+    if len(low) == len(text):
+        some = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, terms))})(?![^\W\d_])")
+        return [(m.group(), *m.span()) for m in some.finditer(low)]
+    wanted = set(terms)
+    return [(t, *m.span()) for m in TERM.finditer(text) if (t := m.group().lower()) in wanted]
+
+
 def joined(kind: str, spans: list[tuple[int, int]]) -> list[str]:
     return [f"{kind}:{s}:{e}" for s, e in spans]
 
@@ -218,7 +237,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20
         for batch in batches:
             for part in groups_of(batch, 0):
                 for text in part.column(0).to_pylist():
-                    counts.update({t for t in {w.lower() for w in {*TERM.findall(text)}} if known.has(t)})
+                    counts.update(t for t in distinct_terms(text) if known.has(t))
                 if len(counts) > flush:
                     yield partial()
                     counts.clear()
@@ -239,8 +258,11 @@ def occurrences(docs: DataFrame, mentions: DataFrame, terms: DataFrame, id_col:
         for batch in batches:
             for part in groups_of(batch, 1):
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    terms = [t for t in distinct_terms(text) if known.has(t)]
+                    if not terms:
+                        continue
                     spans = Spans(base_spans(text))
-                    found = [(t, *m.span()) for m in TERM.finditer(text) if known.has(t := m.group().lower()) and not spans.overlap(*m.span())]
+                    found = [x for x in places(text, terms) if not spans.overlap(*x[1:])]
                     if found:
                         ts, starts, ends = zip(*found)
                         yield pa.RecordBatch.from_arrays([pa.array([key] * len(ts), pa.int64()), pa.array(ts, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["row", "t", "s", "f"])
@@ -257,7 +279,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, total: int, sup
     if not held:
         return None
     per = lambda key: pairs.groupBy(key).agg(F.count("*").alias("pairs"))
-    df_t = term_counts(docs, per("t"), text_col)
+    df_t = materialise(term_counts(docs, per("t"), text_col), "pii-df")  # read twice below
     df_e = found.where("e is not null and t is null").groupBy("e").agg(F.count("*").alias("df_e")).join(per("e"), "e")
     measured = skewed_lookup(pairs, df_e, ["e"], "pairs", held).drop("pairs")
     measured = skewed_lookup(measured, df_t, ["t"], "pairs", held).drop("pairs")
@@ -265,7 +287,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, total: int, sup
     ic, pmi = F.log2(n / F.col("df_e")), F.log2(n * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     told = measured.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise)
     told = materialise(told.select("e", "t", "share", "df_e", "df_t"), "pii-told")
-    forget(pairs)
+    forget(pairs, df_t)
     return told
 
 
@@ -284,7 +306,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mentions = found.where("e is not null and t is null").select("row", "e")
     per_e = told.groupBy("e").agg(F.max("df_e").alias("rows"))
     mentions = materialise(skewed_lookup(mentions, per_e, ["e"], "rows", total).select("row", "e").distinct(), "pii-mentions")
-    places = occurrences(docs, mentions, told.select("t").distinct(), id_col, text_col)
+    places = materialise(occurrences(docs, mentions, told.select("t").distinct(), id_col, text_col), "pii-places")
     per_t = told.groupBy("t").agg(F.collect_list(F.struct("e", "share")).alias("of"), F.max("df_t").alias("rows"))  # few: each shares nearly all its documents with t
     met = skewed_lookup(places, per_t, ["t"], "rows", total).select("row", "s", "f", F.explode("of").alias("x")).select("row", "s", "f", "x.e", "x.share")
     spans = met.join(mentions, ["row", "e"], "left_semi").groupBy("row", "s", "f").agg(F.max(F.col("share") >= remove).alias("gone"))

@@ -101,6 +101,17 @@ def test_terms_are_marked_wherever_they_stand(documents):
     assert sum("term" in r.terms for r in found) == 4
 
 
+def test_places_and_terms_agree():
+    rng = random.Random(6)
+    for _ in range(500):
+        text = "".join(rng.choice("abcdABCD éÉßİ1_² .") for _ in range(rng.randint(0, 80)))
+        every = [(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{4,}", text)]
+        terms = sorted(pii.distinct_terms(text))
+        assert terms == sorted({t for t, _, _ in every})
+        for some in (terms, terms[::2]):
+            assert not some or pii.places(text, some) == [x for x in every if x[0] in some]
+
+
 def test_dense_addresses_stay_small(documents):
     import tracemalloc
 
