@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankloom.llm.alignment import op11_alignment
 from rankloom.llm.bpe import op9_bpe
 from rankloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from rankloom.llm.html_text import op4_main_text
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
     "op10_personal_data": op10_personal_data,
+    "op11_alignment": op11_alignment,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
