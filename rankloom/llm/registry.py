@@ -10,6 +10,7 @@ from rankloom.llm.langid import op1_language
 from rankloom.llm.mixing import OP6_SQL, op6_mix_sources
 from rankloom.llm.pii import op10_personal_data
 from rankloom.llm.quality import op3_quality
+from rankloom.llm.repeats import OP12_SQL, op12_repeats
 from rankloom.llm.simhash import op2_simhash
 from rankloom.llm.token_files import op8_token_files
 from rankloom.llm.topk import OP7_SQL, op7_top_k
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_personal_data": op10_personal_data,
     "op11_alignment": op11_alignment,
+    "op12_repeats": op12_repeats,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op7_top_k": OP7_SQL,
+    "op12_repeats": OP12_SQL,
 }
