@@ -20,22 +20,51 @@ def concatenate(*corpora: DataFrame) -> DataFrame:
     return out
 
 
+def arrival(df: DataFrame, name: str = "arrived") -> DataFrame:
+    """A total order of the rows of df, which must come straight from files: by file name, block of the file and place in it.
+
+    Corpora read from several files in another order than that of their names go through concatenate(), whose ordinal comes first.
+    """
+    place = F.monotonically_increasing_id().alias("place")  # rises within the task that reads the block
+    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place))
+
+
 def merge(records: DataFrame, key: str, seq: str, same: list[str], subjects: str) -> DataFrame:
-    """One row per key: the first row's fields, subjects united in order of first appearance, copies, and whether copies disagree."""
-    first = [F.min_by(c, seq).alias(c) for c in same]
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("at"), F.col(subjects).alias("own"))))
-    return records.groupBy(key).agg(
-        *first, F.array_distinct(F.flatten(F.transform(ordered, lambda x: x.own))).alias(subjects),
-        F.count("*").alias("copies"), (F.countDistinct(F.struct(*same)) > 1).alias("conflict"),
+    """One row per key: the first row's fields, subjects united in order of first appearance, copies, conflict (whether copies
+    disagree in anything but their subjects), and recovered, the subjects that only later copies add.
+
+    `seq` must be a total order (see arrival()). A key's copies are reduced to its different subjects before they meet, so
+    a key that very many rows repeat takes no more room than its subjects. Null subjects are none; null keys are one key.
+    """
+    each = records.select(F.col(key), F.struct(F.col(seq).alias("at"), *same).alias("row"), F.posexplode_outer(subjects).alias("pos", "code"))
+    content = F.struct(*(F.col("row")[c].alias(c) for c in same)) if same else F.lit(0)
+    firsts = each.groupBy(key, "code").agg(
+        F.min(F.struct(F.col("row.at").alias("at"), F.coalesce("pos", F.lit(0)).alias("pos"))).alias("first"), F.min("row").alias("row"),
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.min(content).alias("low"), F.max(content).alias("high"),
+    )
+    met = firsts.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("first", "code")))).alias("own"), F.min("row").alias("row"),
+        F.sum("copies").alias("copies"), (~F.min("low").eqNullSafe(F.max("high"))).alias("conflict"),
+    )
+    late = F.size(F.filter("own", lambda x: x["first"]["at"] > F.col("row.at")))
+    return met.select(
+        key, *(F.col("row")[c].alias(c) for c in same), F.transform("own", lambda x: x.code).alias(subjects), "copies", "conflict", late.alias("recovered")
     )
 
 
-def merge_stats(merged: DataFrame, subjects: str) -> DataFrame:
-    """One row: rows read, keys with copies, subjects held by keys with copies."""
+def merge_stats(merged: DataFrame) -> DataFrame:
+    """One row: rows read, keys, keys with copies, subjects that later copies added."""
+    none = F.lit(0)
     return merged.agg(
-        F.sum("copies").alias("rows"), F.count("*").alias("keys"), F.count_if(F.col("copies") > 1).alias("duplicate_keys"),
-        F.coalesce(F.sum(F.when(F.col("copies") > 1, F.size(subjects))), F.lit(0)).alias("merged_subjects"),
-    )
+        F.coalesce(F.sum("copies"), none).alias("rows"), F.count("*").alias("keys"), F.count_if(F.col("copies") > 1).alias("duplicate_keys"),
+        F.coalesce(F.sum("recovered"), none).alias("merged_subjects"),
+    )
+
+
+def refuse_conflicts(merged: DataFrame, key: str) -> DataFrame:
+    """merged, which fails when it is run if copies of a key disagree: two documents under one key are no duplicate."""
+    told = F.raise_error(F.concat(F.lit("record "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" appears more than once with different content")))
+    return merged.where(F.when(F.col("conflict"), told.cast("boolean")).otherwise(True))
 
 
 def overlap(index: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
@@ -53,7 +82,11 @@ def clear(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def assembled_load(corpus: DataFrame, held_out: DataFrame, vocabulary: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, vocabulary, index): a held-out split(split, key), and the merged corpus without the records that it holds."""
+    """(queries, vocabulary, index): a held-out split(split, key), and the merged corpus without the records that it holds.
+
+    The index fails when it is run if copies of any record are in conflict.
+    """
+    corpus = refuse_conflicts(corpus, key)
     return held_out, vocabulary, clear(corpus, excluded(corpus, held_out, key), key)
 
 

@@ -13,37 +13,39 @@ from rankloom.plans.catalogue import query, rounded
 from rankloom.sources import roles
 from rankloom.sources.roles import MIXED_SQL, ROLES_SQL
 
-# Assembling a corpus: records are suppliers' order lines, keyed by order; copies carry different codes
+# Assembling a corpus: a record is what lines of one order say, in the order in which the file holds them; copies carry
+# different codes. Copies of one order may carry different flags, which is a conflict; what its order says is the same.
 
-MERGE = """WITH raw AS (SELECT l_orderkey AS id, l_linenumber AS seq, l_returnflag AS kind, [l_partkey, l_suppkey] AS subjects FROM lineitem),
+MERGE = """WITH raw AS (SELECT l_orderkey AS id, row_number() OVER () AS seq, l_returnflag AS kind, [l_partkey, l_suppkey] AS subjects FROM lineitem),
 flat AS (SELECT id, seq, i, subjects[i] AS code FROM raw, (VALUES (1), (2)) t(i)), firsts AS (SELECT id, code, min(seq * 2 + i) AS pos FROM flat GROUP BY id, code),
-united AS (SELECT id, string_agg(code::VARCHAR, ',' ORDER BY pos) AS subjects, count(*) AS n FROM firsts GROUP BY id),
+heads AS (SELECT id, min(seq) * 2 + 2 AS own FROM raw GROUP BY id),
+united AS (SELECT id, string_agg(code::VARCHAR, ',' ORDER BY pos) AS subjects, count(*) FILTER (WHERE pos > own) AS recovered FROM firsts JOIN heads USING (id) GROUP BY id),
 merged AS (SELECT id, min_by(kind, seq) AS kind, count(*) AS copies, count(DISTINCT kind) > 1 AS conflict FROM raw GROUP BY id)"""
 
 
-def merged_orders(spark, sf_dir):
-    raw = roles.table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("kind"), F.array("l_partkey", "l_suppkey").alias("subjects")
+def order_lines(spark, sf_dir):
+    """id, kind (a flag of the line), subjects, arrived."""
+    return C.arrival(roles.table(spark, sf_dir, "lineitem")).select(
+        F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("kind"), F.array("l_partkey", "l_suppkey").alias("subjects"), "arrived"
     )
-    seq = raw.groupBy("id", "seq").agg(F.count("*").alias("n"))  # line numbers may repeat: keep the order total
-    return C.merge(raw.join(seq.where("n = 1").select("id", "seq"), ["id", "seq"], "left_semi"), "id", "seq", ["kind"], "subjects")
 
 
-UNIQUE = MERGE.replace("FROM lineitem)", "FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)")
+def merged_orders(spark, sf_dir):
+    return C.merge(order_lines(spark, sf_dir), "id", "arrived", ["kind"], "subjects")
 
 
-@query(UNIQUE + " SELECT id, kind, copies, conflict, subjects FROM merged JOIN united USING (id)")
+@query(MERGE + " SELECT id, kind, copies, conflict, recovered, subjects FROM merged JOIN united USING (id)")
 def merge_duplicates(spark, sf_dir):
     return merged_orders(spark, sf_dir).withColumn("subjects", F.array_join(F.col("subjects").cast("array<string>"), ","))
 
 
-@query(UNIQUE + """ SELECT CAST(sum(copies) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE copies > 1) AS duplicate_keys, CAST(coalesce(sum(n) FILTER (WHERE copies > 1), 0) AS BIGINT) AS merged_subjects
+@query(MERGE + """ SELECT CAST(sum(copies) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE copies > 1) AS duplicate_keys, CAST(sum(recovered) AS BIGINT) AS merged_subjects
   FROM merged JOIN united USING (id)""")
 def merge_stats(spark, sf_dir):
-    return C.merge_stats(merged_orders(spark, sf_dir), "subjects")
+    return C.merge_stats(merged_orders(spark, sf_dir))
 
 
-@query(UNIQUE + " SELECT id, copies FROM merged WHERE conflict")
+@query(MERGE + " SELECT id, copies FROM merged WHERE conflict")
 def merge_conflicts(spark, sf_dir):
     return merged_orders(spark, sf_dir).where("conflict").select("id", "copies")
 

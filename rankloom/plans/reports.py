@@ -66,14 +66,20 @@ def unlogged_rows(spark, sf_dir):
     return fresh.groupBy("conv_id", "role").agg(F.count("*").alias("n"))
 
 
-ASSEMBLED = corpora.UNIQUE + """, held AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0), split_counts AS (
-  SELECT 'index' AS part, count(*) AS n FROM merged WHERE id NOT IN (SELECT id FROM held) UNION ALL SELECT 'vocabulary', count(*) FROM part UNION ALL SELECT 'queries', count(*) FROM held)"""
+ASSEMBLED = corpora.MERGE + """, held AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0), known AS (SELECT o_orderkey AS id, o_orderpriority AS kind FROM orders),
+loaded AS (SELECT m.id, k.kind, copies, subjects FROM merged m JOIN united USING (id) LEFT JOIN known k ON k.id = m.id WHERE m.id NOT IN (SELECT id FROM held)),
+split_counts AS (SELECT 'index' AS part, count(*) AS n FROM loaded UNION ALL SELECT 'vocabulary', count(*) FROM part UNION ALL SELECT 'queries', count(*) FROM held)"""
 
 
 def _load(spark, sf_dir):
-    """Everything that a run reads: the queries of a split, the vocabulary, and the merged corpus without the split's records."""
-    held = roles.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.lit("dev").alias("split"), F.col("o_orderkey").alias("id"))
-    return C.assembled_load(corpora.merged_orders(spark, sf_dir), held, roles.vocabulary(spark, sf_dir), "id")
+    """Everything that a run reads: the queries of a split, the vocabulary, and the merged corpus without the split's records.
+
+    What an order's lines say of the order itself is the same in all of them, so the load refuses none.
+    """
+    orders = roles.table(spark, sf_dir, "orders")
+    held = orders.where("o_orderkey % 10 = 0").select(F.lit("dev").alias("split"), F.col("o_orderkey").alias("id"))
+    lines = corpora.order_lines(spark, sf_dir).drop("kind").join(orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind")), "id", "left")
+    return C.assembled_load(C.merge(lines, "id", "arrived", ["kind"], "subjects"), held, roles.vocabulary(spark, sf_dir), "id")
 
 
 @query(ASSEMBLED + " SELECT part, n FROM split_counts")
@@ -83,7 +89,7 @@ def load_inputs(spark, sf_dir):
     return count(index, "index").unionByName(count(vocabulary, "vocabulary")).unionByName(count(queries, "queries"))
 
 
-@query(ASSEMBLED + " SELECT id, kind, copies, subjects FROM merged JOIN united USING (id) WHERE id NOT IN (SELECT id FROM held)")
+@query(ASSEMBLED + " SELECT id, kind, copies, subjects FROM loaded")
 def assembled_index(spark, sf_dir):
     return _load(spark, sf_dir)[2].select("id", "kind", "copies", F.array_join(F.col("subjects").cast("array<string>"), ",").alias("subjects"))
 

@@ -124,6 +124,48 @@ def test_merge_keeps_first_seen_order(spark):
     rows = frame(spark, [("r", 1, "x", ["b", "a"]), ("r", 2, "x", ["c", "a"]), ("s", 3, "y", ["d"]), ("s", 4, "z", [])], "id string, seq int, kind string, subjects array<string>")
     got = {r.id: r for r in C.merge(rows, "id", "seq", ["kind"], "subjects").collect()}
     assert got["r"].subjects == ["b", "a", "c"] and not got["r"].conflict and got["s"].conflict and got["s"].kind == "y"
+    assert (got["r"].copies, got["r"].recovered, got["s"].copies, got["s"].recovered) == (2, 1, 2, 0)
+
+
+def plain_merge(rows):
+    out = {}
+    for key, kind, own in rows:
+        first = out.setdefault(key, [kind, dict.fromkeys(own or []), 0, False, 0])
+        first[2] += 1
+        first[3] |= kind != first[0]
+        added = [c for c in dict.fromkeys(own or []) if c not in first[1]]
+        first[4] += len(added)
+        first[1] |= dict.fromkeys(added)
+    return {k: (kind, list(own), n, conflict, late) for k, (kind, own, n, conflict, late) in out.items()}
+
+
+def test_merge_in_order_of_arrival_over_files(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(9)]), rng.choice(["x", None]) if i % 9 == 0 else "x", rng.choice([None, [], [rng.randint(0, 9) for _ in range(3)]])) for i in range(400)]
+    schema = "id int, kind string, subjects array<int>"
+    for i in range(4):
+        spark.createDataFrame(rows[100 * i : 100 * (i + 1)], schema).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    read = spark.read.schema(schema).parquet(*(str(tmp_path / f"part{i}") for i in (2, 0, 3, 1)))
+    merged = C.merge(C.arrival(read), "id", "arrived", ["kind"], "subjects")
+    assert {r.id: (r.kind, r.subjects, r.copies, r.conflict, r.recovered) for r in merged.collect()} == plain_merge(rows)
+    want = plain_merge(rows)
+    assert tuple(C.merge_stats(merged).first()) == (400, len(want), sum(w[2] > 1 for w in want.values()), sum(w[4] for w in want.values()))
+
+
+def test_merge_of_nothing_and_of_a_hot_key(spark):
+    schema = "id int, seq long, subjects array<long>"
+    assert C.merge(frame(spark, [], schema), "id", "seq", [], "subjects").count() == 0
+    hot = spark.range(20000).select(F.lit(1).alias("id"), F.col("id").alias("seq"), F.array(F.col("id") % 5).alias("subjects"))
+    assert tuple(C.merge(hot, "id", "seq", [], "subjects").first()) == (1, [0, 1, 2, 3, 4], 20000, False, 4)
+
+
+def test_load_refuses_copies_in_conflict(spark):
+    rows = frame(spark, [(1, 1, "x", [1]), (1, 2, "y", [2]), (2, 3, "x", [3])], "id int, seq int, kind string, subjects array<int>")
+    held, words = frame(spark, [("dev", 2)], "split string, id int"), frame(spark, [(1,)], "code int")
+    merged = C.merge(rows, "id", "seq", ["kind"], "subjects")
+    with pytest.raises(Exception, match="record 1 appears more than once"):
+        C.assembled_load(merged, held, words, "id")[2].collect()
+    assert [r.id for r in C.assembled_load(merged.where("id = 2"), held.where("id = 7"), words, "id")[2].collect()] == [2]
 
 
 def test_quotas_and_starvation(spark):
