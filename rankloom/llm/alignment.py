@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import PIECES, byte_letters
+from rankloom.llm.packing import packed, spread, unpacked
 from rankloom.llm.shared import column, forget, materialise, table
 from rankloom.llm.textbatch import groups_of, map_arrow
 
@@ -166,8 +167,8 @@ class Aligner:
             good &= np.bincount(owner[side], self.sizes[side][flat[side]], len(parts)).astype(np.int64) == size
         for side in (0, 1):  # where the lengths agree, do the bytes?
             mine = flat[side][good[owner[side]]]
-            spelled = self.spelled[side][_spread(self.spell_at[side][mine], self.sizes[side][mine])]
-            wrong = spelled != text[_spread(begin[good], size[good])]
+            spelled = self.spelled[side][spread(self.spell_at[side][mine], self.sizes[side][mine])]
+            wrong = spelled != text[spread(begin[good], size[good])]
             if wrong.any():
                 good[np.repeat(np.flatnonzero(good), size[good])[wrong]] = False
         kept = good.nonzero()[0]
@@ -209,31 +210,8 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of ranges that start at `starts` and have `sizes` places, one range after the other."""
-    before = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers as four planes of bytes, low ones first: planes of small numbers compress to little."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _packed(*columns: np.ndarray) -> bytes:
-    head = np.array([len(c) for c in columns], "<u4").tobytes()
-    return len(head).to_bytes(2, "little") + head + pa.compress(b"".join(map(_planes, columns)), codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    head = int.from_bytes(data[:2], "little")
-    sizes = np.frombuffer(data, "<u4", head // 4, 2)
-    raw = np.frombuffer(pa.decompress(data[2 + head :], int(sizes.sum()) * 4, codec="zstd", asbytes=True), np.uint8)
-    return [own.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) for own in np.split(raw, np.cumsum(sizes.astype(np.int64))[:-1] * 4)]
-
-
 def _packed_counts(pairs: np.ndarray, n: np.ndarray, n_b: int, stripes: int) -> bytes:
-    return _packed(pairs // n_b, pairs % n_b // stripes, n & 0xFFFFFFFF, n >> 32)
+    return packed(pairs // n_b, pairs % n_b // stripes, n & 0xFFFFFFFF, n >> 32)
 
 
 class Stripes:
@@ -252,7 +230,7 @@ class Stripes:
 
     def add(self, block: np.ndarray, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Add counts to a stripe's block; the rows and columns they are in."""
-        a, row, low, high = _unpacked(payload)
+        a, row, low, high = unpacked(payload)
         np.add.at(block, (row, a), low + (high << 32))
         return row, a
 
@@ -335,14 +313,14 @@ def _block(aligner: Aligner, docs: pa.RecordBatch, stripes: Stripes, groups: str
         return out | {"groups": named}, none, none, []
     # Pairs of the block's stretches, ordered by stripe, and each document's links to them
     links = np.maximum(counts[place, 3], 0)
-    mine = pairs[_spread(pair_at[place], links)]
+    mine = pairs[spread(pair_at[place], links)]
     own, which = np.unique(mine, return_inverse=True)
     order, stripe = stripes.cut(own)
     own, rank = own[order], np.argsort(order)[which]
     start = np.cumsum(links) - links
     seen_word, seen_doc = seen % len(place), seen // len(place)
     n = links[seen_word]
-    key, times = _summed(rank[_spread(start[seen_word], n)] * len(used) + np.repeat(seen_doc, n), np.repeat(times, n))
+    key, times = _summed(rank[spread(start[seen_word], n)] * len(used) + np.repeat(seen_doc, n), np.repeat(times, n))
     pair, who = key // len(used), used[key % len(used)]
     totals = np.zeros(len(own), np.int64)
     np.add.at(totals, pair, times)
@@ -355,7 +333,7 @@ def _block(aligner: Aligner, docs: pa.RecordBatch, stripes: Stripes, groups: str
         here, at, size = np.unique(pair[lo:hi], return_index=True, return_counts=True)
         gap = np.diff(who[lo:hi], prepend=0)
         gap[at] = who[lo:hi][at]
-        found.append((s, _packed(own[here] // stripes.n_b, own[here] % stripes.n_b // stripes.n, size, gap, np.minimum(times[lo:hi], 0xFFFFFFFF))))
+        found.append((s, packed(own[here] // stripes.n_b, own[here] % stripes.n_b // stripes.n, size, gap, np.minimum(times[lo:hi], 0xFFFFFFFF))))
     return out | {"groups": named}, own[met], totals[met], found
 
 
@@ -368,7 +346,7 @@ def _counted(rows: DataFrame, stripes: Stripes) -> DataFrame:
         def done() -> pa.RecordBatch:
             row, a = np.nonzero(block)
             n = block[row, a]
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(a, row, n & 0xFFFFFFFF, n >> 32)], pa.binary())], ["stripe", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(a, row, n & 0xFFFFFFFF, n >> 32)], pa.binary())], ["stripe", "payload"])
 
         for batch in batches:
             for stripe, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -409,7 +387,7 @@ def _scored(links: DataFrame, counts: DataFrame, stripes: Stripes, subs: int, te
                     full = stripes.add(block, payload)
                     np.maximum.at(best, full[0], block[full])  # the rows' maxima: other cells are zero
                     continue
-                a, row, size, gap, times = _unpacked(payload)
+                a, row, size, gap, times = unpacked(payload)
                 n = block[row, a]
                 first = np.cumsum(size) - size
                 who = np.cumsum(gap)
@@ -454,7 +432,7 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stripe, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, row, low, high = _unpacked(payload)
+                a, row, low, high = unpacked(payload)
                 n, best = low + (high << 32), np.zeros(stripes.rows, np.int64)
                 np.maximum.at(best, row, n)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(row * stripes.n + stripe), pa.array(n), pa.array(n == best[row])], ["a_id", "b_id", "count", "best"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rankloom.llm.alignment import op11_alignment
 from rankloom.llm.bpe import op9_bpe
+from rankloom.llm.clustered_index import OP13_SQL, op13_ranked_search
 from rankloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from rankloom.llm.html_text import op4_main_text
 from rankloom.llm.langid import op1_language
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_alignment": op11_alignment,
     "op12_repeats": op12_repeats,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op7_top_k": OP7_SQL,
     "op12_repeats": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
