@@ -8,11 +8,11 @@ repeats at one length is looked at with twice that length, until `length` is rea
    the least hash, the leftmost if several do. Equal windows choose equal ones at equal places, so nothing is lost, and
    neighbours mostly choose the same: the first level sends about 2 hashes for `length` - `shortest` words to be counted.
 3. Hashes are counted over all documents. Candidates whose hash occurs once are out, and texts without candidates are not
-   read again. Texts that remain are written once, equal ones as one with its number of copies.
+   read again. Texts that remain are written once, equal ones as one with its number of copies; later levels read them
+   where they lie, and only candidates' places and hashes are shuffled. All windows of a text with copies repeat.
 4. At the last level the windows themselves are counted, by 128 bits. Every word that a repeated one covers goes.
 
-Hashes of windows are built by doubling too, from two hashes of each word. Words leave the tasks only as hashes, and a hash
-that very many documents share meets no single task: its count is summed before the shuffle and looked up by broadcast.
+Hashes of windows are built by doubling too, from two hashes of each word. A hash that very many documents share meets no single task: its count is summed before the shuffle and looked up by broadcast.
 
 Cases: null and empty texts have no words; a text shorter than `length` keeps all; windows are judged on what is read, not
 on what is left; windows within one document count, also if they overlap; equal rows are copies of each other, and so
@@ -23,12 +23,15 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.shared import KeyFilter, column, forget, materialise, skewed_lookup, table
@@ -91,31 +94,21 @@ class Level:
         self.doc = doc
 
     def kept(self, at: int, known: np.ndarray) -> None:
-        """Keep the candidates whose hash at an earlier level is known to repeat."""
+        """Keep the candidates for which a place stands, at an earlier level, that is among those known."""
         if len(self.starts):
             first = windows(hashed(self.words)[0], at, 0)
-            self.starts, self.stands = (x[np.isin(first[least(first, self.length - at + 1)[self.starts]], known)] for x in (self.starts, self.stands))
+            own = np.isin(least(first, self.length - at + 1)[self.starts], known)
+            self.starts, self.stands = self.starts[own], self.stands[own]
 
-    def sent(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the two hashes of the different places that stand for its candidates."""
+    def sent(self) -> list[list[np.ndarray]]:
+        """For each text the places that stand for its candidates, from its start, and their two hashes."""
         places = np.unique(self.stands)
         upto = np.searchsorted(self.doc[places] if len(places) else places, np.arange(len(self.bounds)))
-        return [tuple(h[places[a:b]].view(np.int64) for h in self.lanes) for a, b in zip(upto, upto[1:])]
+        return [[places[a:b] - at, *(h[places[a:b]].view(np.int64) for h in self.lanes)] for a, b, at in zip(upto, upto[1:], self.bounds)]
 
-    def covered(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Whether each word is covered by a window whose two hashes are among those given; at the last level only."""
-        known = set(zip(h1.tolist(), h2.tolist()))
-        near = np.isin(self.lanes[0][self.starts], h1.view(np.uint64))
-        own = self.starts[near]
-        own = own[[p in known for p in zip(*(h[own].view(np.int64).tolist() for h in self.lanes))]] if len(own) else own
-        edge = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(edge, own, 1)
-        np.add.at(edge, own + self.length, -1)
-        return np.cumsum(edge)[:-1] > 0
 
-
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *values]), pa.int64()))
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *values]), kind))
 
 
 def _digest(words: list[bytes]) -> str:
@@ -123,106 +116,142 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _first(docs: DataFrame, length: int, at: int) -> DataFrame:
-    """A row a document: its columns and key, number of words, digest of all words, and the first level's hashes."""
+    """A row a document: its id and key, number of words, digest of all words, and the first level's places and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in groups_of(batch, 1):
                 level = Level(own.column(1), length, at)
                 digests = [_digest(t.encode().split()) if t else _digest([]) for t in own.column(1).to_pylist()]
-                h1, _ = zip(*level.sent()) if own.num_rows else ((), ())
-                columns = [own.column(0), own.column(2), own.column(3), pa.array(np.diff(level.bounds)), pa.array(digests), _lists(list(h1))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", *KEY, "n_words", "digest", "hs"])
+                ps, hs, _ = zip(*level.sent())
+                columns = [own.column(0), own.column(2), own.column(3), pa.array(np.diff(level.bounds)), pa.array(digests), _lists(ps, pa.int32()), _lists(hs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", *KEY, "n_words", "digest", "ps", "hs"])
+
+    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n_words long, digest string, ps array<int>, hs array<long>")
+
+
+def _in_place(asked: DataFrame, texts: DataFrame, run: Callable[[pa.Array, pa.Array, list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """run(numbers, texts, what is asked of each) for the asked rows (t, copies, ps) in groups, their texts read from the
+    files of `texts` (t, text) where they lie: only what is asked goes through a shuffle."""
+    files = texts.select("t", F.col("_metadata.file_path").alias("file"))
+    dealt = asked.join(files, "t").select("file", "t", "copies", "ps")
+    dealt = dealt.repartition(max(1, len(texts.inputFiles())), "file").sortWithinPartitions("file", "t")
+
+    def read(file: str, wanted: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        system, path = pyarrow.fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(256, columns=["t", "text"]):
+                own = batch.filter(pc.is_in(batch.column(0), value_set=pa.array(wanted, pa.int64())))
+                for group in groups_of(own, 1):
+                    yield run(group.column(0), group.column(1), [wanted[t] for t in group.column(0).to_pylist()])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, wanted = None, {}
+        for batch in batches:
+            sizes, flat = batch.column(3).value_lengths().to_numpy(), batch.column(3).flatten().to_numpy()
+            for file, t, copies, end, n in zip(*(batch.column(i).to_pylist() for i in range(3)), np.cumsum(sizes).tolist(), sizes.tolist()):
+                if file != at:
+                    if wanted:
+                        yield from read(at, wanted)
+                    at, wanted = file, {}
+                wanted[t] = copies, flat[end - n : end].copy()
+        if wanted:
+            yield from read(at, wanted)
 
-    return map_arrow(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n_words long, digest string, hs array<long>")
+    return map_arrow(dealt, each, schema)
 
 
-def _next(texts: DataFrame, length: int, before: int, at: int) -> DataFrame:
-    """k1, k2, copies and the hashes of a level, from texts with the hashes of the level before that repeat."""
+def _placed(level: Level, given: list[tuple]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(ps + at for (_, ps), at in zip(given, level.bounds))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in groups_of(batch, 3):
-                level = Level(own.column(3), length, at)
-                level.kept(before, own.column(4).flatten().to_numpy().view(np.uint64))
-                h1, h2 = zip(*level.sent())
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], _lists(list(h1)), _lists(list(h2))], [*KEY, "copies", "hs", "hs2"])
 
-    return map_arrow(texts.select(*KEY, "copies", "text", "hs"), run, "k1 long, k2 long, copies long, hs array<long>, hs2 array<long>")
+def _next(asked: DataFrame, texts: DataFrame, length: int, before: int, at: int) -> DataFrame:
+    """t, copies, and a level's places and hashes, of texts with the places that stood for repeated windows a level before."""
 
+    def run(ts: pa.Array, own: pa.Array, given: list[tuple]) -> pa.RecordBatch:
+        level = Level(own, length, at)
+        level.kept(before, _placed(level, given))
+        ps, h1, h2 = zip(*level.sent())
+        return pa.RecordBatch.from_arrays([ts, pa.array([c for c, _ in given], pa.int64()), _lists(ps, pa.int32()), _lists(h1, pa.int64()), _lists(h2, pa.int64())], ["t", "copies", "ps", "hs", "hs2"])
 
-def _cleaned(texts: DataFrame, length: int) -> DataFrame:
-    """k1, k2, copies, n_removed and the text without what repeated windows (hs, hs2) cover: kept words joined by a space."""
+    return _in_place(asked, texts, run, "t long, copies long, ps array<int>, hs array<long>, hs2 array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own in groups_of(batch, 3):
-                level = Level(own.column(3), length, length)
-                gone = level.covered(*(own.column(i).flatten().to_numpy() for i in (4, 5)))
-                kept, removed = [], []
-                for lo, hi in zip(level.bounds.tolist(), level.bounds[1:].tolist()):
-                    removed.append(int(gone[lo:hi].sum()))
-                    kept.append(b" ".join(compress(level.words.slice(lo, hi - lo).to_pylist(), ~gone[lo:hi])) if removed[-1] < hi - lo else b"")
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], [*KEY, "copies", "n_removed", "kept"])
 
-    return map_arrow(texts.select(*KEY, "copies", "text", "hs", "hs2"), run, "k1 long, k2 long, copies long, n_removed long, kept string")
+def _cleaned(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """t, n_removed and the text without the windows that start at the places asked: kept words joined by a space."""
+
+    def run(ts: pa.Array, own: pa.Array, given: list[tuple]) -> pa.RecordBatch:
+        words, bounds = cut(own, INKED)
+        kept, removed = [], []
+        for (_, ps), lo, hi in zip(given, bounds.tolist(), bounds[1:].tolist()):
+            edge = np.zeros(hi - lo + 1, np.int64)
+            np.add.at(edge, ps, 1)
+            np.add.at(edge, ps + length, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            removed.append(int(gone.sum()))
+            kept.append(b" ".join(compress(words.slice(lo, hi - lo).to_pylist(), ~gone)).decode() if removed[-1] < hi - lo else "")
+        return pa.RecordBatch.from_arrays([ts, pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["t", "n_removed", "kept"])
+
+    return _in_place(asked, texts, run, "t long, n_removed long, kept string")
 
 
 def _repeated(found: DataFrame, label: str, exact: bool) -> DataFrame:
-    """The texts of found(k1, k2, copies, hs[, hs2]) that hold a hash which occurs again, with those hashes."""
-    both = F.arrays_zip("hs", "hs2") if exact else F.transform("hs", lambda h: F.struct(h.alias("hs")))
+    """t, copies and, of the places in found(t, copies, ps, hs[, hs2]), those whose hash occurs again; texts with copies keep all."""
+    zipped = F.arrays_zip("ps", "hs", "hs2") if exact else F.arrays_zip("ps", "hs")
     names = ["h", "g"] if exact else ["h"]
-    each = found.select(*KEY, "copies", F.explode(both).alias("x")).select(*KEY, "copies", F.col("x.hs").alias("h"), *([F.col("x.hs2").alias("g")] if exact else []))
+    hashes = [F.col("x.hs").alias("h"), *([F.col("x.hs2").alias("g")] if exact else [])]
+    each = found.select("t", "copies", F.explode(zipped).alias("x")).select("t", "copies", F.col("x.ps").alias("p"), *hashes)
     counts = materialise(each.groupBy(*names).agg(F.sum("copies").alias("n"), F.count("*").alias("places")).where("n > 1"), f"{label}-counts")
     total = counts.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
-    met = skewed_lookup(each, counts, names, "places", total)
-    pairs = F.collect_set(F.struct(*names)).alias("p")
-    out = met.groupBy(*KEY).agg(F.first("copies").alias("copies"), pairs)
-    out = materialise(out.select(*KEY, "copies", F.col("p.h").alias("hs"), *([F.col("p.g").alias("hs2")] if exact else [])), f"{label}-repeated")
+    met = skewed_lookup(each.where("copies = 1").drop("copies"), counts.select(*names, "places"), names, "places", total)
+    single = met.groupBy("t").agg(F.lit(1).cast("long").alias("copies"), F.collect_list("p").alias("ps"))
+    out = materialise(single.unionByName(found.where("copies > 1").select("t", "copies", "ps")), f"{label}-repeated")
     forget(counts)
     return out
 
 
 def repeated_windows(docs: DataFrame, length: int = 35, shortest: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: a row a document (id, k1, k2, n_words, digest of its words), and a row a different text that loses words
-    (k1, k2, copies, n_removed, kept: its other words joined by a space)."""
+    (k1, k2, copies, n_removed: null if it has copies and loses all, kept: its other words joined by a space)."""
     text = F.coalesce(column(text_col), F.lit("")).alias("text")
     keyed = docs.select(column(id_col).alias("id"), text).select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"))
     lengths = levels(length, shortest)
     lengths = lengths if len(lengths) > 1 else 2 * lengths
     rows = materialise(_first(keyed, length, lengths[0]), "repeats-rows")
-    long = rows.where(F.col("n_words") >= length)
-    again = _repeated(long.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("hs").alias("hs")), "repeats", False)
-    concerned = KeyFilter(again, "k1")
-    given = concerned.marked(keyed, F.col("k1"), "maybe").where("maybe").groupBy(*KEY).agg(F.first("text").alias("text"))
-    texts = materialise(given.join(again.select(*KEY), KEY, "left_semi"), "repeats-texts")
+    long = rows.where(F.col("n_words") >= length).groupBy(*KEY).agg(F.count("*").alias("copies"), F.first("ps").alias("ps"), F.first("hs").alias("hs"))
+    found = materialise(long.withColumn("t", F.monotonically_increasing_id()), "repeats-different")
+    names = found.select("t", *KEY, "copies")
+    again = _repeated(found, "repeats", False)
+    asked = materialise(names.join(again.select("t"), "t"), "repeats-asked")
+    given = KeyFilter(asked, "k1").marked(keyed, F.col("k1"), "maybe").where("maybe").groupBy(*KEY).agg(F.first("text").alias("text"))
+    texts = materialise(given.join(asked, KEY).select("t", "text"), "repeats-texts")
     for before, at in zip(lengths, lengths[1:]):
         if again.isEmpty():
             break
-        found = materialise(_next(texts.join(again, KEY), length, before, at), "repeats-level")
+        level = materialise(_next(again, texts, length, before, at), "repeats-level")
         forget(again)
-        again = _repeated(found, "repeats", at == length)
-        forget(found)
-    last = again if "hs2" in again.columns else again.withColumn("hs2", F.col("hs"))  # or no candidates survived
+        again = _repeated(level, "repeats", at == length)
+        forget(level)
     whole = F.col("copies") > 1  # every window of a text that has copies repeats
-    lost = last.where(whole).select(*KEY, "copies", F.lit(None).cast("long").alias("n_removed"), F.lit("").alias("kept"))
-    out = materialise(lost.unionByName(_cleaned(texts.join(last.where(~whole), KEY), length)), "repeats-cleaned")
-    forget(again, texts)
+    lost = names.where(whole).select("t", F.lit(None).cast("long").alias("n_removed"), F.lit("").alias("kept"))
+    lost = lost.unionByName(_cleaned(again.where(~whole), texts, length))
+    out = materialise(lost.join(names, "t").select(*KEY, "copies", "n_removed", "kept"), "repeats-cleaned")
+    forget(again, asked, found, texts)
     return rows, out
 
 
-def without_repeats(docs: DataFrame, length: int = 35, shortest: int = 10, id_col: str = "doc_id", text_col: str = "text", kept: Column | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 35, shortest: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (null where all words stay: the text is as it was) and digest (of all words)."""
     rows, found = repeated_windows(docs, length, shortest, id_col, text_col)
-    lost = found.select(*KEY, "copies", "n_removed", (F.col("kept") if kept is None else kept).alias("kept"), F.lit(True).alias("lost"))
+    lost = found.select(*KEY, "copies", "n_removed", "kept", F.lit(True).alias("lost"))
     met = skewed_lookup(rows.select("id", *KEY, "n_words", "digest"), lost, KEY, "copies", rows.count(), "left")
     n_removed = F.when(F.col("lost"), F.coalesce("n_removed", "n_words")).otherwise(0).cast("long").alias("n_removed")
     return met.select(F.col("id").alias("doc_id"), "n_words", n_removed, "kept", "digest")
 
 
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents"), kept=F.sha2(F.col("kept").cast("binary"), 256))
-    return found.select(F.col("doc_id").cast("long"), "n_words", "n_removed", F.coalesce("kept", "digest").alias("kept_sha256"))
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc_id").cast("long"), "n_words", "n_removed", F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), "digest").alias("kept_sha256"))
 
 
 OP12_SQL = """
