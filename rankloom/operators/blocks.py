@@ -1,59 +1,9 @@
-"""Queries against an index, block by block: every query meets every index row in some task, and no pair is a row.
-
-Both sides are dealt by hash into blocks. A task reads an index block, builds whatever it needs from it, and streams a block
-of queries past it in Arrow batches. Index rows travel once for each query block and queries once for each index block;
-nothing is broadcast, and a task holds one index block and one batch.
-"""
+"""What the stored indexes share in numpy and Arrow."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def block_counts(queries: int, index: int, query_block: int, index_block: int, cores: int) -> tuple[int, int]:
-    """How many blocks each side is dealt into: of bounded size, and as many of queries as keep all cores busy."""
-    ni = max(1, -(-index // index_block))
-    return max(1, -(-queries // query_block), min(queries, -(-cores // ni))), ni
-
-
-def against_blocks(
-    queries: DataFrame, query_key: str, index: DataFrame, index_key: str, query_block: int, index_block: int,
-    build: Callable[[pa.StructArray], Any], answer: Callable[[Any, pa.StructArray], pa.RecordBatch], schema: str,
-) -> DataFrame:
-    """What answer(build(index block), some queries) gives for all blocks. Blocks come as struct arrays of the sides' columns."""
-    nq, ni = block_counts(queries.count(), index.count(), query_block, index_block, queries.sparkSession.sparkContext.defaultParallelism)
-    deal = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    pack = lambda df: F.struct(*(F.col(c) for c in df.columns))
-    i = index.select(every(nq).alias("qb"), deal(index, index_key, ni).alias("ib"), F.lit(0).alias("kind"), pack(index).alias("i"))
-    q = queries.select(deal(queries, query_key, nq).alias("qb"), every(ni).alias("ib"), F.lit(1).alias("kind"), pack(queries).alias("q"))
-    both = i.unionByName(q, allowMissingColumns=True).repartition(nq * ni, "qb", "ib").sortWithinPartitions("qb", "ib", "kind")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, state = None, [], None
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if a == b:
-                    continue
-                own = (int(keys[0][a]), int(keys[1][a]))
-                if own != at:
-                    at, held, state = own, [], None
-                if keys[2][a] == 0:
-                    held.append(batch.column(3).slice(a, b - a))
-                elif held or state is not None:
-                    if state is None:
-                        state, held = build(pa.concat_arrays(held)), []
-                    yield answer(state, batch.column(4).slice(a, b - a))
-
-    return both.mapInArrow(run, schema)
 
 
 def ragged(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -1,20 +1,15 @@
-"""BM25 and sparse-weight retrieval: weighted postings in long form, matched block by block.
-
-A task holds the postings of one block of entries by term, in flat arrays, and streams queries past them: a query's terms
-are looked up at once, and its scores are one weighted count over the postings they select. No query and entry are a row.
-"""
+"""BM25 and sparse-weight retrieval: weighted postings in long form, kept in a stored index (lexical_index)."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
-from rankloom.operators.blocks import against_blocks, ragged
-from rankloom.operators.ranking import rank_by
+from rankloom.operators.lexical_index import LexicalIndex, build_index, open_index, search
+from rankloom.sources.scratch import stored
 
 K1, B = 1.2, 0.75
 
@@ -35,77 +30,23 @@ def bm25_weights(posted: DataFrame) -> DataFrame:
     return joined.select("entry", "code", "term", weight.alias("weight"))
 
 
-class Postings:
-    """One block's postings: for each distinct term the entries that hold it and their weights; entries are in order of code."""
-
-    def __init__(self, rows: pa.StructArray):
-        codes = rows.field("code")
-        entries = np.repeat(np.arange(len(rows)), rows.field("terms").value_lengths().to_numpy(zero_copy_only=False))
-        distinct = codes.unique()
-        self.codes = distinct.take(pc.sort_indices(distinct))
-        of_code = pc.index_in(codes, value_set=self.codes).to_numpy(zero_copy_only=False)
-        order = np.argsort(of_code, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.first = np.searchsorted(of_code[order], np.arange(len(self.codes)), "left")
-        terms = rows.field("terms").flatten().dictionary_encode()
-        which, weights = terms.indices.to_numpy(zero_copy_only=False), rows.field("weights").flatten().to_numpy(zero_copy_only=False)
-        by_term = np.argsort(which, kind="stable")
-        self.terms, self.entries, self.weights = terms.dictionary, place[entries[by_term]], weights[by_term]
-        self.starts = np.searchsorted(which[by_term], np.arange(len(self.terms) + 1), "left")
-        self.size = len(rows)
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(code place, score) of the k best codes, by their best entry; score rounded, ties to the smaller code."""
-        count = self.starts[terms + 1] - self.starts[terms]
-        ends = np.cumsum(count)
-        at = np.repeat(self.starts[terms] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
-        entries = self.entries[at]
-        scores = np.round(np.bincount(entries, self.weights[at] * np.repeat(weights, count), self.size), 6)
-        scores[np.bincount(entries, minlength=self.size) == 0] = -np.inf
-        codes = np.maximum.reduceat(scores, self.first)
-        hit = np.flatnonzero(np.isfinite(codes))
-        top = hit[np.lexsort((hit, -codes[hit]))[:k]]
-        return top, codes[top]
-
-
-def match(queries: DataFrame, weighted: DataFrame, limit: int, weigh: str = "given", query_block: int = 4096, index_block: int = 262_144) -> DataFrame:
+def stored_index(weighted: DataFrame, name: str, block: int = 262_144) -> LexicalIndex:
+    """The index of that name in the shared folder, built the first time. The name says what it depends on (see scratch.stamp)."""
+    return open_index(weighted.sparkSession, stored(weighted.sparkSession, name, lambda half: build_index(weighted, half, block)))
+
+
+def match(queries: DataFrame, weighted: DataFrame | LexicalIndex, limit: int, weigh: str = "given", block: int = 262_144, prune: bool = True) -> DataFrame:
     """query, code, score, rank: products of weights summed per entry, the best entry per code; queries without a hit have no row.
 
     queries: query, terms (array, repeats allowed) and, where `weigh` is given, weights beside them. once: each distinct term
-    weighs 1; root: the square root of its count in the query. weighted: entry, code, term, weight.
+    weighs 1; root: the square root of its count in the query. The index is a stored one, or entry, code, term, weight rows of
+    which one is built for this search. Without `prune` all postings are added up.
     """
     if weigh not in ("given", "once", "root"):
         raise ValueError(f"unknown weighing {weigh!r}")
-    packed = weighted.groupBy("entry", "code").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights"))
-    asked = queries.select("query", "terms", *(["weights"] if weigh == "given" else []))
-
-    def answer(block: Postings, rows: pa.StructArray) -> pa.RecordBatch:
-        offsets, values = ragged(rows.field("terms"))
-        ids = pc.fill_null(pc.index_in(values, value_set=block.terms), -1).to_numpy(zero_copy_only=False)
-        given = rows.field("weights").flatten().to_numpy(zero_copy_only=False) if weigh == "given" else None
-        which, codes, scores = [], [], []
-        for q, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            own = ids[a:b]
-            if weigh == "given":
-                terms, w = own[own >= 0], given[a:b][own >= 0]
-            else:
-                terms, counts = np.unique(own[own >= 0], return_counts=True)
-                w = np.sqrt(counts) if weigh == "root" else np.ones(len(terms))
-            if len(terms):
-                found, score = block.best(terms, w, limit)
-                which.append(np.full(len(found), q))
-                codes.append(found)
-                scores.append(score)
-        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        return pa.RecordBatch.from_arrays(
-            [rows.field("query").take(pa.array(flat(which, np.int64))), block.codes.take(pa.array(flat(codes, np.int64))), pa.array(flat(scores, float))], ["query", "code", "score"]
-        )
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    found = against_blocks(asked, "query", packed, "entry", query_block, index_block, Postings, answer, f"query {kind(asked, 'query')}, code {kind(packed, 'code')}, score double")
-    best = found.groupBy("query", "code").agg(F.max("score").alias("score"))  # a code's entries may lie in several blocks
-    return rank_by(best, ["query"], [F.desc("score"), F.col("code")], limit=limit)
+    if isinstance(weighted, DataFrame):
+        weighted = stored_index(weighted, f"lexical-{uuid.uuid4().hex}", block)
+    return search(weighted, queries, limit, weigh, prune)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -1,20 +1,20 @@
 """Exact nearest neighbours by inner product, and the code rankings drawn from them.
 
-Both sides are dealt into blocks of bounded size; a task streams queries past an index block, one matrix product a batch,
-and keeps only the best rows of each query. Nothing is broadcast and no pair of vectors is ever a row. Ids are of any type.
+The index is stored in blocks of bounded size (vector_index); a task reads a block in place, streams queries past it, one
+matrix product a batch, and keeps only the best rows of each query. No pair of vectors is ever a row. Ids are of any type.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.blocks import against_blocks, best_rows
 from rankloom.operators.ranking import rank_by
+from rankloom.operators.vector_index import VectorIndex, build_index, open_index, search
+from rankloom.sources.scratch import stored
 
 
 def finite(vector: Column, key: Column) -> Column:
@@ -34,42 +34,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+def indexable(rows: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
+    """id, v: what a vector index takes; rows without a finite vector are refused when it is run."""
+    return rows.select(F.col(key).alias("id"), F.transform(finite(F.col(vector), F.col(key)), lambda x: x.cast("double")).alias("v"))
+
+
+def stored_index(index: DataFrame, name: str, key: str = "id", vector: str = "vector", block: int = 65_536) -> VectorIndex:
+    """The index of that name in the shared folder, built the first time. The name says what it depends on (see scratch.stamp)."""
+    rows = indexable(index, key, vector)
+    path = stored(index.sparkSession, name, lambda half: build_index(rows, half, block))
+    return open_index(index.sparkSession, path, rows.schema["id"].dataType.simpleString())
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, query_key: str = "id", index_key: str = "id", vector: str = "vector", decimals: int = 6, exclude_self: bool = False, query_block: int = 16_384, index_block: int = 65_536, products: int = 4_000_000) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame | VectorIndex, k: int, query_key: str = "id", index_key: str = "id", vector: str = "vector", decimals: int = 6, exclude_self: bool = False, block: int = 65_536) -> DataFrame:
     """query, id, sim, rank: the k most similar index rows of each query, similarity rounded, ties by id.
 
-    Vectors that are null or hold a component that is null or not finite are refused. A task works out about `products`
-    similarities at a time.
+    The index is a stored one, or rows of which one is built for this search. Vectors that are null or hold a component
+    that is null or not finite are refused.
     """
-    side = lambda df, key: df.select(F.col(key).alias("id"), finite(F.col(vector), F.col(key)).alias("v"))
-    q, i = side(queries, query_key), side(index, index_key)
-
-    def build(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
-        ids = rows.field("id")
-        order = pc.sort_indices(ids)
-        return ids.take(order), _matrix(rows.field("v").take(order))
-
-    def answer(block: tuple[pa.Array, np.ndarray], rows: pa.StructArray) -> pa.RecordBatch:
-        ids, vs = block
-        qids, out = rows.field("id"), []
-        own, step = pc.index_in(qids, value_set=ids).to_numpy(zero_copy_only=False) if exclude_self else None, max(1, products // len(ids))
-        for at in range(0, len(rows), step):
-            sims = np.round(_matrix(rows.field("v").slice(at, step)) @ vs.T, decimals) + 0.0
-            if own is not None:
-                here = own[at : at + step]
-                known = np.flatnonzero(~np.isnan(here.astype(float)))
-                sims[known, here[known].astype(np.int64)] = -np.inf
-            r, c = best_rows(sims, k)
-            out.append((r + at, c, sims[r, c]))
-        r, c, sims = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([qids.take(pa.array(r)), ids.take(pa.array(c)), pa.array(sims)], ["query", "id", "sim"])
-
-    kind = lambda df: df.schema["id"].dataType.simpleString()
-    found = against_blocks(q, "id", i, "id", query_block, index_block, build, answer, f"query {kind(q)}, id {kind(i)}, sim double")
-    return rank_by(found, ["query"], [F.desc("sim"), F.col("id")], limit=k)
+    if isinstance(index, DataFrame):
+        index = stored_index(index, f"vectors-{uuid.uuid4().hex}", index_key, vector, block)
+    return search(index, indexable(queries, query_key, vector), k, decimals, exclude_self)
 
 
 def harvest(neighbours: DataFrame, subjects: DataFrame, depth: int) -> DataFrame:

@@ -79,7 +79,7 @@ def test_nearest_against_all_pairs(spark):
     for q, v in rows:
         scored = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in rows if i != q)[:5]
         want |= {(q, i, -s, n) for n, (s, i) in enumerate(scored)}
-    got = X.nearest(df, df, 5, exclude_self=True, query_block=7, index_block=9)
+    got = X.nearest(df, df, 5, exclude_self=True, block=9)
     assert {tuple(r) for r in got.select("query", "id", "sim", "rank").collect()} == want
 
 
@@ -325,7 +325,7 @@ def test_lexical_blocks_and_keys(spark):
     text = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(n))
     entries = frame(spark, [(i, f"c{i // 2:02d}", text(3)) for i in range(40)], "entry long, code string, text string")
     queries = frame(spark, [(f"q{i}", text(i % 7)) for i in range(30)] + [("none", "zz"), ("null", None)], "query string, text string")
-    found = [sorted(map(tuple, L.match(L.query_terms(queries), L.lexical_index(entries), 5, "once", **b).collect())) for b in ({}, {"query_block": 3, "index_block": 4})]
+    found = [sorted(map(tuple, L.match(L.query_terms(queries), L.lexical_index(entries), 5, "once", **b).collect())) for b in ({}, {"block": 4}, {"block": 4, "prune": False})]
     assert found[0] == found[1] and found[0]
     names = {r["query"] for r in L.without_hits(queries, L.match(L.query_terms(queries), L.lexical_index(entries), 5, "once")).collect()}
     assert names == {"none", "null", *(f"q{i}" for i in range(0, 30, 7))}
