@@ -157,7 +157,7 @@ def _pieces(docs: DataFrame, tree: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for own in groups_of(batch, 1):
+            for own in groups_of(batch, 1, 2_000_000):
                 p = Postings(own.column(1))
                 cell = np.where(p.n > 0, p.cells(tree), -1)
                 ids = own.column(0)
@@ -259,7 +259,7 @@ def _shard_rows(key: tuple[int, int], terms: pa.Array, *columns: pa.Array) -> pa
     return pa.RecordBatch.from_arrays([*own, terms, *columns], [f.split()[0] for f in INDEX.split(", ")])
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4096, most_cells: int = 64, shard_docs: int = 8192, shard_postings: int = 4_000_000, cluster: int = 128) -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4096, most_cells: int = 64, shard_docs: int = 4096, shard_postings: int = 2_000_000, cluster: int = 128) -> tuple[DataFrame, int]:
     """The index of all documents with terms, written to the shared folder, and how many they are."""
     given = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     total = given.count()

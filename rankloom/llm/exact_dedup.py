@@ -8,8 +8,8 @@
 exact_dedup() puts no text through a shuffle. Counts are pre-aggregated, so one group of copies may hold any share of the rows.
 
 Cases: null text is the empty text; texts that differ in the case of A-Z alone are equal; of equal texts the largest
-doc_id stays (null ids are smallest); a row repeated with its id and text is one document whose repeats count in
-group_size; an empty table gives an empty result; other columns, whatever their names, are carried along or ignored.
+doc_id stays (null ids are smallest); rows that repeat an id and a text are rows of their own, of which one stays; very
+long texts are hashed where they are read; an empty table gives an empty result; other columns, whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +27,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> Da
     return docs.select(F.struct(*columns(docs)).alias("row"), column(id_col).alias("id"), text.alias("text"), F.char_length(text).alias("n"), prefix.alias("p"))
 
 
-def _refined(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keyed with `maybe`, whether a row's length and prefix hash are another's too; and a row per such id and full hash:
-    id, n, full_hash, keep_id, group_size, times (how often it occurs)."""
+def _marked(keyed: DataFrame) -> DataFrame:
+    """keyed with `maybe`: whether a row's length and prefix hash may be another's too."""
     shared = materialise(keyed.groupBy("p").count().where("count > 1").select("p"), "dedup-prefixes")
     marked = KeyFilter(shared, "p").marked(keyed, F.col("p"), "maybe")
     forget(shared)
-    full = marked.where("maybe").select("id", "n", _full().alias("full_hash"))
-    survivors = materialise(full.groupBy("n", "full_hash", "id").agg(F.count("*").alias("times")), "dedup-survivors")
-    groups = survivors.groupBy("n", "full_hash").agg(F.max("id").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("ids"))
-    return marked, skewed_lookup(survivors, groups, ["n", "full_hash"], "ids", survivors.count())
+    return marked
 
 
 def _full() -> Column:
@@ -44,17 +40,21 @@ def _full() -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, hash_unique: bool = False) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, full_hash (null where no full content was read).
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, full_hash (null where no full content was read).
 
     hash_unique: also hash the texts that an earlier step showed to be unique.
     """
-    marked, resolved = _refined(_keyed(docs.select(column(id_col), column(text_col)), id_col, text_col, prefix_chars))
+    marked = _marked(_keyed(docs.select(column(id_col), column(text_col)), id_col, text_col, prefix_chars))
+    full = marked.where("maybe").select("id", "n", _full().alias("full_hash"), F.monotonically_increasing_id().alias("at"))
+    full = materialise(full, "dedup-full")
+    groups = full.groupBy("n", "full_hash").agg(F.max(F.struct("id", "at")).alias("first"), F.count("*").alias("group_size"))
+    resolved = skewed_lookup(full, groups, ["n", "full_hash"], "group_size", full.count())
     unique = marked.where("not maybe").select(
         F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         (_full() if hash_unique else F.lit(None).cast("string")).alias("full_hash"),
     )
-    kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return resolved.select(F.col("id").alias("doc_id"), "keep_id", "group_size", kept, "full_hash").unionByName(unique)
+    kept = (F.col("at") == F.col("first.at")).alias("kept")
+    return resolved.select(F.col("id").alias("doc_id"), F.col("first.id").alias("keep_id"), "group_size", kept, "full_hash").unionByName(unique)
 
 
 def drop_exact_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
@@ -62,13 +62,16 @@ def drop_exact_copies(docs: DataFrame, prefix_chars: int = 256) -> DataFrame:
 
     Of rows that repeat an id and a text too one stays: the least by a hash of their other columns.
     """
-    marked, resolved = _refined(_keyed(docs, "doc_id", "text", prefix_chars))
-    stay = resolved.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("id_"), F.col("n").alias("n_"), "full_hash", "times")
+    marked = _marked(_keyed(docs, "doc_id", "text", prefix_chars))
+    same_id = F.to_json(F.struct("id")).alias("same_id")  # no null, so that it can be joined on
+    full = marked.where("maybe").select("id", same_id, "n", _full().alias("full_hash"))
+    survivors = materialise(full.groupBy("n", "full_hash", "id", "same_id").agg(F.count("*").alias("times")), "dedup-survivors")
+    stay = survivors.groupBy("n", "full_hash").agg(F.max(F.struct("id", "same_id", "times")).alias("x")).select("n", "full_hash", "x.same_id", "x.times")
     others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
     look = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("n") == F.col("n_")) & (F.col("hash") == F.col("full_hash"))
-    met = marked.where("maybe").select("row", "id", "n", _full().alias("hash")).join(stay, same)
-    first = met.where("times > 1").groupBy("id", "hash").agg(F.min_by("row", look).alias("row"))
+    own = marked.where("maybe").select("row", "n", _full().alias("full_hash"), same_id)
+    met = skewed_lookup(own, stay, ["n", "full_hash", "same_id"], "times", marked.count())
+    first = met.where("times > 1").groupBy("same_id", "full_hash").agg(F.min_by("row", look).alias("row"))
     parts = [marked.where("not maybe"), met.where("times = 1"), first]
     return parts[0].select("row.*").unionByName(parts[1].select("row.*")).unionByName(parts[2].select("row.*"))
 
@@ -82,7 +85,7 @@ OP5_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
 ), h AS (SELECT doc_id, sha256(t) AS text_sha256 FROM d)
-SELECT DISTINCT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM h
 """

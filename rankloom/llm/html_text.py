@@ -10,8 +10,8 @@ notice and so on. Words that may as well be about an article's own parts (WEAK)
 that are nearly all links go where there is no article or main element around them; inside one they are its references.
 
 Cases: of containers with equal points the first one counts; null or empty html gives an empty text; broken markup (unclosed or stray tags, missing ends, open comments) is
-read on as far as it goes; pages without paragraphs give the text of what is left of the body; parsing is linear in the page's
-length and never recursive; rows may repeat; an empty table gives an empty result; other columns are ignored.
+read on as far as it goes, in time that grows with its length; a box with a doubtful name (DOUBTFUL) is kept where it holds most
+of the page's text; pages without paragraphs give the text of what is left of the body; parsing is never recursive; rows may repeat; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ AGAINST = frozenset(
 )
 #: These count against boxes, but not against paragraphs, tables and the like inside an article.
 WEAK = frozenset("alert complementary copyright discussion header hidden overlay related reply replies responses search social tags toc".split())
+#: A box named by these alone is kept if it holds most of the page's text.
+DOUBTFUL = frozenset("alert banner header hidden overlay search share social tags toc widget".split())
 FOR = frozenset("article articlebody body content entry main post story text".split())
 ENDED_BY = {  # an open element of the key ends where one of these begins
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]),
@@ -65,32 +67,37 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no main text by its tag or attributes."""
+def unwanted(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element is no main text by its tag or attributes: surely, doubtful (for names in DOUBTFUL alone), or nothing."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return "surely"
     if not attributes or tag in ("html", "body"):
-        return False
+        return ""
     words: set[str] = set()
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
-            return True
+            return "surely"
         if name in ("class", "id", "role"):
             words.update(WORDS.findall(CAMEL.sub(" ", value).lower()))
     if tag in KEPT_WHOLE:
-        return bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "promo", "related", "sponsored"}) and not words & FOR.difference(["body", "text"])
+        return "surely" if words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "promo", "related", "sponsored"} and not words & FOR.difference(["body", "text"]) else ""
     if tag == "header":
         words -= {"header"}
     if in_article and (tag in PARAGRAPH or tag in INLINE or tag == "table"):
         words -= WEAK
-    return bool(words & AGAINST) and not words & FOR.difference(["text", "body"]) or bool(words & {"comment", "comments", "commentlist"})
+    if words & {"comment", "comments", "commentlist"}:
+        return "surely"
+    against = words & AGAINST if not words & FOR.difference(["text", "body"]) else set()
+    return ("doubtful" if against <= DOUBTFUL else "surely") if against else ""
 
 
 class Page:
     """The element tree and text blocks of one page."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, trusting: bool = False):
+        """trusting: drop nothing for a doubtful name."""
+        self.trusting, self.doubtful = trusting, 0  # characters (without spaces) dropped for doubtful names
         self.tags, self.parents, self.ends = ["#"], [-1], [0]
         self.holders = [0]  # the block element of each element
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
@@ -99,9 +106,12 @@ class Page:
 
     def _read(self, source: str) -> None:
         tags, parents, ends, holders, stack = self.tags, self.parents, self.ends, self.holders, [0]
-        counts: dict[str, int] = {}
+        # Depths in the stack, the deepest last: of each tag, of blocks, of blocks other than paragraphs, and of walls
+        where: dict[str, list[int]] = {}
+        blocks, stops, walls = [0], [0], [0]
         buffer: list[str] = []
         links = in_link = articles = 0
+        soft = False  # whether what is dropped now is dropped for a doubtful name
         drop_from = -1  # depth of the stack at which an unwanted element began
 
         def flush() -> None:
@@ -118,7 +128,10 @@ class Page:
             node = stack.pop()
             tag = tags[node]
             ends[node] = len(tags)
-            counts[tag] -= 1
+            where[tag].pop()
+            for depths in (blocks, stops, walls):
+                if depths[-1] == len(stack):
+                    depths.pop()
             if tag == "a":
                 in_link -= 1
             elif tag in ("article", "main"):
@@ -127,13 +140,9 @@ class Page:
                 drop_from = -1
 
         def close(tag: str, block: bool) -> None:
-            if counts.get(tag, 0):
-                if not block:  # an inline end doesn't cross a block
-                    for node in reversed(stack):
-                        if tags[node] == tag:
-                            break
-                        if tags[node] not in INLINE:
-                            return
+            if where.get(tag):
+                if not block and where[tag][-1] < blocks[-1]:  # an inline end doesn't cross a block
+                    return
                 if block:
                     flush_if_kept()
                 while tags[stack[-1]] != tag:
@@ -152,6 +161,8 @@ class Page:
                 buffer.append(part)
                 if in_link:
                     links += len(part)
+            elif soft:
+                self.doubtful += len(part) - part.count(" ")
 
         at, n = 0, len(source)
         while at < n:
@@ -205,23 +216,15 @@ class Page:
                 continue
             if block:
                 flush_if_kept()
-                if counts.get("p", 0):  # a block ends an open paragraph
-                    for depth in range(len(stack) - 1, 0, -1):
-                        t = tags[stack[depth]]
-                        if t == "p":
-                            while len(stack) > depth:
-                                pop()
-                            break
-                        if t in WALL:
-                            break
-                for depth in range(len(stack) - 1, 0, -1):
-                    t = tags[stack[depth]]
-                    if tag in ENDED_BY.get(t, ()):
-                        while len(stack) > depth:
-                            pop()
-                        if tag in ("li", "dt", "dd", "option", "optgroup") or t in ("tr", "tbody", "thead"):
-                            break
-                    elif t not in INLINE and t != "p":
+                if where.get("p") and where["p"][-1] > walls[-1]:  # a block ends an open paragraph
+                    depth = where["p"][-1]
+                    while len(stack) > depth:
+                        pop()
+                while tag in ENDED_BY.get(tags[stack[stops[-1]]], ()):
+                    depth, t = stops[-1], tags[stack[stops[-1]]]
+                    while len(stack) > depth:
+                        pop()
+                    if tag in ("li", "dt", "dd", "option", "optgroup") or t in ("tr", "tbody", "thead"):
                         break
             elif tag == "a" and in_link:
                 close("a", False)
@@ -230,12 +233,15 @@ class Page:
             parents.append(stack[-1])
             ends.append(node + 1)
             holders.append(node if block else holders[stack[-1]])
-            if drop_from < 0 and unwanted(tag, source[name.end() : end - 1], articles > 0):
+            if drop_from < 0 and (why := unwanted(tag, source[name.end() : end - 1], articles > 0)) and not (self.trusting and why == "doubtful"):
                 if block:
                     flush()
-                drop_from = len(stack)
+                drop_from, soft = len(stack), why == "doubtful"
+            where.setdefault(tag, []).append(len(stack))
+            for depths, belongs in ((blocks, block), (stops, block and tag != "p"), (walls, tag in WALL)):
+                if belongs:
+                    depths.append(len(stack))
             stack.append(node)
-            counts[tag] = counts.get(tag, 0) + 1
             if tag == "a":
                 in_link += 1
             elif tag in ("article", "main"):
@@ -290,16 +296,28 @@ class Page:
                 own = size.setdefault(node, [0, 0])
                 own[0] += len(text)
                 own[1] += links
+        titles = self._titles(parent, top)
         found, node = [], parent + 1
         while node < self.ends[parent]:
             if self.parents[node] == parent and node != top:
                 length, links = size.get(node, (0, 0))
                 tag = self.tags[node]
-                if points.get(node, 0) >= enough or tag in HEADING or (tag == "p" and length and links < 0.25 * length and (length > 80 or links == 0)):
+                if points.get(node, 0) >= enough or tag in HEADING or node in titles or (tag == "p" and length and links < 0.25 * length and (length > 80 or links == 0)):
                     found.append(node)
             node = self.ends[node]
         return found
 
+    def _titles(self, parent: int, top: int) -> set[int]:
+        """The children of `parent` in front of `top` that hold a main heading (h1, h2) and nothing else."""
+        child = {}
+        for node in range(parent + 1, top):
+            child[node] = node if self.parents[node] == parent else child.get(self.parents[node], -1)
+        only: dict[int, bool] = {}
+        for node, _, links in self.blocks:
+            if parent < node < top:
+                only[child[node]] = only.get(child[node], True) and self.tags[node] in ("h1", "h2") and not links
+        return {node for node, good in only.items() if good}
+
     def _link_lists(self) -> set[int]:
         """Outermost lists of three items or more that are nearly all links."""
         outer = [-1] * len(self.tags)
@@ -316,7 +334,12 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    return Page(source).main_text() if source else ""
+    if not source:
+        return ""
+    page = Page(source)
+    if page.doubtful > 2 * sum(len(text) for _, text, _ in page.blocks):  # no ornament holds most of a page
+        page = Page(source, trusting=True)
+    return page.main_text()
 
 
 def extract_pages(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

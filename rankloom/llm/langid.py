@@ -32,6 +32,7 @@ from rankloom.llm.textbatch import groups_of, map_arrow
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 PIECE = 1 << 20
+CELLS = 4_000_000  # scores (of one place in one language) worked out at a time
 SPAN = 4
 
 
@@ -54,11 +55,11 @@ def folded(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace").translate(LETTERS_ONLY) + b" " * (SPAN - 1)
 
 
-def pieces(raw: bytes) -> Iterator[np.ndarray]:
+def pieces(raw: bytes, size: int = PIECE) -> Iterator[np.ndarray]:
     """A folded text in overlapping pieces: each stretch starts in exactly one."""
     flat = np.frombuffer(raw, np.uint8)
-    for at in range(0, max(1, len(flat) - SPAN + 1), PIECE):
-        yield flat[at : at + PIECE + SPAN - 1]
+    for at in range(0, max(1, len(flat) - SPAN + 1), size):
+        yield flat[at : at + size + SPAN - 1]
 
 
 def counted(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,8 @@ class LanguageModel:
         """Averages over all subwords of each text."""
         out = np.zeros((len(texts), len(self.languages)))
         raws = [folded(t) for t in texts]
-        small = [i for i, r in enumerate(raws) if len(r) <= PIECE]
+        size = min(PIECE, max(10_000, CELLS // max(1, len(self.languages))))
+        small = [i for i, r in enumerate(raws) if len(r) <= size]
         if small:
             flat = np.frombuffer(b"".join(raws[i] for i in small), np.uint8)
             ends = np.cumsum([len(raws[i]) for i in small])
@@ -101,7 +103,7 @@ class LanguageModel:
             out[small] = np.add.reduceat(total, starts, axis=0) / (3 * count)[:, None]
         for i in set(range(len(texts))).difference(small):
             total, n = np.zeros(out.shape[1]), 0
-            for flat in pieces(raws[i]):
+            for flat in pieces(raws[i], size):
                 m = len(flat) - SPAN + 1
                 total += sum(self.scores[h[:m]].sum(axis=0, dtype=np.float64) for h in subwords(flat, self.bits))
                 n += 3 * m
@@ -134,8 +136,9 @@ def train_sgd(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int, dim: in
     if not languages:
         return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits)
     y = np.array([languages.index(r[0]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 0
-    held &= len(rows) >= 50
+    held = np.zeros(len(rows), bool)
+    for k in range(len(languages)):
+        held[np.flatnonzero(y == k)[4::5]] = True
     emb = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (dim, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     own = np.flatnonzero(~held)
@@ -208,7 +211,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str], te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups_of(batch, len(keep), 1_000_000):
+            for part in groups_of(batch, len(keep), max(10_000, CELLS // max(1, len(model.languages)))):
                 found, score, rejected = model.predict(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 

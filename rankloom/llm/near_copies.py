@@ -189,9 +189,9 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def proposed(nodes: DataFrame, similarity: float, radius: int, block: int) -> DataFrame:
     """Links (u, v) between digests that may have the similarity: within `radius` bits, or sharing a band."""
-    sims = materialise(nodes.groupBy("sim").agg(F.min("fp").alias("rep")), "near-sims")
+    sims = materialise(nodes.groupBy("sim").agg(F.min("fp").alias("rep"), F.count("*").alias("nodes")), "near-sims")
     covering = similarity_forest(sims.select(F.col("sim").alias("fp"), "rep"), sims.count(), radius)
-    same = nodes.join(sims, "sim").where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
+    same = skewed_lookup(nodes.select("fp", "sim"), sims, ["sim"], "nodes", nodes.count()).where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
 
     spread = nodes.select("fp", F.explode("keys").alias("group"))
     shared = materialise(spread.groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1"), "near-buckets")
@@ -209,6 +209,7 @@ def near_components(docs: DataFrame, marked: DataFrame, width: int, similarity:
     members = maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct())
     members = materialise(members.select(F.col("node").alias("fp"), F.col("component").alias("group")).join(nodes.select("fp", "n", "bits", "key"), "fp"), "near-members")
     again = KeyFilter(members, "key").marked(docs.select("text", row_key().alias("key")), F.col("key"), "hit").where("hit")
+    again = again.groupBy("key").agg(F.first("text").alias("text"))  # equal rows are one before they are shuffled
     sets = shingle_sets(again.join(members.select("key"), "key", "left_semi"), width).dropDuplicates(["fp"])
     sets = materialise(members.drop("key").join(sets, "fp"), "near-sets")
     load = sets.groupBy("group").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
@@ -230,14 +231,15 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     rows = skewed_lookup(marked.select("id", "key", "fp"), named, ["fp"], "copies", marked.count())
     stays = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("key") == F.col("kept.key"))
     found = materialise(rows.groupBy("id", "key").agg(F.max(stays).alias("stays"), F.count("*").alias("times")), "near-found")
+    total = marked.count()
     forget(parts, fps, marked)
 
+    same_id = F.to_json(F.struct("id")).alias("same_id")  # no null, so that it can be joined on
     packed = docs.select(F.struct(*columns(docs)).alias("row"), F.col("doc_id").alias("id"), row_key().alias("key"))
     packed = KeyFilter(found, "key").marked(packed, F.col("key"), "hit")
-    own = found.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "stays", "times")
-    met = packed.where("hit").join(own, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")), "left")
+    met = skewed_lookup(packed.where("hit").withColumn("same_id", same_id), found.select(same_id, "key", "stays", "times"), ["key", "same_id"], "times", total, "left")
     others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
     look = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
-    once = met.where("stays and times > 1").groupBy("id", "key").agg(F.min_by("row", look).alias("row"))
+    once = met.where("stays and times > 1").groupBy("same_id", "key").agg(F.min_by("row", look).alias("row"))
     kept = met.where("stays is null or (stays and times = 1)")
     return packed.where("not hit").select("row.*").unionByName(kept.select("row.*")).unionByName(once.select("row.*"))

@@ -13,8 +13,8 @@ evidence, so that copies of one text are one observation there. Terms that discl
 disclose `remove` or more are removed.
 
 The patterns are matched in linear time, whatever the text: each start is tried once and no run is scanned twice.
-Candidate terms are counted over all documents through a bitmap of fixed size that a word must hit; chance hits fall
-out in the exact join. Without pairs that have the support there is nothing to count and that pass is left out. Pairs of an
+Candidate terms have `least` (2) letters or more; they are counted over all documents through a bitmap, sized by the terms, that a
+word must hit; chance hits fall out in the exact join. Without pairs that have the support there is nothing to count and that pass is left out. Pairs of an
 entity and a term are handed on entity by entity, so that a text of addresses alone needs no memory for all of its pairs.
 
 Cases: null text is empty; an empty text has no spans; very long texts are read whole; null ids are rows like others; rows
@@ -44,8 +44,9 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
-WHOLE_TERM = re.compile(r"(?<![^\W\d_])[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W\d_]++")
+LEAST = 2  # letters of a candidate term
+SALTS = 16
 LETTER = re.compile(r"[^\W\d_]")
 NOT_DIGIT = re.compile("[^0-9]+")
 
@@ -108,14 +109,17 @@ class Spans:
         return k >= 0 and bool(self.ends[k] > start)
 
 
-def near_terms(text: str, start: int, end: int, window: int, spans: Spans) -> list[str]:
-    """The terms that stand wholly within `window` characters of a mention, outside of all base spans."""
+def near_terms(text: str, start: int, end: int, window: int, spans: Spans, least: int = LEAST) -> list[str]:
+    """The terms of `least` letters or more that stand wholly within `window` characters of a mention, outside of all base spans."""
     a, b = max(0, start - window), min(len(text), end + window)
-    cut = b < len(text) and LETTER.match(text, b)
-    return [m.group().lower() for m in WHOLE_TERM.finditer(text, a, b) if not (cut and m.end() == b) and not spans.overlap(m.start(), m.end())]
+    begun, cut = a > 0 and LETTER.match(text, a - 1), b < len(text) and LETTER.match(text, b)
+    return [
+        m.group().lower() for m in TERM.finditer(text, a, b)
+        if m.end() - m.start() >= least and not (cut and m.end() == b) and not (begun and m.start() == a) and not spans.overlap(m.start(), m.end())
+    ]
 
 
-def surroundings(text: str, found: list[list[tuple[int, int]]], window: int, most: int = 100_000) -> Iterator[tuple[int, str | None, int, bool]]:
+def surroundings(text: str, found: list[list[tuple[int, int]]], window: int, most: int = 100_000, least: int = LEAST) -> Iterator[tuple[int, str | None, int, bool]]:
     """(entity, term, surroundings, first) for each entity and the terms near its mentions; first: not seen with it before.
 
     An entity comes with the term None once. Surroundings may be named again when an entity has more than `most`.
@@ -130,7 +134,7 @@ def surroundings(text: str, found: list[list[tuple[int, int]]], window: int, mos
         yield entity, None, 0, True
         terms, seen = set(), set()
         for start, end in places:
-            near = near_terms(text, start, end, window, spans)
+            near = near_terms(text, start, end, window, spans, least)
             around = hashed(" ".join(near))
             for t in near:
                 if (t, around) not in seen:
@@ -154,12 +158,10 @@ def distinct_terms(text: str) -> set[str]:
 
 
 def places(text: str, terms: list[str]) -> list[tuple[str, int, int]]:
-    """(term, start, end) wherever one of the terms stands in the text."""
-    low = text.lower()
+    """(term, start, end) wherever one of the terms stands in the text: one pass, however many terms there are."""
+    wanted, low = set(terms), text.lower()
     if len(low) == len(text):
-        some = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, terms))})(?![^\W\d_])")
-        return [(m.group(), *m.span()) for m in some.finditer(low)]
-    wanted = set(terms)
+        return [(t, *m.span()) for m in TERM.finditer(low) if (t := m.group()) in wanted]
     return [(t, *m.span()) for m in TERM.finditer(text) if (t := m.group().lower()) in wanted]
 
 
@@ -172,7 +174,7 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(column(id_col).isNull(), column(id_col), F.coalesce(column(text_col), F.lit("")))
 
 
-def find_base(docs: DataFrame, id_col: str, text_col: str, window: int, step: int = 50_000) -> DataFrame:
+def find_base(docs: DataFrame, id_col: str, text_col: str, window: int, least: int = LEAST, step: int = 50_000) -> DataFrame:
     """Rows of two kinds: of documents (doc_id, row, n_<kind>, base; e is null) and of what they mention (row, e, t, w, first)."""
     base = docs.select(column(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     schema = T.StructType([base.schema["doc_id"], *T.StructType.fromDDL(f"row long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, e long, t string, w long, first boolean")])
@@ -191,7 +193,7 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int, step: in
                     found = base_spans(text)
                     spans = ",".join(x for k, s in zip(KINDS, found) for x in joined(k, s))
                     rows.append((key, *map(len, found), spans, None, None, None, None))
-                    for pair in surroundings(text, found, window) if spans else ():
+                    for pair in surroundings(text, found, window, least=least) if spans else ():
                         pairs.append((key, None, None, None, None, None, *pair))
                         if len(pairs) == step:
                             yield packed(pa.nulls(step, of_id), pairs)
@@ -203,8 +205,9 @@ def find_base(docs: DataFrame, id_col: str, text_col: str, window: int, step: in
     return map_arrow(base, run, schema)
 
 
-def bitmap_of(terms: DataFrame, bits: int = 20) -> bytes:
-    """2**bits bits, packed, of which those that the terms hash to are set."""
+def bitmap_of(terms: DataFrame) -> bytes:
+    """Eight bits a term or more, 2**15 at least and 2**27 (16 MB) at most, packed, of which those that the terms hash to are set."""
+    bits = max(15, min(27, (8 * terms.count()).bit_length()))
     hit = np.zeros(1 << bits, bool)
     hit[terms.select(F.pmod(F.xxhash64("t"), F.lit(1 << bits)).alias("b")).distinct().toArrow().column("b").to_numpy()] = True
     return np.packbits(hit).tobytes()
@@ -221,12 +224,12 @@ class TermFilter:
         return bool(self.bit[xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), 42) & self.low])
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, bits: int = 20, flush: int = 100_000) -> DataFrame:
-    """t, df_t: in how many documents each of the terms occurs. The bitmap has 2**bits bits, whatever the terms.
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, flush: int = 100_000) -> DataFrame:
+    """t, df_t: in how many documents each of the terms occurs.
 
     Tasks sum up their documents and hand on a row per term, or per `flush` terms at a time.
     """
-    packed = bitmap_of(terms, bits)
+    packed = bitmap_of(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = TermFilter(packed), Counter()
@@ -291,12 +294,12 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str, total: int, sup
     return told
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end, comma-joined), terms and removed (likewise).
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, support: int = 3, generalise: float = 0.8, remove: float = 0.95, least: int = LEAST) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base (kind:start:end, comma-joined), terms (of `least` letters or more) and removed (likewise).
 
     Starts and ends are code points, ends exclusive; removed are the spans among terms that are to go altogether.
     """
-    found = materialise(find_base(docs, id_col, text_col, window), "pii-base")
+    found = materialise(find_base(docs, id_col, text_col, window, least), "pii-base")
     out = found.where("e is null").select("doc_id", "row", *(f"n_{k}" for k in KINDS), "base")
     none = F.lit("").alias("terms"), F.lit("").alias("removed")
     total = out.count()
@@ -307,13 +310,20 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_e = told.groupBy("e").agg(F.max("df_e").alias("rows"))
     mentions = materialise(skewed_lookup(mentions, per_e, ["e"], "rows", total).select("row", "e").distinct(), "pii-mentions")
     places = materialise(occurrences(docs, mentions, told.select("t").distinct(), id_col, text_col), "pii-places")
-    per_t = told.groupBy("t").agg(F.collect_list(F.struct("e", "share")).alias("of"), F.max("df_t").alias("rows"))  # few: each shares nearly all its documents with t
-    met = skewed_lookup(places, per_t, ["t"], "rows", total).select("row", "s", "f", F.explode("of").alias("x")).select("row", "s", "f", "x.e", "x.share")
-    spans = met.join(mentions, ["row", "e"], "left_semi").groupBy("row", "s", "f").agg(F.max(F.col("share") >= remove).alias("gone"))
+    # Which terms disclose in which document: an entity that very many mention meets SALTS tasks, with its terms in each
+    salted = told.select("e", "t", "share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    told_in = mentions.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["e", "salt"])
+    told_in = told_in.groupBy("row", "t").agg(F.max("share").alias("share"))
+    spans = places.join(told_in, ["row", "t"]).groupBy("row", "s", "f").agg(F.max(F.col("share") >= remove).alias("gone"))
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "f", "gone"))).alias("x"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("term:"), x.s.cast("string"), F.lit(":"), x.f.cast("string"))), ",")
     spans = spans.select("row", text(F.col("x")).alias("terms"), text(F.filter("x", lambda x: x.gone)).alias("removed"))
-    return out.join(spans, "row", "left").drop("row").na.fill("", ["terms", "removed"])
+    spans = materialise(spans, "pii-spans")
+    marked = KeyFilter(spans, "row").marked(out, F.col("row"), "hit")  # only documents that may have terms are shuffled
+    hit, rest = marked.where("hit").drop("hit"), marked.where("not hit").drop("hit")
+    sized = hit.groupBy("row").agg(F.count("*").alias("times")).join(spans, "row")
+    met = skewed_lookup(hit, sized, ["row"], "times", total, "left").drop("times")
+    return met.na.fill("", ["terms", "removed"]).unionByName(rest.select("*", *none)).drop("row")
 
 
 def sanitise(text: str | None, spans: str, removed: str = "") -> str:

@@ -32,6 +32,7 @@ from rankloom.llm.shared import column, forget, materialise, remainder, table
 from rankloom.llm.textbatch import groups_of, map_arrow
 
 PIECE = 1 << 20  # characters cut into words at a time
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _classes() -> np.ndarray:
@@ -64,6 +65,39 @@ def word_lists(text: str) -> Iterator[list[str]]:
         yield words
 
 
+class Distinct:
+    """How many different 64-bit hashes it has been given, in 8 bytes each and as much again while it sums up."""
+
+    def __init__(self):
+        self.known, self.new, self.size = np.empty(0, np.uint64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.new.append(hashes)
+        self.size += len(hashes)
+        if self.size > max(1 << 16, len(self.known)):
+            self._settle()
+
+    def _settle(self) -> None:
+        self.known = np.unique(np.concatenate([self.known, *self.new]))
+        self.new, self.size = [], 0
+
+    def __len__(self) -> int:
+        self._settle()
+        return len(self.known)
+
+
+def line_words(line: str) -> tuple[int, int, int]:
+    """How many words a line has, in capitals, and different ones; a long line's words are never all held at once."""
+    if len(line) <= PIECE:
+        own = line.split()
+        return len(own), sum(map(str.isupper, own)), len(set(own))
+    count, upper, different = 0, 0, Distinct()
+    for own in word_lists(line):
+        count, upper = count + len(own), upper + sum(map(str.isupper, own))
+        different.add(np.fromiter(map(hash, own), np.int64, len(own)).view(np.uint64))
+    return count, upper, len(different)
+
+
 def statistics(text: str) -> np.ndarray:
     """The transformed statistics of a whole text."""
     out = np.zeros(18)
@@ -71,16 +105,16 @@ def statistics(text: str) -> np.ndarray:
     hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ KINDS
     n = max(1.0, float(hist.sum()))
     words = same = length = long = caps = 0.0
-    distinct: set[str] = set()
-    pairs: set[tuple[str, str]] = set()
+    distinct, pairs = Distinct(), Distinct()
     last: list[str] = []
     for own in word_lists(text):
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         words, length, long = words + len(own), length + sizes.sum(), long + (sizes > 14).sum()
         caps += sum(map(str.isupper, own))
-        distinct.update(own)
         own = last + own
-        pairs.update(zip(own, own[1:]))
+        hashes = np.fromiter(map(hash, own), np.int64, len(own)).view(np.uint64)
+        distinct.add(hashes)
+        pairs.add(hashes[:-1] * ODD + hashes[1:])
         same += sum(map(str.__eq__, own, own[1:]))
         last = own[-1:]
     w = max(1.0, words)
@@ -89,9 +123,9 @@ def statistics(text: str) -> np.ndarray:
     for line in lines:
         if len(line) >= 24:
             m = len(line)
-            own = line.split()
+            count, upper, different = line_words(line)
             marks = sum(line.count(c) for c in "%$#&*|")
-            worst = np.maximum(worst, (marks / m, line.count("!") / m, sum(map(str.isupper, own)) / max(1, len(own)), 1 - len(set(own)) / max(1, len(own)) if len(own) > 20 else 0))
+            worst = np.maximum(worst, (marks / m, line.count("!") / m, upper / max(1, count), 1 - different / max(1, count) if count > 20 else 0))
     tiny = 1e-3
     out[:10] = np.log(hist / n + tiny)
     out[10] = np.log1p(words)

@@ -39,6 +39,7 @@ from rankloom.llm.textbatch import groups_of, map_arrow
 from rankloom.llm.words import INKED, cut, hashed
 
 KEY = ["k1", "k2"]
+GROUP = 2_000_000  # bytes of text worked on at a time
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -120,7 +121,7 @@ def _first(docs: DataFrame, length: int, at: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in groups_of(batch, 1):
+            for own in groups_of(batch, 1, GROUP):
                 level = Level(own.column(1), length, at)
                 digests = [_digest(t.encode().split()) if t else _digest([]) for t in own.column(1).to_pylist()]
                 ps, hs, _ = zip(*level.sent())
@@ -142,7 +143,7 @@ def _in_place(asked: DataFrame, texts: DataFrame, run: Callable[[pa.Array, pa.Ar
         with system.open_input_file(path) as source:
             for batch in pq.ParquetFile(source).iter_batches(256, columns=["t", "text"]):
                 own = batch.filter(pc.is_in(batch.column(0), value_set=pa.array(wanted, pa.int64())))
-                for group in groups_of(own, 1):
+                for group in groups_of(own, 1, GROUP):
                     yield run(group.column(0), group.column(1), [wanted[t] for t in group.column(0).to_pylist()])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,6 +38,7 @@ from rankloom.llm.shared import column, shared_dir, table
 from rankloom.llm.textbatch import groups_of, map_arrow
 
 MEMO = 500_000
+MOST_KEYS = 1 << 20  # what range_bounds() takes to the driver, 16 bytes each
 #: The normalizer and the splitting that PieceEncoder mirrors, as a tokenizers file states them.
 MIRRORED = (
     ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
@@ -278,9 +279,9 @@ class TokenShard:
             yield batch, [stretches(s, n) for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
 
 
-def range_bounds(keys: DataFrame, total: int, parts: int, each: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """At most parts - 1 bounds (doc_id, h) that cut keys evenly: quantiles of about parts * each keys, taken by hash."""
-    share = min(1 << 30, -(-parts * each << 30) // max(1, total))
+def range_bounds(keys: DataFrame, total: int, parts: int, each: int = 100, most: int = MOST_KEYS) -> tuple[np.ndarray, np.ndarray]:
+    """At most parts - 1 bounds (doc_id, h) that cut keys evenly: quantiles of about parts * each keys, at most `most`, taken by hash."""
+    share = min(1 << 30, -(-min(most, parts * each) << 30) // max(1, total))
     chosen = keys.where(F.pmod(F.xxhash64("h", "doc_id"), F.lit(1 << 30)) < share).distinct().toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     ids, hashes = chosen.column("doc_id").to_numpy(), chosen.column("h").to_numpy()
     at = np.unique(np.arange(1, parts) * len(ids) // parts) if len(ids) else np.empty(0, np.int64)
@@ -298,13 +299,14 @@ def place(bounds: tuple[np.ndarray, np.ndarray], ids: np.ndarray, hashes: np.nda
 def write_token_files(docs: DataFrame, path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048, rows: int = 64, shard_bytes: int = 64_000_000) -> list:
     """Write the files below `target`; returns (shard, uri, n_docs, n_tokens) a file, in order of doc_id.
 
-    There are as many files as shuffle partitions, and more where a shard's texts would hold over `shard_bytes`.
+    There are as many files as shuffle partitions, and more where a shard's texts would hold over `shard_bytes`, up to one
+    for 4 of the MOST_KEYS sampled keys: beyond some 16 TB of texts, files grow instead.
     """
     text = F.coalesce(column(text_col), F.lit(""))
     least = -(1 << 63)  # where null ids go
     keyed = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(id_col).cast("long"), F.lit(least)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     total, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_KEYS // 4, -(-size // shard_bytes)))
     bounds = range_bounds(keyed.select("doc_id", "h"), total, parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,7 +94,9 @@ def by_definition(root):
         for i, (tag, parent, b) in enumerate(nodes):
             if parent == nodes[top][1] and i != top:
                 plain = b and tag == "p" and len(b[1]) < 0.25 * len(text(b)) and (len(text(b)) > 80 or not b[1])
-                if points.get(i, 0) >= max(10, 0.2 * points[best]) or tag == "h2" or plain:
+                held = [(t, b) for k, (t, _, b) in enumerate(nodes) if b and i in chain(k)]
+                title = i < top and held and all(t in ("h1", "h2") and not b[1] for t, b in held)
+                if points.get(i, 0) >= max(10, 0.2 * points[best]) or tag == "h2" or plain or title:
                     chosen.add(i)
     return "\n\n".join(text(b) for i, (_, _, b) in enumerate(nodes) if b and chosen & set(chain(i)))
 
@@ -114,3 +116,30 @@ def test_operator(spark):
     found = sorted((r.page_id or 0, r.text) for r in extract_pages(pages, ["page_id", "url"]).collect())
     assert [t for _, t in found][:4] == ["", "a", "a", ""] and found[4][1] == main_text(PAGE)
     assert extract_pages(pages.where("page_id > 9"), ["page_id"]).count() == 0
+
+
+def test_a_box_with_a_doubtful_name_may_hold_the_article():
+    body = "".join(f"<p>{'A long sentence, with commas, goes on. ' * 5}</p>" for _ in range(4))
+    for box in ('<div id="search-results">', '<section class="social-story tags">', '<div class="page-overlay">', '<div class="hidden">'):
+        assert main_text(f"<body><p>Home</p>{box}{body}</div></body>").count("A long sentence") == 20, box
+    small = main_text(f'<body><div>{body}</div><div class="search"><p>Find, here, things</p></div></body>')
+    assert small.count("A long sentence") == 20 and "Find" not in small
+
+
+def test_a_title_in_a_box_of_its_own():
+    body = "".join(f"<p>{'A long sentence, with commas, goes on. ' * 5}</p>" for _ in range(3))
+    page = f'<body><div><div class="article-header"><h1>Title</h1></div><div class="c">{body}</div><div><h3>Elsewhere</h3></div></div></body>'
+    found = main_text(page)
+    assert found.startswith("Title\n\nA long") and "Elsewhere" not in found
+
+
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "<p>x" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<p>" * n + "<span>" * n + "<li>" * n, lambda n: "<table>" + "<td>" * n])
+def test_hostile_pages_take_linear_time(make):
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        began = time.perf_counter()
+        main_text(make(n))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2

@@ -102,3 +102,23 @@ def test_repeated_and_null_ids(documents):
     data = [(1, f"lorem ipsum {i}", "aa", "s") for i in range(200)] + [(None, f"der die {i}", "bb", "s") for i in range(200)] + [(3, "dolor amet", "aa", "s")] * 50
     a, b = (L.train_languages(documents(data, partitions=p), sample=60, bits=10) for p in (2, 7))
     assert np.array_equal(a.scores, b.scores) and a.threshold == b.threshold
+
+
+def test_calibration_holds_out_every_fifth_row_of_a_language():
+    """However few rows there are, and no language loses its only ones."""
+    rows = [(g, *L.counted(f"{g} {w} {w} text {i}", 10)) for g, w, n in (("aa", "lorem", 12), ("bb", "ipsum", 3)) for i in range(n)]
+    model = L.train_sgd(rows, 10)
+    assert model.languages == ["aa", "bb"] and model.predict(["bb ipsum ipsum text"])[0] == ["bb"]
+
+
+def test_many_languages_take_bounded_memory():
+    import tracemalloc
+
+    model = L.LanguageModel([f"l{i:03d}" for i in range(200)], np.random.default_rng(1).normal(size=(1 << 10, 200)).astype(np.float32), np.zeros(200), 10)
+    text = "some words of a text " * 20_000
+    tracemalloc.start()
+    whole = model.logits([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    small = L.LanguageModel(model.languages[:3], model.scores[:, :3], np.zeros(3), 10)
+    assert peak < 150_000_000 and np.allclose(whole[0, :3], small.logits([text])[0], atol=1e-5)

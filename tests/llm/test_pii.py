@@ -105,7 +105,7 @@ def test_places_and_terms_agree():
     rng = random.Random(6)
     for _ in range(500):
         text = "".join(rng.choice("abcdABCD éÉßİ1_² .") for _ in range(rng.randint(0, 80)))
-        every = [(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{4,}", text)]
+        every = [(m.group().lower(), *m.span()) for m in re.finditer(r"[^\W\d_]+", text)]
         terms = sorted(pii.distinct_terms(text))
         assert terms == sorted({t for t, _, _ in every})
         for some in (terms, terms[::2]):
@@ -137,3 +137,32 @@ def test_copies_change_no_share(documents):
     rows = corpus()[:200] + [(1000 + 100 * k + i, f"{w} gardener jane@farm.example") for i, w in enumerate(("apple", "bread", "cider")) for k in range(20)]
     found = [r for r in pii.find_personal(documents(rows)).collect() if r.doc_id >= 1000]
     assert len(found) == 60 and all(r.terms == r.removed == "term:6:14" for r in found)
+
+
+def test_short_names_disclose_too(documents):
+    """Names of two letters and more, in any script; one letter is none unless it is asked for."""
+    names = ("Kim", "Lee", "王小明", "李四", "Z")
+    rows = corpus()[:200] + [(1000 + 10 * k + i, f"{w} {name} p{k}@farm.example") for k, name in enumerate(names) for i, w in enumerate(("apple", "bread", "cider"))]
+    marked = lambda **how: {dict(rows)[r.doc_id].split()[1] for r in pii.find_personal(documents(rows), **how).collect() if r.terms and r.doc_id >= 1000}
+    assert marked() == {"Kim", "Lee", "王小明", "李四"} and marked(least=1) == set(names) and marked(least=4) == set()
+
+
+def test_places_take_linear_time():
+    import time
+
+    words = [f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(80_000)]
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert len(pii.places(" ".join(words[:n]), words[:n])) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_a_page_of_addresses_and_hot_rows(documents, spark):
+    """Many entities under the same few surroundings, and one row very often."""
+    page = " ".join(f"ref u{i}@host.example" for i in range(2000))
+    rows = corpus()[:100] + [(900 + i, f"{w} {page}") for i, w in enumerate(("apple", "bread", "cider"))]
+    docs = documents(rows).unionByName(spark.range(5000).selectExpr("cast(null as long) doc_id", "'' text", "'en' lang", "'s' source", "0L n_chars"))
+    found = pii.find_personal(docs)
+    assert found.count() == len(rows) + 5000 and found.where("n_email = 2000").count() == 3

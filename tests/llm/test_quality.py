@@ -129,3 +129,19 @@ def test_repeated_ids_are_cut_alike(documents, labels):
     data = [(1, f"good words of text number {i} here", 1) for i in range(300)] + [(2, "BAD!! " * (i + 1), 0) for i in range(300)]
     models = [Q.train_quality(documents([(i, t) for i, t, _ in data], partitions=p), labels([(1, "", 1), (2, "", 0)]), sample=100) for p in (2, 7)]
     assert np.array_equal(models[0].means, models[1].means) and models[0].slope == models[1].slope
+
+
+def test_distinct_counts_and_bounded_memory():
+    import tracemalloc
+
+    rng, counts = np.random.default_rng(3), Q.Distinct()
+    given = [rng.integers(0, 5000, 1000).astype(np.uint64) for _ in range(200)]
+    for part in given:
+        counts.add(part)
+    assert len(counts) == len(np.unique(np.concatenate(given))) and len(Q.Distinct()) == 0
+    text = " ".join(f"w{i}" for i in range(1_000_000))
+    tracemalloc.start()
+    Q.statistics(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text)
