@@ -8,15 +8,20 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import os
 import typing
+import uuid
 from pathlib import Path
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators.checks import Refused, fingerprint
+from rankloom.operators.checks import Refused, fingerprint, folded
 from rankloom.operators.corpus import excluded, overlap
+from rankloom.operators.ranking import numbered
+from rankloom.sources.digests import file_digests
+from rankloom.sources.scratch import write_once
 
 
 class ConfigError(ValueError):
@@ -68,16 +73,11 @@ def longest_prefix(name: str, prefixes: dict[str, tuple[str, str]]) -> tuple[str
 
 
 def data_revision(spark: SparkSession, paths: list[str]) -> str:
-    """12 hex digits over the names and contents of the files that exist, in order of name; contents are hashed where they lie."""
-    found = []
-    for path in sorted(paths):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            found.append(path)
-    if not found:
-        return fingerprint({})
-    rows = spark.read.format("binaryFile").load(found).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("hash"))
-    return fingerprint({"files": sorted(map(tuple, rows.collect()))})
+    """12 hex digits over the names and contents of the files that exist at or below the paths, of any size."""
+    found = write_once(file_digests(spark, paths), "revision")
+    n = found.count()
+    level = numbered(found.select(F.col("name").alias("o"), F.sha2(F.concat_ws(":", "name", "digest").cast("binary"), 256).alias("d")), [F.col("o"), F.col("d")])
+    return fingerprint({"files": folded(level, n)} if n else {})
 
 
 class StageStore:
@@ -122,18 +122,45 @@ def require_alignment(spark: SparkSession, attestation: dict, revision: str) ->
 class Receipts:
     """A test plan is fixed before the split is read, and the split is read once. Kept in a folder of any filesystem.
 
-    Each read is a file of its own, so that the log only grows.
+    Each read is a file of its own that is created only if it is not there, in one step, so of several reads at a time one
+    succeeds, and the log only grows.
     """
 
     def __init__(self, root: str):
         self.files, base = pyarrow.fs.FileSystem.from_uri(str(root) if "://" in str(root) else Path(root).absolute().as_uri())
-        self.root = base.rstrip("/")
+        self.root, self.uri = base.rstrip("/"), str(root).rstrip("/")
 
     def _write(self, name: str, document: dict) -> None:
         self.files.create_dir(f"{self.root}/{name}".rsplit("/", 1)[0], recursive=True)
         with self.files.open_output_stream(f"{self.root}/{name}") as out:
             out.write(json.dumps(document, sort_keys=True).encode())
 
+    def _create(self, name: str, document: dict) -> bool:
+        """Write the document if there is none of that name, and say whether this call did."""
+        data = json.dumps(document, sort_keys=True).encode()
+        self.files.create_dir(f"{self.root}/{name}".rsplit("/", 1)[0], recursive=True)
+        if isinstance(self.files, pyarrow.fs.LocalFileSystem):  # a link to a whole file appears at once, or not at all
+            half = f"{self.root}/.{uuid.uuid4().hex}"
+            Path(half).write_bytes(data)
+            try:
+                os.link(half, f"{self.root}/{name}")
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(half)
+            return True
+        spark = SparkSession.active()
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/{name}")
+        try:
+            out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        out.write(data)
+        out.close()
+        return True
+
     def _read(self, name: str) -> dict | None:
         if self.files.get_file_info(f"{self.root}/{name}").type != pyarrow.fs.FileType.File:
             return None
@@ -156,11 +183,13 @@ class Receipts:
         return [self._read(f"reads/{f.base_name}") for f in sorted(found, key=lambda f: f.base_name)]
 
     def require_unread(self, justification: str = "") -> None:
-        """Write the receipt; a second read needs a reason."""
-        before = self.reads()
-        if before and not justification.strip():
-            raise Refused("the split was read before; say why it is read again")
-        self._write(f"reads/{len(before):06d}.json", {"justification": justification})
+        """Write the receipt; a second read needs a reason, whoever made the first one."""
+        place = len(self.reads())
+        while place == 0 or justification.strip():
+            if self._create(f"reads/{place:06d}.json", {"justification": justification}):
+                return
+            place += 1
+        raise Refused("the split was read before; say why it is read again")
 
     def require_read(self) -> None:
         if not self.reads():

@@ -109,13 +109,11 @@ def fingerprint(sections: dict) -> str:
     return hashlib.sha256(json.dumps(sections, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
 
 
-def input_revision(texts: DataFrame, order: str, text: str, width: int = 4096) -> str:
-    """16 hex digits over the number of texts, the texts and their order.
+def folded(level: DataFrame, n: int, width: int = 4096) -> str:
+    """The digest (64 hex digits) of n digests d by position, and of their number.
 
     Digests are hashed `width` at a time by position, level by level, until at most `width` are left for the driver.
     """
-    n = texts.count()
-    level = numbered(texts.select(F.col(order).alias("o"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("\0null")).cast("binary"), 256).alias("d")), [F.col("o"), F.col("d")])
     left = n
     while left > width:
         held = level.groupBy(F.floor(F.col("position") / width).alias("position")).agg(F.sort_array(F.collect_list(F.struct("position", "d"))).alias("x"))
@@ -125,4 +123,11 @@ def input_revision(texts: DataFrame, order: str, text: str, width: int = 4096) -
     for row in level.orderBy("position").collect():
         whole.update(bytes.fromhex(row.d))
     whole.update(str(n).encode())
-    return whole.hexdigest()[:16]
+    return whole.hexdigest()
+
+
+def input_revision(texts: DataFrame, order: str, text: str, width: int = 4096) -> str:
+    """16 hex digits over the number of texts, the texts and their order."""
+    digest = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("\0null")).cast("binary"), 256)
+    level = numbered(texts.select(F.col(order).alias("o"), digest.alias("d")), [F.col("o"), F.col("d")])
+    return folded(level, texts.count(), width)[:16]

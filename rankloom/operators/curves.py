@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import rank_by
+from rankloom.operators.ranking import numbered, rank_by
 from rankloom.operators.rerank import global_position
 
 
-SMALL = 5000
-
-
 def coverage_curve(confidences: DataFrame, outcomes: DataFrame, coverages: tuple[float, ...], precision_k: int = 5) -> DataFrame:
     """requested, threshold, records, precision, achievable, recall, share (of assignments), no_hit.
 
@@ -42,8 +42,11 @@ def coverage_curve(confidences: DataFrame, outcomes: DataFrame, coverages: tuple
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1 in ascending order; ties share the mean of theirs. For small tables (systems, groups)."""
-    return df.withColumn(name, F.rank().over(W.orderBy(value)) + (F.count("*").over(W.partitionBy(value)) - 1) / 2)
+    """Ranks from 1 in ascending order; ties share the mean of theirs, nulls are one value and come first."""
+    spread = F.xxhash64(*df.columns)  # tells rows with one value apart, so that no range holds all of them
+    placed = numbered(df.select(F.col(value).alias("_value"), spread.alias("_row")), [F.col("_value"), F.col("_row")], "_place")
+    means = placed.groupBy("_value").agg((F.avg("_place") + 1).alias(name))
+    return df.join(means, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -56,16 +59,91 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.when(flat, None).otherwise(F.try_divide(top, bottom)).alias("rho"))
 
 
-def kendall(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """One row: tau-b. Compares all pairs of a small table; larger ones than SMALL are refused."""
-    if df.count() > SMALL:
-        raise ValueError(f"rank correlations are for tables of at most {SMALL} systems")
-    a, b = df.select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya")), df.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    pairs = a.join(b, F.col("ka") < F.col("kb")).select(F.signum(F.col("xa") - F.col("xb")).alias("sx"), F.signum(F.col("ya") - F.col("yb")).alias("sy"))
-    n = F.count("*")
-    tied_x, tied_y = F.count_if(F.col("sx") == 0), F.count_if(F.col("sy") == 0)
-    bottom = F.sqrt(((n - tied_x) * (n - tied_y)).cast("double"))
-    return pairs.agg(F.try_divide(F.coalesce(F.sum(F.col("sx") * F.col("sy")), F.lit(0.0)), bottom).alias("tau"))
+def inversions(values: np.ndarray) -> int:
+    """How many pairs of different numbers stand in descending order: sorted blocks merge, and each merge counts those across."""
+    n, size = len(values), 1
+    while size < n:
+        size *= 2
+    rank = np.concatenate([np.argsort(np.argsort(values, kind="stable"), kind="stable"), np.arange(n, size)])
+    total, width = 0, 1
+    while width < size:
+        pairs = rank.reshape(-1, 2, width)
+        base = 2 * size * np.arange(len(pairs))[:, None]
+        left, right = (pairs[:, 0] + base).ravel(), (pairs[:, 1] + base).ravel()
+        below = np.searchsorted(left, right) - np.repeat(np.arange(len(pairs)) * width, width)
+        total += int((width - below).sum())
+        rank = np.sort(rank.reshape(-1, 2 * width), axis=1).ravel()
+        width *= 2
+    return total
+
+
+def _within(placed: DataFrame, block: str, other: str | None) -> DataFrame:
+    """n: inversions among the rows of each block (columns a, b, px, py), only across values of `other` if it is given."""
+
+    def count(own: dict[str, np.ndarray]) -> int:
+        order = np.argsort(own["px"])
+        found = inversions(own["py"][order])
+        if other is not None:
+            side = own[other][order]
+            found -= sum(inversions(own["py"][order][side == s]) for s in np.unique(side))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            return pa.RecordBatch.from_arrays([pa.array([count({c: whole[c].to_numpy() for c in whole.column_names})], pa.int64())], ["n"])
+
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index(block)).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                if keys[lo] != at and held:
+                    yield done()
+                    held = []
+                at = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return placed.select("a", "b", "px", "py").repartition(block).sortWithinPartitions(block).mapInArrow(run, "n long")
+
+
+def discordant(placed: DataFrame, rows: int, most: int = 1024, least: int = 65_536) -> DataFrame:
+    """One row, n: pairs whose positions px and py (both from 0 without gaps) are in opposite order.
+
+    Both orders are cut into at most `most` blocks. Pairs within a block of px are counted by its task, those within a block
+    of py and across blocks of px by another, and all others from how many rows each pair of blocks holds.
+    """
+    block = max(least, -(-rows // most))
+    placed = placed.withColumn("a", (F.col("px") / block).cast("long")).withColumn("b", (F.col("py") / block).cast("long"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((most + 1, most + 1), np.int64)
+        for batch in batches:
+            np.add.at(cells, (batch.column(0).to_numpy(), batch.column(1).to_numpy()), batch.column(2).to_numpy())
+        later = np.zeros_like(cells)  # rows in earlier blocks of px and later ones of py
+        later[1:, :-1] = cells.cumsum(axis=0)[:-1, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+        yield pa.RecordBatch.from_arrays([pa.array([int((cells * later).sum())], pa.int64())], ["n"])
+
+    cells = placed.groupBy("a", "b").agg(F.count("*").alias("rows")).coalesce(1).mapInArrow(across, "n long")  # at most most * most rows
+    parts = _within(placed, "a", None).unionByName(_within(placed, "b", "a")).unionByName(cells)
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def kendall(df: DataFrame, key: str, x: str, y: str, most: int = 1024, least: int = 65_536) -> DataFrame:
+    """One row: tau-b, null without variance; rows with a null value take no part. n log n work, by inversions."""
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    n = own.count()
+    placed = numbered(numbered(own, [F.col("x"), F.col("y"), F.col("k")], "px"), [F.col("y"), F.col("px")], "py")
+    ties = lambda name, *by: own.groupBy(*by).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.expr("c * (c - 1) div 2")), F.lit(0)).alias(name))
+    facts = discordant(placed, n, most, least).join(ties("tx", "x")).join(ties("ty", "y")).join(ties("txy", "x", "y"))  # one row each
+    pairs = F.lit(n * (n - 1) // 2)
+    bottom = F.sqrt(((pairs - F.col("tx")) * (pairs - F.col("ty"))).cast("double"))
+    return facts.select(F.try_divide((pairs - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("n")).cast("double"), bottom).alias("tau"))
 
 
 def screen_ranking(rows: DataFrame, by: list[str], metric: str, name: str) -> DataFrame:

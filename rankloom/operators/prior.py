@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.heads import fit, labelled
 from rankloom.operators.ranking import rank_by
+from rankloom.operators.vectors import dot
+from rankloom.sources.scratch import write_once
 
 
 def group_of_code(vocabulary: DataFrame) -> DataFrame:
@@ -23,8 +26,6 @@ def distributions(vectors: DataFrame, head: DataFrame, most: int = 100_000) -> D
 
     The head travels as one row, which is refused beyond `most` groups; a vector's groups are one array until the end.
     """
-    from rankloom.operators.vectors import dot
-
     groups = head.count()
     if groups > most:
         raise ValueError(f"a head of {groups} groups; at most {most}")
@@ -70,21 +71,18 @@ def accuracy(distribution: DataFrame, truth: DataFrame, depths: tuple[int, ...]
     return spread.groupBy("depth").agg(F.count("*").alias("records"), share("first").alias("any_within"), share("last").alias("all_within"), F.avg("n").alias("groups_per_record"))
 
 
-def fit_head(vectors: DataFrame, truth: DataFrame, groups: list[str], c: float = 1.0, iterations: int = 1000) -> DataFrame:
-    """group, coefficients, intercept: one logistic regression per group; groups that are all or none get intercept +-20."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    n, rows = vectors.count(), []
-    data = vectors.select("id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
-    for group in groups:  # one job a group
-        own = truth.where(F.col("group") == group).select(F.col("record_id").alias("id"), F.lit(1.0).alias("hit")).distinct()
-        labelled = data.join(own, "id", "left").select("features", F.coalesce("hit", F.lit(0.0)).alias("label"))
-        hits = labelled.where("label = 1").count()
-        if hits in (0, n):
-            size = len(data.first().features)
-            rows.append((group, [0.0] * size, 20.0 if hits else -20.0))
-            continue
-        model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0, standardization=False, maxIter=iterations, tol=1e-9).fit(labelled)
-        rows.append((group, [float(x) for x in model.coefficients], float(model.intercept)))
-    return vectors.sparkSession.createDataFrame(rows, "group string, coefficients array<double>, intercept double")
+def fit_head(vectors: DataFrame, truth: DataFrame, groups: list[str], c: float = 1.0, iterations: int = 1000, tolerance: float = 1e-9) -> DataFrame:
+    """group, coefficients, intercept: one logistic regression per group, all fitted together (see heads).
+
+    A row without any group counts against all of them; groups that all rows or none belong to get intercept +-20.
+    """
+    data = write_once(labelled(vectors, truth, groups), "heads")
+    return vectors.sparkSession.createDataFrame(fit(data, groups, c, iterations, tolerance), "group string, coefficients array<double>, intercept double")
+
+
+def head_totals(vectors: DataFrame, head: DataFrame) -> DataFrame:
+    """group, predicted: how many of the vectors the head expects in each group, the sum of its sigmoids."""
+    sigmoid = lambda h: 1 / (1 + F.exp(-(dot(F.col("vector"), h["coefficients"]) + h["intercept"])))
+    whole = head.agg(F.collect_list(F.struct("group", "coefficients", "intercept")).alias("head"))  # one row, a struct a group
+    each = vectors.join(F.broadcast(whole)).select(F.explode(F.transform("head", lambda h: F.struct(h["group"].alias("group"), sigmoid(h).alias("p")))).alias("x"))
+    return each.groupBy("x.group").agg(F.sum("x.p").alias("predicted"))

@@ -319,6 +319,16 @@ def prior_accuracy(spark, sf_dir):
     return rounded(P.accuracy(distribution(spark, sf_dir), truth), "any_within", "all_within", "groups_per_record")
 
 
+@query("SELECT CAST(label AS VARCHAR) AS \"group\", count(*) AS positives, CAST(count(*) AS DOUBLE) AS predicted FROM embeddings GROUP BY label")
+def head_totals(spark, sf_dir):
+    """Heads fitted on all vectors expect as many members of each group as it has: the optimum has no slope in the intercept."""
+    own = vectors(spark, sf_dir).select("id", "vector", F.col("code").cast("string").alias("group"))
+    truth = own.select(F.col("id").alias("record_id"), "group")
+    counts = truth.groupBy("group").agg(F.count("*").alias("positives"))
+    head = P.fit_head(own, truth, sorted(r["group"] for r in counts.select("group").collect()), tolerance=1e-7)
+    return rounded(counts.join(P.head_totals(own, head), "group"), "predicted", places=1)
+
+
 @query("WITH " + ROLES_SQL + ' SELECT DISTINCT record_id, "group" FROM assignments JOIN vocabulary USING (code)')
 def record_groups(spark, sf_dir):
     return P.record_groups(roles.assignments(spark, sf_dir), P.group_of_code(roles.vocabulary(spark, sf_dir)))

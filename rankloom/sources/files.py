@@ -7,6 +7,7 @@ the executors, through the filesystem of the target, with no gathering on the dr
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -181,8 +182,15 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 
 def _write_tree(rows: DataFrame, root: str, suffix: str) -> int:
-    """rows(type, lang, record_id, body) as files, written by the executors; returns how many."""
-    uri = _qualified(rows.sparkSession, root)
+    """rows(type, lang, record_id, body) as files, written by the executors; returns how many.
+
+    They are written beside the tree, which takes the place of an older one when all are there: a job that fails half-way
+    leaves the old tree as it was, and no file of its own.
+    """
+    spark = rows.sparkSession
+    whole = _qualified(spark, root).rstrip("/")
+    parent, name = whole.rsplit("/", 1)
+    uri = f"{parent}/.{uuid.uuid4().hex}-{name}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = pyarrow.fs.FileSystem.from_uri(uri)
@@ -194,7 +202,20 @@ def _write_tree(rows: DataFrame, root: str, suffix: str) -> int:
             yield pd.DataFrame({"n": [len(pdf)]})
 
     columns = [F.col(c).cast("string").alias(c) for c in ("type", "lang", "record_id")]
-    return rows.select(*columns, "body").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    old, half, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{uri}-old", uri, whole))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(half)
+    try:
+        written = rows.select(*columns, "body").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+        if fs.exists(target):
+            fs.rename(target, old)
+        if not fs.rename(half, target):
+            fs.rename(old, target)
+            raise OSError(f"could not move the files to {whole}")
+        return written
+    finally:
+        for left in (half, old):
+            fs.delete(left, True)
 
 
 def write_submission(rankings: DataFrame, cells: DataFrame, root: str, length: int = 50) -> int:
