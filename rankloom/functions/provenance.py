@@ -67,6 +67,26 @@ def differences(documents: dict[str, dict]) -> dict[str, dict]:
     return {k: v for k, v in found.items() if len({json.dumps(x, sort_keys=True) for x in v.values()}) > 1}
 
 
+def require_pairs(pairs: list[tuple[dict, dict]], equal: list[str], adapter: str = "adapter", model: str = "model") -> None:
+    """Refuse pairs (untrained, trained) of configurations that differ in more than the adapter.
+
+    Each pair is one model, with and without an adapter, and the sections named in `equal` are the same within every pair and
+    in all of them: otherwise the difference between the two is not what training added.
+    """
+    for before, after in pairs:
+        if before.get(adapter) is not None:
+            raise Refused(f"{before.get('name')} names an adapter, so it is not the untrained side of a pair")
+        if after.get(adapter) is None:
+            raise Refused(f"{after.get('name')} names no adapter, so the pair is one configuration twice")
+        if before.get(model) != after.get(model):
+            raise Refused(f"{before.get(model)} and {after.get(model)} are two models")
+        for other in (after, pairs[0][0]):
+            found = differences({"a": {s: before.get(s) for s in equal}, "b": {s: other.get(s) for s in equal}})
+            if found:
+                told = "; ".join(f"{key}: {x.get('a')} and {x.get('b')}" for key, x in found.items())
+                raise Refused(f"{before.get('name')} and {other.get('name')} differ in more than the adapter: {told}")
+
+
 def longest_prefix(name: str, prefixes: dict[str, tuple[str, str]]) -> tuple[str, str]:
     """The (document, label) prefixes of the longest key that the model's name contains; none if no key fits."""
     return max(((k, v) for k, v in prefixes.items() if k in name), key=lambda x: len(x[0]), default=("", ("", "")))[1]

@@ -51,6 +51,16 @@ def unreachable(moved: DataFrame) -> DataFrame:
     return moved.where("before = 'zero' and after = 'zero'")
 
 
+def migration_report(labels: DataFrame, frozen: DataFrame, counts: DataFrame) -> DataFrame:
+    """weighting (label or assignment), band, total, reached, still_zero: of each frozen band the labels that an index of `counts`
+    reaches and those it doesn't, once a vote a label, once weighted by labels(code, weight)."""
+    joined = labels.join(frozen.select("code", "band"), "code", "left").join(counts.select("code", "count"), "code", "left")
+    band, reached = F.coalesce("band", F.lit("zero")).alias("band"), F.coalesce("count", F.lit(0)) > 0
+    each = joined.select(band, reached.alias("reached"), F.explode(F.create_map(F.lit("label"), F.lit(1).cast("long"), F.lit("assignment"), F.col("weight").cast("long"))).alias("weighting", "n"))
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return each.groupBy("weighting", "band").agg(F.sum("n").alias("total"), some(F.col("reached")).alias("reached"), some(~F.col("reached")).alias("still_zero"))
+
+
 def zero_shot_bound(gold: DataFrame, frozen: DataFrame, counts: DataFrame, boundaries=BOUNDARIES) -> DataFrame:
     """One row: labels and assignments that were zero-shot, those an index of `counts` reaches, those it can't, and their share of all gold."""
     weights = corpus_counts(gold).withColumnRenamed("count", "weight")

@@ -169,6 +169,32 @@ def attribution(untrained_small: DataFrame, untrained: DataFrame, trained: DataF
     return joined.select(name, (F.col("b") - F.col("a")).alias("index_adds"), (F.col("c") - F.col("b")).alias("training_adds"))
 
 
+def training_table(untrained: DataFrame, trained: DataFrame, name: str, metrics: list[str]) -> DataFrame:
+    """name, weights (off the shelf, fine-tuned, added) and the metrics: what training added to each system in both, beside its two rows."""
+    at = lambda df, side: df.select(name, F.struct(*metrics).alias(side))
+    both = at(untrained, "before").join(at(trained, "after"), name)
+    row = lambda label, value: F.struct(F.lit(label).alias("weights"), *(value(m).alias(m) for m in metrics))
+    rows = F.array(
+        row("off the shelf", lambda m: F.col("before")[m]), row("fine-tuned", lambda m: F.col("after")[m]), row("added", lambda m: F.col("after")[m] - F.col("before")[m])
+    )
+    return both.select(name, F.explode(rows).alias("x")).select(name, "x.*")
+
+
+def per_retriever(rows: DataFrame, whole: DataFrame, screens: DataFrame, name: str, metric: str, controls: list[str]) -> DataFrame:
+    """name, place (in the ranking of the largest screen), screen, size_place, retriever, value, fused, drifts.
+
+    rows: screen, name, retriever, metric; whole: screen, name, metric of all retrievers together; screens: screen,
+    documents. A control, which reads no indexed document, drifts if its value is not the same on all screens.
+    """
+    sizes = by_index_size(screens).select("screen", F.col("place").alias("size_place"))  # a row a screen
+    largest = sizes.agg(F.max_by("screen", "size_place").alias("screen"))
+    best = screen_ranking(whole.join(F.broadcast(largest), "screen"), ["screen"], metric, name).select(name, F.col("position").alias("place"))
+    held = rows.groupBy(name, "retriever").agg((F.min(metric) != F.max(metric)).alias("moved"))
+    own = rows.select("screen", name, "retriever", F.col(metric).alias("value")).join(whole.select("screen", name, F.col(metric).alias("fused")), ["screen", name])
+    met = own.join(held, [name, "retriever"]).join(best, name).join(F.broadcast(sizes), "screen")
+    return met.select(name, "place", "screen", "size_place", "retriever", "value", "fused", (F.col("retriever").isin(*controls) & F.col("moved")).alias("drifts"))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: the correlation, null without variance."""
     return df.agg(F.when((F.stddev_pop(x) != 0) & (F.stddev_pop(y) != 0), F.corr(x, y)).alias("pearson"))

@@ -60,6 +60,16 @@ def boost(candidates: DataFrame, distribution: DataFrame, groups: DataFrame, wei
     return rank_by(lifted.select("record_id", "code", score.alias("score")), ["record_id"], [F.desc("score"), F.col("code")])
 
 
+def sweep_boost(candidates: DataFrame, distribution: DataFrame, groups: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """boost() at each of the weights, in a column w: one plan, whose candidates meet their groups once."""
+    w = W.partitionBy("record_id")
+    spread = candidates.withColumn("spread", F.max("score").over(w) - F.min("score").over(w))
+    p = distribution.select(F.col("id").alias("record_id"), "group", "p")
+    lifted = spread.join(groups, "code", "left").join(p, ["record_id", "group"], "left").withColumn("w", F.explode(F.array(*map(F.lit, weights))))
+    score = F.round(F.col("score") + F.col("w") * F.col("spread") * F.coalesce("p", F.lit(0.0)), 9)
+    return rank_by(lifted.select("w", "record_id", "code", score.alias("score")), ["record_id", "w"], [F.desc("score"), F.col("code")])
+
+
 def accuracy(distribution: DataFrame, truth: DataFrame, depths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """depth, records, any_within, all_within, groups_per_record; records without truth are left out."""
     ranked = rank_by(distribution, ["id"], [F.desc(F.round("p", 9)), F.col("group")])

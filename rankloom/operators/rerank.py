@@ -26,6 +26,14 @@ def rerank(candidates: DataFrame, scores: DataFrame, mode: str = "replace", weig
     return rank_by(ranked, ["record_id"], [F.desc("score"), F.col("code")], limit=output_k).select("record_id", "rank", "code", "score")
 
 
+def sweep_mix(candidates: DataFrame, scores: DataFrame, weights: tuple[float, ...], rrf_k: int = 60, input_k: int = 100) -> DataFrame:
+    """rerank(mode="fuse") at each of the weights, in a column w: one plan, whose candidates and model ranks are made once."""
+    head = candidates.where(F.col("rank") < input_k).withColumnRenamed("rank", "position").drop("score").join(scores, ["record_id", "code"])
+    ranked = rank_by(head, ["record_id"], [F.desc("model"), F.col("code")], name="model_rank").withColumn("w", F.explode(F.array(*map(F.lit, weights))))
+    score = F.round(F.col("w") / (F.lit(rrf_k) + F.col("model_rank") + 1) + 1 / (F.lit(rrf_k) + F.col("position") + 1), 9)
+    return rank_by(ranked.withColumn("score", score), ["record_id", "w"], [F.desc("score"), F.col("code")]).select("w", "record_id", "rank", "code", "score")
+
+
 def confidence(records: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """record_id, confidence: the mean of the first k scores, 0 without candidates."""
     means = candidates.where(F.col("rank") < k).groupBy("record_id").agg(F.round(F.avg("score"), 9).alias("confidence"))

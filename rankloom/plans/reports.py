@@ -396,3 +396,37 @@ def routed_bands_before_after(spark, sf_dir):
     side = lambda p: E.by_band(own, p, bands, evaluations.BAND_NAMES).where("assignments > 0")
     both = E.before_after(side(roles.mixed_predictions(spark, sf_dir)), side(evaluations.turned(spark, sf_dir)), ["band", "k"])
     return rounded(both.select("band", "k", "recall_before", "recall_after", "recall_change"), "recall_before", "recall_after", "recall_change")
+
+
+@query(evaluations.MIGRATION + """, each AS (SELECT before AS band, after <> 'zero' AS reached, 'label' AS weighting, 1 AS n FROM moved UNION ALL SELECT before, after <> 'zero', 'assignment', weight FROM moved)
+SELECT weighting, band, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (WHERE reached), 0) AS BIGINT) AS reached, CAST(coalesce(sum(n) FILTER (WHERE NOT reached), 0) AS BIGINT) AS still_zero FROM each GROUP BY weighting, band""")
+def migration_report(spark, sf_dir):
+    """Which labels of the scored split the grown corpus reaches, by the band that the small one froze."""
+    labels = B.corpus_counts(roles.assignments(spark, sf_dir).where("split = 0")).withColumnRenamed("count", "weight")
+    grown = B.corpus_counts(roles.assignments(spark, sf_dir).where("split between 1 and 9"))
+    return B.migration_report(labels, evaluations.frozen(spark, sf_dir, 1, 1), grown)
+
+
+TRAINED = """WITH s AS (SELECT CAST(l_suppkey % 12 AS VARCHAR) AS encoder, l_returnflag AS screen, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY ALL),
+pairs AS (SELECT n.encoder, n.quantity AS q0, n.lines AS l0, r.quantity AS q1, r.lines AS l1 FROM s n JOIN s r USING (encoder) WHERE n.screen = 'N' AND r.screen = 'R')"""
+
+
+@query(TRAINED + """ SELECT encoder, 'off the shelf' AS weights, q0 AS quantity, l0 AS lines FROM pairs UNION ALL SELECT encoder, 'fine-tuned', q1, l1 FROM pairs UNION ALL SELECT encoder, 'added', q1 - q0, l1 - l0 FROM pairs""")
+def training_table(spark, sf_dir):
+    own = roles.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 12).cast("string").alias("encoder"), F.col("l_returnflag").alias("screen")).agg(
+        F.sum("l_quantity").cast("double").alias("quantity"), F.count("*").cast("double").alias("lines")
+    )
+    return V.training_table(own.where("screen = 'N'"), own.where("screen = 'R'"), "encoder", ["quantity", "lines"])
+
+
+@query("""WITH r AS (SELECT l_returnflag AS screen, CAST(l_suppkey % 12 AS VARCHAR) AS encoder, CASE WHEN l_linenumber <= 2 THEN 'dense' WHEN l_linenumber <= 4 THEN 'lexical' ELSE 'neighbours' END AS retriever, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY ALL),
+f AS (SELECT screen, encoder, sum(value) AS fused FROM r GROUP BY ALL), sizes AS (SELECT screen, CAST(row_number() OVER (ORDER BY count(*), screen) - 1 AS INTEGER) AS size_place FROM (SELECT l_returnflag AS screen FROM lineitem) GROUP BY screen), best AS (
+  SELECT encoder, CAST(row_number() OVER (ORDER BY fused DESC, encoder) - 1 AS INTEGER) AS place FROM f WHERE screen = (SELECT max_by(screen, size_place) FROM sizes)),
+moved AS (SELECT encoder, retriever, min(value) <> max(value) AS moved FROM r GROUP BY ALL)
+SELECT encoder, place, screen, size_place, retriever, value, fused, retriever <> 'neighbours' AND moved AS drifts FROM r JOIN f USING (screen, encoder) JOIN sizes USING (screen) JOIN best USING (encoder) JOIN moved USING (encoder, retriever)""")
+def per_retriever(spark, sf_dir):
+    """Each retriever alone on each screen; those that read no indexed document are controls, and may not move."""
+    retriever = F.when(F.col("l_linenumber") <= 2, "dense").when(F.col("l_linenumber") <= 4, "lexical").otherwise("neighbours").alias("retriever")
+    rows = roles.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("screen"), (F.col("l_suppkey") % 12).cast("string").alias("encoder"), retriever).agg(F.count("*").cast("double").alias("recall"))
+    whole = rows.groupBy("screen", "encoder").agg(F.sum("recall").alias("recall"))
+    return V.per_retriever(rows, whole, _sized(spark, sf_dir), "encoder", "recall", ["dense", "lexical"])

@@ -226,6 +226,25 @@ def rrf_subsets(spark, sf_dir):
     return _subset_scores(spark, sf_dir)
 
 
+@query(SUBSETS + """, frozen AS (SELECT code, CASE WHEN count(*) >= 5 THEN 'head' WHEN count(*) >= 3 THEN 'torso' ELSE 'tail' END AS band FROM raw_assignments WHERE split BETWEEN 1 AND 9 GROUP BY code),
+banded AS (SELECT g.record_id, g.code, coalesce(band, 'zero') AS band FROM gold g LEFT JOIN frozen USING (code)), sizes AS (SELECT band, count(*) AS assignments FROM banded GROUP BY band),
+met AS (SELECT subset, band, count(*) FILTER (WHERE rank < 10) AS h10, count(*) FILTER (WHERE rank < 50) AS h50 FROM ranked JOIN banded USING (record_id, code) GROUP BY subset, band)
+SELECT subset, band, assignments, round(coalesce(h10, 0)::DOUBLE / assignments, 6) AS recall_10, round(coalesce(h50, 0)::DOUBLE / assignments, 6) AS recall_50
+FROM sets CROSS JOIN sizes LEFT JOIN met USING (subset, band)""")
+def rrf_subset_bands(spark, sf_dir):
+    """Recall of every subset of retrievers in every frozen band, at 10 and at the ceiling of 50."""
+    from rankloom.plans.evaluations import frozen
+
+    ranked = U.fuse_subsets(roles.popularity_rankings(spark, sf_dir), WEIGHTS)
+    banded = gold(spark, sf_dir).join(frozen(spark, sf_dir).select("code", "band"), "code", "left").withColumn("band", F.coalesce("band", F.lit("zero")))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("assignments"))
+    met = ranked.join(banded, ["record_id", "code"]).groupBy("subset", "band").agg(*(F.count_if(F.col("rank") < k).alias(f"h{k}") for k in (10, 50)))
+    sets = spark.createDataFrame([("+".join(s),) for s in U.subsets(sorted(WEIGHTS))], "subset string")
+    full = sets.join(F.broadcast(sizes)).join(met, ["subset", "band"], "left")  # a row a subset and band
+    share = lambda k: F.round(F.coalesce(F.col(f"h{k}"), F.lit(0)) / F.col("assignments"), 6).alias(f"recall_{k}")
+    return full.select("subset", "band", "assignments", share(10), share(50))
+
+
 @query(SUBSETS + """ SELECT CAST(a.k AS INTEGER) AS k, a.recall AS fused, max(b.recall) AS best_single, round(a.recall - max(b.recall), 6) AS gain
   FROM scores a JOIN scores b USING (k) WHERE a.subset = 'cell+hash+lang' AND b.subset NOT LIKE '%+%' GROUP BY a.k, a.recall""")
 def fusion_contribution(spark, sf_dir):
@@ -235,7 +254,9 @@ def fusion_contribution(spark, sf_dir):
     return whole.join(single, "k").withColumn("gain", F.round(F.col("fused") - F.col("best_single"), 6))
 
 
-GRID = [({"cell": a, "hash": b, "lang": c}, k) for k in (10, 60) for a in (0.5, 1.0) for b in (0.0, 0.25) for c in (0.5, 1.0)]
+#: One source is held at 1, the others and the constant of the fusion are tried at these.
+TRIED, CONSTANTS = (0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), (10, 30, 60, 100)
+GRID = [({"cell": 1.0, "hash": b, "lang": c}, k) for k in CONSTANTS for b in TRIED for c in TRIED]
 GRID_SQL = ", ".join(f"({i}, '{w['cell']:g},{w['hash']:g},{w['lang']:g}', {w['cell']}::DOUBLE, {w['hash']}::DOUBLE, {w['lang']}::DOUBLE, {k})" for i, (w, k) in enumerate(GRID))
 
 
@@ -299,10 +320,7 @@ def prior_boost(spark, sf_dir):
 
 @query(BOOSTED + " SELECT w, round(avg(rank) FILTER (WHERE code < 5), 6) AS mean_rank, count(*) FILTER (WHERE code < 5 AND rank < 10) AS hits FROM boosted GROUP BY w")
 def prior_sweep(spark, sf_dir):
-    out = None
-    for w in (0.0, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0):  # a plan a weight, one job; 0 changes nothing
-        own = P.boost(candidates(spark, sf_dir), distribution(spark, sf_dir), code_groups(spark), w).withColumn("w", F.lit(w))
-        out = own if out is None else out.unionByName(own)
+    out = P.sweep_boost(candidates(spark, sf_dir), distribution(spark, sf_dir), code_groups(spark), (0.0, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0))
     low = F.col("code") < 5
     return out.groupBy("w").agg(F.round(F.avg(F.when(low, F.col("rank"))), 6).alias("mean_rank"), F.count_if(low & (F.col("rank") < 10)).alias("hits"))
 
@@ -319,6 +337,21 @@ def prior_accuracy(spark, sf_dir):
     return rounded(P.accuracy(distribution(spark, sf_dir), truth), "any_within", "all_within", "groups_per_record")
 
 
+@query(f"""WITH {DIST}, ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, "group") - 1 AS rank FROM dist),
+truth AS (SELECT id, 'g' || (label % 6) AS "group" FROM v UNION SELECT id, 'g' || (id % 6) FROM v WHERE id % 3 = 0), own AS (
+  SELECT id, min(rank) AS first, max(rank) AS last, count(*) AS n FROM ranked JOIN truth USING (id, "group") GROUP BY id)
+SELECT CASE WHEN id % 10 = 0 THEN 'dev' ELSE 'training' END AS documents, CAST(depth AS INTEGER) AS depth, count(*) AS records, round(avg((first < depth)::INT), 6) AS any_within, round(avg((last < depth)::INT), 6) AS all_within, round(avg(n), 6) AS groups_per_record
+FROM own, (VALUES (1), (2), (3)) t(depth) GROUP BY ALL""")
+def prior_accuracy_splits(spark, sf_dir):
+    """The prior's accuracy on what it was fitted on beside that on the split."""
+    own, known = vectors(spark, sf_dir), distribution(spark, sf_dir)
+    g = lambda c: F.concat(F.lit("g"), (c % 6).cast("string")).alias("group")
+    truth = own.select(F.col("id").alias("record_id"), g(F.col("code"))).union(own.where("id % 3 = 0").select("id", g(F.col("id")))).distinct()
+    dev = F.col("record_id") % 10 == 0
+    sides = [P.accuracy(known, truth.where(where)).withColumn("documents", F.lit(name)) for name, where in (("training", ~dev), ("dev", dev))]
+    return rounded(sides[0].unionByName(sides[1]), "any_within", "all_within", "groups_per_record")
+
+
 @query("SELECT CAST(label AS VARCHAR) AS \"group\", count(*) AS positives, CAST(count(*) AS DOUBLE) AS predicted FROM embeddings GROUP BY label")
 def head_totals(spark, sf_dir):
     """Heads fitted on all vectors expect as many members of each group as it has: the optimum has no slope in the intercept."""
@@ -351,7 +384,7 @@ def rerank_replace(spark, sf_dir):
     return R.rerank(own, model_scores(own), "replace", input_k=40, output_k=30)
 
 
-MIX = MODEL + """, mixed_scores AS (SELECT record_id, code, w, round(w / (60 + model_rank + 1) + 1.0::DOUBLE / (60 + position + 1), 9) AS score FROM head, (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0)) t(w)),
+MIX = MODEL + """, mixed_scores AS (SELECT record_id, code, w, round(w / (60 + model_rank + 1) + 1.0::DOUBLE / (60 + position + 1), 9) AS score FROM head, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0), (2.0), (4.0)) t(w)),
 reranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id, w ORDER BY score DESC, code) - 1 AS INTEGER) AS rank FROM mixed_scores)"""
 
 
@@ -364,10 +397,8 @@ def rerank_fuse_mix(spark, sf_dir):
 @query(MIX + """, g AS (SELECT DISTINCT record_id, code FROM assignments WHERE split = 0)
 SELECT w, count(*) FILTER (WHERE rank < 10) AS hits FROM reranked JOIN g USING (record_id, code) GROUP BY w""")
 def mix_sweep(spark, sf_dir):
-    own, out = fused(spark, sf_dir), None
-    for w in (0.0, 0.5, 1.0, 2.0):
-        one = R.rerank(own, model_scores(own), "fuse", weight=w, input_k=40).withColumn("w", F.lit(w))
-        out = one if out is None else out.unionByName(one)
+    own = fused(spark, sf_dir)
+    out = R.sweep_mix(own, model_scores(own), (0.0, 0.25, 0.5, 1.0, 2.0, 4.0), input_k=40)
     return out.join(gold(spark, sf_dir), ["record_id", "code"]).groupBy("w").agg(F.count_if(F.col("rank") < 10).alias("hits"))
 
 
@@ -434,6 +465,18 @@ def training_examples(spark, sf_dir):
     return own.withColumn("negatives", F.array_join(F.col("negatives").cast("array<string>"), ","))
 
 
+@query(NEGATIVES + """, rows AS (SELECT g.record_id % 100 AS batch, g.record_id, g.code AS positive FROM g JOIN vocabulary USING (code)), named AS (
+  SELECT batch, positive AS code, record_id * 100000.0 AS pos FROM rows UNION ALL SELECT DISTINCT batch, w.code, 1e15 + w.record_id * 100000.0 + w.rank FROM rows JOIN wrong w USING (record_id)),
+firsts AS (SELECT batch, code, min(pos) AS pos FROM named GROUP BY batch, code)
+SELECT batch, string_agg(code::VARCHAR, ',' ORDER BY pos, code) AS columns FROM firsts GROUP BY batch""")
+def batch_columns(spark, sf_dir):
+    """A batch's columns: its positives in order of record and code, then the negatives of its records that aren't among them."""
+    own = O.examples(gold(spark, sf_dir), roles.vocabulary(spark, sf_dir), O.hard_negatives(fused(spark, sf_dir), gold(spark, sf_dir), 8))
+    rows = own.withColumn("batch", F.col("record_id") % 100).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("record_id", "positive", "negatives"))).alias("x"))
+    cut = O.columns(F.transform("x", lambda r: r.positive), F.flatten(F.transform("x", lambda r: r.negatives)))
+    return rows.select("batch", F.array_join(cut.cast("array<string>"), ",").alias("columns"))
+
+
 @query(NEGATIVES + " SELECT count(*) AS records, round(avg(coalesce(n, 0)), 6) AS mean_wrong, count(*) FILTER (WHERE coalesce(n, 0) < 4) AS short FROM dev LEFT JOIN (SELECT record_id, count(*) AS n FROM wrong GROUP BY record_id) USING (record_id)")
 def mining_stats(spark, sf_dir):
     dev = roles.records(spark, sf_dir).where("split = 0")

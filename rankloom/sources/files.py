@@ -323,3 +323,27 @@ def read_screens(spark: SparkSession, path: str, schema_tag: str) -> DataFrame:
     rows = F.from_json(F.get_json_object("value", "$.rows"), "array<struct<encoder: string, micro: map<string, double>>>")
     own = raw.select(F.get_json_object("value", "$.split").alias("screen"), F.get_json_object("value", "$.index.documents").cast("long").alias("documents"), F.explode(rows).alias("r"))
     return own.select("screen", "documents", "r.encoder", F.explode("r.micro").alias("metric", "value"))
+
+
+def negatives_path(root: str, configuration: str, split: str, depth: int) -> str:
+    """Where mined negatives lie: named by what they were mined with, so that a run can't read another's."""
+    for part in (configuration, split):
+        if not part or set(part) & set("/\\") or part.startswith("."):
+            raise ValueError(f"{part!r} is no name of a configuration or a split")
+    return f"{root.rstrip('/')}/{configuration}-{split}-{int(depth)}"
+
+
+def write_negatives(negatives: DataFrame, root: str, configuration: str, split: str, depth: int) -> str:
+    """negatives(record_id, rank, code) as a table of its own; refuses ranks that the depth doesn't have."""
+    require_none(negatives.where((F.col("rank") < 0) | (F.col("rank") >= depth)), f"negatives beyond depth {depth}")
+    path = negatives_path(root, configuration, split, depth)
+    negatives.select("record_id", "rank", "code").write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_negatives(spark: SparkSession, root: str, configuration: str, split: str, depth: int) -> DataFrame:
+    """What write_negatives() wrote under these names; refused if nothing was mined under them."""
+    path = negatives_path(root, configuration, split, depth)
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        raise Refused(f"no negatives were mined for {configuration}, {split}, depth {depth}")
+    return spark.read.parquet(path)

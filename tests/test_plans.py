@@ -133,3 +133,33 @@ def test_prompts_by_revision(spark):
     assert df.select(R.prompt("1", F.col("text"), F.col("offered")).alias("p")).first().p == "Record:\nt\n\nCandidates:\n1. c l"
     with pytest.raises(ValueError):
         R.prompt("9", F.col("text"), F.col("offered"))
+
+
+def test_pairs_differ_in_the_adapter_alone():
+    base = {"name": "u", "model": "m", "adapter": None, "index": {"size": 3}, "fusion": {"k": 60}}
+    tuned = base | {"name": "t", "adapter": "a"}
+    G.require_pairs([(base, tuned), (base | {"name": "u2", "model": "n"}, tuned | {"model": "n"})], ["index", "fusion"])
+    bad = {
+        "names an adapter": (tuned, tuned), "one configuration twice": (base, base), "two models": (base, tuned | {"model": "n"}),
+        "index.size: 3 and 4": (base, tuned | {"index": {"size": 4}}), "fusion": (base, tuned | {"fusion": {}}),
+    }
+    for told, pair in bad.items():
+        with pytest.raises(Refused, match=told):
+            G.require_pairs([pair], ["index", "fusion"])
+    with pytest.raises(Refused, match="differ"):
+        G.require_pairs([(base, tuned), (base | {"index": {"size": 9}}, tuned | {"index": {"size": 9}})], ["index", "fusion"])
+
+
+def test_negatives_by_name(spark, tmp_path):
+    from rankloom.sources import files
+
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "record_id long, rank int, code string")
+    assert files.write_negatives(rows, str(tmp_path), "small", "train", 2).endswith("/small-train-2")
+    assert files.read_negatives(spark, str(tmp_path), "small", "train", 2).count() == 2
+    for names in (("small", "dev", 2), ("small", "train", 3), ("large", "train", 2)):
+        with pytest.raises(Refused):
+            files.read_negatives(spark, str(tmp_path), *names)
+    with pytest.raises(Refused):
+        files.write_negatives(rows, str(tmp_path), "small", "train", 1)
+    with pytest.raises(ValueError):
+        files.negatives_path(str(tmp_path), "../x", "train", 1)
