@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from rankloom.functions.text import language_code, subject_list
 from rankloom.operators.checks import Refused, bad_rankings, repeated_ids, require_none
+from rankloom.sources.json_parts import json_entries
 
 RECORD = "id string, type string, lang string, title string, abstract string, subjects string"
 ENTRY = "`Code` string, `Name` string, `Classification Number` string, `Classification Name` string, `Alternate Name` array<string>, `Related Subjects` array<string>, `Definition` string"
@@ -31,13 +32,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of entries, or a map from code to entry, as code, name, group, group_number, alternates, related, definition."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{ENTRY.replace(' string', ': string').replace(' array<', ': array<')}>>".replace("` :", "`:"))
-    keyed = F.from_json("value", f"map<string, struct<{ENTRY.replace(' string', ': string').replace(' array<', ': array<')}>>".replace("` :", "`:"))
-    is_list = F.ltrim("value").startswith("[")
-    rows = whole.where(is_list).select(F.explode(listed).alias("e")).select(F.col("e.Code").alias("code"), "e").unionByName(
-        whole.where(~is_list).select(F.explode(keyed).alias("code", "e"))
+    """A JSON list of entries, or a map from code to entry, as code, name, group, group_number, alternates, related, definition.
+
+    Several tasks read one file, an entry a row.
+    """
+    whole = json_entries(spark, path)
+    kind = ENTRY.replace(" string", ": string").replace(" array<", ": array<").replace("` :", "`:")
+    listed = F.from_json("value", f"struct<{kind}>")
+    keyed = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), f"map<string, struct<{kind}>>")
+    rows = whole.where("not keyed").select(listed.alias("e")).select(F.col("e.Code").alias("code"), "e").unionByName(
+        whole.where("keyed").select(F.explode(keyed).alias("code", "e"))
     )
     return rows.select("code", *entry_fields())
 
@@ -56,7 +60,10 @@ def read_string_map(spark: SparkSession, path: str, field: str | None = None, op
     """key, value of a JSON map, or of one of its fields; a missing file is empty if optional, else an error."""
     if optional and not _exists(spark, path):
         return spark.createDataFrame([], "key string, value string")
-    column = F.from_json("value", "map<string, string>") if field is None else F.from_json(F.get_json_object("value", f"$.{field}"), "map<string, string>")
+    if field is None:  # several tasks read one file, an entry a row
+        whole = F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), "map<string, string>")
+        return json_entries(spark, path).where("keyed").select(F.explode(whole).alias("key", "value"))
+    column = F.from_json(F.get_json_object("value", f"$.{field}"), "map<string, string>")
     return spark.read.text(path, wholetext=True).select(F.explode(column).alias("key", "value"))
 
 
