@@ -110,7 +110,8 @@ def quotas(cells: DataFrame, by: list[str], size: int) -> DataFrame:
     starved = (F.col("quota") == 0) & (F.col("n") > 0) & (F.lit(size) >= F.col("cells"))
     out = out.withColumn("starved", starved).withColumn("wanted", F.count_if("starved").over(whole))
     out = out.withColumn("turn", F.when(F.col("starved"), F.row_number().over(W.partitionBy("starved").orderBy(*by))))
-    units = out.where("quota > 1").select(*by, "wanted", F.explode(F.sequence(F.lit(2).cast("long"), F.col("quota"))).alias("unit"))
+    lowest = F.greatest(F.lit(2).cast("long"), F.col("quota") - F.col("wanted") + 1)  # no cell gives more than are wanted
+    units = out.where("quota > 1 and wanted > 0").select(*by, "wanted", F.explode(F.sequence(lowest, F.col("quota"))).alias("unit"))
     ordered = units.withColumn("at", F.row_number().over(W.orderBy(F.desc("unit"), *(F.desc_nulls_last(b) for b in by)))).where("at <= wanted")
     given = ordered.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.count("*").alias("given"))
     same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
 from rankloom.operators.lexical_index import LexicalIndex, build_index, open_index, search
-from rankloom.sources.scratch import stored
+from rankloom.operators.ranking import skewed_lookup
+from rankloom.sources.scratch import stored, write_once
 
 K1, B = 1.2, 0.75
 
@@ -22,9 +23,11 @@ def postings(entries: DataFrame) -> DataFrame:
 
 def bm25_weights(posted: DataFrame) -> DataFrame:
     """postings with their BM25 weight; N, average length and df are over entries."""
+    posted = write_once(posted, "postings")  # the text is cut into terms once
     sizes = posted.select("entry", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = posted.groupBy("term").agg(F.countDistinct("entry").alias("df"))
-    joined = posted.join(df, "term").join(F.broadcast(sizes))  # one row
+    df = write_once(posted.groupBy("term").agg(F.countDistinct("entry").alias("df"), F.count("*").alias("rows")), "term-counts")
+    total = df.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    joined = skewed_lookup(posted, df, ["term"], "rows", total).join(F.broadcast(sizes))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return joined.select("entry", "code", "term", weight.alias("weight"))

@@ -23,6 +23,14 @@ def restrict(rankings: DataFrame, vocabulary: DataFrame, by: list[str], code: st
     return rank_by(kept.withColumnRenamed("rank", "_old"), by, [F.col("_old")]).drop("_old")
 
 
+def skewed_lookup(rows: DataFrame, found: DataFrame, on: list[str], size: str, total: int, parts: int = 1000) -> DataFrame:
+    """rows joined to found, a row a key with its number of rows in `size`, of `total` in all: keys that hold a thousandth of
+    the rows or more (so at most `parts`) are broadcast, all others meet in a shuffle join."""
+    is_hot = F.col(size) * parts >= F.lit(total)
+    hot = F.broadcast(found.where(is_hot))
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(found.where(is_hot).select(*on)), on, "left_anti").join(found.where(~is_hot), on))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "position", ranges: int = 1024, each: int = 20) -> DataFrame:
     """df with its 0-based position in an order of unique keys, of any type, without a global sort.
 

@@ -114,12 +114,13 @@ def fixture_records(spark, sf_dir):
     return found.select("record_id", "type", "lang", "place")
 
 
-@query("""WITH i AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_linenumber = 7), q AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_linenumber = 6), v AS (SELECT p_partkey AS code FROM part),
+@query("""WITH i AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_orderkey % 10 <> 0), q AS (SELECT DISTINCT l_partkey AS code FROM lineitem WHERE l_orderkey % 10 = 0), v AS (SELECT p_partkey AS code FROM part),
 gone AS (SELECT code FROM i WHERE code NOT IN (SELECT code FROM q) ORDER BY code LIMIT 3), unseen AS (SELECT code FROM v WHERE code NOT IN (SELECT code FROM q) AND code NOT IN (SELECT code FROM i) ORDER BY code LIMIT 1)
 SELECT code, 'withheld' AS part FROM gone UNION ALL SELECT code, 'unseen' FROM unseen UNION ALL SELECT code, 'slice' FROM (SELECT code FROM i UNION SELECT code FROM q) WHERE code NOT IN (SELECT code FROM gone)""")
 def fixture_codes(spark, sf_dir):
-    codes = lambda n: roles.table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == n).select(F.col("l_partkey").alias("code"))
-    return C.fixture_codes(codes(7), codes(6), roles.vocabulary(spark, sf_dir), 3)
+    """The training corpus is the index, the development split the queries: every line is one or the other."""
+    codes = lambda where: roles.raw_assignments(spark, sf_dir).where(where).select("code")
+    return C.fixture_codes(codes("split <> 0"), codes("split = 0"), roles.vocabulary(spark, sf_dir), 3)
 
 
 @query("WITH " + ROLES_SQL + """, g AS (SELECT DISTINCT record_id, code FROM assignments WHERE split = 0), most AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM g GROUP BY record_id)),

@@ -177,8 +177,10 @@ def rrf_fuse(spark, sf_dir):
     return fused(spark, sf_dir).drop("sources")
 
 
-@query(FUSED.replace("rankings AS (", "rankings AS MATERIALIZED (").replace("fused AS (", "fused AS MATERIALIZED (")
-  + " SELECT f.record_id, f.code, r.source, r.rank AS source_rank FROM fused f JOIN rankings r USING (record_id, code)")
+@query("WITH " + POPULARITY_SQL + """, weights AS (SELECT * FROM (VALUES ('cell', 1.0::DOUBLE), ('lang', 0.5), ('hash', 0.25)) t(source, w)), scored AS (
+  SELECT record_id, code, round(sum(w / (60 + rank + 1)), 9) AS score, list({'source': source, 'rank': rank}) AS own FROM rankings JOIN weights USING (source) GROUP BY record_id, code),
+top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY score DESC, code) <= 50)
+SELECT record_id, code, x.source AS source, x.rank AS source_rank FROM (SELECT record_id, code, unnest(own) AS x FROM top)""")
 def rrf_provenance(spark, sf_dir):
     return U.provenance(fused(spark, sf_dir))
 
