@@ -118,6 +118,21 @@ class StageStore:
             raise Refused(f"stage {stage} has not been made for {json.dumps(depends, sort_keys=True)}")
         return self.spark.read.parquet(self.path(stage, depends))
 
+    def scores(self, configuration: dict, split: str, records: int) -> DataFrame:
+        """The scores (record_id, code, model) of a scoring pass over exactly these records; refused if none was stored."""
+        return self.load("scores", {"configuration": configuration, "split": split, "records": records})
+
+    def replayed(self, configuration: dict, split: str, records: int, candidates: DataFrame, score, refresh: bool = False) -> DataFrame:
+        """The stored pass, or score(candidates) stored as one the first time or on `refresh`; a pass that doesn't cover the candidates is refused."""
+        depends = {"configuration": configuration, "split": split, "records": records}
+        if refresh or not self.exists("scores", depends):
+            score(candidates).select("record_id", "code", "model").write.mode("overwrite").parquet(self.path("scores", depends))
+        found = self.load("scores", depends)
+        left = candidates.select("record_id", "code").join(found, ["record_id", "code"], "left_anti")
+        if not left.isEmpty():
+            raise Refused(f"the stored scoring pass for {split} lacks some of the candidates")
+        return found
+
     def memo(self, stage: str, depends: dict, compute) -> DataFrame:
         """The stage's table, computed and written only the first time."""
         if not self.exists(stage, depends):

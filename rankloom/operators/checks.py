@@ -92,6 +92,16 @@ def after_cutoff(models: DataFrame, cutoff: str) -> DataFrame:
     return models.where((F.col("created") > F.lit(cutoff).cast("date")) | (F.col("revision_date") > F.lit(cutoff).cast("date")))
 
 
+def registry_report(models: DataFrame, cutoff: str) -> DataFrame:
+    """name, flag, created, pinned of a registry(name, created, revision_date, appendix, origin, revision, provider): FAIL for what
+    postdates the cutoff and isn't marked, APDX for what is marked, ok for the rest; hosted models declare their revision."""
+    late = (F.greatest("created", "revision_date") > F.lit(cutoff).cast("date")) & ~F.col("appendix")
+    flag = F.when(late, "FAIL").when(F.col("appendix"), "APDX").otherwise("ok")
+    declared = F.concat(F.col("revision"), F.lit(" (declared, "), F.col("provider"), F.lit(")"))
+    dated = F.concat(F.substring("revision", 1, 12), F.lit(" ("), F.col("revision_date").cast("string"), F.lit(")"))
+    return models.select("name", flag.alias("flag"), F.col("created").cast("string").alias("created"), F.when(F.col("origin") == "api", declared).otherwise(dated).alias("pinned"))
+
+
 def as_of(events: DataFrame, by: list[str], at: str, value: str, cutoff) -> DataFrame:
     """The newest row of each group not after the cutoff; ties go to the larger value."""
     kept = events.where(F.col(at) <= cutoff)

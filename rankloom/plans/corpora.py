@@ -360,6 +360,18 @@ def check_cutoff(spark, sf_dir):
     return K.after_cutoff(models, "1997-06-30").select("name")
 
 
+@query("""WITH m AS (SELECT o_orderkey AS name, CAST(o_orderdate AS DATE) AS created, CAST(o_orderdate AS DATE) + 30 AS revised, o_orderkey % 7 = 0 AS appendix, md5(o_orderkey::VARCHAR) AS revision, o_orderpriority AS provider FROM orders)
+SELECT name, CASE WHEN revised > DATE '1997-06-30' AND NOT appendix THEN 'FAIL' WHEN appendix THEN 'APDX' ELSE 'ok' END AS flag, created::VARCHAR AS created,
+  CASE WHEN name % 5 = 0 THEN revision || ' (declared, ' || provider || ')' ELSE substr(revision, 1, 12) || ' (' || CAST(revised AS DATE)::VARCHAR || ')' END AS pinned FROM m""")
+def registry_report(spark, sf_dir):
+    created, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    models = roles.table(spark, sf_dir, "orders").select(
+        key.alias("name"), created.alias("created"), F.date_add(created, 30).alias("revision_date"), (key % 7 == 0).alias("appendix"),
+        F.when(key % 5 == 0, "api").otherwise("hub").alias("origin"), F.md5(key.cast("string").cast("binary")).alias("revision"), F.col("o_orderpriority").alias("provider"),
+    )
+    return K.registry_report(models, "1997-06-30")
+
+
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS stamp, event_id FROM events), lim AS (SELECT min(stamp) + (max(stamp) - min(stamp)) // 2 AS cut FROM e)
 SELECT user_id, max(stamp) AS stamp, max_by(event_id, (stamp, event_id)) AS event_id FROM e, lim WHERE stamp <= cut GROUP BY user_id""")
 def as_of_pick(spark, sf_dir):

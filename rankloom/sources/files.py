@@ -292,9 +292,12 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_sorted_map(rows: DataFrame, path: str) -> None:
-    """key, value as JSON lines in order of key, the same bytes for the same rows, replacing what was there."""
-    ordered = rows.select("key", "value").orderBy("key", "value")
+def write_sorted_map(rows: DataFrame, path: str, files: int = 1) -> None:
+    """key, value as JSON lines in order of key, replacing what was there: the same bytes for the same rows, however they come.
+
+    One file by default. Of several, each holds the keys that a hash of the key gives it, in order.
+    """
+    ordered = rows.select("key", "value").repartition(files, "key").sortWithinPartitions("key", "value")
     ordered.write.mode("overwrite").option("compression", "none").json(path)
 
 

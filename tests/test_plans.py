@@ -163,3 +163,22 @@ def test_negatives_by_name(spark, tmp_path):
         files.write_negatives(rows, str(tmp_path), "small", "train", 1)
     with pytest.raises(ValueError):
         files.negatives_path(str(tmp_path), "../x", "train", 1)
+
+
+def test_scoring_passes_are_replayed_or_refused(spark, tmp_path):
+    store, calls = G.StageStore(spark, str(tmp_path / "s")), []
+    cand = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "record_id long, code string")
+
+    def score(df):
+        calls.append(1)
+        return df.selectExpr("record_id", "code", "0.5 * record_id as model")
+
+    with pytest.raises(Refused):
+        store.scores({"m": 1}, "dev", 2)
+    for refresh in (False, False, True):
+        assert sorted(r.model for r in store.replayed({"m": 1}, "dev", 2, cand, score, refresh).collect()) == [0.5, 0.5, 1.0]
+    assert len(calls) == 2 and store.scores({"m": 1}, "dev", 2).count() == 3
+    with pytest.raises(Refused):
+        store.replayed({"m": 1}, "dev", 2, cand.unionByName(spark.createDataFrame([(3, "z")], cand.schema)), score)
+    with pytest.raises(Refused):
+        store.scores({"m": 1}, "dev", 3)
