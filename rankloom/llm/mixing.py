@@ -13,7 +13,7 @@ target = min(cap * size, weight * L), found in closed form over the sources sort
 
 Cases: null text has size 0; null source is a source of its own; a source with no words takes nothing; null ids and ids
 that repeat with other texts have keys of their own; rows that repeat an id and a text are rows of their own, one after the
-other; an empty table gives an empty result; other columns, whatever their names, are carried along or ignored.
+other; a very long text is only counted, where it is read; an empty table gives an empty result; other columns, whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations

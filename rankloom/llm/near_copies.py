@@ -18,7 +18,8 @@ lost: no bucket or component is capped. Both are dealt into blocks, and each pai
 
 Cases: null text is an empty one; all texts without words have the same, empty set; fewer words than a shingle are one
 shingle; the smallest id of a component stays, null ids last; rows are told apart by id and text, and of rows that repeat
-both the least by a hash of their other columns stays; an empty table gives an empty result; other columns, whatever
+both the least by a hash of their other columns stays; a very long text is read whole, its shingles are 64-bit hashes in
+memory that grows with it; an empty table gives an empty result; other columns, whatever
 their names, are carried along.
 """
 

@@ -13,7 +13,8 @@ never inputs of a score.
 Cases: null text is empty; an empty text has the statistics of no words and is scored like any other; null labels and ids
 are left out, and of labels that repeat an id with different values the larger counts; rows that repeat an id in the sample
 are ranked by their statistics; if all labels are of one class, or there are none, every score is that class's share (0.5
-without labels); rows may repeat; an empty table gives an empty result; other columns are ignored; a null id is never
+without labels); a score of exactly 0.5 is predicted 1; a very long text is read in pieces, and of its different words and pairs only 64-bit
+hashes are kept; rows may repeat; an empty table gives an empty result; other columns are ignored; a null id is never
 held out.
 """
 

@@ -13,7 +13,8 @@ and a task returns a spanning forest of the links it found, never the pairs. Com
 and small-star rounds over those forests, each round written to the shared folder.
 
 Cases: null text has no words, like an empty one, and fingerprint zero; texts of fewer words than a shingle are one
-shingle; ids may be null (they link to none beyond their own fingerprint); rows may repeat; an empty table gives an
+shingle; a bit that exactly half of the hashes have is 0; very long texts are read whole, in memory that grows with
+them; ids may be null (they link to none beyond their own fingerprint); rows may repeat; an empty table gives an
 empty result; other columns are ignored.
 """
 

@@ -87,3 +87,13 @@ def test_bands_propose_what_is_similar():
         a, b = (np.unique(np.array(own[:80] + [rng.getrandbits(64) for _ in range(10)], np.uint64)) for _ in range(2))
         missed += not np.any(N.band_keys(a) == N.band_keys(b))
     assert missed == 0
+
+
+def test_very_many_equal_rows(documents, spark):
+    """A null id and an empty text, over and over: one row stays, and so do all texts beside it."""
+    from rankloom.llm.near_copies import drop_near_duplicates
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, text), (2, text + " w60"), (3, "other words of its own here")])
+    docs = docs.unionByName(spark.range(5000).selectExpr("cast(null as long) doc_id", "'' text", "'en' lang", "'s' source", "0L n_chars"))
+    assert sorted((r.doc_id or 0) for r in drop_near_duplicates(docs).collect()) == [0, 1, 3]
