@@ -21,7 +21,7 @@ from rankloom.operators.checks import Refused, fingerprint, folded
 from rankloom.operators.corpus import excluded, overlap
 from rankloom.operators.ranking import numbered
 from rankloom.sources.digests import file_digests
-from rankloom.sources.scratch import write_once
+from rankloom.sources.scratch import discard, write_once
 
 
 class ConfigError(ValueError):
@@ -97,7 +97,9 @@ def data_revision(spark: SparkSession, paths: list[str]) -> str:
     found = write_once(file_digests(spark, paths), "revision")
     n = found.count()
     level = numbered(found.select(F.col("name").alias("o"), F.sha2(F.concat_ws(":", "name", "digest").cast("binary"), 256).alias("d")), [F.col("o"), F.col("d")])
-    return fingerprint({"files": folded(level, n)} if n else {})
+    out = fingerprint({"files": folded(level, n)} if n else {})
+    discard(found)
+    return out
 
 
 class StageStore:

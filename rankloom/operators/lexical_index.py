@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.blocks import ragged
 from rankloom.operators.ranking import rank_by
-from rankloom.sources.scratch import write_once
+from rankloom.sources.scratch import discard, write_once
 
 DECIMALS = 6
 
@@ -100,6 +100,7 @@ def build_index(weighted: DataFrame, path: str, block: int = 262_144, cluster: i
     schema = f"block int, term {term_type}, codes array<{kind['code']}>, places array<int>, weights array<double>, clusters array<int>, peaks array<double>"
     dealt.mapInArrow(run, schema).write.partitionBy("block").parquet(f"{path}/lists")
     weighted.sparkSession.createDataFrame([(blocks, term_type, kind["code"])], "blocks int, term_type string, code_type string").coalesce(1).write.parquet(f"{path}/facts")
+    discard(packed)
 
 
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.operators.heads import fit, labelled
 from rankloom.operators.ranking import rank_by
 from rankloom.operators.vectors import dot
-from rankloom.sources.scratch import write_once
+from rankloom.sources.scratch import discard, write_once
 
 
 def group_of_code(vocabulary: DataFrame) -> DataFrame:
@@ -87,7 +87,9 @@ def fit_head(vectors: DataFrame, truth: DataFrame, groups: list[str], c: float =
     A row without any group counts against all of them; groups that all rows or none belong to get intercept +-20.
     """
     data = write_once(labelled(vectors, truth, groups), "heads")
-    return vectors.sparkSession.createDataFrame(fit(data, groups, c, iterations, tolerance), "group string, coefficients array<double>, intercept double")
+    rows = fit(data, groups, c, iterations, tolerance)
+    discard(data)
+    return vectors.sparkSession.createDataFrame(rows, "group string, coefficients array<double>, intercept double")
 
 
 def head_totals(vectors: DataFrame, head: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.blocks import best_rows
 from rankloom.operators.ranking import rank_by
-from rankloom.sources.scratch import write_once
+from rankloom.sources.scratch import discard, write_once
 
 PRODUCTS = 4_000_000
 
@@ -93,6 +93,7 @@ def build_index(rows: DataFrame, path: str, block: int = 65_536, most_cells: int
     dealt.sortWithinPartitions("cell", "sub", "id").write.partitionBy("cell", "sub").parquet(f"{path}/blocks")
     facts = [(c, centres[c].tolist(), float(r.far), float(r.size), subs[c]) for c, r in sorted(cells.items())]
     spark.createDataFrame(facts, "cell int, centre array<double>, radius double, norm double, blocks int").coalesce(1).write.parquet(f"{path}/cells")
+    discard(placed)
 
 
 def open_index(spark: SparkSession, path: str, key_type: str) -> VectorIndex:

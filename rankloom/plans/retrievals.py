@@ -18,6 +18,7 @@ from rankloom.sources.scratch import stamp
 from rankloom.sources.roles import MIXED_SQL, POPULARITY_SQL, ROLES_SQL
 
 NEIGHBOURS, DEPTH = 60, 20
+FORM = 1  # of the stored indexes; a new one makes them anew
 
 
 def vectors(spark, sf_dir):
@@ -32,7 +33,7 @@ def subjects(spark, sf_dir):
 
 def vector_index(spark, sf_dir):
     """The index of all embeddings, built once for as long as their files stay as they are."""
-    return V.stored_index(vectors(spark, sf_dir), f"indexes/embeddings-{stamp(spark, f'{sf_dir}/embeddings.parquet')}")
+    return V.stored_index(vectors(spark, sf_dir), f"indexes/embeddings-{stamp(spark, f'{sf_dir}/embeddings.parquet', form=FORM)}")
 
 
 def neighbours(spark, sf_dir, k=NEIGHBOURS):
@@ -128,7 +129,7 @@ def bm25_topk(spark, sf_dir):
 
 def label_index(spark, sf_dir):
     """BM25 weights of all label strings, stored once for as long as their file stays as it is."""
-    return L.stored_index(L.lexical_index(entries(spark, sf_dir)), f"indexes/bm25-{stamp(spark, f'{sf_dir}/benchmark.parquet')}")
+    return L.stored_index(L.lexical_index(entries(spark, sf_dir)), f"indexes/bm25-{stamp(spark, f'{sf_dir}/benchmark.parquet', form=FORM)}")
 
 
 def _bm25(spark, sf_dir):
@@ -150,7 +151,7 @@ def sparse_topk(spark, sf_dir):
     terms = F.expr("aggregate(ts, cast(map() as map<string, int>), (m, t) -> map_concat(map_filter(m, (k, v) -> k <> t), map(t, coalesce(m[t], 0) + 1)))")
     labels = entries(spark, sf_dir).withColumn("ts", T.tokens(F.col("text"))).withColumn("weights", F.transform_values(terms, lambda _, n: F.sqrt(n.cast("double"))))
     docs = L.query_terms(roles.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), "text"))
-    index = L.stored_index(L.lexical_index(labels, "weights"), f"indexes/sparse-{stamp(spark, f'{sf_dir}/benchmark.parquet')}")
+    index = L.stored_index(L.lexical_index(labels, "weights"), f"indexes/sparse-{stamp(spark, f'{sf_dir}/benchmark.parquet', form=FORM)}")
     found = L.match(docs, index, 10, "root")
     return found.select("query", "code", "score", "rank")
 

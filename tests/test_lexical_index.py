@@ -1,6 +1,7 @@
 """The stored inverted index: the same with and without pruning, fewer postings read, built once."""
 
 import random
+import uuid
 
 import pyarrow as pa
 import pytest
@@ -60,7 +61,7 @@ def test_pruning_reads_fewer_postings():
 
 def test_other_blocks_are_asked_only_if_they_can_reach(spark):
     rows = [(e, e, "w", 10.0 if e < 20 else 0.1) for e in range(400)] + [(e, e, f"own{e % 7}", 1.0) for e in range(400)]
-    index = L.stored_index(spark.createDataFrame(rows, "entry long, code long, term string, weight double"), "indexes/test-reach", block=50)
+    index = L.stored_index(spark.createDataFrame(rows, "entry long, code long, term string, weight double"), f"indexes/test-{uuid.uuid4().hex}", block=50)
     queries = spark.createDataFrame([(1, ["w"]), (2, ["own3", "nowhere"]), (3, ["nowhere"])], "query long, terms array<string>")
     found = I.bounds(index, queries, "once").collect()
     assert {r["query"] for r in found} == {1, 2} and len({r.block for r in found}) == index.blocks == 8
@@ -78,11 +79,11 @@ def test_bm25_of_text_in_blocks(spark):
 
 
 def test_nothing_indexed_and_built_once(spark):
-    schema = "entry long, code long, term string, weight double"
+    schema, name = "entry long, code long, term string, weight double", f"indexes/test-{uuid.uuid4().hex}"
     queries = spark.createDataFrame([(1, ["a"])], "query long, terms array<string>")
     assert L.match(queries, spark.createDataFrame([], schema), 3, "once").count() == 0
     rows = spark.createDataFrame([(1, 1, "a", 1.0)], schema)
-    index = L.stored_index(rows, "indexes/test-lexical-once")
-    again = L.stored_index(rows.where(F.lit(False)), "indexes/test-lexical-once")
+    index = L.stored_index(rows, name)
+    again = L.stored_index(rows.where(F.lit(False)), name)
     assert index == again and scratch.exists(spark, f"{index.root}/lists/_SUCCESS")
     assert L.match(queries, again, 3, "once").count() == 1

@@ -1,5 +1,7 @@
 """The stored vector index: the same as comparing everything, few blocks opened, built once."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def test_far_cells_are_not_opened(spark):
     rng = np.random.default_rng(4)
     centres = np.eye(8) * 10
     index = rows(spark, np.concatenate([c + rng.normal(size=(50, 8)) / 10 for c in centres]))
-    stored = V.stored_index(index, "indexes/test-far", block=50)
+    stored = V.stored_index(index, f"indexes/test-{uuid.uuid4().hex}", block=50)
     queries = V.indexable(rows(spark, centres)).withColumn("known", F.lit(None).cast("double"))
     first = I.visits(stored, queries, 6, True)
     total = int(stored.blocks.sum())
@@ -48,24 +50,24 @@ def test_far_cells_are_not_opened(spark):
 
 def test_index_rows_travel_once(spark):
     """Only queries are shuffled in a search: no exchange stands above a scan of the index."""
-    index = V.stored_index(rows(spark, np.eye(4)), "indexes/test-plan", block=2)
+    index = V.stored_index(rows(spark, np.eye(4)), f"indexes/test-{uuid.uuid4().hex}", block=2)
     plan = I._answered(index, I.visits(index, V.indexable(rows(spark, np.eye(4))).withColumn("known", F.lit(None).cast("double")), 6, True), 3, 6, False)._jdf.queryExecution().toString()
     assert "blocks" not in plan and "parquet" not in plan.lower()
 
 
 def test_built_once_and_whole_or_not_at_all(spark):
-    built = []
+    built, name = [], f"indexes/test-{uuid.uuid4().hex}"
     index = rows(spark, np.eye(3))
 
     def build(half):
         built.append(half)
         I.build_index(V.indexable(index), half)
 
-    path = scratch.stored(spark, "indexes/test-once", build)
-    assert scratch.stored(spark, "indexes/test-once", build) == path and len(built) == 1 and scratch.exists(spark, f"{path}/blocks/_SUCCESS")
+    path = scratch.stored(spark, name, build)
+    assert scratch.stored(spark, name, build) == path and len(built) == 1 and scratch.exists(spark, f"{path}/blocks/_SUCCESS")
     with pytest.raises(ZeroDivisionError):
-        scratch.stored(spark, "indexes/test-failed", lambda half: 1 / 0)
-    assert not scratch.exists(spark, f"{scratch.shared_folder(spark)}/indexes/test-failed")
+        scratch.stored(spark, f"{name}-failed", lambda half: 1 / 0)
+    assert not scratch.exists(spark, f"{scratch.shared_folder(spark)}/{name}-failed")
 
 
 def test_no_rows(spark):
