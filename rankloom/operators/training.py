@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ranking import rank_by
+from rankloom.operators.ranking import marked, rank_by
 
 
 def hard_negatives(rankings: DataFrame, gold: DataFrame, count: int) -> DataFrame:
     """record_id, code, rank: the first `count` ranked codes that are not gold."""
-    wrong = rankings.join(gold.select("record_id", "code"), ["record_id", "code"], "left_anti")
+    wrong = marked(rankings, gold, "gold").where("not gold")
     return rank_by(wrong.select("record_id", "code", F.col("rank").alias("_old")), ["record_id"], [F.col("_old"), F.col("code")], limit=count).drop("_old")
 
 
