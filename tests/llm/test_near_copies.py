@@ -97,3 +97,13 @@ def test_very_many_equal_rows(documents, spark):
     docs = documents([(1, text), (2, text + " w60"), (3, "other words of its own here")])
     docs = docs.unionByName(spark.range(5000).selectExpr("cast(null as long) doc_id", "'' text", "'en' lang", "'s' source", "0L n_chars"))
     assert sorted((r.doc_id or 0) for r in drop_near_duplicates(docs).collect()) == [0, 1, 3]
+
+
+def test_rows_of_no_bucket_meet_no_join_for_a_hot_one(spark, tmp_path):
+    """One hot bucket: the rows without a bucket are told apart by a filter, and every bucket keeps all its rows."""
+    rows = [(i, 7 if i < 600 else 8 if i < 603 else i) for i in range(3000)]
+    spread = spark.createDataFrame(rows, "fp long, group long")
+    shared = spark.createDataFrame([(7, 600), (8, 3)], "group long, rows long")
+    found = N.in_buckets(spread, shared, 30_000)
+    assert sorted(map(tuple, found.select("fp", "group", "rows").collect())) == [(i, g, 600 if g == 7 else 3) for i, g in rows[:603]]
+    assert "LeftAnti" not in found._jdf.queryExecution().toString()
