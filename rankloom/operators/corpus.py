@@ -23,10 +23,18 @@ def concatenate(*corpora: DataFrame) -> DataFrame:
 def arrival(df: DataFrame, name: str = "arrived") -> DataFrame:
     """A total order of the rows of df, which must come straight from files: by file name, block of the file and place in it.
 
+    It is one number, so that aggregation keeps it in place: the block's position among all blocks, a row a task or less and
+    broadcast, and the row's place in the task that reads the block.
+
     Corpora read from several files in another order than that of their names go through concatenate(), whose ordinal comes first.
     """
-    place = F.monotonically_increasing_id().alias("place")  # rises within the task that reads the block
-    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place))
+    at = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    blocks = df.select(*at).distinct().withColumn("_ordinal", F.row_number().over(W.orderBy("_file", "_block")).cast("long"))
+    placed = df.select("*", *at, F.monotonically_increasing_id().alias("_place"))  # rises within the task that reads the block
+    known = placed.join(F.broadcast(blocks), ["_file", "_block"], "left")
+    ordinal = F.coalesce("_ordinal", F.raise_error(F.lit("a block that was not listed")).cast("long"))
+    low = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return known.withColumn(name, F.shiftleft(ordinal, 33).bitwiseOR(low)).drop("_file", "_block", "_ordinal", "_place")
 
 
 def merge(records: DataFrame, key: str, seq: str, same: list[str], subjects: str) -> DataFrame:
@@ -35,20 +43,21 @@ def merge(records: DataFrame, key: str, seq: str, same: list[str], subjects: str
 
     `seq` must be a total order (see arrival()). A key's copies are reduced to its different subjects before they meet, so
     a key that very many rows repeat takes no more room than its subjects. Null subjects are none; null keys are one key.
+    recovered is counted without the lists: a key's different subjects less those of its first copy.
     """
-    each = records.select(F.col(key), F.struct(F.col(seq).alias("at"), *same).alias("row"), F.posexplode_outer(subjects).alias("pos", "code"))
+    own = F.coalesce(F.size(F.array_distinct(F.array_compact(subjects))), F.lit(0)).alias("held")
+    each = records.select(F.col(key), F.col(seq).alias("at"), own, F.struct(F.col(seq).alias("at"), *same).alias("row"), F.posexplode_outer(subjects).alias("pos", "code"))
     content = F.struct(*(F.col("row")[c].alias(c) for c in same)) if same else F.lit(0)
     firsts = each.groupBy(key, "code").agg(
         F.min(F.struct(F.col("row.at").alias("at"), F.coalesce("pos", F.lit(0)).alias("pos"))).alias("first"), F.min("row").alias("row"),
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.min(content).alias("low"), F.max(content).alias("high"),
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.min("at").alias("at"), F.min_by("held", "at").alias("held"), F.min(content).alias("low"), F.max(content).alias("high"),
     )
     met = firsts.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("first", "code")))).alias("own"), F.min("row").alias("row"),
-        F.sum("copies").alias("copies"), (~F.min("low").eqNullSafe(F.max("high"))).alias("conflict"),
+        F.sum("copies").alias("copies"), (F.count("code") - F.min_by("held", "at")).cast("int").alias("recovered"), (~F.min("low").eqNullSafe(F.max("high"))).alias("conflict"),
     )
-    late = F.size(F.filter("own", lambda x: x["first"]["at"] > F.col("row.at")))
     return met.select(
-        key, *(F.col("row")[c].alias(c) for c in same), F.transform("own", lambda x: x.code).alias(subjects), "copies", "conflict", late.alias("recovered")
+        key, *(F.col("row")[c].alias(c) for c in same), F.transform("own", lambda x: x.code).alias(subjects), "copies", "conflict", "recovered"
     )
 
 

@@ -56,3 +56,21 @@ def test_gold_of_records_without_a_ranking_counts(spark):
     rankings = spark.createDataFrame([(1, "a", 0, 5, 1.0), (1, "a", 1, 6, 0.5)], "record_id long, source string, rank int, code long, score double")
     gold = spark.createDataFrame([(1, 5), (9, 5), (9, 6), (9, 6)], "record_id long, code long")
     assert [round(r.recall, 6) for r in U.sweep(rankings, gold, [({"a": 1.0}, 60)], k=1).collect()] == [0.333333]
+
+
+def test_merge_counts_need_no_lists_and_no_sort(spark):
+    """merge_stats aggregates numbers in place: no struct with a file's name is compared, nothing is sorted."""
+    from rankloom.plans import corpora
+
+    text = plan(corpora.merge_stats(spark, SF))
+    assert "SortAggregate" not in text and "collect_list" not in text
+
+
+def test_an_order_of_arrival_is_one_number(spark, tmp_path):
+    from rankloom.operators import corpus as C
+
+    for i, name in enumerate("ba"):
+        spark.range(100 * i, 100 * i + 100, 1, 1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    own = C.arrival(spark.read.parquet(*(str(tmp_path / f"{n}.parquet") for n in "ba")))
+    assert dict(own.dtypes)["arrived"] == "bigint"
+    assert [r.id for r in own.orderBy("arrived").collect()] == [*range(100, 200), *range(100)]
