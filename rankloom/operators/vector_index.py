@@ -28,6 +28,7 @@ from rankloom.operators.ranking import rank_by
 from rankloom.sources.scratch import discard, write_once
 
 PRODUCTS = 4_000_000
+ROUTED = 1_000_000  # components, or visits, that are handed on at once: 8 MB
 
 
 @dataclass
@@ -50,7 +51,7 @@ class VectorIndex:
 
 
 def matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(vectors), -1)
 
 
 def _nearest_centre(centres: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -106,14 +107,16 @@ def open_index(spark: SparkSession, path: str, key_type: str) -> VectorIndex:
     return VectorIndex(path, key_type, centres, radii, norms, blocks)
 
 
-def visits(index: VectorIndex, queries: DataFrame, decimals: int, first: bool) -> DataFrame:
-    """cell, sub, id, v: which blocks each query (id, v, known: its k-th similarity so far, or null) asks first, or after that."""
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not index.blocks.any():
+def routed(index: VectorIndex, batches: Iterator[pa.RecordBatch], decimals: int, first: bool) -> Iterator[pa.RecordBatch]:
+    """visits() within a task: batches of at most ROUTED components, and bounds of at most ROUTED visits at once, since a query's
+    vector goes to each block that it asks."""
+    for whole in batches:
+        some = max(1, ROUTED // max(len(index.blocks), int(index.blocks.sum())))
+        for batch in (whole.slice(at, some) for at in range(0, whole.num_rows, some)):
+            if not index.blocks.any():
                 continue
-            bounds = index.bounds(matrix(batch.column(1)), decimals)
+            vectors = matrix(batch.column(1))
+            bounds = index.bounds(vectors, decimals)
             best = bounds.argmax(axis=1)
             asked = np.zeros(bounds.shape, bool)
             if first:
@@ -126,9 +129,16 @@ def visits(index: VectorIndex, queries: DataFrame, decimals: int, first: bool) -
             times = index.blocks[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
             sub = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(sub, pa.int32()), *(batch.column(i).take(pa.array(row)) for i in (0, 1))], ["cell", "sub", "id", "v"])
+            step = max(1, ROUTED // max(1, vectors.shape[1]))
+            for at in range(0, len(row), step):
+                own = pa.array(row[at : at + step])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + step], pa.int32()), pa.array(sub[at : at + step], pa.int32()), *(batch.column(i).take(own) for i in (0, 1))], ["cell", "sub", "id", "v"])
 
-    return queries.select("id", "v", "known").mapInArrow(route, f"cell int, sub int, id {queries.schema['id'].dataType.simpleString()}, v array<double>")
+
+def visits(index: VectorIndex, queries: DataFrame, decimals: int, first: bool) -> DataFrame:
+    """cell, sub, id, v: which blocks each query (id, v, known: its k-th similarity so far, or null) asks first, or after that."""
+    kind = queries.schema["id"].dataType.simpleString()
+    return queries.select("id", "v", "known").mapInArrow(lambda batches: routed(index, batches, decimals, first), f"cell int, sub int, id {kind}, v array<double>")
 
 
 def _answered(index: VectorIndex, asked: DataFrame, k: int, decimals: int, exclude_self: bool) -> DataFrame:
@@ -146,7 +156,7 @@ def _answered(index: VectorIndex, asked: DataFrame, k: int, decimals: int, exclu
                     continue
                 own = int(keys[0][a]), int(keys[1][a])
                 if own != at:
-                    at, ids, folder = own, None, f"{base}/blocks/cell={own[0]}/sub={own[1]}"
+                    at, ids, vs, held, folder = own, None, None, None, f"{base}/blocks/cell={own[0]}/sub={own[1]}"
                     if files.get_file_info(folder).type == pyarrow.fs.FileType.Directory:  # a block that no row fell into has none
                         held = pq.read_table(folder, filesystem=files, partitioning=None, columns=["id", "v"])
                         held = held.take(pc.sort_indices(held["id"])).combine_chunks()
@@ -161,7 +171,9 @@ def similar(ids: pa.Array, vs: np.ndarray, qids: pa.Array, given: pa.Array, k: i
     """The k rows of a block (in order of id) that are most similar to each query, PRODUCTS similarities at a time."""
     own, step, out = pc.index_in(qids, value_set=ids).to_numpy(zero_copy_only=False).astype(float) if exclude_self else None, max(1, PRODUCTS // len(ids)), []
     for at in range(0, len(qids), step):
-        sims = np.round(matrix(given.slice(at, step)) @ vs.T, decimals) + 0.0
+        sims = matrix(given.slice(at, step)) @ vs.T
+        np.round(sims, decimals, out=sims)
+        sims += 0.0
         if own is not None:
             here = own[at : at + step]
             known = np.flatnonzero(~np.isnan(here))

@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,15 @@ def test_stamp_follows_files(spark, tmp_path):
     assert one == scratch.stamp(spark, str(tmp_path / "t")) != scratch.stamp(spark, str(tmp_path / "t"), block=3)
     spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "t"))
     assert scratch.stamp(spark, str(tmp_path / "t")) != one
+
+
+def test_routing_hands_on_bounded_batches():
+    """Queries that ask every block of a large index are not copied for all of them at once."""
+    rng, cells = np.random.default_rng(5), 120
+    index = I.VectorIndex("", "bigint", rng.normal(size=(cells, 64)), np.full(cells, 9.0), np.full(cells, 9.0), np.where(np.arange(cells) % 2, 1, 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), pa.array(list(rng.normal(size=(1000, 64)))), pa.array([None] * 1000, pa.float64())], ["id", "v", "known"])
+    out = list(I.routed(index, iter([batch]), 6, False))
+    assert max(b.nbytes for b in out) < 10_000_000 and sum(b.num_rows for b in out) > 1000 * 175
+    best = index.bounds(I.matrix(batch.column(1)), 6).argmax(axis=1)
+    got = {x for b in out for x in zip(*(b.column(i).to_pylist() for i in (2, 0, 1)))}
+    assert got == {(q, c, s) for q in range(1000) for c in range(cells) if c != best[q] for s in range(index.blocks[c])}
