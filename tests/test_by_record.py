@@ -74,3 +74,38 @@ def test_an_order_of_arrival_is_one_number(spark, tmp_path):
     own = C.arrival(spark.read.parquet(*(str(tmp_path / f"{n}.parquet") for n in "ba")))
     assert dict(own.dtypes)["arrived"] == "bigint"
     assert [r.id for r in own.orderBy("arrived").collect()] == [*range(100, 200), *range(100)]
+
+
+def test_lines_are_counted_in_parts_that_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(roles, "PART_LINES", 1000)
+    monkeypatch.setattr(roles, "PART_RECORDS", 20)
+    own = roles.training_counts(spark, SF)
+    dealt = [x for x in plan(own).split("\n") if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 3 and all("REPARTITION_BY_NUM" in x for x in dealt)  # lines and their records by record, then by language and code
+    assert own.rdd.getNumPartitions() >= 6 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert roles.gold(spark, SF).rdd.getNumPartitions() == roles.dev_parts(spark, SF) == 8
+
+
+def test_gold_meets_rankings_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(roles, "PART_RECORDS", 20)
+    text = plan(retrievals.hard_negatives(spark, SF))
+    for x in text.split("\n"):
+        assert "Exchange hashpartitioning(record_id" not in x or ", 8)" in x or "REPARTITION_BY_NUM" in x
+
+
+def test_records_without_type_or_language(spark, tmp_path):
+    import duckdb
+
+    for name in ("lineitem", "part"):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    lost = lambda c, key: F.when(F.col(key) % 50 != 0, F.col(c))
+    for name, c, key in (("customer", "c_mktsegment", "c_custkey"), ("orders", "o_orderpriority", "o_orderkey")):
+        spark.read.parquet(f"{SF}/{name}.parquet").withColumn(c, lost(c, key)).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("lineitem", "part"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    want = con.execute("WITH " + roles.POPULARITY_SQL + " SELECT record_id, source, rank, code FROM rankings").fetchall()
+    got = roles.popularity_rankings(spark, str(tmp_path)).select("record_id", "source", "rank", "code").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
