@@ -97,6 +97,18 @@ def columns(positives: Column, negatives: Column) -> Column:
     return F.array_distinct(F.concat(positives, negatives))
 
 
+def batch_columns(rows: DataFrame) -> DataFrame:
+    """batch, columns: columns() of each batch of rows(batch, record_id, positive, negatives), in order of record and positive.
+
+    The first place of each code of a batch is found by its key; only then a batch is gathered, a row a code.
+    """
+    first = rows.select("batch", F.col("positive").alias("code"), F.lit(0).alias("phase"), "record_id", F.lit(0).alias("at"))
+    per = rows.groupBy("batch", "record_id").agg(F.any_value("negatives").alias("negatives"))
+    later = per.select("batch", F.lit(1).alias("phase"), "record_id", F.posexplode("negatives").alias("at", "code")).select(*first.columns)
+    places = first.unionByName(later).groupBy("batch", "code").agg(F.min(F.struct("phase", "record_id", "at")).alias("first"))
+    return places.select("batch", "first.*", "code").groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("phase", "record_id", "at", "code"))), lambda x: x.code).alias("columns"))
+
+
 def false_negatives(rows: DataFrame, scored: DataFrame, gold: DataFrame) -> DataFrame:
     """batch, record_id, positive, code: scored codes of the batch that are gold for the row's record, but not its target."""
     own = rows.select("batch", "record_id", "positive")

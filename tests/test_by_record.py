@@ -109,3 +109,19 @@ def test_records_without_type_or_language(spark, tmp_path):
     want = con.execute("WITH " + roles.POPULARITY_SQL + " SELECT record_id, source, rank, code FROM rankings").fetchall()
     got = roles.popularity_rankings(spark, str(tmp_path)).select("record_id", "source", "rank", "code").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_columns_of_a_batch_by_first_places(spark):
+    import random
+
+    from rankloom.operators import training as O
+
+    deal = random.Random(3)
+    rows = [(r % 3, r, p, [deal.randrange(30) for _ in range(8)]) for r in range(40) for p in deal.sample(range(30), 2)]
+    rows = [(b, r, p, next(n for _, x, _, n in rows if x == r)) for b, r, p, _ in rows]
+    got = {r["batch"]: r["columns"] for r in O.batch_columns(spark.createDataFrame(rows, "batch int, record_id long, positive long, negatives array<long>")).collect()}
+    for b in range(3):
+        own = sorted((r, p, n) for x, r, p, n in rows if x == b)
+        assert got[b] == list(dict.fromkeys([p for _, p, _ in own] + [c for _, _, n in own for c in n]))
+    text = plan(retrievals.batch_columns(spark, SF))
+    assert "collect_list(struct(record_id" not in text and "positive" not in text.split("collect_list(")[1].split(")")[0]
