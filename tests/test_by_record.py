@@ -125,3 +125,29 @@ def test_columns_of_a_batch_by_first_places(spark):
         assert got[b] == list(dict.fromkeys([p for _, p, _ in own] + [c for _, _, n in own for c in n]))
     text = plan(retrievals.batch_columns(spark, SF))
     assert "collect_list(struct(record_id" not in text and "positive" not in text.split("collect_list(")[1].split(")")[0]
+
+
+def test_candidates_get_names_in_parts_that_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(roles, "PART_RECORDS", 20)
+    monkeypatch.setattr(R.offers, "__defaults__", (0,))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(retrievals.prompt_lengths(spark, SF)).split("Generate inline")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [code" not in text and "ShuffledHashJoin [code" in text  # candidates are not sorted by code
+    dealt = [x for x in text.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(dealt) >= 2 and all(", 8), REPARTITION_BY_NUM" in x for x in dealt)  # by code and by record, eight parts
+
+
+def test_offers_of_few_and_of_many_names_agree(spark):
+    import random
+
+    deal = random.Random(5)
+    rows = [(r, i, c) for r in range(300) for i, c in enumerate([7, *deal.sample(range(8, 60), 5)])] + [(None, 0, 7), (900, 0, 99), (901, 0, None)]  # 7 is offered to all
+    names = [(c, None if c == 9 else f"n{c}") for c in range(50)] + [(8, "again"), (None, "none")]
+    want = {r: sorted(((i, c, n) for x, i, c in rows if x == r for k, n in names if k == c), key=lambda o: (o[0], o[2] or "")) for r in range(300)} | {None: [(0, 7, "n7")]}
+    own, held = spark.createDataFrame(rows, "record_id long, rank int, code long"), spark.createDataFrame(names, "code long, label string")
+    for few in (0, 1000):
+        assert {x.record_id: [tuple(o) for o in x.offered] for x in R.offers(own, held, 6, few).collect()} == want
