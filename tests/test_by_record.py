@@ -151,3 +151,22 @@ def test_offers_of_few_and_of_many_names_agree(spark):
     own, held = spark.createDataFrame(rows, "record_id long, rank int, code long"), spark.createDataFrame(names, "code long, label string")
     for few in (0, 1000):
         assert {x.record_id: [tuple(o) for o in x.offered] for x in R.offers(own, held, 6, few).collect()} == want
+
+
+def test_prompts_of_records_without_type_or_names_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from rankloom.plans import SQL
+
+    con = duckdb.connect()
+    shutil.copy(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    for name, c, key, each in (("customer", "c_mktsegment", "c_custkey", 50), ("orders", "o_orderpriority", "o_orderkey", 50), ("part", "p_name", "p_partkey", 3)):
+        lost = F.when(F.col(key) % each != 0, F.col(c))
+        spark.read.parquet(f"{SF}/{name}.parquet").withColumn(c, lost).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    sql = SQL["prompt_lengths"]
+    assert [tuple(r) for r in retrievals.prompt_lengths(spark, str(tmp_path)).collect()] == con.execute(sql).fetchall()
+    spark.read.parquet(f"{SF}/part.parquet").withColumn("p_name", F.lit(None).cast("string")).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+    con.execute(f"create or replace view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert [tuple(r) for r in retrievals.prompt_lengths(spark, str(tmp_path)).collect()] == con.execute(sql).fetchall()
