@@ -28,6 +28,10 @@ from rankloom.operators.ranking import rank_by
 from rankloom.sources.scratch import discard, write_once
 
 PRODUCTS = 4_000_000
+QUERIES, TILE = 256, 4096  # a product in single precision is of so many queries and rows: 4 MB
+LONGEST = 1e150  # of vectors whose squares are finite
+ANSWERED = 16_384  # queries that a task takes past a block, so that reading the block costs little beside it
+TASKS = 4096  # at most so many for that, where there are fewer blocks
 ROUTED = 1_000_000  # components, or visits, that are handed on at once: 8 MB
 
 
@@ -132,21 +136,21 @@ def routed(index: VectorIndex, batches: Iterator[pa.RecordBatch], decimals: int,
             step = max(1, ROUTED // max(1, vectors.shape[1]))
             for at in range(0, len(row), step):
                 own = pa.array(row[at : at + step])
-                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + step], pa.int32()), pa.array(sub[at : at + step], pa.int32()), *(batch.column(i).take(own) for i in (0, 1))], ["cell", "sub", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + step], pa.int32()), pa.array(sub[at : at + step], pa.int32()), *(batch.column(i).take(own) for i in (0, 1, 2))], ["cell", "sub", "id", "v", "known"])
 
 
 def visits(index: VectorIndex, queries: DataFrame, decimals: int, first: bool) -> DataFrame:
-    """cell, sub, id, v: which blocks each query (id, v, known: its k-th similarity so far, or null) asks first, or after that."""
+    """cell, sub, id, v, known: which blocks each query (known: its k-th similarity so far, or null) asks first, or after that."""
     kind = queries.schema["id"].dataType.simpleString()
-    return queries.select("id", "v", "known").mapInArrow(lambda batches: routed(index, batches, decimals, first), f"cell int, sub int, id {kind}, v array<double>")
+    return queries.select("id", "v", "known").mapInArrow(lambda batches: routed(index, batches, decimals, first), f"cell int, sub int, id {kind}, v array<double>, known double")
 
 
 def _answered(index: VectorIndex, asked: DataFrame, k: int, decimals: int, exclude_self: bool) -> DataFrame:
-    """query, id, sim: each visit's k most similar rows."""
+    """query, id, sim: each visit's k most similar rows, without those below its `known`."""
     root, kind = index.root, asked.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, vs = None, None, None
+        at, block = None, None
         files, base = pyarrow.fs.FileSystem.from_uri(root)
         for batch in batches:
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
@@ -156,43 +160,149 @@ def _answered(index: VectorIndex, asked: DataFrame, k: int, decimals: int, exclu
                     continue
                 own = int(keys[0][a]), int(keys[1][a])
                 if own != at:
-                    at, ids, vs, held, folder = own, None, None, None, f"{base}/blocks/cell={own[0]}/sub={own[1]}"
+                    at, block, folder = own, None, f"{base}/blocks/cell={own[0]}/sub={own[1]}"
                     if files.get_file_info(folder).type == pyarrow.fs.FileType.Directory:  # a block that no row fell into has none
                         held = pq.read_table(folder, filesystem=files, partitioning=None, columns=["id", "v"])
                         held = held.take(pc.sort_indices(held["id"])).combine_chunks()
-                        ids, vs = held["id"].chunk(0), matrix(held["v"].chunk(0))
-                if ids is not None:
-                    yield similar(ids, vs, batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), k, decimals, exclude_self)
+                        block = Block(held["id"].chunk(0), matrix(held["v"].chunk(0)))
+                        del held
+                if block is not None:
+                    yield similar(block, *(batch.column(i).slice(a, b - a) for i in (2, 3, 4)), k, decimals, exclude_self)
 
     return asked.mapInArrow(run, f"query {kind}, id {index.key_type}, sim double")
 
 
-def similar(ids: pa.Array, vs: np.ndarray, qids: pa.Array, given: pa.Array, k: int, decimals: int, exclude_self: bool) -> pa.RecordBatch:
-    """The k rows of a block (in order of id) that are most similar to each query, PRODUCTS similarities at a time."""
-    own, step, out = pc.index_in(qids, value_set=ids).to_numpy(zero_copy_only=False).astype(float) if exclude_self else None, max(1, PRODUCTS // len(ids)), []
-    for at in range(0, len(qids), step):
-        sims = matrix(given.slice(at, step)) @ vs.T
+class Block:
+    """A block's rows in order of id: the ids, the vectors, and those once more in single precision, none longer than 1."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        with np.errstate(over="ignore"):
+            self.scale = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0))) or 1.0
+        self.light = (vectors / self.scale).astype(np.float32) if self.scale < LONGEST else None
+
+
+def similar(block: Block, qids: pa.Array, given: pa.Array, known: pa.Array, k: int, decimals: int, exclude_self: bool) -> pa.RecordBatch:
+    """The k rows of a block that are most similar to each query, without those clearly below the similarity that it has `known`."""
+    own = pc.index_in(qids, value_set=block.ids).to_numpy(zero_copy_only=False).astype(float) if exclude_self else np.full(len(qids), np.nan)
+    least, out = np.nan_to_num(known.to_numpy(zero_copy_only=False).astype(float), nan=-np.inf), []
+    for at in range(0, len(qids), QUERIES):
+        here = slice(at, at + QUERIES)
+        queries = matrix(given.slice(at, QUERIES))
+        r, c, sims = _most_similar(block, queries, own[here], least[here], k, decimals)
+        out.append((r + at, c, sims))
+    r, c, sims = (np.concatenate(x) for x in zip(*out))
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(r)), block.ids.take(pa.array(c)), pa.array(sims)], ["query", "id", "sim"])
+
+
+def _most_similar(block: Block, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity): products in single precision choose the rows that can be among the best, doubles decide.
+
+    A query to which too many rows are as similar as the k-th is compared with all rows in doubles.
+    """
+    with np.errstate(all="ignore"):
+        size = np.sqrt((queries**2).sum(axis=1))
+        least = np.nan_to_num(least - 1e-9 * size * block.scale, nan=-np.inf, posinf=np.inf, neginf=-np.inf)  # errors of rounding included, as in bounds()
+    if block.light is None or k > TILE // 4 or len(block.ids) <= TILE or not (size < LONGEST).all():
+        return _all_similar(block, queries, own, least, k, decimals)
+    r, c, crowded = _candidates(block, queries, np.where(size > 0, size, 1.0), own, least, k, decimals)
+    step = max(1, ROUTED // max(1, queries.shape[1]))
+    sims = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", queries[r[i : i + step]], block.vectors[c[i : i + step]]) for i in range(0, len(r), step))])
+    sims = np.round(sims, decimals) + 0.0
+    order = np.lexsort((c, -sims, r))
+    r, c, sims = r[order], c[order], sims[order]
+    kept = (np.arange(len(r)) - np.searchsorted(r, r, "left") < k) & (sims >= least[r])
+    found = [(r[kept], c[kept], sims[kept])]
+    if crowded.any():
+        whole = np.flatnonzero(crowded)
+        r, c, sims = _all_similar(block, queries[whole], own[whole], least[whole], k, decimals)
+        found.append((whole[r], c, sims))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _all_similar(block: Block, queries: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_most_similar() by all products in doubles, PRODUCTS at a time."""
+    step, out = max(1, PRODUCTS // len(block.ids)), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for at in range(0, len(queries), step):
+        sims = queries[at : at + step] @ block.vectors.T
         np.round(sims, decimals, out=sims)
         sims += 0.0
-        if own is not None:
-            here = own[at : at + step]
-            known = np.flatnonzero(~np.isnan(here))
-            sims[known, here[known].astype(np.int64)] = -np.inf
+        known = np.flatnonzero(~np.isnan(own[at : at + step]))
+        sims[known, own[at : at + step][known].astype(np.int64)] = -np.inf
         r, c = best_rows(sims, k)
-        out.append((r + at, c, sims[r, c]))
-    r, c, sims = (np.concatenate(x) for x in zip(*out))
-    return pa.RecordBatch.from_arrays([qids.take(pa.array(r)), ids.take(pa.array(c)), pa.array(sims)], ["query", "id", "sim"])
+        kept = sims[r, c] >= least[at : at + step][r]
+        out.append((r[kept] + at, c[kept], sims[r, c][kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _candidates(block: Block, queries: np.ndarray, size: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row) of all that can be among a query's k most similar rows; and the queries that have too many to be told here.
+
+    The products are those of queries and rows at length 1 at most, so each is off by less than `error`, whatever the order
+    of its sum (n + 2 roundings of 2^-24 each, taken twice and some over). What rounds to the k-th similarity or more is at
+    most 10^-decimals below it.
+    """
+    n, light = len(queries), (queries / size[:, None]).astype(np.float32)
+    error = (queries.shape[1] + 16) * 2.0**-23
+    with np.errstate(all="ignore"):
+        unit = 1.001 * 10.0**-decimals / (size * block.scale)
+        floor = least / (size * block.scale) - unit - error
+        floor = np.where(np.isnan(floor), -np.inf, floor).astype(np.float32)  # NaN: no bound in single precision
+    crowded, most, told = np.zeros(n, bool), 4 * k + 256, 0
+    rows, columns, values = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.float32)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    space = np.empty(n * TILE, np.float32), np.empty(n * TILE, bool)
+    for at in range(0, len(block.ids), TILE):
+        width = min(TILE, len(block.ids) - at)
+        products, reach = (x[: n * width].reshape(n, width) for x in space)
+        np.matmul(light, block.light[at : at + width].T, out=products)
+        selves = np.flatnonzero((own >= at) & (own < at + width))
+        products[selves, own[selves].astype(np.int64) - at] = np.nan
+        if at == 0 and width > k and np.isinf(floor).any():
+            floor = np.maximum(floor, (-np.partition(-products, k - 1, axis=1)[:, k - 1] - unit - 2 * error).astype(np.float32))
+        r, c = _true(np.greater_equal(products, floor[:, None], out=reach))
+        held.append((r.astype(np.uint16), c + at, products[r, c]))
+        told += len(r)
+        if told > n * k // 2 or at + TILE >= len(block.ids):
+            rows, columns, values = (np.concatenate(x) for x in zip((rows, columns, values), *held))
+            held, told = [], 0
+            count = np.bincount(rows, minlength=n)
+            crowded |= count > most
+            floor[crowded] = np.inf
+            order = np.argsort(rows, kind="stable")
+            order = order[~crowded[rows[order]]]
+            rows, columns, values = rows[order], columns[order], values[order]
+            count = np.bincount(rows, minlength=n)
+            if count.max(initial=0) >= k:
+                table = np.full((n, count.max()), np.inf, np.float32)
+                table[rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)] = -values
+                kth = -np.partition(table, k - 1, axis=1)[:, k - 1]
+                floor = np.maximum(floor, (kth - unit - 2 * error).astype(np.float32))
+                kept = values >= floor[rows]
+                rows, columns, values = rows[kept], columns[kept], values[kept]
+    return rows.astype(np.int64), columns, crowded
+
+
+def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero(mask) where few are true: words of 64 that hold none are passed over."""
+    flat = mask.reshape(-1)
+    if len(flat) % 64:
+        flat = np.pad(flat, (0, -len(flat) % 64))
+    words = np.flatnonzero(np.packbits(flat).view(np.uint64))
+    word, bit = np.nonzero(flat.reshape(-1, 64)[words])
+    return np.divmod(words[word] * 64 + bit, mask.shape[1])
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, decimals: int = 6, exclude_self: bool = False) -> DataFrame:
     """query, id, sim, rank: the k most similar index rows of each query (id, v), similarity rounded, ties by id."""
-    total = int(index.blocks.sum())
-    slots = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // max(1, total)))  # tasks a block, so that few blocks keep all cores busy
+    total, cores = max(1, int(index.blocks.sum())), queries.sparkSession.sparkContext.defaultParallelism
+    wanted = -(-queries.count() // ANSWERED)
+    slots = max(-(-2 * cores // total), min(wanted, TASKS // total))  # tasks a block, so that few blocks keep all cores busy
 
     def answered(given: DataFrame, first: bool) -> DataFrame:
         slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-        asked = visits(index, given, decimals, first).withColumn("slot", slot).repartition(max(1, total * slots), "cell", "sub", "slot")
-        return _answered(index, asked.sortWithinPartitions("cell", "sub").select("cell", "sub", "id", "v"), k, decimals, exclude_self)
+        asked = visits(index, given, decimals, first).withColumn("slot", slot).repartition(total * slots, "cell", "sub", "slot")
+        return _answered(index, asked.sortWithinPartitions("cell", "sub").select("cell", "sub", "id", "v", "known"), k, decimals, exclude_self)
 
     unknown = queries.select("id", "v", F.lit(None).cast("double").alias("known"))
     near = answered(unknown, True)

@@ -94,3 +94,68 @@ def test_routing_hands_on_bounded_batches():
     best = index.bounds(I.matrix(batch.column(1)), 6).argmax(axis=1)
     got = {x for b in out for x in zip(*(b.column(i).to_pylist() for i in (2, 0, 1)))}
     assert got == {(q, c, s) for q in range(1000) for c in range(cells) if c != best[q] for s in range(index.blocks[c])}
+
+
+def best(vectors, queries, own, k, decimals):
+    sims = np.round(queries @ vectors.T, decimals) + 0.0
+    out = []
+    for q, row in enumerate(sims):
+        places = [c for c in np.lexsort((np.arange(len(row)), -row)) if c != own[q]][:k]
+        out += [(q, int(c), row[c]) for c in places]
+    return out
+
+
+@pytest.mark.parametrize("name, decimals", [("spread", 6), ("copies", 6), ("hot", 6), ("coarse", 0), ("scales", 6), ("tiny", 6), ("huge", 2), ("zeros", 6)])
+def test_candidates_hold_the_best(monkeypatch, name, decimals):
+    """What products in single precision leave out is not among the best, whatever the lengths and ties."""
+    monkeypatch.setattr(I, "TILE", 100)
+    monkeypatch.setattr(I, "QUERIES", 16)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(730, 12))
+    if name == "copies":
+        v[300:] = v[np.arange(430) % 300]
+    elif name == "hot":
+        v[::2] = v[0]
+    elif name == "coarse":
+        v = np.floor(v)
+    elif name == "scales":
+        v *= 10.0 ** rng.integers(-6, 7, size=(730, 1))
+    elif name == "tiny":
+        v *= 1e-170
+    elif name == "huge":
+        v[5:9] *= 1e151
+    elif name == "zeros":
+        v[100:400] = 0
+    own = np.where(np.arange(60) % 4 == 3, np.nan, np.arange(60))
+    ids, queries, qids = pa.array(np.arange(730) * 2), v[:60], pa.array([60_000 + q if np.isnan(i) else 2 * q for q, i in enumerate(own)])
+
+    def found(least):
+        out = I.similar(I.Block(ids, v), qids, pa.array(list(queries)), pa.array(least, from_pandas=True), 5, decimals, True)
+        return sorted(zip(*(out[c].to_pylist() for c in ("query", "id", "sim"))))
+
+    want = sorted((qids[q].as_py(), 2 * c, s) for q, c, s in best(v, queries, own, 5, decimals))
+    got = found(np.full(60, np.nan))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9, atol=0)
+    third = {q: sorted((s for x, _, s in got if x == q), reverse=True)[2] for q, _, _ in got}
+    known = {q: s if q % 14 else -np.inf for q, s in third.items()}  # but of every seventh query
+    reach, some = {x for x in got if x[2] >= known[x[0]]}, set(found(np.array([known[q.as_py()] for q in qids])))
+    assert reach <= some <= set(got) and (name == "huge" or reach == some)  # lengths of 1e151 beside 1 leave room for rounding
+
+
+def test_few_pairs_are_compared_in_doubles(monkeypatch):
+    """A product and a look at it a pair: no sort and no rounding of what can't be among the best, also beside copies."""
+    rng, pairs = np.random.default_rng(7), []
+    v = rng.normal(size=(20_000, 16))
+    v[10_000:] = v[:10_000]
+    monkeypatch.setattr(I, "best_rows", lambda sims, k, f=I.best_rows: pairs.append(sims.size) or f(sims, k))
+    out = I.similar(I.Block(pa.array(np.arange(20_000)), v), pa.array(np.arange(300)), pa.array(list(v[:300])), pa.nulls(300, pa.float64()), 10, 6, True)
+    assert out.num_rows == 3000 and sum(pairs) == 0
+
+
+def test_later_visits_return_what_reaches_the_known(spark):
+    """Rows below a query's k-th similarity so far are not handed on to be ranked."""
+    vectors = np.array([[1.0, 0], [0.9, 0], [0.5, 0], [0.2, 0]])
+    index = V.stored_index(rows(spark, vectors), f"indexes/test-{uuid.uuid4().hex}")
+    queries = V.indexable(rows(spark, vectors[:1])).withColumn("known", F.lit(0.9))
+    found = I._answered(index, I.visits(index, queries, 6, True), 3, 6, False).collect()
+    assert sorted(r["id"] for r in found) == [0, 1]
